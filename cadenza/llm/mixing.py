@@ -128,6 +128,8 @@ def mix(
 
     placed = d.join(targets.withColumnRenamed("skey", "__skey").select("__skey", F.col("s").alias("source_size"), "target", F.col("per").alias("__per")), "__skey")
     placed = placed.withColumns({"__super": h("__h", 1) % SUPERS, "__shard": h("__h", 9) % F.col("__per")})
+    # dealt out anew by shard: the join's partitioning by source alone would leave a hot source to one task
+    placed = placed.repartition("__skey", "__super", "__shard")
     ahead = F.coalesce(
         F.sum("__size").over(W.partitionBy("__skey", "__super", "__shard").orderBy("__h", doc_id, "__size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )

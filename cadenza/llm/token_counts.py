@@ -25,6 +25,7 @@ from __future__ import annotations
 import gc
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -286,6 +287,15 @@ class TokenCounter:
         return total + sum(sum(map(self.known.__getitem__, self.words(p))) for p in parts if p)
 
 
+@lru_cache(maxsize=2)
+def compiled(tokenizer_json: str) -> TokenCounter:
+    """One counter for all tasks of a Python worker."""
+    counter = TokenCounter(tokenizer_json)
+    gc.freeze()  # the compiled tables hold no cycles: keep the collector from walking them
+    gc.set_threshold(200_000, 50, 50)
+    return counter
+
+
 def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", limit: int = LIMIT, keep: list[str] | None = None) -> DataFrame:
     """docs[keep] plus n_bytes, n_tokens (long) and over_limit (boolean)."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
@@ -293,9 +303,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", limit
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer_json)
-        gc.freeze()  # the compiled tables hold no cycles: keep the collector from walking them
-        gc.set_threshold(200_000, 50, 50)
+        counter = compiled(tokenizer_json)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             n_bytes, n_tokens = [len(t.encode()) for t in texts], [counter.count(t) for t in texts]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.llm import line_dedup, mixing, sentencepiece_codec, token_counts
+from cadenza.llm import line_dedup, media_png, mixing, sentencepiece_codec, token_counts, toxicity
 
-_MODULES = (sentencepiece_codec, line_dedup, mixing, token_counts)
+_MODULES = (sentencepiece_codec, line_dedup, mixing, token_counts, toxicity, media_png)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -120,7 +120,8 @@ def mix(
     targets = targets.select("skey", "s", "target", "quota", per.alias("per"))
     h = lambda c, i: F.conv(F.substring(c, i, 7), 16, 10).cast("long")
     place = {"super": h("h", 1) % SUPERS, "shard": h("h", 9) % F.col("per")}
-    shards = n.join(targets, "skey").withColumns(place).groupBy("skey", "super", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    # dealt out by shard, not by source alone, before they are added up
+    shards = n.join(targets, "skey").withColumns(place).repartition("skey", "super", "shard").groupBy("skey", "super", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     supers = shards.groupBy("skey", "super").agg(F.sum("words").alias("super_words"), F.first("quota").alias("quota"))
     supers = apportion(supers, ["skey"], ["super"], "super_words", "quota", "super_quota").select("skey", "super", "super_quota")
     shards = apportion(shards.select("skey", "super", "shard", "words").join(supers, ["skey", "super"]), ["skey", "super"], ["shard"], "words", "super_quota", "shard_quota")

@@ -15,10 +15,12 @@ A model that is not of merge type, or that normalises text, is refused.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from cadenza.llm.common import table
 
 MARK = "▁"
 #: Chunks of at most SHORT symbols keep their agenda in a list; longer ones use a heap. KEPT: chunks that a task remembers.
-SHORT, CHUNK_CHARS, KEPT = 48, 40, 300_000
+SHORT, CHUNK_CHARS, KEPT = 48, 40, 600_000
 
 
 class MergeCodec:
@@ -103,32 +105,34 @@ class MergeCodec:
             offer(i, after[i])
         return [s for s in symbols if s]
 
-    def chunks(self, text: str) -> list[str]:
-        """The independent chunks of a text; a line end is a chunk of its own."""
-        if not text:
-            return []
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            if MARK in line or "  " in line or line[:1] == " " or line[-1:] == " ":
-                line = line.replace(" ", MARK)
-                out += re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line if k else MARK + line)
-            elif line:
-                first, *words = line.split(" ")
-                out.append(first if k else MARK + first)
-                out += [MARK + w for w in words]
-        return out if out[0] != "\n" else [MARK, *out]
-
     def check(self, texts: list[str]) -> None:
         """Compare whole texts with the library; any difference is an error."""
         for t, ids in zip(texts, self.sp.encode(texts, num_threads=1)):
             if self.encode(t) != ids:
                 raise ValueError(f"agenda and library differ on {t!r}: {self.encode(t)} and {ids}")
 
-    def encode(self, text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> list[int]:
+    def encode(self, text: str | None, known: Known | None = None) -> list[int]:
+        """Ids of a whole text. Chunks: words with the mark before them, runs of marks, the start of a line, a line end."""
+        out: list[int] = []
+        if not text:
+            return out
         known = Known(self) if known is None else known
-        return list(chain.from_iterable(map(known.__getitem__, self.chunks(text or ""))))
+        marked, bare, add = known.marked.__getitem__, known.bare.__getitem__, out.extend
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                if len(out) == 0:
+                    add(bare(MARK))  # the mark that every text begins with
+                add(bare("\n"))
+            if MARK in line or "  " in line or line[:1] == " " or line[-1:] == " ":
+                line = line.replace(" ", MARK)
+                add(chain.from_iterable(map(bare, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line if k else MARK + line))))
+            elif line:
+                words = line.split(" ")
+                if k:
+                    add(bare(words[0]))
+                    del words[0]
+                add(chain.from_iterable(map(marked, words)))
+        return out
 
     # -- decoding ---------------------------------------------------------------
     def decode(self, ids: list[int]) -> str:
@@ -136,33 +140,47 @@ class MergeCodec:
         return self.sp.decode(ids)
 
 
-class Known(dict):
-    """Encoded chunks, filled on demand; fresh ones wait for the next library check."""
-
-    def __init__(self, codec: MergeCodec) -> None:
+class _Chunks(dict):
+    def __init__(self, codec: MergeCodec, lead: str) -> None:
         super().__init__()
-        self.codec, self.fresh = codec, []
+        self.codec, self.lead, self.fresh = codec, lead, []
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self.codec.encode_chunk(chunk)
+        ids = self.codec.encode_chunk(self.lead + chunk)
         if len(chunk) <= CHUNK_CHARS:
             self[chunk] = ids
-        self.fresh.append(chunk)
+        self.fresh.append((chunk, ids))
         return ids
 
+
+class Known:
+    """Encoded chunks, with a word mark before them or bare, filled on demand; fresh ones wait for the next library check."""
+
+    def __init__(self, codec: MergeCodec) -> None:
+        self.lib, self.marked, self.bare = codec.sp, _Chunks(codec, MARK), _Chunks(codec, "")
+
     def checked(self) -> None:
-        own, lib = self.codec, self.codec.sp
-        lead = len(lib.encode("\n"))
-        get = self.get
-        for at in range(0, len(self.fresh), 20_000):
-            part = [c for c in self.fresh[at : at + 20_000] if c != "\n"]
-            for c, ids in zip(part, lib.encode(["\n" + c.replace(MARK, " ") for c in part], num_threads=1)):
-                mine = get(c) or own.encode_chunk(c)
-                if list(mine) != ids[lead:]:
-                    raise ValueError(f"agenda and library differ on {c!r}: {mine} and {ids[lead:]}")
-        self.fresh = []
-        if len(self) > KEPT:
-            self.clear()
+        """Compare the chunks encoded since the last call with the library; any difference is an error."""
+        lead = len(self.lib.encode("\n"))
+        for part in (self.marked, self.bare):
+            for at in range(0, len(part.fresh), 20_000):
+                some = [x for x in part.fresh[at : at + 20_000] if x[0] != "\n"]
+                texts = ["\n" + (part.lead + c).replace(MARK, " ") for c, _ in some]
+                for (c, own), ids in zip(some, self.lib.encode(texts, num_threads=1)):
+                    if list(own) != ids[lead:]:
+                        raise ValueError(f"agenda and library differ on {c!r}: {own} and {ids[lead:]}")
+            part.fresh = []
+            if len(part) > KEPT:
+                part.clear()
+
+
+@lru_cache(maxsize=2)
+def loaded(model_file: str) -> tuple[MergeCodec, Known]:
+    """One codec and one table of chunks for all tasks of a Python worker."""
+    codec = MergeCodec(model_file)
+    gc.freeze()  # the tables hold no cycles: keep the collector from walking them
+    gc.set_threshold(200_000, 50, 50)
+    return codec, Known(codec)
 
 
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -172,8 +190,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = MergeCodec(model_file)
-        known = Known(codec)
+        codec, known = loaded(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -194,8 +211,8 @@ def digest_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
     schema = T.StructType([*[source.schema[c] for c in keep], *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = MergeCodec(model_file)
-        known, digits, sha = Known(codec), codec.digits, hashlib.sha256
+        codec, known = loaded(model_file)
+        digits, sha = codec.digits, hashlib.sha256
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

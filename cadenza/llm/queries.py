@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.llm import line_dedup, media_png, mixing, sentencepiece_codec, token_counts, toxicity
+from cadenza.llm import html_extraction, line_dedup, media_png, mixing, sentencepiece_codec, token_counts, toxicity, warc
 
-_MODULES = (sentencepiece_codec, line_dedup, mixing, token_counts, toxicity, media_png)
+_MODULES = (sentencepiece_codec, line_dedup, mixing, html_extraction, token_counts, toxicity, warc, media_png)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.llm import html_extraction, line_dedup, media_png, mixing, near_dedup, sentencepiece_codec, token_counts, toxicity, warc
+from cadenza.llm import ann_search, html_extraction, line_dedup, media_png, mixing, near_dedup, sentencepiece_codec, token_counts, toxicity, warc
 
-_MODULES = (sentencepiece_codec, line_dedup, mixing, html_extraction, token_counts, toxicity, warc, media_png, near_dedup)
+_MODULES = (sentencepiece_codec, ann_search, line_dedup, mixing, html_extraction, token_counts, toxicity, warc, media_png, near_dedup)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

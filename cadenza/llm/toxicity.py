@@ -126,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs[keep] plus score (double, 0 to 1)."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    source = docs.select(*keep, docs[text].alias("__text"))
+    at, k = (keep.index(text) if text in keep else len(keep)), len(keep)
+    source = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))  # 1 MB, whatever the input
 
@@ -134,8 +135,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
         raw, intercept = shared.value
         w = np.frombuffer(raw, np.float32)
         for batch in batches:
-            z = np.array([float(w[buckets(t)].sum(dtype=np.float64)) for t in batch.column(len(keep)).to_pylist()]) + intercept
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=schema.names)
+            z = np.array([float(w[buckets(t)].sum(dtype=np.float64)) for t in batch.column(at).to_pylist()]) + intercept
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import stats
+from cadenza.plans import losses, sequence, stats
 
-_MODULES = (stats,)
+_MODULES = (stats, sequence, losses)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -46,29 +46,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 32:
-            self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def _words() -> _WordHashes:
-    return _WordHashes()
+_SPACES = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+_BASE = 0xD6E8FEB86659FD93
+#: Powers of _BASE and of its inverse modulo 2^64, grown to the longest text seen, up to POWERS places.
+POWERS = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_up_to(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) >= n:
+        return _powers
+    size = 1 << (n - 1).bit_length()
+    grown = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        grown.append(np.cumprod(steps))
+    if size <= POWERS:
+        _powers[:] = grown
+    return grown
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every white-space separated word, from a running polynomial over the characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.ones(len(codes) + 2, bool)
+    space[1:-1] = _SPACES[np.minimum(codes, 0x3001)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    begin, end = edges[0::2], edges[1::2]
+    power, inverse = _powers_up_to(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * power[: len(codes)], out=total[1:])
+    return _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _GOLD)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles and their weights."""
-    words = (text or "").split()
-    if not words:
+    h = word_hashes(text or "")
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     x = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):

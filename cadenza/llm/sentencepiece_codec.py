@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by piece score (ties: the
-leftmost pair) and joins the best one until no pair spells a piece. Symbols outside
+leftmost pair) and joins the best one until no pair spells a piece; the agendas of many
+short chunks are worked off in step, as rows of numpy arrays. Symbols outside
 the vocabulary become byte pieces. No piece of such a vocabulary holds the word mark
 after another character, so a text falls apart into chunks (marks and the characters
 after them, or the start of a line) whose agendas cannot touch. Chunks are encoded
@@ -23,15 +24,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cadenza.llm.common import table
 
 MARK = "▁"
-#: Chunks of at most SHORT symbols keep their agenda in a list; longer ones use a heap. KEPT: chunks that a task remembers.
-SHORT, CHUNK_CHARS, KEPT = 48, 40, 600_000
+#: Chunks of at most SHORT symbols keep their agenda in a list; longer ones use a heap. KEPT: chunks that a worker
+#: remembers. BATCH: documents that are cut and looked up together.
+SHORT, CHUNK_CHARS, KEPT, BATCH = 40, 40, 400_000, 2500
+#: Symbols that are no pieces: none, and (from STRANGE down) characters outside the vocabulary. The pair table has 2^TABLE_BITS places.
+EMPTY, STRANGE, TABLE_BITS = -1, -2, 19
 
 
 class MergeCodec:
@@ -52,6 +58,7 @@ class MergeCodec:
             raise ValueError(f"{model_file}: a model with byte fallback and no unused pieces is needed")
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError(f"{model_file}: pieces that run over word marks or line ends are not supported")
+        self._index_pairs()
         self.check(["a", " a  b ", "x\ny", "q" * 90, "ä中\U0001f600"])
 
     # -- encoding ---------------------------------------------------------------
@@ -65,22 +72,83 @@ class MergeCodec:
                 out.append(i)
         return tuple(out)
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return self._spell(self._short(chunk) if len(chunk) <= SHORT else self._long(chunk))
-
-    def _short(self, chunk: str) -> list[str]:
-        cost, none = self.cost, float("inf")
-        symbols = list(chunk)
-        agenda = [cost.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) < none:
-            i = agenda.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost.get(symbols[i] + symbols[i + 1], none)
-            if i:
-                agenda[i - 1] = cost.get(symbols[i - 1] + symbols[i], none)
-        return symbols
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of chunks. The agendas of short chunks of one length are rows of an array, all worked off in step."""
+        out: list[tuple[int, ...]] = [()] * len(chunks)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols, begin = self.symbol[codes], np.cumsum(lengths) - lengths
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            if n > SHORT:
+                for r in rows.tolist():
+                    out[r] = self._spell(self._long(chunks[r]))
+                continue
+            done = self._in_step(symbols[begin[rows][:, None] + np.arange(n)])
+            count = (done != EMPTY).sum(axis=1).tolist()
+            strange = (done <= STRANGE).any(axis=1).tolist()
+            for r, ids, k, odd in zip(rows.tolist(), done.tolist(), count, strange):
+                out[r] = tuple(ids[:k]) if not odd else tuple(chain.from_iterable((i,) if i >= 0 else self._spell([chr(STRANGE - i)]) for i in ids[:k]))
+        return out
+
+    def _in_step(self, rows: np.ndarray) -> np.ndarray:
+        """Work off the agendas of chunks of equal length (rows of symbols); joined rows end in EMPTY."""
+        rows = np.pad(rows, ((0, 0), (0, 1)), constant_values=EMPTY)
+        cost, into = self._pairs(rows[:, :-1], rows[:, 1:])
+        live = np.arange(len(rows))
+        while len(live):
+            c = cost[live]
+            best = c.argmin(axis=1)  # of equal scores the leftmost
+            alive = np.isfinite(c[np.arange(len(live)), best])
+            live, best = live[alive], best[alive]
+            if not len(live):
+                break
+            s, c, m = rows[live], cost[live], into[live]
+            at = np.arange(len(live))
+            s[at, best] = m[at, best]
+            keep = np.arange(s.shape[1] - 1)[None, :]
+            keep = keep + (keep > best[:, None])  # the right symbol of the pair goes, what follows moves up
+            s[:, :-1] = np.take_along_axis(s, keep, 1)
+            s[:, -1] = EMPTY
+            c[:, :-1], m[:, :-1] = np.take_along_axis(c, keep[:, :-1], 1), np.take_along_axis(m, keep[:, :-1], 1)
+            c[:, -1] = np.inf
+            c[at, best], m[at, best] = self._pairs(s[at, best], s[at, best + 1])
+            left = np.maximum(best - 1, 0)
+            c_left, m_left = self._pairs(s[at, left], s[at, left + 1])
+            c[at, left], m[at, left] = np.where(best > 0, c_left, c[at, left]), np.where(best > 0, m_left, m[at, left])
+            rows[live], cost[live], into[live] = s, c, m
+        return rows
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and piece of symbol pairs, infinite where they spell none: look-ups in an open hash table."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 32 | right, -2)
+        slot = self._slot(key)
+        while True:
+            there = self.table[slot]
+            go_on = (there != key) & (there != -1)
+            if not go_on.any():
+                break
+            slot = np.where(go_on, (slot + 1) & (len(self.table) - 1), slot)
+        hit = self.table[slot] == key
+        return np.where(hit, self.table_cost[slot], np.inf), self.table_into[slot]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def _index_pairs(self) -> None:
+        """Symbols of single characters, and the hash table of all pairs that spell a piece."""
+        self.symbol = STRANGE - np.arange(0x110000, dtype=np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.table, self.table_cost, self.table_into = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS, np.int64)
+        found = {self.ids[p[:k]] << 32 | self.ids[p[k:]]: p for p in self.ids for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
+        if len(found) * 2 > len(self.table):
+            raise ValueError("the vocabulary has too many pairs for its table")
+        for slot, (key, p) in zip(self._slot(np.fromiter(found, np.int64, len(found))).tolist(), found.items()):
+            while self.table[slot] != -1:
+                slot = (slot + 1) & (len(self.table) - 1)
+            self.table[slot], self.table_cost[slot], self.table_into[slot] = key, self.cost[p], self.ids[p]
 
     def _long(self, chunk: str) -> list[str]:
         cost = self.cost
@@ -111,28 +179,36 @@ class MergeCodec:
             if self.encode(t) != ids:
                 raise ValueError(f"agenda and library differ on {t!r}: {self.encode(t)} and {ids}")
 
-    def encode(self, text: str | None, known: Known | None = None) -> list[int]:
-        """Ids of a whole text. Chunks: words with the mark before them, runs of marks, the start of a line, a line end."""
-        out: list[int] = []
-        if not text:
-            return out
+    @staticmethod
+    def marked(text: str, cut: str) -> str:
+        """The text with its marks, cut before every chunk: words with the marks before them, line ends, starts of lines."""
+        if MARK in text or "  " in text or text[:1] == " ":
+            return cut.join(re.findall(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n", MARK + text.replace(" ", MARK)))
+        return MARK + text.replace("\n", f"{cut}\n{cut}").replace(" ", cut + MARK)
+
+    def encode_batch(self, texts: list[str | None], known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts end to end, and the offset at which each text begins (with the end).
+
+        Arrow splits the batch into chunks, at a character that no text holds, and numbers the different
+        ones; only these are looked up or encoded.
+        """
         known = Known(self) if known is None else known
-        marked, bare, add = known.marked.__getitem__, known.bare.__getitem__, out.extend
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                if len(out) == 0:
-                    add(bare(MARK))  # the mark that every text begins with
-                add(bare("\n"))
-            if MARK in line or "  " in line or line[:1] == " " or line[-1:] == " ":
-                line = line.replace(" ", MARK)
-                add(chain.from_iterable(map(bare, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line if k else MARK + line))))
-            elif line:
-                words = line.split(" ")
-                if k:
-                    add(bare(words[0]))
-                    del words[0]
-                add(chain.from_iterable(map(marked, words)))
-        return out
+        cut = next(c for c in map(chr, (*range(9), *range(0xE000, 0xF8FF), *range(0xF0000, 0x10FFFE))) if not any(t and c in t for t in texts))
+        parts = pc.split_pattern(pa.array([self.marked(t, cut) if t else None for t in texts], pa.string()), cut)
+        bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        numbered = pc.dictionary_encode(parts.flatten())
+        found = known.look_up(numbered.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        number = numbered.indices.to_numpy()
+        each, start = size[number], (np.cumsum(size) - size)[number]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(start - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.append(0, ends)[bounds]
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a whole text."""
+        return self.encode_batch([text])[0].tolist()
 
     # -- decoding ---------------------------------------------------------------
     def decode(self, ids: list[int]) -> str:
@@ -140,38 +216,35 @@ class MergeCodec:
         return self.sp.decode(ids)
 
 
-class _Chunks(dict):
-    def __init__(self, codec: MergeCodec, lead: str) -> None:
-        super().__init__()
-        self.codec, self.lead, self.fresh = codec, lead, []
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self.codec.encode_chunk(self.lead + chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            self[chunk] = ids
-        self.fresh.append((chunk, ids))
-        return ids
-
-
-class Known:
-    """Encoded chunks, with a word mark before them or bare, filled on demand; fresh ones wait for the next library check."""
+class Known(dict):
+    """Encoded chunks. What a batch adds is encoded together and checked against the library; a difference is an error."""
 
     def __init__(self, codec: MergeCodec) -> None:
-        self.lib, self.marked, self.bare = codec.sp, _Chunks(codec, MARK), _Chunks(codec, "")
-
-    def checked(self) -> None:
-        """Compare the chunks encoded since the last call with the library; any difference is an error."""
-        lead = len(self.lib.encode("\n"))
-        for part in (self.marked, self.bare):
-            for at in range(0, len(part.fresh), 20_000):
-                some = [x for x in part.fresh[at : at + 20_000] if x[0] != "\n"]
-                texts = ["\n" + (part.lead + c).replace(MARK, " ") for c, _ in some]
-                for (c, own), ids in zip(some, self.lib.encode(texts, num_threads=1)):
-                    if list(own) != ids[lead:]:
-                        raise ValueError(f"agenda and library differ on {c!r}: {own} and {ids[lead:]}")
-            part.fresh = []
-            if len(part) > KEPT:
-                part.clear()
+        super().__init__({"": ()})
+        self.codec = codec
+
+    def look_up(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        found = list(map(self.get, chunks))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(fresh), 50_000):
+            some = fresh[at : at + 50_000]
+            new = [chunks[i] for i in some]
+            for i, c, ids in zip(some, new, self._checked(new, self.codec.encode_chunks(new))):
+                found[i] = ids
+                if len(c) <= CHUNK_CHARS:
+                    self[c] = ids
+        if len(self) > KEPT:
+            self.clear()
+            self[""] = ()
+        return found
+
+    def _checked(self, chunks: list[str], own: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+        lib = self.codec.sp
+        lead = len(lib.encode("\n"))
+        for c, ids, theirs in zip(chunks, own, lib.encode(["\n" + c.replace(MARK, " ") for c in chunks], num_threads=1)):
+            if list(ids) != theirs[lead:]:
+                raise ValueError(f"agenda and library differ on {c!r}: {ids} and {theirs[lead:]}")
+        return own
 
 
 @lru_cache(maxsize=2)
@@ -192,13 +265,12 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, known = loaded(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [codec.encode(t, known) for t in part.column(len(keep)).to_pylist()]
-                known.checked()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())], names=schema.names
-                )
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                ids, bounds = codec.encode_batch(part.column(len(keep)).to_pylist(), known)
+                text_ = [codec.decode(ids[i:j].tolist()) for i, j in zip(bounds, bounds[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(text_, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -214,16 +286,15 @@ def digest_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
         codec, known = loaded(model_file)
         digits, sha = codec.digits, hashlib.sha256
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n, ids_sha, text_sha = [], [], []
-                for t in part.column(len(keep)).to_pylist():
-                    ids = codec.encode(t, known)
-                    n.append(len(ids))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                flat, bounds = codec.encode_batch(part.column(len(keep)).to_pylist(), known)
+                ids_sha, text_sha = [], []
+                for i, j in zip(bounds, bounds[1:]):
+                    ids = flat[i:j].tolist()
                     ids_sha.append(sha(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                     text_sha.append(sha(codec.decode(ids).encode()).hexdigest())
-                known.checked()
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(bounds)), pa.array(ids_sha), pa.array(text_sha)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

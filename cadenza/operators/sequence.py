@@ -71,10 +71,10 @@ def word_span(position: Column, words: Column, frames: Column) -> Column:
 
 def first_overlapping(targets: DataFrame, segments: DataFrame, key: list[str], label: str) -> DataFrame:
     """targets(key, ord, label, from, to) with seg_start and seg_stop of the first segment of that label that overlaps; null if none."""
-    s = segments.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(label).alias("__label"), F.col("start").alias("__s"), F.col("stop").alias("__e"))
-    on = (F.col(label) == F.col("__label")) & (F.col("__s") < F.col("to")) & (F.col("__e") > F.col("from"))
+    s = segments.select(*[F.col(k).alias(f"__seg_{k}") for k in key], F.col(label).alias("__seg_class"), F.col("start").alias("__s"), F.col("stop").alias("__e"))
+    on = (F.col(label) == F.col("__seg_class")) & (F.col("__s") < F.col("to")) & (F.col("__e") > F.col("from"))
     for k in key:
-        on = on & (F.col(k) == F.col(f"__{k}"))
+        on = on & (F.col(k) == F.col(f"__seg_{k}"))
     best = targets.join(s, on, "left").groupBy(*targets.columns).agg(F.min(F.struct("__s", "__e")).alias("__best"))
     return best.select(*targets.columns, F.col("__best.__s").alias("seg_start"), F.col("__best.__e").alias("seg_stop"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import g2p, losses, sequence, stats
+from cadenza.plans import features, g2p, losses, sequence, stats
 
-_MODULES = (stats, sequence, g2p, losses)
+_MODULES = (stats, sequence, g2p, features, losses)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

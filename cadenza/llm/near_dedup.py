@@ -8,10 +8,11 @@
    comes after the latest time of any register (ProbMinHash1: Ertl, 2020). Two nodes agree
    on a register with their probability Jaccard similarity.
 3. Bands of registers are hashed; nodes that share a bucket are candidates. Buckets are not
-   expanded into pairs: all members meet the bucket's most connected one, and only buckets
-   whose members are not one component by then go on: members outside the leading component
-   meet those of other components, by more single leaders first where that would be many pairs.
-   So every pair of a bucket is either compared or already in one component.
+   expanded into pairs: in the first bands all members meet the bucket's most connected one.
+   Then only buckets whose members are not one component by now go on: their most connected
+   member meets those of other components, then single members of the rest do while that is
+   much less than all, then every member outside the leading component meets those of other
+   components. So every pair of a bucket is either compared or already in one component.
 4. Candidates are verified by the exact probability Jaccard of their texts (0.8 or more), and
    verified links are closed into components by label propagation with pointer jumping.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import dropped, table, written
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS = 5, 0.8, 32, 6, 3
 #: Leader rounds before the remaining pairs of open buckets are compared, while these are over PAIRS_PER_MEMBER a bucket entry.
 LEADER_ROUNDS, PAIRS_PER_MEMBER = 4, 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -226,34 +227,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(_signed(plain), "signed")
     nodes = signed.where("NOT blank").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("band"))
+    entries = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(entries.join(shared, "band").select("band", "node", "n"), "members")
+    members = written(entries.join(shared, "band").select("band", "place", "node", "n"), "members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = written(members.join(degree, "node"), "ranked")
+    dropped(spark, members)
     # one text for each node that has company
-    wanted = degree.select("node").join(nodes.select("node", "doc_id"), "node").withColumnsRenamed({"node": "wn", "doc_id": "wd"})
+    wanted = ranked.select("node").distinct().join(nodes.select("node", "doc_id"), "node").withColumnsRenamed({"node": "wn", "doc_id": "wd"})
     texts = plain.withColumn("node", node(F.col("text"))).join(wanted, (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd"))).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
 
     def pair(x, y):  # noqa: ANN001, ANN202
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    leader = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
-    pairs = ranked.join(leader, "band").where("node != leader").select(*pair(F.col("node"), F.col("leader"))).distinct()
+    # a first round over a few bands joins most of a large group, so that the other bands meet few open pairs
+    few = ranked.where(F.col("place") < FIRST_BANDS)
+    leader = few.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
+    pairs = few.join(leader, "band").where("node != leader").select(*pair(F.col("node"), F.col("leader"))).distinct()
     tested = written(_verified(pairs, texts, similarity), "tested")
     round_ = 0
     while True:
         labels = components(tested.where("linked"))
-        placed = ranked.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.label").alias("main"))
+        placed = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.node").alias("lead"), F.col("top.label").alias("main"))
         placed = written(placed.join(lead, "band").withColumn("rest", F.col("label") != F.col("main")), "placed")
         load = placed.groupBy("band").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("r") * F.col("n")).alias("pairs"), F.sum("n").alias("entries")).first()
         if not load["pairs"]:
+            dropped(spark, placed)
             break
-        last = load["pairs"] <= PAIRS_PER_MEMBER * load["entries"] or round_ >= LEADER_ROUNDS
+        last = round_ > 0 and load["pairs"] <= PAIRS_PER_MEMBER * load["entries"] or round_ >= LEADER_ROUNDS
         x = placed.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
-        if not last:
+        if round_ == 0:
+            x = lead.select("band", F.col("lead").alias("x"), F.col("main").alias("lx"))
+        elif not last:
             x = x.groupBy("band").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_)), "x", "lx")).alias("m")).select("band", "m.x", "m.lx")
         pairs = x.join(placed.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y"))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -265,6 +272,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if last:
             labels = components(tested.where("linked"))
             break
+    for old in (ranked, texts, tested, nodes):
+        dropped(spark, old)
     found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = found.where("NOT blank").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     found = found.join(classes.withColumnRenamed("label", "cl"), (F.col("label") == F.col("cl")) & ~F.col("blank"), "left")

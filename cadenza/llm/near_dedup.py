@@ -36,7 +36,7 @@ from cadenza.llm.common import dropped, table, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS = 5, 0.8, 32, 6, 3
 #: Leader rounds before the remaining pairs of open buckets are compared, while these are over PAIRS_PER_MEMBER a bucket entry.
-LEADER_ROUNDS, PAIRS_PER_MEMBER = 4, 2
+LEADER_ROUNDS, PAIRS_PER_MEMBER = 3, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,8 +202,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.mapInArrow(run, "a binary, b binary, similarity double").withColumn("linked", F.col("similarity") >= similarity)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) for all nodes of edges(a, b)."""
+def components(edges: DataFrame, complete: bool = True) -> DataFrame:
+    """node, label (the smallest node of its component) for all nodes of edges(a, b).
+
+    Not complete: one step only; nodes of one label are connected then, but a component may have several labels.
+    """
     spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
@@ -212,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(step.join(jump, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        moved = new.where("label != old").limit(1).count()
+        moved = complete and new.where("label != old").limit(1).count()
         dropped(spark, labels)
         labels = new.select("node", "label")
         if not moved:
@@ -248,7 +251,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tested = written(_verified(pairs, texts, similarity), "tested")
     round_ = 0
     while True:
-        labels = components(tested.where("linked"))
+        labels = components(tested.where("linked"), complete=False)
         placed = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.node").alias("lead"), F.col("top.label").alias("main"))
         placed = written(placed.join(lead, "band").withColumn("rest", F.col("label") != F.col("main")), "placed")
@@ -264,14 +267,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             x = x.groupBy("band").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_)), "x", "lx")).alias("m")).select("band", "m.x", "m.lx")
         pairs = x.join(placed.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y"))).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(_verified(pairs, texts, similarity), "tested")
-        grown = written(tested.union(more), "tested")
-        for old in (tested, more, placed):
-            dropped(spark, old)
-        tested, round_ = grown, round_ + 1
+        tested, round_ = tested.union(written(_verified(pairs, texts, similarity), "tested")), round_ + 1
+        dropped(spark, placed)
+        dropped(spark, labels)
         if last:
-            labels = components(tested.where("linked"))
             break
+    labels = components(tested.where("linked"))
     for old in (ranked, texts, tested, nodes):
         dropped(spark, old)
     found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import table
 
-TEMPLATE_PAGES, SALTS, HOSTS_HELD = 3, 32, 2000
+TEMPLATE_PAGES, SALTS, JOIN_SALTS, HOSTS_HELD = 3, 32, 64, 2000
 
 # HTML's element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,8 +321,10 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url
     wrappers = infer_wrappers(pages, url, html) if wrappers is None else wrappers
     keep = [c for c in pages.columns if c != html]
     w = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("pages").alias("__pages"))
-    # the large side is split by AQE where a host is hot; the other has one row for each host
-    joined = pages.withColumn("__h", _host(F.col(url))).join(w, F.col("__h") == F.col("__host"), "left").select(*keep, F.col(html).alias("__html"), "__wrapper", "__pages")
+    # a hot host's pages meet one of JOIN_SALTS copies of its one wrapper, so that they don't gather in a task
+    w = w.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    salted = pages.withColumns({"__h": _host(F.col(url)), "__p": F.pmod(F.xxhash64(*pages.columns), F.lit(JOIN_SALTS))})
+    joined = salted.join(w, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__s")), "left").select(*keep, F.col(html).alias("__html"), "__wrapper", "__pages")
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, out: tuple[str, ...], *used: str) -> list[str]:
+    """Columns that an operator carries along: all but the used ones and those that its results replace."""
+    return [c for c in df.columns if c not in used and c.lower() not in out]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

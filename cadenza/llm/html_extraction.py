@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 TEMPLATE_PAGES, SALTS, JOIN_SALTS, HOSTS_HELD = 3, 32, 64, 2000
 
@@ -319,7 +319,7 @@ def template_of(wrapper: str | None, pages: int | None) -> frozenset[str]:
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """pages without html, plus text (string) and n_chars (long)."""
     wrappers = infer_wrappers(pages, url, html) if wrappers is None else wrappers
-    keep = [c for c in pages.columns if c != html]
+    keep = carried(pages, ("text", "n_chars"), html)
     w = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("pages").alias("__pages"))
     # a hot host's pages meet one of JOIN_SALTS copies of its one wrapper, so that they don't gather in a task
     w = w.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))

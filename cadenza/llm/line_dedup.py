@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 WINDOW = 3
 
@@ -56,6 +56,7 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cleaned, plus n_lines, n_removed (int) and the removed line numbers (from 0)."""
+    docs = docs.select(*carried(docs, ("n_lines", "n_removed", "removed_lines")))
     windows = line_windows(docs, doc_id, text)
     first = (
         windows.groupBy("__k1", "__k2")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 WIDTH, LEVEL, SIDE, LOW = 192, 6, 32, 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -174,7 +174,7 @@ def cosine_hash(image: np.ndarray) -> bytes:
 
 def encode_media(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """docs[keep] plus n_bytes (long) and png (binary)."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = carried(docs, ("n_bytes", "png"), text) if keep is None else keep
     source = docs.select(*keep, docs[text].alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("png", T.BinaryType())])
 
@@ -192,9 +192,9 @@ def encode_media(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 def decode_media(media: DataFrame, png: str = "png", keep: list[str] | None = None) -> DataFrame:
     """media[keep] plus media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, cosine_hash (binary) and error."""
-    keep = [c for c in media.columns if c != png] if keep is None else keep
-    source = media.select(*keep, media[png].alias("__png"))
     kinds = {"media_bytes": T.LongType(), "media_sha256": T.StringType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "cosine_hash": T.BinaryType(), "error": T.StringType()}
+    keep = carried(media, tuple(kinds), png) if keep is None else keep
+    source = media.select(*keep, media[png].alias("__png"))
     schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(k, v) for k, v in kinds.items()]])
     arrow = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 

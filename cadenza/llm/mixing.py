@@ -20,7 +20,8 @@ a source follows its words up to 32,768, from where on shards grow instead.
 
 Defined results: null text has size 0 and takes 0; null sources form one source, the
 last; rows with equal doc_id are separate documents that share a place in the order
-(ties by size); a table without words takes nothing. Names of other columns play no part.
+(ties by size); a table without words takes nothing. Other columns are carried along,
+but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 BLOCK_WORDS = 8
 SHARD_WORDS = 4096
@@ -104,6 +105,7 @@ def mix(
     seed: int = SEED,
 ) -> DataFrame:
     """docs plus size, source_size (long), target (double) and taken (long)."""
+    docs = docs.select(*carried(docs, ("size", "source_size", "target", "taken")))
     d = docs.withColumns(
         {
             "__size": word_count(F.col(text)),

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 MARK = "▁"
 #: Chunks of at most SHORT symbols keep their agenda in a list; longer ones use a heap. KEPT: chunks that a worker
@@ -258,7 +258,7 @@ def loaded(model_file: str) -> tuple[MergeCodec, Known]:
 
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs[keep] plus ids array<int> and decoded string."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = carried(docs, ("ids", "decoded"), text) if keep is None else keep
     source = docs.select(*keep, docs[text].alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
@@ -277,7 +277,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
 
 def digest_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """encode_documents reduced to n_tokens, ids_sha256 and decoded_sha256 inside the same task."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = carried(docs, ("n_tokens", "ids_sha256", "decoded_sha256"), text) if keep is None else keep
     source = docs.select(*keep, docs[text].alias("__text"))
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType([*[source.schema[c] for c in keep], *extra])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 LIMIT = 512
 #: CHUNK: characters of a chunk whose state maps compose. STATES, WORDS: most states and whole pre-tokens that a task remembers.
@@ -298,7 +298,7 @@ def compiled(tokenizer_json: str) -> TokenCounter:
 
 def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", limit: int = LIMIT, keep: list[str] | None = None) -> DataFrame:
     """docs[keep] plus n_bytes, n_tokens (long) and over_limit (boolean)."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = carried(docs, ("n_bytes", "n_tokens", "over_limit"), text) if keep is None else keep
     source = docs.select(*keep, docs[text].alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import table
+from cadenza.llm.common import carried, table
 
 SIZES, BITS = (2, 3, 4, 5), 18
 TRAIN_ROWS, SEED, ROUNDS, RATE, POSITIVE_WEIGHT, RIDGE, LEAST_RATIO = 6000, 11, 120, 0.08, 4.0, 1e-6, 0.7
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs[keep] plus score (double, 0 to 1)."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = carried(docs, ("score",), text) if keep is None else keep
     at, k = (keep.index(text) if text in keep else len(keep)), len(keep)
     source = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())])

@@ -129,7 +129,12 @@ class Salvage:
             raise Bad("no version line")
         if end < 0:
             raise Bad("the header does not end")
+        if not all(re.match(rb"[!-9;-~]+:|[ \t]", x) for x in data[at:end].split(b"\r\n")[1:]):
+            raise Bad("a header line is broken")
         head = dict(re.findall(r"(?m)^([A-Za-z-]+): ?(.*?)\r?$", data[at : end + 2].decode("utf-8", "replace")))
+        names = re.findall(rb"(?m)^([!-9;-~]+):", data[at:end].lower())
+        if len(names) - names.count(b"warc-concurrent-to") != len(set(names) - {b"warc-concurrent-to"}) or re.search(rb"WARC/1\.", data[at + 5 : end]):
+            raise Bad("the header runs into another one")
         length = head.get("Content-Length", "")
         if not re.fullmatch(r"[0-9]+", length):
             raise Bad("no Content-Length")
@@ -146,6 +151,8 @@ class Salvage:
             raise Bad("not a response or revisit record")
         if kind == "response" and (len(payload) != int(declared[1]) or hashlib.sha256(payload).hexdigest() != digest):
             raise Bad("payload digest")
+        if not re.fullmatch(r"<[!-;=?-~]+>", head.get("WARC-Record-ID", "")):
+            raise Bad("record id")
         number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", head.get(k, ""))) else None
         return {
             "page_id": number("WARC-Record-ID"), "url": re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), head.get("WARC-Target-URI", "")), "record_type": kind, "refers_to": number("WARC-Refers-To"),

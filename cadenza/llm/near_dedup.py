@@ -36,7 +36,7 @@ from cadenza.llm.common import dropped, table, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS = 5, 0.8, 32, 6, 3
 #: Leader rounds before the remaining pairs of open buckets are compared, while these are over PAIRS_PER_MEMBER a bucket entry.
-LEADER_ROUNDS, PAIRS_PER_MEMBER = 3, 4
+LEADER_ROUNDS, PAIRS_PER_MEMBER = 3, 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,14 +202,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.mapInArrow(run, "a binary, b binary, similarity double").withColumn("linked", F.col("similarity") >= similarity)
 
 
-def components(edges: DataFrame, complete: bool = True) -> DataFrame:
+def components(edges: DataFrame, complete: bool = True, start: DataFrame | None = None) -> DataFrame:
     """node, label (the smallest node of its component) for all nodes of edges(a, b).
 
     Not complete: one step only; nodes of one label are connected then, but a component may have several labels.
+    start: labels (node, label) of such a step, over some of the edges.
     """
     spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    if start is not None:
+        labels = labels.join(start.withColumnRenamed("label", "known"), "node", "left").select("node", F.least("label", "known").alias("label"))
+    labels = written(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -259,9 +263,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not load["pairs"]:
             dropped(spark, placed)
             break
-        last = round_ > 0 and load["pairs"] <= PAIRS_PER_MEMBER * load["entries"] or round_ >= LEADER_ROUNDS
+        last = load["pairs"] <= PAIRS_PER_MEMBER * load["entries"] or round_ >= LEADER_ROUNDS
         x = placed.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
-        if round_ == 0:
+        if round_ == 0 and not last:
             x = lead.select("band", F.col("lead").alias("x"), F.col("main").alias("lx"))
         elif not last:
             x = x.groupBy("band").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_)), "x", "lx")).alias("m")).select("band", "m.x", "m.lx")
@@ -269,10 +273,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested, round_ = tested.union(written(_verified(pairs, texts, similarity), "tested")), round_ + 1
         dropped(spark, placed)
-        dropped(spark, labels)
         if last:
             break
-    labels = components(tested.where("linked"))
+    labels = components(tested.where("linked"), start=labels)
     for old in (ranked, texts, tested, nodes):
         dropped(spark, old)
     found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

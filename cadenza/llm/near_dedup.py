@@ -7,12 +7,15 @@
    random, the earliest of a register wins it, and a shingle stops once its next arrival
    comes after the latest time of any register (ProbMinHash1: Ertl, 2020). Two nodes agree
    on a register with their probability Jaccard similarity.
-3. Bands of registers are hashed; nodes that share a bucket are candidates. Buckets are not
-   expanded into pairs: in the first bands all members meet the bucket's most connected one.
-   Then only buckets whose members are not one component by now go on: their most connected
-   member meets those of other components, then single members of the rest do while that is
-   much less than all, then every member outside the leading component meets those of other
-   components. So every pair of a bucket is either compared or already in one component.
+3. Bands of registers are hashed; nodes that share a bucket are candidates. In the first
+   bands all members of a bucket meet its most connected one, which joins most of a large
+   group. Then only buckets whose members are not one component by now go on, and every pair
+   of their members from different components is compared, except pairs inside the bucket's
+   leading component. Small buckets are expanded into pairs. Larger ones are cut into blocks
+   of bounded rows and characters; two blocks meet in a cell, which compares all its pairs in
+   matrix form, each pair in its first common band only, and returns links that join
+   something. So a group of many alike, but unlinked texts costs rows per pair of blocks, not
+   per pair of texts.
 4. Candidates are verified by the exact probability Jaccard of their texts (0.8 or more), and
    verified links are closed into components by label propagation with pointer jumping.
 
@@ -35,8 +38,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import dropped, table, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS = 5, 0.8, 32, 6, 3
-#: Leader rounds before the remaining pairs of open buckets are compared, while these are over PAIRS_PER_MEMBER a bucket entry.
-LEADER_ROUNDS, PAIRS_PER_MEMBER = 3, 3
+#: Buckets of up to so many nodes are expanded into pairs; larger ones are cut into blocks of up to so many nodes and characters.
+PAIRWISE, BLOCK_ROWS, BLOCK_CHARS = 16, 512, 2_000_000
+#: Columns of the dense pieces in which a cell counts common shingles.
+PIECE = 8192
+#: Rounding allowed for in sums that are compared with the similarity.
+ROUNDING = 1e-9
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,7 +170,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 # -- Spark ---------------------------------------------------------------------------
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (binary), blank, bands array<long> of docs(doc_id, text)."""
+    """doc_id, node (binary), blank, bands array<long> and chars of docs(doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +182,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                 place = {n: i for i, n in enumerate(once)}
                 keys = band_keys(signatures([shingles(t) for t in once.values()])).tolist() if once else []
                 bands = [keys[place[n]] if n in place else None for n in nodes]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b is None for b in bands]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "blank", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b is None for b in bands]), pa.array(bands, pa.list_(pa.int64())), pa.array([len(t or "") for t in texts], pa.int64())], names=["doc_id", "node", "blank", "bands", "chars"])
 
-    return docs.select("doc_id", node(F.col("text")).alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, blank boolean, bands array<long>")
+    return docs.select("doc_id", node(F.col("text")).alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, blank boolean, bands array<long>, chars long")
 
 
 def node(text):  # noqa: ANN001, ANN201
@@ -199,7 +206,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a binary, b binary, similarity double").withColumn("linked", F.col("similarity") >= similarity)
+    return joined.mapInArrow(run, "a binary, b binary, similarity double").withColumn("linked", F.col("similarity") >= similarity - ROUNDING)
+
+
+def _common(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the common shingles for all pairs of left and right: by the left one's weights, by the right one's."""
+    ids = np.concatenate([d[0] for d in left + right])
+    weight = np.concatenate([d[1] for d in left + right])
+    of = np.repeat(np.arange(len(left) + len(right)), [len(d[0]) for d in left + right])
+    order = np.argsort(ids, kind="stable")
+    ids, weight, of = ids[order], weight[order], of[order]
+    new = np.append(True, ids[1:] != ids[:-1])
+    again = ~(new & np.append(new[1:], True))  # shingles of one text only are common to no pair
+    column, weight, of = np.cumsum(new[again]) - 1, weight[again], of[again]
+    x = np.zeros((len(left), len(right)), np.float32)
+    y = x.copy() if (weight != 1).any() else x
+    ends = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + PIECE, PIECE))
+    for lo, hi in zip(ends, ends[1:]):
+        dense = np.zeros((len(left) + len(right), PIECE), np.float32)
+        dense[of[lo:hi], column[lo:hi] % PIECE] = weight[lo:hi]
+        a, b = dense[: len(left)], dense[len(left) :]
+        x += a @ (b > 0).astype(np.float32).T
+        if y is not x:
+            y += (a > 0).astype(np.float32) @ b.T
+    return x, y
+
+
+def cell_links(place: int, within: bool, label: np.ndarray, bands: np.ndarray, first: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a cell's members that are similar and join different labels, without those that close a circle.
+
+    first marks the members of the cell's first block; a pair counts in the first place where its bands agree.
+    """
+    left, right = np.flatnonzero(first), np.flatnonzero(first if within else ~first)
+    asked = label[left][:, None] != label[right][None, :]
+    if within:
+        asked &= left[:, None] < right[None, :]
+    for p in range(place):
+        asked &= bands[left, p][:, None] != bands[right, p][None, :]
+    left, asked = left[asked.any(axis=1)], asked[asked.any(axis=1)]
+    right, asked = right[asked.any(axis=0)], asked[:, asked.any(axis=0)]
+    if not asked.size:
+        return []
+    known = {i: shingles(texts[i]) for i in {*left.tolist(), *right.tolist()}}
+    lefts, rights = [known[i] for i in left.tolist()], [known[i] for i in right.tolist()]
+    x, y = _common(lefts, rights)
+    total_x, total_y = np.array([d[1].sum() for d in lefts])[:, None], np.array([d[1].sum() for d in rights])[None, :]
+    flat_x, flat_y = np.array([(d[1] == 1).all() for d in lefts]), np.array([(d[1] == 1).all() for d in rights])
+    # the common share of either text bounds the similarity; without repeated shingles it is the plain Jaccard similarity
+    asked &= np.minimum(x / total_x, y / total_y) >= similarity - ROUNDING
+    flat = flat_x[:, None] & flat_y[None, :]
+    linked = asked & flat & (x / (total_x + total_y - x) >= similarity - ROUNDING)
+    for i, j in np.argwhere(asked & ~flat).tolist():
+        linked[i, j] = probability_jaccard(lefts[i], rights[j]) >= similarity - ROUNDING
+    up = list(range(int(label.max()) + 1))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        a, b = top(label[left[i]]), top(label[right[j]])
+        if a != b:
+            up[a] = b
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def _block_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of the large buckets in placed(band, place, node, label, rest, n, chars)."""
+    open_ = placed.groupBy("band").agg(F.sum(F.col("rest").cast("long")).alias("r")).withColumnRenamed("band", "ob")
+    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_CHARS) * F.col("n") / F.greatest(F.col("chars"), F.lit(1)))))
+    cut = placed.join(open_, F.col("band") == F.col("ob")).withColumn("per", per).withColumn("kr", F.ceil(F.col("r") / F.col("per")).cast("int")).withColumn("km", F.ceil((F.col("n") - F.col("r")) / F.col("per")).cast("int"))
+    spread = F.xxhash64("node", "place")
+    cut = cut.withColumn("block", F.when(F.col("rest"), F.pmod(spread, F.col("kr"))).otherwise(F.col("kr") + F.pmod(spread, F.greatest(F.col("km"), F.lit(1)))).cast("int"))
+    last = F.when(F.col("rest"), F.col("kr") + F.col("km") - 1).otherwise(F.col("kr") - 1)
+    cells = cut.select("band", "place", "node", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = cells.join(texts, "node").join(nodes.select("node", "bands"), "node")
+    cells = cells.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "place", "node", "label", "block", "bands", "text")
+
+    def run(cell: pa.Table) -> pa.Table:
+        lo, hi, place = (cell.column(c)[0].as_py() for c in ("lo", "hi", "place"))
+        label = np.unique(np.array([v.hex() for v in cell.column("label").to_pylist()]), return_inverse=True)[1]
+        bands = np.array(cell.column("bands").to_pylist(), np.int64)
+        nodes = cell.column("node").to_pylist()
+        found = cell_links(place, lo == hi, label, bands, cell.column("block").to_numpy() == lo, cell.column("text").to_pylist(), similarity)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return cells.groupBy("band", "lo", "hi").applyInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame, complete: bool = True, start: DataFrame | None = None) -> DataFrame:
@@ -232,11 +327,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(_signed(plain), "signed")
-    nodes = signed.where("NOT blank").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.bands").alias("bands"))
+    nodes = signed.where("NOT blank").groupBy("node").agg(F.min(F.struct("doc_id", "bands", "chars")).alias("r")).select("node", "r.doc_id", "r.bands", "r.chars")
     nodes = written(nodes, "nodes")
-    entries = nodes.select("node", F.posexplode("bands").alias("place", "band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(entries.join(shared, "band").select("band", "place", "node", "n"), "members")
+    entries = nodes.select("node", "chars", F.posexplode("bands").alias("place", "band"))
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    members = written(entries.drop("chars").join(shared, "band").select("band", "place", "node", "n", "chars"), "members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = written(members.join(degree, "node"), "ranked")
     dropped(spark, members)
@@ -253,30 +348,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leader = few.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
     pairs = few.join(leader, "band").where("node != leader").select(*pair(F.col("node"), F.col("leader"))).distinct()
     tested = written(_verified(pairs, texts, similarity), "tested")
-    round_ = 0
-    while True:
-        labels = components(tested.where("linked"), complete=False)
-        placed = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.node").alias("lead"), F.col("top.label").alias("main"))
-        placed = written(placed.join(lead, "band").withColumn("rest", F.col("label") != F.col("main")), "placed")
-        load = placed.groupBy("band").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("r") * F.col("n")).alias("pairs"), F.sum("n").alias("entries")).first()
-        if not load["pairs"]:
-            dropped(spark, placed)
-            break
-        last = load["pairs"] <= PAIRS_PER_MEMBER * load["entries"] or round_ >= LEADER_ROUNDS
-        x = placed.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
-        if round_ == 0 and not last:
-            x = lead.select("band", F.col("lead").alias("x"), F.col("main").alias("lx"))
-        elif not last:
-            x = x.groupBy("band").agg(F.min(F.struct(F.xxhash64("x", F.lit(round_)), "x", "lx")).alias("m")).select("band", "m.x", "m.lx")
-        pairs = x.join(placed.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y"))).distinct()
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested, round_ = tested.union(written(_verified(pairs, texts, similarity), "tested")), round_ + 1
-        dropped(spark, placed)
-        if last:
-            break
-    labels = components(tested.where("linked"), start=labels)
-    for old in (ranked, texts, tested, nodes):
+    labels = components(tested.where("linked"), complete=False)
+    placed = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.label").alias("main"))
+    placed = written(placed.join(lead, "band").withColumn("rest", F.col("label") != F.col("main")), "placed")
+    small = placed.where(F.col("n") <= PAIRWISE)
+    x = small.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
+    pairs = x.join(small.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y"))).distinct()
+    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = tested.where("linked").select("a", "b").union(_verified(pairs, texts, similarity).where("linked").select("a", "b"))
+    links = written(links.union(_block_links(placed.where(F.col("n") > PAIRWISE), nodes, texts, similarity)), "links")
+    dropped(spark, placed)
+    labels = components(links, start=labels)
+    for old in (ranked, texts, tested, links, nodes):
         dropped(spark, old)
     found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = found.where("NOT blank").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

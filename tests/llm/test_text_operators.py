@@ -249,5 +249,30 @@ def test_near_dedup_keeps_links_in_crowded_buckets(spark, monkeypatch):
             w[(7 * k) % 40] = f"e{rnd.random()}"
             texts[len(texts)] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(near_dedup, "_signed", lambda d: d.selectExpr("doc_id", "unhex(md5(text)) node", "false blank", "array(1L, 2L) bands"))
+    monkeypatch.setattr(near_dedup, "_signed", lambda d: d.selectExpr("doc_id", "unhex(md5(text)) node", "false blank", "array(1L, 2L) bands", "length(text) chars"))
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(texts)
+    # the same with several blocks a bucket, and shingles counted in several pieces
+    monkeypatch.setattr(near_dedup, "PAIRWISE", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "PIECE", 16)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(texts)
+
+
+def test_cell_links_join_what_brute_force_joins():
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base) * (1 + (i % 5 == 0)) for i in range(30)]
+    sh = [near_dedup.shingles(t) for t in texts]
+    links = {(i, j) for i in range(30) for j in range(i + 1, 30) if near_dedup.probability_jaccard(sh[i], sh[j]) >= 0.8}
+    got = near_dedup.cell_links(0, True, np.arange(30), np.zeros((30, 2), np.int64), np.ones(30, bool), texts, 0.8)
+    assert links and set(got) <= links
+
+    def classes(pairs):
+        of = list(range(30))
+        for i, j in pairs:
+            of = [of[i] if x == of[j] else x for x in of]
+        return [of.index(x) for x in of]
+
+    assert classes(got) == classes(links)
+    # pairs whose bands agree in an earlier place belong to that place's cell
+    assert near_dedup.cell_links(1, True, np.arange(30), np.zeros((30, 2), np.int64), np.ones(30, bool), texts, 0.8) == []

@@ -9,11 +9,13 @@ neighbours with the same key and repeating groups of items become repeated, text
 differ become slots. Every task folds its pages of a host into one wrapper; these meet
 by host, in two steps with a salt, so that no task sees more than a few for a hot host.
 
-A page's text is what fills the wrapper's content part: the outermost article elements
-(without them, main; without that, the body), less menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, told by element, role and
-class words. On pages without article or main, texts of the host's wrapper that never
-change over at least TEMPLATE_PAGES different pages are dropped as well.
+Every page is then aligned with its host's wrapper, place by place, and its text is what
+fills the variable slots and the repeated items and groups of the content part. A text
+that never changes at its place, outside of repeated items, over at least TEMPLATE_PAGES
+different pages is the host's template and goes. Tags choose the content part: the
+outermost article elements (without them, main; without that, the body), less menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
+told by element, role and class words.
 
 Defined results: null or empty html has empty text; pages without url share one host;
 cut-off pages, unclosed elements and stray "<" are read as browsers do (a paragraph ends
@@ -55,15 +57,16 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<(?![a-zA-Z/!?])|</(?![a-zA-Z])|[^<]+", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
     """An element, or a text if children is None."""
 
-    __slots__ = ("name", "key", "chrome", "children", "text")
+    __slots__ = ("name", "key", "chrome", "children", "text", "fixed")
 
     def __init__(self, name: str, key: str, chrome: bool, children: list | None, text: str = "") -> None:
-        self.name, self.key, self.chrome, self.children, self.text = name, key, chrome, children, text
+        self.name, self.key, self.chrome, self.children, self.text, self.fixed = name, key, chrome, children, text, False
 
 
 def parse(html: str) -> Node:
@@ -102,7 +105,7 @@ def parse(html: str) -> Node:
                 elif k in ("class", "id"):
                     words = (*words, *_WORD.findall(value))
                     if k == "class":
-                        key = f"{name}.{'.'.join(value.split())}"
+                        key = f"{name}.{'.'.join(_DIGITS.sub('0', value).split())}"  # post-17 and post-18 are one place
                 else:
                     hidden = hidden or k == "hidden" or value == "true"
         chrome = name in DROPPED or hidden or role in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words) and name not in ("html", "body", "article", "main")
@@ -148,16 +151,15 @@ def _text_key(text: str) -> str:
 
 def expression(node: Node) -> list:
     """A page's own expression: every subtree an item, repeats folded. Without scripts and the like."""
-    below = []
-    for c in node.children:
-        if c.children is None:
-            if c.text.strip():
-                below.append(["#", "1", [], _text_key(c.text)])
-        elif c.name not in RAW and c.name != "head":
-            below.append(expression(c))
+    below = [["#", "1", [], _text_key(c.text)] if c.children is None else expression(c) for c in _placed(node)]
     return [node.key, "1", fold(below), None]
 
 
+def _placed(node: Node) -> list[Node]:
+    """Children that have a place in expressions."""
+    return [c for c in node.children if (c.text.strip() if c.children is None else c.name not in RAW and c.name != "head")]
+
+
 _EITHER = {"11": "1", "1?": "?", "1+": "+", "1*": "*", "??": "?", "?+": "*", "?*": "*", "++": "+", "+*": "*", "**": "*"}
 
 
@@ -210,12 +212,82 @@ def fold(items: list[list]) -> list[list]:
     return out
 
 
-def fixed_texts(items: list[list]) -> Iterator[str]:
-    """Keys of texts that never change."""
-    for key, _, below, text in items:
-        if key == "#" and text:
-            yield text
-        yield from fixed_texts(below)
+class Places:
+    """Items below one wrapper item as an automaton over keys, to align a page's children with them."""
+
+    def __init__(self, items: list[list]) -> None:
+        self.empty: list[list[int]] = []  # moves without a child, by state
+        self.takes: dict[int, tuple[str, str | None, Places | None, int]] = {}  # state: key, unchanging text, places below if any text is fixed there, next state
+        self.known: dict[int, dict[str, list[int]]] = {}
+        self.start = self._state()
+        self.end = self._add(items, self.start, False)
+        self.fixed = any(t[1] or t[2] for t in self.takes.values())
+
+    def _state(self) -> int:
+        self.empty.append([])
+        return len(self.empty) - 1
+
+    def _add(self, items: list[list], at: int, repeated: bool) -> int:
+        for key, quantifier, below, text in items:
+            a, end = self._state(), self._state()
+            many = repeated or quantifier in "+*"
+            if key == "()":
+                b = self._add(below, a, many)
+            else:
+                b = self._state()
+                inner = None if many or not below else Places(below)  # what is repeated is content
+                self.takes[a] = (key, None if many or key != "#" else text, inner if inner and inner.fixed else None, b)
+            self.empty[at].append(a)
+            self.empty[b].append(end)
+            if quantifier in "+*":
+                self.empty[b].append(a)
+            if quantifier in "?*":
+                self.empty[at].append(end)
+            at = end
+        return at
+
+    def _next(self, state: int) -> dict[str, list[int]]:
+        """Taking states that can come next, by key; -1 under "" if the items can end here."""
+        found = self.known.get(state)
+        if found is None:
+            found, todo, seen = {}, [state], {state}
+            while todo:
+                x = todo.pop()
+                if x in self.takes:
+                    found.setdefault(self.takes[x][0], []).append(x)
+                if x == self.end:
+                    found[""] = [-1]
+                for y in reversed(self.empty[x]):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            self.known[state] = found
+        return found
+
+    def mark(self, node: Node) -> None:
+        """Set fixed at the texts below node that stand unchanged at their place. A child that fits no place stays content."""
+        children, now, trail = _placed(node), {self.start: None}, []
+        for c in children:
+            step: dict[int, int] = {}
+            for state in now:
+                for x in self._next(state).get(c.key, ()):
+                    step.setdefault(x, state)
+            trail.append(step)
+            if step:
+                now = {}
+                for x in step:
+                    now.setdefault(self.takes[x][3], x)
+        done = next((x for x in now if "" in self._next(x)), next(iter(now)))
+        for c, step in zip(reversed(children), reversed(trail)):
+            if not step:
+                continue
+            x = next(x for x in step if self.takes[x][3] == done)
+            _, text, below, _ = self.takes[x]
+            if text and text == _text_key(c.text):
+                c.fixed = True
+            elif below:
+                below.mark(c)
+            done = step[x]
 
 
 # -- extraction ---------------------------------------------------------------------
@@ -227,21 +299,21 @@ def _regions(node: Node, name: str) -> list[Node]:
     return found
 
 
-def main_text(html: str | None, template: frozenset[str] = frozenset()) -> str:
-    """Main text of a page. template: keys of unchanging texts, for pages without article and main."""
+def main_text(html: str | None, wrapper: Places | None = None) -> str:
+    """Main text of a page, less the texts that its host's wrapper (from the root on) has as unchanging."""
     root = parse(html or "")
-    regions, dropped = _regions(root, "article"), frozenset()
-    if not regions:
-        regions = _regions(root, "main")
+    if wrapper is not None:
+        wrapper.mark(Node("", "", False, [root]))
+    regions = _regions(root, "article") or _regions(root, "main")
     whole = not regions
     if whole:
-        regions, dropped = [root], template
+        regions = [root]
     blocks: list[list[str]] = [[]]
 
     def walk(node: Node) -> None:
         for c in node.children:
             if c.children is None:
-                if not dropped or _text_key(c.text) not in dropped:
+                if not c.fixed:
                     blocks[-1].append(c.text)
             elif c.chrome or whole and c.name == "header":
                 blocks[-1].append(" ")
@@ -308,12 +380,14 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
 
 @lru_cache(maxsize=512)
-def _template(wrapper: str) -> frozenset[str]:
-    return frozenset(fixed_texts(json.loads(wrapper)))
+def _places(wrapper: str) -> Places | None:
+    places = Places(json.loads(wrapper))
+    return places if places.fixed else None
 
 
-def template_of(wrapper: str | None, pages: int | None) -> frozenset[str]:
-    return _template(wrapper) if wrapper and (pages or 0) >= TEMPLATE_PAGES else frozenset()
+def places_of(wrapper: str | None, pages: int | None) -> Places | None:
+    """A host's wrapper to align its pages with; None if it has nothing that never changes."""
+    return _places(wrapper) if wrapper and (pages or 0) >= TEMPLATE_PAGES else None
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -330,7 +404,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = len(keep)
-            texts = [main_text(h, template_of(w, n)) for h, w, n in zip(*(batch.column(k + i).to_pylist() for i in range(3)))]
+            texts = [main_text(h, places_of(w, n)) for h, w, n in zip(*(batch.column(k + i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

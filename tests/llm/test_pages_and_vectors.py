@@ -47,6 +47,17 @@ def test_wrappers_are_union_free_and_find_templates(spark):
     assert html_extraction.fold([[k, "1", [], None] for k in ("h2", "p", "h2", "p", "h2", "p")])[0][:2] == ["()", "+"]
 
 
+def _texts(spark, htmls, parts=1):
+    df = spark.createDataFrame([(i, "http://a.example/" + str(i), h) for i, h in enumerate(htmls)], "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+
+
+def test_wrappers_decide_inside_article(spark):
+    page = "<body><article class='post-{0}'><h1>Title {0}</h1><div class='by'>Written by <b>author {0}</b></div><p>text {0}</p><p>Same</p><section>All rights reserved</section></article></body>"
+    got = _texts(spark, [page.format(i) for i in range(4)])
+    assert got == {i: f"Title {i}\nauthor {i}\ntext {i}\nSame" for i in range(4)}  # a repeated item stays, also with a text that repeats
+
+
 def test_warc_round_trip(pages, spark):
     got = warc.read_archives(warc.write_archives(pages.repartition(2), archive_bytes=4000)).collect()
     assert not [r for r in got if r.gap_reason] and len(got) == 14

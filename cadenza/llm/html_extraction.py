@@ -11,8 +11,8 @@ by host, in two steps with a salt, so that no task sees more than a few for a ho
 
 Every page is then aligned with its host's wrapper, place by place, and its text is what
 fills the variable slots and the repeated items and groups of the content part. A text
-that never changes at its place, outside of repeated items, over at least TEMPLATE_PAGES
-different pages is the host's template and goes. Tags choose the content part: the
+that never changes at its place, outside of repeated items, and stands there on at least
+TEMPLATE_PAGES different pages is the host's template and goes. Tags choose the content part: the
 outermost article elements (without them, main; without that, the body), less menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
 told by element, role and class words.
@@ -144,14 +144,14 @@ def _end_open(stack: list[Node], name: str) -> None:
             del stack[cut:]
 
 
-# -- wrappers: items are [key, quantifier, items below, unchanging text or None] ----
+# -- wrappers: items are [key, quantifier, items below, [unchanging text, pages it stands on] or None] ----
 def _text_key(text: str) -> str:
     return hashlib.md5(" ".join(text.split()).encode("utf-8", "surrogatepass")).hexdigest()[:12]
 
 
 def expression(node: Node) -> list:
     """A page's own expression: every subtree an item, repeats folded. Without scripts and the like."""
-    below = [["#", "1", [], _text_key(c.text)] if c.children is None else expression(c) for c in _placed(node)]
+    below = [["#", "1", [], [_text_key(c.text), 1]] if c.children is None else expression(c) for c in _placed(node)]
     return [node.key, "1", fold(below), None]
 
 
@@ -171,19 +171,27 @@ def _optional(item: list) -> list:
     return [item[0], {"1": "?", "+": "*"}.get(item[1], item[1]), item[2], item[3]]
 
 
-def merge_items(a: list, b: list) -> list:
+def _unchanged(a: list | None, b: list | None, apart: bool) -> list | None:
+    """Text and count of two items. apart: they are of different pages; else of the same ones, or nobody knows."""
+    if a is None or b is None or a[0] != b[0]:
+        return None
+    return [a[0], a[1] + b[1] if apart else max(a[1], b[1])]
+
+
+def merge_items(a: list, b: list, apart: bool = True) -> list:
     """One item that matches what either of two items with the same key matches."""
-    return [a[0], _quantifier(a[1], b[1]), merge(a[2], b[2]), a[3] if a[3] == b[3] else None]
+    return [a[0], _quantifier(a[1], b[1]), merge(a[2], b[2], apart), _unchanged(a[3], b[3], apart)]
 
 
-def merge(a: list[list], b: list[list]) -> list[list]:
+def merge(a: list[list], b: list[list], apart: bool = True) -> list[list]:
     """Align two expressions: common items meet, others become optional."""
-    if a == b:
-        return a
+    x_keys, y_keys = [x[0] for x in a], [y[0] for y in b]
+    if x_keys == y_keys:
+        return fold([merge_items(x, y, apart) for x, y in zip(a, b)])
     out: list[list] = []
-    for what, i, j, k, m in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
+    for what, i, j, k, m in SequenceMatcher(None, x_keys, y_keys, autojunk=False).get_opcodes():
         if what == "equal":
-            out += [merge_items(x, y) for x, y in zip(a[i:j], b[k:m])]
+            out += [merge_items(x, y, apart) for x, y in zip(a[i:j], b[k:m])]
         else:
             out += [_optional(x) for x in (*a[i:j], *b[k:m])]
     return fold(out)
@@ -196,17 +204,17 @@ def fold(items: list[list]) -> list[list]:
         if out and out[-1][0] == x[0]:
             last = out.pop()
             many = "*" if last[1] in "?*" and x[1] in "?*" else "+"
-            x = [x[0], many, merge(last[2], x[2]), last[3] if last[3] == x[3] else None]
+            x = [x[0], many, merge(last[2], x[2], False), _unchanged(last[3], x[3], False)]
         out.append(x)
     for size in range(2, min(6, len(out) // 2) + 1):
         i = 0
         while i + 2 * size <= len(out):
             one, two = out[i : i + size], out[i + size : i + 2 * size]
             if [x[0] for x in one] == [x[0] for x in two]:
-                out[i : i + 2 * size] = [["()", "+", merge(one, two), None]]
+                out[i : i + 2 * size] = [["()", "+", merge(one, two, False), None]]
             elif one[0][0] == "()" and [x[0] for x in one[0][2]] == [x[0] for x in out[i + 1 : i + 1 + len(one[0][2])]]:
                 k = len(one[0][2])
-                out[i : i + 1 + k] = [["()", "+", merge(one[0][2], out[i + 1 : i + 1 + k]), None]]
+                out[i : i + 1 + k] = [["()", "+", merge(one[0][2], out[i + 1 : i + 1 + k], False), None]]
             else:
                 i += 1
     return out
@@ -236,7 +244,7 @@ class Places:
             else:
                 b = self._state()
                 inner = None if many or not below else Places(below)  # what is repeated is content
-                self.takes[a] = (key, None if many or key != "#" else text, inner if inner and inner.fixed else None, b)
+                self.takes[a] = (key, text[0] if text and not many and text[1] >= TEMPLATE_PAGES else None, inner if inner and inner.fixed else None, b)
             self.empty[at].append(a)
             self.empty[b].append(end)
             if quantifier in "+*":

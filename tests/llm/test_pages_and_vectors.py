@@ -58,6 +58,13 @@ def test_wrappers_decide_inside_article(spark):
     assert got == {i: f"Title {i}\nauthor {i}\ntext {i}\nSame" for i in range(4)}  # a repeated item stays, also with a text that repeats
 
 
+def test_a_text_of_one_page_is_no_template(spark):
+    page = "<body><div class='top'>Top line</div><div class='c'>{1}<i>text {0}</i></div><div class='end'>Bottom line</div></body>"
+    once = {1: "<blockquote>Only here</blockquote>", 2: "<h2>Top line</h2>", 3: "<table><tr><td>cell</table>"}
+    got = _texts(spark, [page.format(i, once.get(i, "")) for i in range(6)])
+    assert got == {0: "text 0", 1: "Only here\ntext 1", 2: "Top line\ntext 2", 3: "cell\ntext 3", 4: "text 4", 5: "text 5"}
+
+
 def test_warc_round_trip(pages, spark):
     got = warc.read_archives(warc.write_archives(pages.repartition(2), archive_bytes=4000)).collect()
     assert not [r for r in got if r.gap_reason] and len(got) == 14

@@ -6,8 +6,10 @@ optional (?), repeated (+) or both (*), with text slots or texts that never chan
 Streams are aligned one after the other with the wrapper so far (longest common
 subsequence of the items' keys): items that only one side has become optional,
 neighbours with the same key and repeating groups of items become repeated, texts that
-differ become slots. Every task folds its pages of a host into one wrapper; these meet
-by host, in two steps with a salt, so that no task sees more than a few for a hot host.
+differ become slots. Pages of a host with the same tags and texts count once, whatever
+their scripts and comments. The different ones meet by host and a salt from what they
+hold, in order, so that no task gets a hot host whole and the wrapper and its counts do
+not depend on how the pages are dealt out; then the salts of a host meet.
 
 Every page is then aligned with its host's wrapper, place by place, and its text is what
 fills the variable slots and the repeated items and groups of the content part. A text
@@ -28,12 +30,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import carried, table
 
-TEMPLATE_PAGES, SALTS, JOIN_SALTS, HOSTS_HELD = 3, 32, 64, 2000
+TEMPLATE_PAGES, SALTS, JOIN_SALTS, KEYS_HELD = 3, 32, 64, 100_000
 
 # HTML's element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -149,9 +151,20 @@ def _text_key(text: str) -> str:
     return hashlib.md5(" ".join(text.split()).encode("utf-8", "surrogatepass")).hexdigest()[:12]
 
 
-def expression(node: Node) -> list:
-    """A page's own expression: every subtree an item, repeats folded. Without scripts and the like."""
-    below = [["#", "1", [], [_text_key(c.text), 1]] if c.children is None else expression(c) for c in _placed(node)]
+def expression(node: Node, seen: list[str] | None = None) -> list:
+    """A page's own expression: every subtree an item, repeats folded. Without scripts and the like.
+
+    seen gets the keys and texts as they stand before folding.
+    """
+    below, seen = [], [] if seen is None else seen
+    seen.append(node.key)
+    for c in _placed(node):
+        if c.children is None:
+            seen.append(text := _text_key(c.text))
+            below.append(["#", "1", [], [text, 1]])
+        else:
+            below.append(expression(c, seen))
+    seen.append("/")
     return [node.key, "1", fold(below), None]
 
 
@@ -348,43 +361,62 @@ def _host(url: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON of items) and pages (long: pages it was aligned with that differ)."""
+    """host, wrapper (JSON of items) and pages (long: different pages it was aligned with)."""
+    names = ["host", "salt", "key", "items", "pages"]
+    types = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64())
+    schema = "host string, salt int, key string, items binary, pages long"
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    def packed(items: list) -> bytes:
+        return zlib.compress(json.dumps(items, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
 
-        def out() -> pa.RecordBatch:
-            rows = [(h, hash_salt(h, w), json.dumps(w[0]), w[1]) for h, w in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["host", "salt", "wrapper", "pages"])
+    def unpacked(data: bytes) -> list:
+        return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a page; copies that are near each other go here already."""
+        held: set[tuple[str, str]] = set()
         for batch in batches:
+            rows = []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                items = [expression(parse(text or ""))]
-                have = held.get(host)
-                if have is None:
-                    held[host] = [items, 1]
-                elif have[0] != items:
-                    have[0], have[1] = merge(have[0], items), have[1] + 1
-                if len(held) > HOSTS_HELD:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    def hash_salt(host: str, w: list) -> int:
-        return int(hashlib.md5(f"{host}{w}".encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % SALTS
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("wrapper")
-        items, n = None, 0
-        for w, pages_ in zip(pdf["wrapper"], pdf["pages"]):
-            w = json.loads(w)
-            items, n = (w if items is None else merge(items, w)), n + int(pages_)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "salt": pd.Series([0], dtype="int32"), "wrapper": [json.dumps(items)], "pages": [n]})
-
-    schema = "host string, salt int, wrapper string, pages long"
-    parts = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(local, schema)
-    once = parts.groupBy("host", "salt").applyInPandas(meet, schema)
-    return once.groupBy("host").applyInPandas(meet, schema).select("host", "wrapper", "pages")
+                seen: list[str] = []
+                items = [expression(parse(text or ""), seen)]
+                key = hashlib.md5("\0".join(seen).encode("utf-8", "surrogatepass")).hexdigest()
+                if (host, key) not in held:
+                    held.add((host, key))
+                    rows.append((host, int(key[:8], 16) % SALTS, key, packed(items), 1))
+            if len(held) > KEYS_HELD:
+                held.clear()
+            yield table_of(rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one host and salt follow each other, equal keys too."""
+        at, last, items, n = None, None, [], 0
+        for batch in batches:
+            rows = []
+            for host, salt, key, data, pages_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (host, salt):
+                    if at is not None:
+                        rows.append((*at, "", packed(items), n))
+                    at, last, items, n = (host, salt), key, unpacked(data), pages_
+                elif key != last:
+                    last, items, n = key, merge(items, unpacked(data)), n + pages_
+            yield table_of(rows)
+        if at is not None:
+            yield table_of([(*at, "", packed(items), n)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrappers = pa.array([json.dumps(unpacked(x)) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), wrappers, batch.column(2)], names=["host", "wrapper", "pages"])
+
+    each = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(local, schema)
+    once = each.repartition("host", "salt").sortWithinPartitions("host", "salt", "key").mapInArrow(meet, schema)
+    by_host = once.select("host", F.lit(0).alias("salt"), F.col("salt").cast("string").alias("key"), "items", "pages")
+    joined = by_host.repartition("host").sortWithinPartitions("host", "key").mapInArrow(meet, schema)
+    return joined.select("host", "items", "pages").mapInArrow(whole, "host string, wrapper string, pages long")
 
 
 @lru_cache(maxsize=512)
@@ -394,7 +426,7 @@ def _places(wrapper: str) -> Places | None:
 
 
 def places_of(wrapper: str | None, pages: int | None) -> Places | None:
-    """A host's wrapper to align its pages with; None if it has nothing that never changes."""
+    """A host's wrapper to align its pages with; None if no text of it stands on TEMPLATE_PAGES different pages."""
     return _places(wrapper) if wrapper and (pages or 0) >= TEMPLATE_PAGES else None
 
 

@@ -65,6 +65,17 @@ def test_a_text_of_one_page_is_no_template(spark):
     assert got == {0: "text 0", 1: "Only here\ntext 1", 2: "Top line\ntext 2", 3: "cell\ntext 3", 4: "text 4", 5: "text 5"}
 
 
+def test_copies_count_once_however_dealt_out(spark):
+    page = "<body><script>track({1})</script><div class='top'>Top line</div><p>text {0}</p></body>"
+    for parts in (1, 3):
+        assert _texts(spark, [page.format(0, i) for i in range(6)], parts) == dict.fromkeys(range(6), "Top line\ntext 0")
+        got = _texts(spark, [page.format(i % 2, 0) for i in range(7)], parts)
+        assert got == {i: f"Top line\ntext {i % 2}" for i in range(7)}
+    df = spark.createDataFrame([(i, "http://a.example/", page.format(i % 9, i)) for i in range(60)], "page_id long, url string, html string")
+    one, many = (html_extraction.infer_wrappers(df.repartition(n)).collect() for n in (1, 7))
+    assert one == many and one[0].pages == 9
+
+
 def test_warc_round_trip(pages, spark):
     got = warc.read_archives(warc.write_archives(pages.repartition(2), archive_bytes=4000)).collect()
     assert not [r for r in got if r.gap_reason] and len(got) == 14

@@ -17,7 +17,9 @@ that never changes at its place, outside of repeated items, and stands there on
 TEMPLATE_PAGES different pages is the host's template and goes. Tags choose the content part: the
 outermost article elements (without them, main; without that, the body), less menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-told by element, role and class words.
+told by element, role and whole class or id tokens (a number at a token's end is left out:
+ad-2; "share-price" and "has-sidebar" are no marks). Where the only article or main stands
+inside of what a token marks, the longer text counts: its own, or the one found without it.
 
 Defined results: null or empty html has empty text; pages without url share one host;
 cut-off pages, unclosed elements and stray "<" are read as browsers do (a paragraph ends
@@ -52,23 +54,24 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg canvas button select textarea input menu dialog noembed noframes".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent notice notices gdpr nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond share sharing social related newsletter subscribe subscription signup login popup modal overlay pager pagination widget".split())
+CHROME_TOKENS = CHROME_WORDS | frozenset("ad-banner ad-container ad-slot ad-unit ad-wrapper banner-ad comment-list comment-respond comments-area comments-list comments-section cookie-banner cookie-bar cookie-consent cookie-notice footer-links login-form main-menu main-nav main-navigation nav-links nav-menu navbar-nav newsletter-form newsletter-signup page-footer page-navigation post-navigation privacy-notice promo-box related-articles related-links related-posts share-bar share-buttons share-links sidebar-widget signup-form site-footer site-nav site-navigation social-icons social-links social-share top-nav widget-area".split())
 # a new element on the left ends an open element on the right
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<(?![a-zA-Z/!?])|</(?![a-zA-Z])|[^<]+", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[-_]*[0-9]+\Z")
 _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
     """An element, or a text if children is None."""
 
-    __slots__ = ("name", "key", "chrome", "children", "text", "fixed")
+    __slots__ = ("name", "key", "chrome", "children", "text", "fixed", "marked")
 
     def __init__(self, name: str, key: str, chrome: bool, children: list | None, text: str = "") -> None:
-        self.name, self.key, self.chrome, self.children, self.text, self.fixed = name, key, chrome, children, text, False
+        self.name, self.key, self.chrome, self.children, self.text, self.fixed, self.marked = name, key, chrome, children, text, False, False
 
 
 def parse(html: str) -> Node:
@@ -98,22 +101,23 @@ def parse(html: str) -> Node:
                 while stack.pop().name != name:
                     pass
             continue
-        words, role, hidden, key = (), "", False, name
+        tokens, role, hidden, key = (), "", False, name
         if m[3].strip():
             for k, a, b, c in _ATTRIBUTE.findall(m[3]):
                 k, value = k.lower(), (a or b or c).lower()
                 if k == "role":
                     role = value.strip()
                 elif k in ("class", "id"):
-                    words = (*words, *_WORD.findall(value))
+                    tokens = (*tokens, *(_NUMBER.sub("", x).replace("_", "-") for x in value.split()))
                     if k == "class":
                         key = f"{name}.{'.'.join(_DIGITS.sub('0', value).split())}"  # post-17 and post-18 are one place
                 else:
                     hidden = hidden or k == "hidden" or value == "true"
-        chrome = name in DROPPED or hidden or role in CHROME_ROLES or not CHROME_WORDS.isdisjoint(words) and name not in ("html", "body", "article", "main")
-        if name == "article" and not {"comment", "comments"}.isdisjoint(words):
+        chrome = name in DROPPED or hidden or role in CHROME_ROLES
+        if name == "article" and not {"comment", "comments"}.isdisjoint(tokens):
             chrome = True
         node = Node(name, key, chrome, [])
+        node.marked = not CHROME_TOKENS.isdisjoint(tokens) and name not in ("html", "body", "article", "main")
         if name in BLOCK or name in CLOSES:
             _end_open(stack, name)
         stack[-1].children.append(node)
@@ -312,23 +316,16 @@ class Places:
 
 
 # -- extraction ---------------------------------------------------------------------
-def _regions(node: Node, name: str) -> list[Node]:
+def _regions(node: Node, name: str, marked: bool = False) -> list[Node]:
+    """Outermost elements of a name; marked: also below elements that class or id tokens mark."""
     found = []
     for c in node.children:
-        if c.children is not None and not c.chrome:
-            found += [c] if c.name == name else _regions(c, name)
+        if c.children is not None and not c.chrome and (marked or not c.marked):
+            found += [c] if c.name == name else _regions(c, name, marked)
     return found
 
 
-def main_text(html: str | None, wrapper: Places | None = None) -> str:
-    """Main text of a page, less the texts that its host's wrapper (from the root on) has as unchanging."""
-    root = parse(html or "")
-    if wrapper is not None:
-        wrapper.mark(Node("", "", False, [root]))
-    regions = _regions(root, "article") or _regions(root, "main")
-    whole = not regions
-    if whole:
-        regions = [root]
+def _text_of(regions: list[Node], whole: bool = False) -> str:
     blocks: list[list[str]] = [[]]
 
     def walk(node: Node) -> None:
@@ -336,7 +333,7 @@ def main_text(html: str | None, wrapper: Places | None = None) -> str:
             if c.children is None:
                 if not c.fixed:
                     blocks[-1].append(c.text)
-            elif c.chrome or whole and c.name == "header":
+            elif c.chrome or c.marked or whole and c.name == "header":
                 blocks[-1].append(" ")
             elif c.name in BLOCK:
                 blocks.append([])
@@ -355,6 +352,20 @@ def main_text(html: str | None, wrapper: Places | None = None) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def main_text(html: str | None, wrapper: Places | None = None) -> str:
+    """Main text of a page, less the texts that its host's wrapper (from the root on) has as unchanging."""
+    root = parse(html or "")
+    if wrapper is not None:
+        wrapper.mark(Node("", "", False, [root]))
+    articles = _regions(root, "article")
+    if articles:
+        return _text_of(articles)
+    main = _regions(root, "main")
+    found = _text_of(main or [root], not main)
+    inside = _regions(root, "article", True) or (not main and _regions(root, "main", True))
+    return max(found, _text_of(inside), key=len) if inside else found
+
+
 # -- Spark ---------------------------------------------------------------------------
 def _host(url: DataFrame) -> DataFrame:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))

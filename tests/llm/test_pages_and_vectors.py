@@ -76,6 +76,16 @@ def test_copies_count_once_however_dealt_out(spark):
     assert one == many and one[0].pages == 9
 
 
+def test_class_marks_are_whole_tokens():
+    text = html_extraction.main_text
+    for mark in ("layout has-sidebar", "with-banner", "no-comments", "nav-open", "widget", "overlay"):
+        assert text(f"<body><div class='{mark}'><article><p>Real text</p></article></div><div>more</div></body>") == "Real text"
+        assert text(f"<body><div id='{mark}'><main><p>Real text</p></main></div></body>") == "Real text"
+    assert text("<article><p>a</p><section id='related-work'>b</section><p class='share-price'>c</p><div class='ad-2'>x</div><div class='big share'>x</div></article>") == "a\nb\nc"
+    assert text("<body><div>The content of the page</div><div class='related'><article>teaser</article></div></body>") == "The content of the page"
+    assert text("<body><main>The content of the page</main><div class='related_posts'><article>teaser</article></div></body>") == "The content of the page"
+
+
 def test_warc_round_trip(pages, spark):
     got = warc.read_archives(warc.write_archives(pages.repartition(2), archive_bytes=4000)).collect()
     assert not [r for r in got if r.gap_reason] and len(got) == 14

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators import sequence, stats
+from cadenza.operators.common import join_on
 
 DELETED = -20.0
+REPLICATES = 2000
 
 
 def word_targets(words: DataFrame, classes: int) -> DataFrame:
@@ -62,6 +64,12 @@ def correlations(scored: DataFrame) -> DataFrame:
     return rho.join(r, F.col("method") == F.col("m")).select("method", "n", "rho", "pearson")
 
 
+def report(scored: DataFrame, cluster: str, replicates: int = REPLICATES) -> DataFrame:
+    """method, n, rho, lo, hi, pearson of a tall table: correlations with intervals over resampled clusters."""
+    ends = stats.cluster_bootstrap(scored, "predicted", "human", cluster, replicates, group=["method"])
+    return join_on(correlations(scored), ends, ["method"]).select("method", "n", "rho", "lo", "hi", "pearson")
+
+
 def best_method(results: DataFrame, order: str) -> DataFrame:
     """The row with the highest rho; of equal ones the last in order."""
     return results.agg(F.max(F.struct("rho", order, "method")).alias("b")).select("b.method", "b.rho")

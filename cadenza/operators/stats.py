@@ -57,30 +57,37 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "rho")
     return correlate(ranked, group, "__rx", "__ry", out)
 
 
-def bootstrap_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(b, cluster, times): how often each replicate draws each cluster, by md5(seed:b:j) modulo the number of clusters.
+def bootstrap_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
+    """(group, b, cluster, times): how often each replicate draws each cluster, by md5(seed:b:j) modulo the number of clusters.
 
     clusters is numbered once; a replicate's draws are hashed rows, so they need no driver.
     """
-    numbered = clusters.select(cluster).distinct().withColumn("g", F.row_number().over(W.orderBy(cluster)) - 1)
-    total = numbered.agg(F.count(F.lit(1)).alias("total"))
-    draws = numbered.select("g").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).crossJoin(F.broadcast(total))  # total is one row
+    group = group or []
+    numbered = clusters.select(*group, cluster).distinct().withColumn("g", F.row_number().over(W.partitionBy(*group).orderBy(cluster)) - 1)
+    total = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    draws = join_on(numbered.select(*group, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), total, group)
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "g")), 1, 8), 16, 10).cast("long") % F.col("total")
-    return draws.select("b", pick.alias("g")).groupBy("b", "g").agg(F.count(F.lit(1)).alias("times")).join(numbered, "g").select("b", cluster, "times")
+    times = draws.select(*group, "b", pick.alias("g")).groupBy(*group, "b", "g").agg(F.count(F.lit(1)).alias("times"))
+    return join_on(times, numbered, [*group, "g"]).select(*group, "b", cluster, "times")
 
 
-def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
-    """One row (lo, hi): 2.5 and 97.5 percent points of Spearman's rho over resampled clusters.
+def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
+    """(group, lo, hi): 2.5 and 97.5 percent points of Spearman's rho over resampled clusters. One row without group.
 
     Zeros for under ten rows, two clusters or one replicate. A point is the element at round(q (n - 1)).
     """
-    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("__c"))
-    draws = bootstrap_draws(clean, "__c", replicates, seed)
-    drawn = clean.join(draws, "__c").select("b", "x", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    rhos = spearman(drawn, ["b"], "x", "y")
+    group = group or []
+    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("__c"))
+    draws = bootstrap_draws(clean, "__c", replicates, seed, group)
+    on = F.col("__c") == F.col("__drawn")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    drawn = clean.join(draws.withColumnsRenamed({"__c": "__drawn"} | {c: f"__of_{c}" for c in group}), on).select(*group, "b", "x", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+    rhos = spearman(drawn, [*group, "b"], "x", "y")
     last = F.count(F.lit(1)) - 1
-    sizes = clean.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__c").alias("g"))
+    sizes = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__c").alias("g"))
     at = lambda q: F.element_at("rhos", F.round(q * F.col("last")).cast("int") + 1)
-    ends = rhos.agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last")).crossJoin(F.broadcast(sizes))  # one row each; as many values as replicates
+    ends = rhos.groupBy(*group).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
+    ends = join_on(sizes, ends, group, "left") if group else ends.crossJoin(F.broadcast(sizes))  # one row each
     enough = (F.col("n") >= 10) & (F.col("g") >= 2) & (F.size("rhos") > 0)
-    return ends.select(F.when(enough, at(0.025)).otherwise(0.0).alias("lo"), F.when(enough, at(0.975)).otherwise(0.0).alias("hi"))
+    return ends.select(*group, F.when(enough, at(0.025)).otherwise(0.0).alias("lo"), F.when(enough, at(0.975)).otherwise(0.0).alias("hi"))

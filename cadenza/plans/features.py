@@ -84,17 +84,28 @@ def gop_self_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("label", "position", F.round("self_aligned", 6).alias("self_aligned"))
 
 
-def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of each score with a human score by rule (words that were not scored count as such)."""
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each score with a human score by rule (words that were not scored count as such)."""
     w, f = words(spark, sf_dir), frames(spark, sf_dir)
     g = evaluate.gop_scores(w, f, "label", CLASSES).withColumnsRenamed({"label": "l", "position": "p"})
     s = evaluate.gop_self_aligned(w, f, "label", CLASSES).withColumnsRenamed({"label": "l2", "position": "p2"})
     both = w.join(g, (F.col("label") == F.col("l")) & (F.col("position") == F.col("p")), "left").join(s, (F.col("label") == F.col("l2")) & (F.col("position") == F.col("p2")), "left")
     both = both.withColumn("human", ((F.col("label") * 7 + F.col("position") * 3) % 11) / 10.0)
-    r = evaluate.correlations(evaluate.tall(both, "label", ["log_prob", "max_logit", "margin", "self_aligned"], "human"))
+    return evaluate.tall(both, "label", ["log_prob", "max_logit", "margin", "self_aligned"], "human")
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of each score with the human score."""
+    r = evaluate.correlations(_scored(spark, sf_dir))
     return r.select("method", "n", F.round("rho", 6).alias("rho"), F.round("pearson", 6).alias("pearson"))
 
 
+def evaluation_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evaluation_report with intervals over 2,000 resamples of the labels."""
+    r = evaluate.report(_scored(spark, sf_dir), "label")
+    return r.select("method", "n", *[F.round(c, 6).alias(c) for c in ("rho", "lo", "hi", "pearson")])
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     loss = F.when(F.col("o_orderkey") % 97 == 0, float("nan")).otherwise(F.col("o_totalprice") / 1000)
@@ -158,7 +169,7 @@ def _corr(x: str, y: str, source: str, out: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (hann_window, mel_filterbank, dct_matrix, dft_power, log_mel, mfcc_static, mfcc39_frames, logmel80_frames, synthetic_samples, gop_scores, gop_self_aligned, evaluation_report, epoch_loss_weighted, epoch_loss_mean, best_epoch, resume_state)
+    for f in (hann_window, mel_filterbank, dct_matrix, dft_power, log_mel, mfcc_static, mfcc39_frames, logmel80_frames, synthetic_samples, gop_scores, gop_self_aligned, evaluation_report, evaluation_intervals, epoch_loss_weighted, epoch_loss_mean, best_epoch, resume_state)
 }
 ORACLE = {
     "hann_window": "select n::integer as n, round(0.5::double * (1 - cos(2 * pi() * n / 399)), 9) as w from range(400) t(n)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import stats
+from cadenza.operators import evaluate, stats
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cluster_bootstrap(events(spark, sf_dir), "value", "k", "user_id", 20).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+def cluster_bootstrap_ci_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cluster_bootstrap_ci, with the reference's number of replicates; tests check it by brute force."""
+    return stats.cluster_bootstrap(events(spark, sf_dir), "value", "k", "user_id", evaluate.REPLICATES).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 EV = "ev as (select event_id, ts, user_id, event_type, value, json_extract_string(props, '$.k')::double as k from events)"
 
 
@@ -42,7 +47,7 @@ def corr_sql(source: str, by: str, x: str, y: str, out: str, count: str = ", cou
 from (select {by}, {x} - avg({x}) over (partition by {by}) as dx, {y} - avg({y}) over (partition by {by}) as dy from {source}) group by {by}"""
 
 
-QUERIES = {f.__name__: f for f in (avg_tie_ranks, pearson_by_group, spearman_by_group, cluster_bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (avg_tie_ranks, pearson_by_group, spearman_by_group, cluster_bootstrap_ci, cluster_bootstrap_ci_2000)}
 ORACLE = {
     "avg_tie_ranks": f"with {EV} select event_id, event_type, (rank() over (partition by event_type order by k) + (count(*) over (partition by event_type, k) - 1) / 2.0::double)::double as rank_k from ev",
     "pearson_by_group": f"with {EV} {corr_sql('ev', 'event_type', 'value', 'k', 'r')}",

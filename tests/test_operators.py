@@ -1,5 +1,7 @@
 """Worked examples of the operators outside the training-data subpackage."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_ranks_and_correlation(spark):
     assert tuple(stats.cluster_bootstrap(df, "x", "y", "g", 5).first()) == (0.0, 0.0)
 
 
+def test_report_has_intervals_of_2000_replicates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, f"c{i % n}", float(rng.integers(0, 6)), float(rng.integers(0, 6))) for m, n, k in (("a", 4, 24), ("b", 7, 21), ("few", 3, 9)) for i in range(k)]
+    scored = spark.createDataFrame(rows, "method string, key string, predicted double, human double")
+    r = evaluate.report(scored, "key")
+    got = {x.method: (x.lo, x.hi) for x in r.collect()}
+    assert got.pop("few") == (0.0, 0.0) and sorted(got) == ["a", "b"] and len(evaluate.report_lines(r).where("line LIKE '| a | 24 | % | [%, %] | % |'").collect()) == 1
+
+    def rho(x, y):
+        rank = lambda v: (np.searchsorted(np.sort(v), v) + np.searchsorted(np.sort(v), v, "right") + 1) / 2
+        dx, dy = rank(x) - (len(x) + 1) / 2, rank(y) - (len(y) + 1) / 2
+        spread = np.sqrt((dx * dx).sum() * (dy * dy).sum())
+        return 0.0 if spread < 1e-15 else (dx * dy).sum() / spread
+
+    for m, ends in got.items():
+        keys = sorted({k for n, k, _, _ in rows if n == m})
+        of = [np.array([(x, y) for n, k, x, y in rows if n == m and k == c]) for c in keys]
+        draw = lambda b, g: int(hashlib.md5(f"42:{b}:{g}".encode()).hexdigest()[:8], 16) % len(keys)  # noqa: E731, B023
+        rhos = sorted(rho(*np.concatenate([of[draw(b, g)] for g in range(len(keys))]).T) for b in range(2000))
+        assert np.allclose(ends, (rhos[50], rhos[1949]), atol=1e-9)
+
+
 def test_sequences(spark):
     a = lambda *x: F.array(*map(F.lit, x)).cast("array<int>")
     row = spark.range(1).select(sequence.ctc_min_frames(a()), sequence.ctc_min_frames(a(1, 2, 3)), sequence.ctc_min_frames(a(1, 1, 2, 2, 2)), sequence.ctc_feasible(a(1, 1), F.lit(2))).first()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,12 +20,23 @@ def carried(df: DataFrame, out: tuple[str, ...], *used: str) -> list[str]:
     return [c for c in df.columns if c not in used and c.lower() not in out]
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that xxhash64 takes."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (master local) gets a temporary folder; on a cluster
+    it is an error, as executors would not see each other's files.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known or "file:///tmp/cadenza-shared"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -33,6 +48,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: the next stage's workers share an executor with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by written()."""
     paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

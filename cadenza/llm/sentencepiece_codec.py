@@ -6,12 +6,13 @@ short chunks are worked off in step, as rows of numpy arrays. Symbols outside
 the vocabulary become byte pieces. No piece of such a vocabulary holds the word mark
 after another character, so a text falls apart into chunks (marks and the characters
 after them, or the start of a line) whose agendas cannot touch. Chunks are encoded
-once per task and kept in a bounded table. In every Arrow batch the chunks encoded
-for the first time are checked against the sentencepiece library.
+once and kept in a bounded table of the Python worker. In every part of a batch the chunks
+encoded for the first time are checked against the sentencepiece library.
 
 Defined results: null texts count as empty; an empty text has no ids; texts of any
-length are encoded whole (long chunks use a heap). Other columns are carried along.
-A model that is not of merge type, or that normalises text, is refused.
+length are encoded whole (long chunks use a heap). Rows that repeat are rows of their own;
+an empty table gives no rows. Other columns are carried along, but for those with the names
+of results. A model that is not of merge type, or that normalises text, is refused.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import gc
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cadenza.llm.common import carried, table
+from cadenza.llm.common import carried, table, tidy
 
 MARK = "▁"
 #: Chunks of at most SHORT symbols keep their agenda in a list; longer ones use a heap. KEPT: chunks that a worker
-#: remembers. BATCH: documents that are cut and looked up together.
-SHORT, CHUNK_CHARS, KEPT, BATCH = 40, 40, 400_000, 2500
+#: remembers. BATCH, BATCH_BYTES: documents, and bytes of their texts, that are cut and looked up together (one at least).
+SHORT, CHUNK_CHARS, KEPT, BATCH, BATCH_BYTES = 40, 40, 120_000, 2500, 1_500_000
 #: Symbols that are no pieces: none, and (from STRANGE down) characters outside the vocabulary. The pair table has 2^TABLE_BITS places.
 EMPTY, STRANGE, TABLE_BITS = -1, -2, 19
+#: Chunks that are encoded in one go.
+FRESH = 20_000
 
 
 class MergeCodec:
@@ -62,19 +65,19 @@ class MergeCodec:
         self.check(["a", " a  b ", "x\ny", "q" * 90, "ä中\U0001f600"])
 
     # -- encoding ---------------------------------------------------------------
-    def _spell(self, symbols: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
+    def _spell(self, symbols: list[str]) -> array:
+        out = array("i")
         for s in symbols:
             i = self.ids.get(s)
             if i is None:
                 out.extend(self.bytes[b] for b in s.encode())
             else:
                 out.append(i)
-        return tuple(out)
+        return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Ids of chunks. The agendas of short chunks of one length are rows of an array, all worked off in step."""
-        out: list[tuple[int, ...]] = [()] * len(chunks)
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as 32-bit numbers. The agendas of short chunks of one length are rows of an array, all worked off in step."""
+        out = [b""] * len(chunks)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols, begin = self.symbol[codes], np.cumsum(lengths) - lengths
@@ -82,13 +85,13 @@ class MergeCodec:
             rows = np.flatnonzero(lengths == n)
             if n > SHORT:
                 for r in rows.tolist():
-                    out[r] = self._spell(self._long(chunks[r]))
+                    out[r] = self._spell(self._long(chunks[r])).tobytes()
                 continue
             done = self._in_step(symbols[begin[rows][:, None] + np.arange(n)])
             count = (done != EMPTY).sum(axis=1).tolist()
             strange = (done <= STRANGE).any(axis=1).tolist()
-            for r, ids, k, odd in zip(rows.tolist(), done.tolist(), count, strange):
-                out[r] = tuple(ids[:k]) if not odd else tuple(chain.from_iterable((i,) if i >= 0 else self._spell([chr(STRANGE - i)]) for i in ids[:k]))
+            for r, ids, k, odd in zip(rows.tolist(), done, count, strange):
+                out[r] = ids[:k].tobytes() if not odd else b"".join(i.tobytes() if i >= 0 else self._spell([chr(STRANGE - int(i))]).tobytes() for i in ids[:k])
         return out
 
     def _in_step(self, rows: np.ndarray) -> np.ndarray:
@@ -137,11 +140,11 @@ class MergeCodec:
 
     def _index_pairs(self) -> None:
         """Symbols of single characters, and the hash table of all pairs that spell a piece."""
-        self.symbol = STRANGE - np.arange(0x110000, dtype=np.int64)
+        self.symbol = STRANGE - np.arange(0x110000, dtype=np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
-        self.table, self.table_cost, self.table_into = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS, np.int64)
+        self.table, self.table_cost, self.table_into = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS, np.int32)
         found = {self.ids[p[:k]] << 32 | self.ids[p[k:]]: p for p in self.ids for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         if len(found) * 2 > len(self.table):
             raise ValueError("the vocabulary has too many pairs for its table")
@@ -198,8 +201,8 @@ class MergeCodec:
         bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
         numbered = pc.dictionary_encode(parts.flatten())
         found = known.look_up(numbered.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         number = numbered.indices.to_numpy()
         each, start = size[number], (np.cumsum(size) - size)[number]
         ends = np.cumsum(each)
@@ -220,14 +223,14 @@ class Known(dict):
     """Encoded chunks. What a batch adds is encoded together and checked against the library; a difference is an error."""
 
     def __init__(self, codec: MergeCodec) -> None:
-        super().__init__({"": ()})
+        super().__init__({"": b""})
         self.codec = codec
 
-    def look_up(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def look_up(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.get, chunks))
         fresh = [i for i, ids in enumerate(found) if ids is None]
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), FRESH):
+            some = fresh[at : at + FRESH]
             new = [chunks[i] for i in some]
             for i, c, ids in zip(some, new, self._checked(new, self.codec.encode_chunks(new))):
                 found[i] = ids
@@ -235,18 +238,22 @@ class Known(dict):
                     self[c] = ids
         if len(self) > KEPT:
             self.clear()
-            self[""] = ()
+            self[""] = b""
         return found
 
-    def _checked(self, chunks: list[str], own: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    def _checked(self, chunks: list[str], own: list[bytes]) -> list[bytes]:
         lib = self.codec.sp
         lead = len(lib.encode("\n"))
         for c, ids, theirs in zip(chunks, own, lib.encode(["\n" + c.replace(MARK, " ") for c in chunks], num_threads=1)):
-            if list(ids) != theirs[lead:]:
-                raise ValueError(f"agenda and library differ on {c!r}: {ids} and {theirs[lead:]}")
+            if array("i", theirs[lead:]).tobytes() != ids:
+                raise ValueError(f"agenda and library differ on {c!r}: {array('i', ids).tolist()} and {theirs[lead:]}")
         return own
 
 
+#: What encode_documents can return.
+RESULTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
 @lru_cache(maxsize=2)
 def loaded(model_file: str) -> tuple[MergeCodec, Known]:
     """One codec and one table of chunks for all tasks of a Python worker."""
@@ -256,47 +263,54 @@ def loaded(model_file: str) -> tuple[MergeCodec, Known]:
     return codec, Known(codec)
 
 
-def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs[keep] plus ids array<int> and decoded string."""
-    keep = carried(docs, ("ids", "decoded"), text) if keep is None else keep
-    source = docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most BATCH rows and about BATCH_BYTES of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, side="right"))
+        end = min(max(end, at + 1), at + BATCH)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None, results: tuple[str, ...] = ("ids", "decoded"), prefix: str = "") -> DataFrame:
+    """docs[keep] plus results, their names after prefix: ids array<int>, n_tokens long, decoded string, ids_sha256 and decoded_sha256.
+
+    Digests are made where the ids are, so that neither ids nor texts travel for them.
+    """
+    names = [prefix + r for r in results]
+    keep = carried(docs, tuple(names), text) if keep is None else keep
+    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    schema = T.StructType([*[source.schema[c] for c in keep], *[T.StructField(n, RESULTS[r]) for n, r in zip(names, results)]])
+
+    def one(codec: MergeCodec, flat: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+        out: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
+        if "ids" in results:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+        each = [flat[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+        if "ids_sha256" in results:
+            out["ids_sha256"] = pa.array([hashlib.sha256(",".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest() for ids in each], pa.string())
+        if "decoded" in results:
+            out["decoded"] = pa.array(map(codec.decode, each), pa.string())
+        if "decoded_sha256" in results:
+            out["decoded_sha256"] = pa.array([hashlib.sha256(codec.decode(ids).encode()).hexdigest() for ids in each], pa.string())
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, known = loaded(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids, bounds = codec.encode_batch(part.column(len(keep)).to_pylist(), known)
-                text_ = [codec.decode(ids[i:j].tolist()) for i, j in zip(bounds, bounds[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(text_, pa.string())], names=schema.names)
+            for part in parts_of(batch, len(keep)):
+                found = one(codec, *codec.encode_batch(part.column(len(keep)).to_pylist(), known))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[found[r] for r in results]], names=schema.names)
+            tidy()
 
     return source.mapInArrow(run, schema)
 
 
 def digest_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """encode_documents reduced to n_tokens, ids_sha256 and decoded_sha256 inside the same task."""
-    keep = carried(docs, ("n_tokens", "ids_sha256", "decoded_sha256"), text) if keep is None else keep
-    source = docs.select(*keep, docs[text].alias("__text"))
-    extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    schema = T.StructType([*[source.schema[c] for c in keep], *extra])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known = loaded(model_file)
-        digits, sha = codec.digits, hashlib.sha256
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                flat, bounds = codec.encode_batch(part.column(len(keep)).to_pylist(), known)
-                ids_sha, text_sha = [], []
-                for i, j in zip(bounds, bounds[1:]):
-                    ids = flat[i:j].tolist()
-                    ids_sha.append(sha(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(sha(codec.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(bounds)), pa.array(ids_sha), pa.array(text_sha)], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+    return encode_documents(docs, model_file, text, keep, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:

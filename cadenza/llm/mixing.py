@@ -7,7 +7,7 @@
    words and the excess goes to the others by weight (one water level, found by a
    running sum over sources in order of cap / weight).
 3. Equal-token blocks of `block_words` words are seats. Sources get them by the
-   highest quotients target / (2k - 1); a source's seats go to its 32 super-shards
+   highest quotients target / (2k - 1); a source's seats go to its super-shards
    and then to their shards the same way, with words as votes. So every shard has an
    integer quota of blocks.
 4. A shard lays its documents end to end in seeded order (an md5 of seed and
@@ -15,13 +15,16 @@
    quota is met. taken is the number of a document's words in those blocks.
 
 Only a window of quotients that can be the last ones to win is ranked, about three
-rows for each party, and shards stay small for hot sources: the number of shards of
-a source follows its words up to 32,768, from where on shards grow instead.
-
-Defined results: null text has size 0 and takes 0; null sources form one source, the
-last; rows with equal doc_id are separate documents that share a place in the order
-(ties by size); a table without words takes nothing. Other columns are carried along,
-but for those with the names of results.
+rows for each party, and shards stay small for hot sources: a source of s words has
+about s / `shard_words` shards, in as many super-shards as each of these has shards.
+Words are counted once into a narrow table; texts are shuffled once, by shard.
+
+Defined results: null and empty texts have size 0 and take 0; texts of any length are
+counted whole; null sources form one source, the last; rows with equal doc_id are separate
+documents that share a place in the order (ties by size, then by a hash of the text; rows
+equal in all of these are alike, and which of them takes what is not told); a table
+without words takes nothing, an empty one gives no rows. Other columns are carried along,
+but for those with the names of results (`prefix` gives the results other names).
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import carried, table
+from cadenza.llm.common import carried, table, written
 
+SHARE, MAX_REPEAT = 1.5, 2
 BLOCK_WORDS = 8
 SHARD_WORDS = 4096
-SUPERS = 32
-MAX_SHARDS = 32768
 SEED = 7
+#: Most sources whose targets (a few numbers each) are broadcast; more of them are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -98,57 +102,69 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    share: float = 1.5,
-    max_repeat: int = 2,
+    share: float = SHARE,
+    max_repeat: int = MAX_REPEAT,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    prefix: str = "",
 ) -> DataFrame:
-    """docs plus size, source_size (long), target (double) and taken (long)."""
-    docs = docs.select(*carried(docs, ("size", "source_size", "target", "taken")))
-    d = docs.withColumns(
+    """docs plus size, source_size (long), target (double) and taken (long); prefix goes before these names."""
+    names = [prefix + n for n in ("size", "source_size", "target", "taken")]
+    docs = docs.select(*carried(docs, tuple(names)))
+    d = sized(docs, doc_id, text, source, seed)
+    n = written(d.select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), F.col(source).alias("source"), F.col("__h").alias("h")), "sizes")
+    placed = place(d, n, doc_id, share, max_repeat, block_words, shard_words)
+    return placed.select(*docs.columns, *[F.col(f"__{r}").alias(name) for r, name in zip(("size", "source_size", "target", "taken"), names)])
+
+
+def sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """docs with __size, __skey (source), __h (seeded hash of the id) and __t (hash of the text)."""
+    return docs.withColumns(
         {
             "__size": word_count(F.col(text)),
             "__skey": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
             "__h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))),
+            "__t": F.md5(F.coalesce(F.col(text), F.lit(""))),
         }
     )
-    # the tables below need four narrow columns of the documents only
-    n = d.select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), F.col(source).alias("source"), F.col("__h").alias("h"))
+
+
+def place(d: DataFrame, n: DataFrame, doc_id: str, share: float, max_repeat: int, block_words: int, shard_words: int) -> DataFrame:
+    """d, as sized() makes it, with __source_size, __target and __taken; n: its sizes (size, skey, source, h)."""
     sizes = n.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("s"))
     targets = source_targets(sizes, share, max_repeat).select("skey", "s", "target", F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long").alias("blocks"), F.lit(0).alias("all"))
     targets = apportion(targets, ["all"], ["skey"], "target", "blocks", "quota")
-    per = F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS // SUPERS), F.ceil(F.col("s") / (shard_words * SUPERS)))).cast("long")
-    targets = targets.select("skey", "s", "target", "quota", per.alias("per"))
+    side = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("s") / shard_words))).cast("long")
+    targets = written(targets.select("skey", "s", "target", "quota", side.alias("side")), "targets")
+    one = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     h = lambda c, i: F.conv(F.substring(c, i, 7), 16, 10).cast("long")
-    place = {"super": h("h", 1) % SUPERS, "shard": h("h", 9) % F.col("per")}
+    where = {"super": h("h", 1) % F.col("side"), "shard": h("h", 9) % F.col("side")}
     # dealt out by shard, not by source alone, before they are added up
-    shards = n.join(targets, "skey").withColumns(place).repartition("skey", "super", "shard").groupBy("skey", "super", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    shards = n.join(one, "skey").withColumns(where).repartition("skey", "super", "shard").groupBy("skey", "super", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     supers = shards.groupBy("skey", "super").agg(F.sum("words").alias("super_words"), F.first("quota").alias("quota"))
     supers = apportion(supers, ["skey"], ["super"], "super_words", "quota", "super_quota").select("skey", "super", "super_quota")
     shards = apportion(shards.select("skey", "super", "shard", "words").join(supers, ["skey", "super"]), ["skey", "super"], ["shard"], "words", "super_quota", "shard_quota")
-    shards = shards.select("skey", "super", "shard", "words", "shard_quota")
 
-    placed = d.join(targets.withColumnRenamed("skey", "__skey").select("__skey", F.col("s").alias("source_size"), "target", F.col("per").alias("__per")), "__skey")
-    placed = placed.withColumns({"__super": h("__h", 1) % SUPERS, "__shard": h("__h", 9) % F.col("__per")})
-    # dealt out anew by shard: the join's partitioning by source alone would leave a hot source to one task
+    placed = d.join(one.select(F.col("skey").alias("__skey"), F.col("s").alias("__source_size"), F.col("target").alias("__target"), F.col("side").alias("__side")), "__skey")
+    placed = placed.withColumns({"__super": h("__h", 1) % F.col("__side"), "__shard": h("__h", 9) % F.col("__side")})
     placed = placed.repartition("__skey", "__super", "__shard")
-    ahead = F.coalesce(
-        F.sum("__size").over(W.partitionBy("__skey", "__super", "__shard").orderBy("__h", doc_id, "__size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
+    ahead = F.coalesce(F.sum("__size").over(W.partitionBy("__skey", "__super", "__shard").orderBy("__h", doc_id, "__size", "__t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("__ahead", ahead)
     quotas = shards.select(F.col("skey").alias("__skey"), F.col("super").alias("__super"), F.col("shard").alias("__shard"), F.col("words").alias("__words"), (F.col("shard_quota") * block_words).alias("__goal"))
     placed = placed.join(quotas, ["__skey", "__super", "__shard"])
     taken = F.lit(0).cast("long")
     for turn in range(max_repeat):
         taken = taken + F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__goal") - turn * F.col("__words") - F.col("__ahead")))
-    return placed.select(*[F.col(c) for c in docs.columns], F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"))
+    return placed.withColumn("__taken", taken)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix at 150 % of the corpus takes from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    d = written(sized(docs, "doc_id", "text", "source", SEED).drop("text"), "sizes")  # texts are read once
+    n = d.select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), "source", F.col("__h").alias("h"))
+    return place(d, n, "doc_id", SHARE, MAX_REPEAT, BLOCK_WORDS, SHARD_WORDS).select("doc_id", *[F.col(f"__{r}").alias(r) for r in ("size", "source_size", "target", "taken")])
 
 
 def _apportion_sql(parties: str, group: str, party: str, votes: str, seats: str, out: str, extra: str = "") -> str:
@@ -165,14 +181,14 @@ def _apportion_sql(parties: str, group: str, party: str, votes: str, seats: str,
 
 
 def _oracle() -> str:
-    one = _apportion_sql("t2", '"all"', "skey", "target", "blocks", "quota", ", s, target, per")
+    one = _apportion_sql("t2", '"all"', "skey", "target", "blocks", "quota", ", s, target, side")
     two = _apportion_sql("sup", "skey", "sp", "words", "quota", "super_quota")
     three = _apportion_sql("shq", "skey, sp", "sh", "words", "super_quota", "shard_quota", ", words")
     return f"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
     case when source is null then 'n' else 's' || source end as skey,
-    md5('{SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
+    md5('{SEED}:' || coalesce(doc_id::varchar, '')) as h, md5(coalesce(text, '')) as t from documents),
 s as (select skey, any_value(source) as source, sum(size)::bigint as s from d group by skey),
 t0 as (select *, row_number() over (order by source is null, source) as rn from s),
 t1 as (select *, case rn % 3 when 1 then 3.0::double when 2 then 1.0::double else 2.0::double end as w, s::double * 2 as cap from t0),
@@ -181,18 +197,18 @@ lv as (select *, row_number() over (order by cap / w, skey) as place,
     / (sum(w) over () - coalesce(sum(w) over (order by cap / w, skey rows between unbounded preceding and 1 preceding), 0)) as level from t1),
 wl as (select arg_min(level, place) as water from lv where cap / w > level),
 t2 as (select skey, s, 0 as "all", tg as target, round(sum(tg) over () / {BLOCK_WORDS})::bigint as blocks,
-    greatest(1, least({MAX_SHARDS // SUPERS}, ceil(s::double / {SHARD_WORDS * SUPERS})))::bigint as per
+    greatest(1, ceil(sqrt(s::double / {SHARD_WORDS})))::bigint as side
   from (select *, case when water is null then cap else least(cap, w * water) end as tg from lv cross join wl)),
 tq as {one},
-dp as (select d.doc_id, d.size, d.h, d.skey, tq.s, tq.target, tq.quota,
-    ('0x' || substr(h, 1, 7))::bigint % {SUPERS} as sp, ('0x' || substr(h, 9, 7))::bigint % per as sh
+dp as (select d.doc_id, d.size, d.h, d.t, d.skey, tq.s, tq.target, tq.quota,
+    ('0x' || substr(h, 1, 7))::bigint % side as sp, ('0x' || substr(h, 9, 7))::bigint % side as sh
   from d join tq using (skey)),
 sup as (select skey, sp, sum(size)::bigint as words, any_value(quota) as quota from dp group by skey, sp),
 spq as {two},
 shq as (select dp.skey, dp.sp, dp.sh, sum(size)::bigint as words, any_value(super_quota) as super_quota
   from dp join spq on dp.skey = spq.skey and dp.sp = spq.sp group by dp.skey, dp.sp, dp.sh),
 sq as {three},
-o as (select *, coalesce(sum(size) over (partition by skey, sp, sh order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from dp)
+o as (select *, coalesce(sum(size) over (partition by skey, sp, sh order by h, doc_id, size, t rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from dp)
 select o.doc_id, o.size, o.s as source_size, o.target,
   (greatest(0, least(o.size, shard_quota * {BLOCK_WORDS} - ahead)) + greatest(0, least(o.size, shard_quota * {BLOCK_WORDS} - sq.words - ahead)))::bigint as taken
 from o join sq on o.skey = sq.skey and o.sp = sq.sp and o.sh = sq.sh

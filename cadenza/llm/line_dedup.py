@@ -8,14 +8,16 @@ removed, overlapping ones merged into one stretch.
 Defined results
 - null text: kept as null, no lines, nothing removed; empty text: one empty line, kept.
 - fewer than three lines: no window, text unchanged.
-- windows of blank lines only never count.
+- windows of blank lines only (white space of any kind, so CR LF files too) never count.
 - a later occurrence that overlaps the first one in the same document leaves the
   lines of the first in place.
 - rows that repeat doc_id and text count as one document: all get the same result,
   so none is a later occurrence of another. Rows that share doc_id but not text are
   ordered by a hash of the text.
-- further columns of the input are carried along; their names cannot clash, as
-  internal columns start with "__".
+- further columns of the input are carried along, but for those with the names of results
+  (n_lines, n_removed, removed_lines; a prefix gives the results other names); internal
+  columns start with "__".
+- an empty table gives an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             i.alias("pos"),
             F.xxhash64(line(i, 0), line(i, 1), line(i, 2)).alias("k1"),
             F.xxhash64(F.lit("second"), line(i, 2), line(i, 1), line(i, 0)).alias("k2"),
-            (F.trim(F.concat(line(i, 0), line(i, 1), line(i, 2))) != "").alias("real"),
+            F.concat(line(i, 0), line(i, 1), line(i, 2)).rlike(r"[^\x20\x09-\x0D]").alias("real"),
         ),
     )
     return (
@@ -54,9 +56,10 @@ def line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text cleaned, plus n_lines, n_removed (int) and the removed line numbers (from 0)."""
-    docs = docs.select(*carried(docs, ("n_lines", "n_removed", "removed_lines")))
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """docs with text cleaned, plus n_lines, n_removed (int) and removed_lines, the removed line numbers (from 0); prefix goes before these names."""
+    names = [prefix + n for n in ("n_lines", "n_removed", "removed_lines")]
+    docs = docs.select(*carried(docs, tuple(names)))
     windows = line_windows(docs, doc_id, text)
     first = (
         windows.groupBy("__k1", "__k2")
@@ -93,9 +96,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__left", lambda i: F.get(F.col("__lines"), i)), "\n"))
     return parts.select(
         *[kept.alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).alias("n_removed"),
-        F.coalesce("__cut", F.array().cast("array<int>")).alias("removed_lines"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).alias(names[0]),
+        F.coalesce(F.size("__cut"), F.lit(0)).alias(names[1]),
+        F.coalesce("__cut", F.array().cast("array<int>")).alias(names[2]),
     )
 
 
@@ -114,7 +117,7 @@ w as (
   from (select doc_id, ls, unnest(range(1, len(ls) - 1)) as p from l)),
 g as (
   select a, b, c, min(struct_pack(d := doc_id, p := p)) as f from w
-  where trim(a || b || c) <> '' group by a, b, c having count(*) > 1),
+  where regexp_matches(a || b || c, '[^\\x20\\x09-\\x0D]') group by a, b, c having count(*) > 1),
 cut as (
   select distinct w.doc_id, unnest(range(
     case when w.doc_id = g.f.d then greatest(w.p, g.f.p + 3) else w.p end, w.p + 3)) as i

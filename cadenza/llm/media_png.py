@@ -11,7 +11,9 @@ of its two-dimensional cosine transform and marks the coefficients above their m
 Defined results: null texts count as empty; the payload is the text's UTF-8 bytes and
 blanks up to a positive multiple of the width; equal texts give equal values. A damaged
 image raises MediaError in read_png; decode_media turns that into a null payload and the
-reason in its error column. Further columns are carried along.
+reason in its error column. Texts of any length are stored whole; rows that repeat are rows
+of their own; an empty table gives no rows. Further columns are carried along, but for those
+with the names of results.
 """
 
 from __future__ import annotations

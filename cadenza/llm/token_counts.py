@@ -13,11 +13,14 @@ a shorter prefix plus one token, so a state holds what later bytes can ask about
 every position of the last bytes from where some token may still go on, the last token and
 the count relative to now. A transition is annotated with the tokens it emits (the
 change of the count, which may be negative when tokens join). States are determinised
-on first use and shared by all texts of a task; at a state limit the table starts anew.
+on first use and shared by all texts of a worker; at a limit, also inside a text, the table
+starts anew from the current state, so that it stays bounded however long a text is.
 
 Defined results: null texts count as empty (0 bytes, 0 tokens); the file's added
 tokens inside a text count one each, as the library does by default; texts of any
-length are counted whole. Other columns are carried along.
+length are counted whole, also those without any blank. Rows that repeat are rows of their
+own; an empty table gives no rows. Other columns are carried along, but for those with the
+names of results.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from cadenza.llm.common import carried, table
 
 LIMIT = 512
 #: CHUNK: characters of a chunk whose state maps compose. STATES, WORDS: most states and whole pre-tokens that a task remembers.
-CHUNK, STATES, WORDS, WORD_CHARS = 64, 200_000, 700_000, 32
+CHUNK, STATES, WORDS, WORD_CHARS = 64, 100_000, 500_000, 32
 
 # Character classes. The contraction letters s d m t v r l e are kept apart from the other letters;
 # CONTRACTS is a quote before one of 's 'd 'm 't 've 're 'll.
@@ -183,7 +186,10 @@ class Counter:
         self.move: list[dict[int, tuple[int, int]]] = [{}]
 
     def _compatible(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens can stand side by side: no pair over their border joins before each is complete."""
+        """Whether the two tokens can stand side by side: no pair over their border joins before each is complete.
+
+        The test for adjacent tokens of Berglund and van der Merwe, Formalizing BPE Tokenization (2023), is the model.
+        """
         rank, parts, far = self.rank, self.parts, 1 << 60
         a, b, limit = left, right, far
         while rank.get((a, b), far) >= limit:
@@ -217,20 +223,27 @@ class Counter:
             if self.child[after]:
                 alive.append((after, last, before))
         new = (*[(node, last, before - count) for node, last, before in alive], (0, token, 0))
-        found = self.number.get(new)
+        step = self.move[state][byte] = (self._number(new), count)
+        return step
+
+    def _number(self, state: tuple[tuple[int, int, int], ...]) -> int:
+        found = self.number.get(state)
         if found is None:
-            found = self.number[new] = len(self.states)
-            self.states.append(new)
+            found = self.number[state] = len(self.states)
+            self.states.append(state)
             self.move.append({})
-        step = self.move[state][byte] = (found, count)
-        return step
+        return found
 
     def count(self, word: bytes) -> int:
-        if len(self.states) > STATES:
-            self.reset()
         state, total, move = 0, 0, self.move
         for b in word:
-            step = move[state].get(b) or self._determinise(state, b)
+            step = move[state].get(b)
+            if step is None:
+                if len(self.states) > STATES:
+                    here = self.states[state]
+                    self.reset()
+                    state, move = self._number(here), self.move
+                step = self._determinise(state, b)
             state = step[0]
             total += step[1]
         return total

@@ -5,15 +5,19 @@ between blanks and none running over a blank, hashed to 2^18 buckets. A bucket's
 is its naive Bayes log-count ratio, log((p/|p|) / (q/|q|)), where the bucket occurs in
 the text, else 0 (Wang and Manning, 2012); ratios below 0.7 either way count as 0. A logistic model is fitted on these features.
 
-Training uses at most TRAIN_ROWS labelled documents (a documented bound; chosen by a
-seeded hash of doc_id, so reruns agree), never those held out: crc32(doc_id as text)
-mod 5 is 0. Their buckets are computed on the executors; the driver fits the weights.
-Scoring reads every whole text; labels, lang, source and doc_id play no part in it.
+Training uses at most TRAIN_ROWS labelled documents and TRAIN_CHARS characters of them
+(documented bounds; in the order of a seeded hash of doc_id, so reruns agree; texts of over
+TRAIN_TEXT characters are scored, but not learned from), never those held out:
+crc32(doc_id as text) mod 5 is 0. Their buckets are computed on the executors; the driver
+fits the weights. Scoring reads every whole text; labels, lang, source and doc_id play no
+part in it.
 
 Defined results: null texts count as empty, empty texts get the score of the intercept;
-documents that have several labels count as toxic if one of them says so; null labels
-are left out; without labels of both kinds every score is the share of toxic labels (0
-without any). Further columns are carried along.
+documents that have several labels count as toxic if one of them says so; of rows that
+repeat a labelled doc_id the one with the least hash of its text is learned from, all are
+scored; null labels are left out; without labels of both kinds every score is the share of
+toxic labels (0 without any). An empty table gives no rows. Further columns are carried
+along, but for one with the name of the result.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.common import carried, table
 
 SIZES, BITS = (2, 3, 4, 5), 18
+TRAIN_CHARS, TRAIN_TEXT, TRAIN_TASKS = 16_000_000, 200_000, 16
 TRAIN_ROWS, SEED, ROUNDS, RATE, POSITIVE_WEIGHT, RIDGE, LEAST_RATIO = 6000, 11, 120, 0.08, 4.0, 1e-6, 0.7
 
 
@@ -107,13 +113,15 @@ def _bucket_rows(source: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on at most `rows` labelled documents that are not held out."""
+    """Fit on at most `rows` labelled documents that are not held out, and TRAIN_CHARS characters of them."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("__id", F.lit(SEED)), "__id").limit(rows)
-    # at most `rows` pairs of ids and labels are broadcast
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("toxic", "text")
-    got = _bucket_rows(sample).toArrow()
+    # at most `rows` pairs of ids and labels are broadcast; of rows that share an id one is left by partial aggregation
+    short = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where(F.coalesce(F.length(text), F.lit(0)) <= TRAIN_TEXT)
+    sample = short.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("__id", F.lit(SEED)), "__id"))  # over `rows` rows at most
+    got = _bucket_rows(sample.withColumn("sum", F.coalesce(so_far, F.lit(0))).where(F.col("sum") <= TRAIN_CHARS).select("toxic", "text").repartition(TRAIN_TASKS)).toArrow()
     y = got.column("toxic").to_numpy().astype(np.int8)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -123,12 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit([ids[i] for i in order], y[order])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs[keep] plus score (double, 0 to 1)."""
-    keep = carried(docs, ("score",), text) if keep is None else keep
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """docs[keep] plus the score (double, 0 to 1) in column out."""
+    keep = carried(docs, (out.lower(),), text) if keep is None else [c for c in keep if c.lower() != out.lower()]
     at, k = (keep.index(text) if text in keep else len(keep)), len(keep)
     source = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))  # 1 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

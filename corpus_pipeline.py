@@ -1,7 +1,14 @@
 """Documents to training tokens: five stages, each written as Parquet and read again by the next.
 
 toxicity -> line dedup -> near-duplicate removal -> mixing sources -> SentencePiece ids.
-The first four return the columns of documents; n_chars follows the text.
+The first four return the columns of documents; n_chars, where there is one, follows the text.
+
+Defined results, for all stages: null and empty texts pass as they are (no words, so mixing
+takes none); texts of any length are worked on whole; columns beyond doc_id and text, whatever
+their names (score, size, n_lines, ...), are carried along unchanged, those of mixing also need
+source; names that begin with "__" are kept for the stages' own columns; rows that repeat are
+rows of their own except in near-duplicate removal, where one stays; an empty table gives an
+empty one with the same columns. Ties are named at each stage.
 """
 
 from __future__ import annotations
@@ -21,40 +28,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the classifier learns from the labels of the same table."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model, keep=docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, keep=docs.columns, out="__score").where("__score < 0.5").drop("__score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of repeated three-line windows; one that has lost all its lines goes."""
-    cleaned = line_dedup.dedup_lines(docs)
-    return _resized(cleaned.where("n_lines = 0 OR n_removed < n_lines").select(*docs.columns))
+    """Documents without lines of repeated three-line windows; one that has lost all its lines goes.
+
+    Of equal windows the first by doc_id (null first), hash of the text and position stays.
+    """
+    cleaned = line_dedup.dedup_lines(docs, prefix="__")
+    return _resized(cleaned.where("__n_lines = 0 OR __n_removed < __n_lines").select(*docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs)
-    extra = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (near_dedup.node(F.col("text")) == F.col("__node"))
-    return docs.join(extra, same, "left_anti").select(*docs.columns)
+    """One document of each near-duplicate class: the row with the smallest doc_id (null last), then the smallest hash of its text, then of its columns."""
+    return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a document as often as its words are taken, the last time its first words only if a block ends inside."""
-    mixed = mixing.mix(docs)
-    whole, rest = F.expr("taken div size").cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    """The mix itself: a document as often as its words are taken, the last time its first words only if a block ends inside.
+
+    The order inside a shard is by a seeded hash of doc_id, then doc_id, size and hash of the text.
+    """
+    mixed = mixing.mix(docs, prefix="__")
+    size = F.greatest(F.col("__size"), F.lit(1))  # what takes no words is filtered below, but perhaps after this
+    whole, rest = F.floor(F.col("__taken") / size).cast("int"), (F.col("__taken") % size).cast("int")
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), ""))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat("text", whole), part)
-    out = mixed.where("taken > 0").withColumn("__texts", texts).withColumn("__one", F.explode("__texts"))
+    out = mixed.where("__taken > 0").withColumn("__texts", texts).withColumn("__one", F.explode("__texts"))
     return _resized(out.select(*[F.col("__one").alias("text") if c == "text" else F.col(c) for c in docs.columns]))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and a digest of what they decode to."""
+    """doc_id, lang, source, token ids of every document of the mix, their number, and a digest of what they decode to."""
     import public_tokenizers
 
-    coded = sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    narrow = docs.select("doc_id", "lang", "source", "text")
+    return sentencepiece_codec.encode_documents(narrow, public_tokenizers.path("piece_bpe_32k.model"), results=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on keys where nulls match; the right side's keys are not repeated. No keys: right must be one row."""
+    """Equi-join on keys where nulls match; the right side's keys are not repeated. No keys: right must be one row, more are an error."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))
+        alone = F.assert_true(F.count(F.lit(1)).over(W.partitionBy()) == 1, "a join without keys needs one row on its right")
+        return left.crossJoin(F.broadcast(right.withColumn("__alone", alone).where("__alone IS NULL").drop("__alone")))
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     on = None
     for k in keys:

@@ -7,6 +7,10 @@ slices before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +20,13 @@ from cadenza.operators.common import join_on
 SLICES = 64
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, out: str = "rank") -> DataFrame:
+def average_ranks(df: DataFrame, group: list[str], value: str, out: str = "rank", times: str | None = None) -> DataFrame:
     """(group, value, out): rank from 1 of every distinct value, ties sharing the mean of their places.
 
-    Null and NaN values are left out; -0.0 ties with 0.0.
+    Null and NaN values are left out; -0.0 ties with 0.0. times: a column that says how many rows a row stands for.
     """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, value).agg(n.alias("__n"))
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)]).alias("__cuts"))
     sliced = join_on(counts, cuts, group).withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sizes = sliced.groupBy(*group, "__slice").agg(F.sum("__n").alias("__s"))
@@ -51,43 +56,203 @@ def correlate(df: DataFrame, group: list[str], x: str, y: str, out: str = "r") -
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
-    """Spearman correlation by group: Pearson of average-tie ranks."""
-    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = with_ranks(with_ranks(clean, group, "__x", "__rx"), group, "__y", "__ry")
-    return correlate(ranked, group, "__rx", "__ry", out)
+    """n and Spearman correlation by group: Pearson of average-tie ranks, whose mean is (n + 1) / 2. 0 for under two rows or without spread.
 
+    Equal pairs are counted once, before they are ranked; the counts are kept, as they are read several times.
+    """
+    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
+    clean = df.where(xs.isNotNull() & ys.isNotNull() & ~F.isnan(xs) & ~F.isnan(ys)).select(*group, xs.alias("__x"), ys.alias("__y"))
+    pairs = clean.groupBy(*group, "__x", "__y").agg(F.count(F.lit(1)).alias("__t")).persist()
+    total = pairs.groupBy(*group).agg(F.sum("__t").alias("n"))
+    ranked = join_on(pairs, average_ranks(pairs, group, "__x", "__rx", "__t"), [*group, "__x"])
+    ranked = join_on(join_on(ranked, average_ranks(pairs, group, "__y", "__ry", "__t"), [*group, "__y"]), total, group)
+    dx, dy, t = F.col("__rx") - (F.col("n") + 1) / 2, F.col("__ry") - (F.col("n") + 1) / 2, F.col("__t")
+    sums = ranked.groupBy(*group).agg(F.max("n").alias("n"), F.sum(t * dx * dy).alias("__xy"), F.sqrt(F.sum(t * dx * dx) * F.sum(t * dy * dy)).alias("__s"))
+    flat = (F.col("n") < 2) | (F.col("__s") < 1e-15)
+    rho = F.when(flat, F.lit(0.0)).otherwise(F.col("__xy") / F.when(flat, F.lit(1.0)).otherwise(F.col("__s")))
+    return sums.select(*group, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(rho, F.lit(0.0)).alias(out))
 
-def bootstrap_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
-    """(group, b, cluster, times): how often each replicate draws each cluster, by md5(seed:b:j) modulo the number of clusters.
 
-    clusters is numbered once; a replicate's draws are hashed rows, so they need no driver.
-    """
-    group = group or []
-    numbered = clusters.select(*group, cluster).distinct().withColumn("g", F.row_number().over(W.partitionBy(*group).orderBy(cluster)) - 1)
-    total = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
-    draws = join_on(numbered.select(*group, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))), total, group)
+def _numbered(rows: DataFrame, cluster: str, group: list[str]) -> DataFrame:
+    """(group, cluster, g, total): different clusters, numbered from 0 in their order."""
+    w = W.partitionBy(*group)
+    return rows.select(*group, cluster).distinct().withColumns({"g": F.row_number().over(w.orderBy(cluster)) - 1, "total": F.count(F.lit(1)).over(w)})
+
+
+def _times(numbers: DataFrame, first: int, replicates: int, seed: int, group: list[str]) -> DataFrame:
+    """(group, b, g, times): how often replicates first, first + 1, ... draw each cluster, by md5(seed:b:j) modulo the number of clusters."""
+    draws = numbers.select(*group, "g", "total").withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "g")), 1, 8), 16, 10).cast("long") % F.col("total")
-    times = draws.select(*group, "b", pick.alias("g")).groupBy(*group, "b", "g").agg(F.count(F.lit(1)).alias("times"))
-    return join_on(times, numbered, [*group, "g"]).select(*group, "b", cluster, "times")
+    return draws.select(*group, "b", pick.alias("g")).groupBy(*group, "b", "g").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _clean(df: DataFrame, x: str, y: str, cluster: str, group: list[str]) -> DataFrame:
+    d = df.select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("__c"))
+    return d.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+
+
+def bootstrap_by_rows(clean: DataFrame, replicates: int, seed: int, group: list[str]) -> DataFrame:
+    """(group, b, rho) by drawing the rows themselves: as many rows as the input times the replicates, whatever its size."""
+    numbers = _numbered(clean, "__c", group)
+    times = join_on(_times(numbers, 0, replicates, seed, group), numbers, [*group, "g"]).select(*[F.col(c).alias(f"__of_{c}") for c in group], "b", F.col("__c").alias("__drawn"), "times")
+    on = F.col("__c").eqNullSafe(F.col("__drawn"))
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    drawn = clean.join(times, on).select(*group, "b", "x", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+    return spearman(drawn, [*group, "b"], "x", "y")
+
+
+class WeightedRanks:
+    """Spearman's rho of many resamples at once: the rows stay, each replicate weighs them by how often it draws their cluster.
+
+    Equal rows of a cluster are counted first. Of x and y the one with fewer different values is ranked
+    for all replicates in a table of bounded size, which is broadcast; the other is cut into slices by
+    quantiles. A slice knows the weights before it, ranks its own rows and returns two sums of products
+    for each replicate. No row is copied.
+    """
+
+    #: Numbers in a broadcast table (clusters or values by replicates); replicates at least in a pass, groups and slices at most; columns worked on together.
+    CELLS, LEAST, GROUPS, SLICES, ROWS, COLUMNS = 4_000_000, 20, 1000, 1024, 100_000, 64
+
+    def __init__(self, clean: DataFrame, group: list[str]) -> None:
+        key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
+        self.numbers = _numbered(clean, "__c", group).withColumn("key", key).select("key", F.col("__c").alias("__n"), "g", "total")
+        keyed = clean.select(key.alias("__k"), "x", "y", "__c")
+        joined = keyed.join(self.numbers, (F.col("__k") == F.col("key")) & F.col("__c").eqNullSafe(F.col("__n")))
+        zero = lambda c: (F.col(c) + 0.0).alias(c)  # noqa: E731  # -0.0 ties with 0.0
+        self.counts = joined.groupBy("key", "g", zero("x"), zero("y")).agg(F.count(F.lit(1)).alias("n")).persist()
+        size = self.counts.groupBy("key").agg(F.approx_count_distinct("x").alias("dx"), F.approx_count_distinct("y").alias("dy"), F.count(F.lit(1)).alias("rows")).limit(self.GROUPS + 1).toArrow().to_pydict()
+        self.groups, self.rows = len(size["key"]), max([1, *size["rows"]])
+        dx, dy = 2 * sum(size["dx"]), 2 * sum(size["dy"])  # the estimate may be too small
+        self.few, self.many = ("y", "x") if dy <= dx else ("x", "y")
+        clusters = self.numbers.groupBy("key").agg(F.max("total").alias("t")).agg(F.sum("t")).first()[0] or 1
+        self.block = self.CELLS // max(1, clusters, min(dx, dy))
+
+    def fits(self) -> bool:
+        return self.groups <= self.GROUPS and self.block >= self.LEAST
+
+    def rhos(self, replicates: int, seed: int) -> dict[str, np.ndarray]:
+        """Rho of every replicate by key of the group."""
+        parts = [self._pass(first, min(self.block, replicates - first), seed) for first in range(0, replicates, self.block)]
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+
+    def _pass(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
+        spark = self.counts.sparkSession
+        drawn = _times(self.numbers, first, b, seed, ["key"]).join(F.broadcast(self.numbers.groupBy("key").agg(F.max("total").alias("t")).withColumnRenamed("key", "__k")), F.col("key") == F.col("__k")).select("key", "t", "b", "g", "times").toArrow()
+        times: dict[str, np.ndarray] = {}
+        keys, total, rep, g, n = (drawn.column(i).to_numpy() for i in range(5))
+        for k in np.unique(keys.astype(str)).tolist():
+            here = keys == k
+            times[k] = np.zeros((int(total[here][0]), b), np.float32)
+            times[k][g[here], rep[here] - first] = n[here]
+        drawn_by = spark.sparkContext.broadcast(times)  # within CELLS
+        table = self._few_ranks(drawn_by)
+        ranks = spark.sparkContext.broadcast(table)  # within CELLS
+        many = self.counts.select("key", F.col(self.many).alias("u"), F.col(self.few).alias("v"), "g", "n")
+        slices = int(min(self.SLICES, max(1, -(-self.rows // self.ROWS))))
+        if slices > 1:
+            cuts = many.groupBy("key").agg(F.percentile_approx("u", [i / slices for i in range(1, slices)]).alias("cuts")).withColumnRenamed("key", "__k")
+            many = many.join(F.broadcast(cuts), F.col("key") == F.col("__k")).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("u")))).drop("__k", "cuts")
+        else:
+            many = many.withColumn("slice", F.lit(0))
+
+        def weights(part: pa.Table) -> pa.Table:
+            k = part.column("key")[0].as_py()
+            n, g = part.column("n").to_numpy().astype(np.float64), part.column("g").to_numpy()
+            per = np.bincount(g, n, len(drawn_by.value[k]))
+            return pa.table({"key": [k], "slice": part.column("slice").slice(0, 1), "w": pa.array([(per @ drawn_by.value[k]).astype(np.float64).tobytes()], pa.binary())})
+
+        ahead: dict[tuple[str, int], np.ndarray] = {}
+        if slices > 1:
+            got = sorted(many.groupBy("key", "slice").applyInArrow(weights, "key string, slice int, w binary").collect())  # a row for each slice of a group
+            for i, row in enumerate(got):
+                last = got[i - 1] if i and got[i - 1]["key"] == row["key"] else None
+                ahead[row["key"], row["slice"]] = ahead[last["key"], last["slice"]] + np.frombuffer(last["w"]) if last else np.zeros(b)
+        before = spark.sparkContext.broadcast(ahead)
+        columns = self.COLUMNS
+
+        def sums(part: pa.Table) -> pa.Table:
+            k, piece = part.column("key")[0].as_py(), part.column("slice")[0].as_py()
+            u = part.column("u").to_numpy()
+            order = np.argsort(u, kind="stable")
+            u, g = u[order], part.column("g").to_numpy()[order]
+            n, values = part.column("n").to_numpy()[order].astype(np.float64), ranks.value[k]
+            place = np.searchsorted(values["v"], part.column("v").to_numpy()[order])
+            starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            run = np.cumsum(np.append(True, u[1:] != u[:-1])) - 1
+            start = before.value.get((k, piece), np.zeros(b))
+            xx, xy = np.zeros(b), np.zeros(b)
+            for c in range(0, b, columns):
+                some = slice(c, c + columns)
+                w = n[:, None] * drawn_by.value[k][g][:, some]
+                own = np.add.reduceat(w, starts, axis=0)
+                off = start[some] + np.cumsum(own, axis=0) - own + (own + 1) / 2 - values["mean"][some]
+                xx[some] = (own * off * off).sum(axis=0)
+                xy[some] = (w * off[run] * values["off"][:, some][place]).sum(axis=0)
+            return pa.table({"key": [k], "xx": pa.array([xx.tobytes()], pa.binary()), "xy": pa.array([xy.tobytes()], pa.binary())})
+
+        out = {k: np.zeros((2, b)) for k in table}
+        for row in sorted(many.groupBy("key", "slice").applyInArrow(sums, "key string, xx binary, xy binary").collect()):  # a row for each slice of a group
+            out[row["key"]] += np.frombuffer(row["xx"] + row["xy"]).reshape(2, b)
+        rhos = {}
+        for k, (xx, xy) in out.items():
+            spread = np.sqrt(xx * table[k]["yy"])
+            rhos[k] = np.where((spread < 1e-15) | (table[k]["mean"] < 1.5), 0.0, xy / np.where(spread < 1e-15, 1.0, spread))
+        return rhos
+
+    def _few_ranks(self, drawn_by) -> dict[str, dict[str, np.ndarray]]:  # noqa: ANN001
+        """Of the side with fewer values: values, their ranks less the mean for every replicate, the mean, the sum of squares."""
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, v, g, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                for k in np.unique(keys.astype(str)).tolist():
+                    here = keys == k
+                    values, at = np.unique(v[here], return_inverse=True)
+                    w = np.zeros((len(values), drawn_by.value[k].shape[1]))
+                    for lo in range(0, len(at), 2000):
+                        np.add.at(w, at[lo : lo + 2000], n[here][lo : lo + 2000, None] * drawn_by.value[k][g[here][lo : lo + 2000]])
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(values)), pa.array(values), pa.array([x.tobytes() for x in w], pa.binary())], names=["key", "v", "w"])
+
+        each = self.counts.groupBy("key", F.col(self.few).alias("v"), "g").agg(F.sum("n").alias("n"))
+        dealt = each.select("key", "v", "g", "n").repartition("key", "v").sortWithinPartitions("key", "v")
+        got = dealt.mapInArrow(weigh, "key string, v double, w binary").toArrow()  # a row for each value, within CELLS, and a few more
+        keys, v = got.column("key").to_numpy().astype(str), got.column("v").to_numpy()
+        w = np.frombuffer(b"".join(got.column("w").to_pylist())).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+        out = {}
+        for k in np.unique(keys).tolist():
+            here = np.flatnonzero(keys == k)
+            values, at = np.unique(v[here], return_inverse=True)
+            own = np.zeros((len(values), w.shape[1]))
+            np.add.at(own, at, w[here])
+            mean = (own.sum(axis=0) + 1) / 2
+            off = np.cumsum(own, axis=0) - own + (own + 1) / 2 - mean
+            out[k] = {"v": values, "off": off, "mean": mean, "yy": (own * off * off).sum(axis=0)}
+        return out
 
 
 def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
     """(group, lo, hi): 2.5 and 97.5 percent points of Spearman's rho over resampled clusters. One row without group.
 
     Zeros for under ten rows, two clusters or one replicate. A point is the element at round(q (n - 1)).
+    Tables too large for WeightedRanks (very many different values on both sides, clusters or groups) are resampled row by row.
     """
     group = group or []
-    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("__c"))
-    draws = bootstrap_draws(clean, "__c", replicates, seed, group)
-    on = F.col("__c") == F.col("__drawn")
-    for c in group:
-        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    drawn = clean.join(draws.withColumnsRenamed({"__c": "__drawn"} | {c: f"__of_{c}" for c in group}), on).select(*group, "b", "x", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    rhos = spearman(drawn, [*group, "b"], "x", "y")
-    last = F.count(F.lit(1)) - 1
-    sizes = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__c").alias("g"))
+    clean = _clean(df, x, y, cluster, group)
+    sizes = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col("__c").cast("string"), F.lit(""))).alias("g"))
+    ranks = WeightedRanks(clean, group)
+    if ranks.fits():
+        found = ranks.rhos(replicates, seed)
+        ranks.counts.unpersist()
+        rows = [(k, sorted(r.tolist())) for k, r in found.items()]  # as many numbers as replicates for each of GROUPS groups at most
+        key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
+        ends = df.sparkSession.createDataFrame(rows, "__k string, rhos array<double>").withColumn("last", F.size("rhos") - 1)
+        ends = sizes.withColumn("__key", key).join(F.broadcast(ends), F.col("__key") == F.col("__k"), "left")
+    else:
+        ranks.counts.unpersist()
+        last = F.count(F.lit(1)) - 1
+        ends = bootstrap_by_rows(clean, replicates, seed, group).groupBy(*group).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
+        ends = join_on(sizes, ends, group, "left") if group else ends.crossJoin(F.broadcast(sizes))  # one row each
     at = lambda q: F.element_at("rhos", F.round(q * F.col("last")).cast("int") + 1)
-    ends = rhos.groupBy(*group).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
-    ends = join_on(sizes, ends, group, "left") if group else ends.crossJoin(F.broadcast(sizes))  # one row each
     enough = (F.col("n") >= 10) & (F.col("g") >= 2) & (F.size("rhos") > 0)
     return ends.select(*group, F.when(enough, at(0.025)).otherwise(0.0).alias("lo"), F.when(enough, at(0.975)).otherwise(0.0).alias("hi"))

@@ -25,11 +25,7 @@ def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.cluster_bootstrap(events(spark, sf_dir), "value", "k", "user_id", 20).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
-
-
-def cluster_bootstrap_ci_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As cluster_bootstrap_ci, with the reference's number of replicates; tests check it by brute force."""
+    """Interval of Spearman's rho over 2,000 resamples of the users."""
     return stats.cluster_bootstrap(events(spark, sf_dir), "value", "k", "user_id", evaluate.REPLICATES).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -47,13 +43,13 @@ def corr_sql(source: str, by: str, x: str, y: str, out: str, count: str = ", cou
 from (select {by}, {x} - avg({x}) over (partition by {by}) as dx, {y} - avg({y}) over (partition by {by}) as dy from {source}) group by {by}"""
 
 
-QUERIES = {f.__name__: f for f in (avg_tie_ranks, pearson_by_group, spearman_by_group, cluster_bootstrap_ci, cluster_bootstrap_ci_2000)}
+QUERIES = {f.__name__: f for f in (avg_tie_ranks, pearson_by_group, spearman_by_group, cluster_bootstrap_ci)}
 ORACLE = {
     "avg_tie_ranks": f"with {EV} select event_id, event_type, (rank() over (partition by event_type order by k) + (count(*) over (partition by event_type, k) - 1) / 2.0::double)::double as rank_k from ev",
     "pearson_by_group": f"with {EV} {corr_sql('ev', 'event_type', 'value', 'k', 'r')}",
     "spearman_by_group": f"with {EV}, xy as (select event_type, value as x, k as y from ev), rk as ({ranked('xy', 'event_type')}) {corr_sql('rk', 'event_type', 'rx', 'ry', 'rho')}",
     "cluster_bootstrap_ci": f"""with {EV}, c as (select user_id, row_number() over (order by user_id) - 1 as g, count(*) over () as total from (select distinct user_id from ev)),
-d as (select b, ('0x' || substr(md5('42:' || b || ':' || g), 1, 8))::bigint % total as g from c, range(20) t(b)),
+d as (select b, ('0x' || substr(md5('42:' || b || ':' || g), 1, 8))::bigint % total as g from c, range({evaluate.REPLICATES}) t(b)),
 xy as (select d.b, ev.value as x, ev.k as y from d join c on d.g = c.g join ev on ev.user_id = c.user_id),
 rk as ({ranked('xy', 'b')}), r as ({corr_sql('rk', 'b', 'rx', 'ry', 'rho', '').replace(', 6) as', ', 15) as')}),
 s as (select list_sort(list(rho)) as l, count(*) - 1 as n from r)

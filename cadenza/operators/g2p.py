@@ -3,9 +3,10 @@
 A word's readings are tried in order: in the dictionary; base and possessive ending;
 hyphen-separated parts; stem and suffix, else prefix and base; two words run together;
 prefix, stem and suffix; spelling rules for the base of a possessive; spelling rules.
-Instead of trying one after the other, all candidates of a word are made at once, meet
-the dictionary in two equi-joins, and the match of least rank wins. Only different words
-go through this, so text size does not matter.
+Instead of trying one after the other, a word's last and first letters meet the tables of
+endings and beginnings (a few rows each, broadcast), the stems that come out meet the
+dictionary in equi-joins, and the match of least rank wins; words without any are spelt by
+rule. Only different words go through this, so text size does not matter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from cadenza.functions import phonemes as ph
 METHODS = {1: "dictionary", 2: "possessive", 3: "hyphen_split", 4: "affix_strip", 5: "compound_split", 6: "chained_affix", 7: "possessive_rules", 8: "rules"}
 
 
+#: Occurrences from which a word is dealt to several tasks, and how many such words there can be.
+OFTEN, HOT_WORDS = 200_000, 10_000
+
+
 def seed_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w, ph.classes(p)) for w, p in ph.SEED_DICTIONARY.items()], "word string, phones array<int>")
 
@@ -26,76 +31,78 @@ def _ints(values: list[int]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<int>")
 
 
-def _affixes(table: dict[str, str]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("affix"), _ints(ph.classes(p)).alias("phones")) for i, (a, p) in enumerate(table.items())])
-
-
-def _candidate(prio: int, s1: Column, s2: Column, left: Column, right: Column | None = None, pre: Column | None = None, post: Column | None = None) -> Column:
-    empty = _ints([])
-    return F.struct(
-        F.lit(prio).alias("prio"), s1.cast("int").alias("s1"), s2.cast("int").alias("s2"), left.alias("left"), (F.lit(None).cast("string") if right is None else right).alias("right"),
-        (empty if pre is None else pre).alias("pre"), (empty if post is None else post).alias("post"),
-    )
+def _affixes(spark: SparkSession, table: dict[str, str]) -> DataFrame:
+    """affix, ord, phones: a few rows by construction."""
+    return F.broadcast(spark.createDataFrame([(a, i, ph.classes(p)) for i, (a, p) in enumerate(table.items())], "affix string, ord int, phones array<int>"))
 
 
-def _without(word: Column, suffix: Column) -> Column:
-    return F.substring(word, F.lit(1), F.length(word) - F.length(suffix))
+def _ended(words: DataFrame, text: str, table: dict[str, str], least: int, ord_: str, phones: str, base: str) -> DataFrame:
+    """words whose text ends in an affix with at least `least` letters before it: its number, its phonemes, what is before it."""
+    sizes = sorted({len(a) for a in table})
+    ends = F.explode(F.filter(F.array(*[F.when(F.length(text) >= k + least, F.right(F.col(text), F.lit(k))) for k in sizes]), lambda e: e.isNotNull()))
+    found = words.withColumn("__end", ends).join(_affixes(words.sparkSession, table).withColumnsRenamed({"ord": ord_, "phones": phones}), F.col("__end") == F.col("affix"))
+    return found.withColumn(base, F.left(F.col(text), F.length(text) - F.length("affix"))).drop("__end", "affix")
 
 
-def _stems(base: Column) -> Column:
-    """The base as it is, with a final E, with a final I as Y: struct(variant, stem)."""
-    y = F.when(base.endswith("I"), F.concat(_without(base, F.lit("I")), F.lit("Y")))
-    all_ = F.array(F.struct(F.lit(0).alias("v"), base.alias("stem")), F.struct(F.lit(1).alias("v"), F.concat(base, F.lit("E")).alias("stem")), F.struct(F.lit(2).alias("v"), y.alias("stem")))
-    return F.filter(all_, lambda s: s["stem"].isNotNull())
+def _begun(words: DataFrame, text: str, table: dict[str, str], least: int, ord_: str, phones: str, rest: str) -> DataFrame:
+    """words whose text begins with an affix with at least `least` letters behind it."""
+    sizes = sorted({len(a) for a in table})
+    starts = F.explode(F.filter(F.array(*[F.when(F.length(text) >= k + least, F.left(F.col(text), F.lit(k))) for k in sizes]), lambda e: e.isNotNull()))
+    found = words.withColumn("__start", starts).join(_affixes(words.sparkSession, table).withColumnsRenamed({"ord": ord_, "phones": phones}), F.col("__start") == F.col("affix"))
+    return found.withColumn(rest, F.substring(F.col(text), F.length("affix") + 1, F.length(text))).drop("__start", "affix")
 
 
-def candidates(word: Column) -> Column:
-    """All candidate readings of an upper-case word but hyphen splits and rules."""
-    w, n, zero = word, F.length(word), F.lit(0)
-    possessive = F.transform(F.filter(_affixes(ph.POSSESSIVES), lambda a: w.endswith(a["affix"]) & (n > F.length(a["affix"]))), lambda a: _candidate(2, a["ord"], zero, _without(w, a["affix"]), post=a["phones"]))
+def _stems(base: str) -> Column:
+    """The base as it is, with a final E, with a final I as Y: rows (v, stem)."""
+    b = F.col(base)
+    y = F.when(b.endswith("I"), F.concat(F.left(b, F.length(b) - 1), F.lit("Y")))
+    all_ = F.array(F.struct(F.lit(0).alias("v"), b.alias("stem")), F.struct(F.lit(1).alias("v"), F.concat(b, F.lit("E")).alias("stem")), F.struct(F.lit(2).alias("v"), y.alias("stem")))
+    return F.inline(F.filter(all_, lambda s: s["stem"].isNotNull()))
 
-    def suffixed(text: Column, least: int = 2) -> Column:
-        return F.filter(_affixes(ph.SUFFIXES), lambda a: text.endswith(a["affix"]) & (F.length(text) >= F.length(a["affix"]) + least))
 
-    suffix = F.flatten(F.transform(suffixed(w), lambda a: F.transform(_stems(_without(w, a["affix"])), lambda s: _candidate(4, a["ord"], s["v"], s["stem"], post=a["phones"]))))
+def candidates(words: DataFrame) -> DataFrame:
+    """word, prio, s1, s2, left, right, pre, post: all candidate readings of upper-case words but hyphen splits and rules."""
+    none, zero = _ints([]), F.lit(0)
 
-    def prefixed(least: int) -> Column:
-        return F.filter(_affixes(ph.PREFIXES), lambda a: w.startswith(a["affix"]) & (n >= F.length(a["affix"]) + least))
+    def rows(df: DataFrame, prio: int, s1: Column, s2: Column, left: str, right: Column | None = None, pre: Column = none, post: Column = none) -> DataFrame:
+        return df.select("word", F.lit(prio).alias("prio"), s1.cast("int").alias("s1"), s2.cast("int").alias("s2"), F.col(left).alias("left"), (F.lit(None).cast("string") if right is None else right).alias("right"), pre.alias("pre"), post.alias("post"))
 
-    rest = lambda a: F.substring(w, F.length(a["affix"]) + 1, n)
-    prefix = F.transform(prefixed(2), lambda a: _candidate(4, 100 + a["ord"], zero, rest(a), pre=a["phones"]))
-    split = F.when(n >= 6, F.transform(F.sequence(F.lit(3), n - 3), lambda k: _candidate(5, k, zero, F.substring(w, F.lit(1), k), F.substring(w, k + 1, n)))).otherwise(F.array().cast("array<struct<prio:int,s1:int,s2:int,left:string,right:string,pre:array<int>,post:array<int>>>"))
-    chained = F.flatten(
-        F.transform(
-            prefixed(4),
-            lambda p: F.flatten(F.transform(suffixed(rest(p)), lambda a: F.transform(_stems(_without(rest(p), a["affix"])), lambda s: _candidate(6, p["ord"], a["ord"] * 3 + s["v"], s["stem"], pre=p["phones"], post=a["phones"])))),
-        )
-    )
-    return F.concat(F.array(_candidate(1, zero, zero, w)), possessive, suffix, prefix, split, chained)
+    plain = rows(words, 1, zero, zero, "word")
+    possessive = rows(_ended(words, "word", ph.POSSESSIVES, 1, "o", "p", "base"), 2, F.col("o"), zero, "base", post=F.col("p"))
+    suffixed = _ended(words, "word", ph.SUFFIXES, 2, "o", "p", "base").select("word", "o", "p", _stems("base"))
+    suffix = rows(suffixed, 4, F.col("o"), F.col("v"), "stem", post=F.col("p"))
+    begun = _begun(words, "word", ph.PREFIXES, 2, "po", "pp", "rest")
+    prefix = rows(begun, 4, 100 + F.col("po"), zero, "rest", pre=F.col("pp"))
+    inner = _ended(begun.where(F.length("rest") >= 4), "rest", ph.SUFFIXES, 2, "o", "p", "base").select("word", "po", "pp", "o", "p", _stems("base"))
+    chained = rows(inner, 6, F.col("po"), F.col("o") * 3 + F.col("v"), "stem", pre=F.col("pp"), post=F.col("p"))
+    cut = words.where(F.length("word") >= 6).withColumn("k", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
+    cut = cut.select("word", "k", F.left("word", F.col("k")).alias("l"), F.substring("word", F.col("k") + 1, F.length("word")).alias("r"))
+    split = rows(cut, 5, F.col("k"), zero, "l", F.col("r"))
+    return plain.union(possessive).union(suffix).union(prefix).union(split).union(chained)
 
 
 def resolve(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """word, method, phones for every different word (upper case); phones is empty and method null if nothing applies."""
     w = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
     entries = dictionary.select(F.upper("word").alias("entry"), F.col("phones").alias("entry_phones"))
-    c = w.select("word", F.explode(candidates(F.col("word"))).alias("c")).select("word", "c.*")
-    c = c.join(entries.withColumnsRenamed({"entry": "left", "entry_phones": "lp"}), "left").join(entries.withColumnsRenamed({"entry": "right", "entry_phones": "rp"}), "right", "left").where("right IS NULL OR rp IS NOT NULL")
+    c = candidates(w).join(entries.withColumnsRenamed({"entry": "left", "entry_phones": "lp"}), "left").join(entries.withColumnsRenamed({"entry": "right", "entry_phones": "rp"}), "right", "left").where("right IS NULL OR rp IS NOT NULL")
     middle = F.when(F.col("rp").isNotNull(), F.concat(_ints([ph.SILENCE]), F.col("rp"))).otherwise(_ints([]))
     direct = c.select("word", F.struct("prio", "s1", "s2").alias("rank"), F.concat("pre", "lp", middle, "post").alias("phones"))
     parts = w.where(F.instr("word", "-") > 0).select("word", F.filter(F.split("word", "-"), lambda x: x != "").alias("p")).where(F.size("p") >= 2)
     parts = parts.select("word", F.size("p").alias("n"), F.posexplode("p").alias("pos", "entry")).join(entries, "entry")
     hyphen = parts.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "entry_phones"))).alias("got")).where(F.size("got") == F.col("n"))
     joined = F.flatten(F.transform("got", lambda x: F.when(x["pos"] == 0, x["entry_phones"]).otherwise(F.concat(_ints([ph.SILENCE]), x["entry_phones"]))))
-    rank = lambda p: F.struct(F.lit(p).alias("prio"), F.lit(0).alias("s1"), F.lit(0).alias("s2")).alias("rank")
-    hyphen = hyphen.select("word", rank(3), joined.alias("phones"))
-    base = _without(F.col("word"), F.lit("'S"))
-    owned = w.where(F.col("word").endswith("'S") & (F.length("word") >= 4)).select("word", rank(7), ph.letter_to_sound(base).alias("phones")).where(F.size("phones") > 0)
-    owned = owned.withColumn("phones", F.concat("phones", _ints(ph.classes("Z"))))
-    spelt = w.select("word", rank(8), ph.letter_to_sound(F.col("word")).alias("phones")).where(F.size("phones") > 0)
-    best = direct.unionByName(hyphen).unionByName(owned).unionByName(spelt).groupBy("word").agg(F.min("rank").alias("rank"), F.min_by("phones", "rank").alias("phones"))
+    hyphen = hyphen.select("word", F.struct(F.lit(3).alias("prio"), F.lit(0).alias("s1"), F.lit(0).alias("s2")).alias("rank"), joined.alias("phones"))
+    best = direct.unionByName(hyphen).groupBy("word").agg(F.min(F.struct("rank", "phones")).alias("b"))
     names = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
-    found = best.select(F.col("word").alias("w"), F.element_at(names, F.col("rank.prio")).alias("method"), "phones")
-    return w.join(found, F.col("word") == F.col("w"), "left").select("word", "method", F.coalesce("phones", _ints([])).alias("phones"))
+    found = best.select(F.col("word").alias("w"), F.element_at(names, F.col("b.rank.prio")).alias("m"), F.col("b.phones").alias("ps"))
+    base = F.left(F.col("word"), F.length("word") - 2)
+    owned = F.when(F.col("word").endswith("'S") & (F.length("word") >= 4), ph.letter_to_sound(base))
+    spelt = F.when(F.col("m").isNull(), F.struct(F.coalesce(owned, _ints([])).alias("owned"), ph.letter_to_sound(F.col("word")).alias("spelt")))
+    r = w.join(found, F.col("word") == F.col("w"), "left").withColumn("r", spelt)
+    by_rule = F.when(F.size("r.owned") > 0, METHODS[7]).when(F.size("r.spelt") > 0, METHODS[8])
+    phones = F.when(F.size("r.owned") > 0, F.concat("r.owned", _ints(ph.classes("Z")))).otherwise(F.col("r.spelt"))
+    return r.select("word", F.coalesce("m", by_rule).alias("method"), F.coalesce("ps", phones).alias("phones"))
 
 
 def transcript_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,8 +117,14 @@ def transcript_targets(docs: DataFrame, dictionary: DataFrame, doc_id: str = "do
     A text where nothing resolves has no targets; the caller decides whether that is an error.
     """
     words = transcript_words(docs, doc_id, text)
-    known = resolve(words, dictionary).withColumnRenamed("word", "w")
-    joined = words.join(known, F.col("word") == F.col("w"), "left")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).persist()  # a row for each different word
+    # words that stand very often meet several copies of their reading; HOT_WORDS of them at most, whatever the texts
+    often = max(OFTEN, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT_WORDS))
+    hot = F.broadcast(counts.where(F.col("n") > often).select(F.col("word").alias("hw"), F.ceil(F.col("n") / often).cast("int").alias("salts")))
+    known = resolve(counts, dictionary).withColumnRenamed("word", "w").join(hot, F.col("w") == F.col("hw"), "left")
+    known = known.withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hw", "salts")
+    salted = words.join(hot, F.col("word") == F.col("hw"), "left").withColumn("__t", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1)))).drop("hw", "salts")
+    joined = salted.join(known, (F.col("word") == F.col("w")) & (F.col("__t") == F.col("__s")), "left")
     per = joined.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.size("phones") > 0, F.struct("pos", "phones")))).alias("got"),
         F.count(F.lit(1)).alias("words"), F.count_if(F.col("method") == "dictionary").alias("dict_hits"), F.count_if(F.col("method").isin("possessive_rules", "rules")).alias("oov_words"), F.count_if(F.col("method").isNull()).alias("unresolved"),

@@ -74,7 +74,7 @@ def cepstra(energies: DataFrame, dct: DataFrame, key: str) -> DataFrame:
 class Extractor:
     """Frames of one signal in numpy, in float32 as the features are stored."""
 
-    def __init__(self, mode: str) -> None:
+    def __init__(self, mode: str, kind: type = np.float32) -> None:
         if mode not in MODES:
             raise ValueError(f"unknown feature mode {mode!r}: {', '.join(MODES)}")
         filters = MODES[mode]
@@ -84,7 +84,7 @@ class Extractor:
         left, mid, right = edges[:-2], edges[1:-1], edges[2:]
         self.bank = np.where((k > left) & (k <= mid), (k - left) / (mid - left), np.where((k > mid) & (k < right), (right - k) / (right - mid), 0.0))
         self.dct = np.cos(np.pi * np.outer(np.arange(filters) + 0.5, np.arange(CEPSTRA)) / filters)
-        self.window, self.mode, self.dim = np.hanning(FRAME), mode, DIMS[mode]
+        self.window, self.mode, self.dim, self.kind = np.hanning(FRAME), mode, DIMS[mode], kind
 
     def __call__(self, samples: np.ndarray) -> np.ndarray:
         """(frames, dim) features; ValueError for signals shorter than a frame."""
@@ -96,10 +96,10 @@ class Extractor:
         power = np.abs(np.fft.rfft(frames * self.window, FFT)) ** 2
         log_mel = np.log(power @ self.bank + FLOOR)
         if self.mode == "logmel80":
-            return log_mel.astype(np.float32)
+            return log_mel.astype(self.kind)
         static = log_mel @ self.dct
         first = self.delta(static)
-        return np.hstack([static, first, self.delta(first)]).astype(np.float32)
+        return np.hstack([static, first, self.delta(first)]).astype(self.kind)
 
     @staticmethod
     def delta(x: np.ndarray) -> np.ndarray:
@@ -108,16 +108,17 @@ class Extractor:
         return (p[3 : 3 + n] - p[1 : 1 + n] + 2 * (p[4 : 4 + n] - p[:n])) / 10
 
 
-def acoustic_frames(signals: DataFrame, mode: str, samples: str = "samples", keep: list[str] | None = None) -> DataFrame:
-    """keep plus features array<float> (row-major), feature_dim, num_frames and error (short signals)."""
+def acoustic_frames(signals: DataFrame, mode: str, samples: str = "samples", keep: list[str] | None = None, double: bool = False) -> DataFrame:
+    """keep plus features array<float> (or double; row-major), feature_dim, num_frames and error (short signals)."""
+    kind, arrow = ("double", pa.float64()) if double else ("float", pa.float32())
     keep = [c for c in signals.columns if c != samples] if keep is None else keep
     source = signals.select(*keep, F.col(samples).alias("__samples"))
-    extra = "features array<float>, feature_dim int, num_frames int, error string"
+    extra = f"features array<{kind}>, feature_dim int, num_frames int, error string"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), extra])
     names = [*keep, "features", "feature_dim", "num_frames", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor(mode)
+        extract = Extractor(mode, np.float64 if double else np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -132,7 +133,7 @@ def acoustic_frames(signals: DataFrame, mode: str, samples: str = "samples", kee
                         flat.append(None)
                         frames.append(None)
                         errors.append(str(e))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(flat, pa.list_(pa.float32())), pa.array([extract.dim] * len(frames), pa.int32()), pa.array(frames, pa.int32()), pa.array(errors, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(flat, pa.list_(arrow)), pa.array([extract.dim] * len(frames), pa.int32()), pa.array(frames, pa.int32()), pa.array(errors, pa.string())], names=names)
 
     return source.mapInArrow(run, schema)
 

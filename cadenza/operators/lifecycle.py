@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,19 @@ def best_epoch(epochs: DataFrame, epoch: str, rho: str) -> DataFrame:
     return epochs.agg(F.max(F.struct(F.col(rho).alias("rho"), (-F.col(epoch)).alias("e"))).alias("b")).select((-F.col("b.e")).alias("epoch"), "b.rho")
 
 
+def checkpoints(epochs: DataFrame, epoch: str, rho: str, interval: int = 0, eval_interval: int = 1) -> DataFrame:
+    """Epochs (one row each) with the checkpoints that a run leaves: regular (every interval-th), best (rho over all before), final.
+
+    rho counts at every eval_interval-th epoch; a null or NaN one is never the best.
+    """
+    looked = F.when((F.col(epoch) % max(eval_interval, 1) == 0) & finite(F.col(rho)), F.col(rho))
+    w = W.orderBy(epoch)  # as many rows as a run has epochs
+    before = F.max(looked).over(w.rowsBetween(W.unboundedPreceding, -1))
+    best = looked.isNotNull() & (before.isNull() | (looked > before))
+    last = F.col(epoch) == F.max(epoch).over(W.partitionBy())
+    return epochs.withColumns({"regular": (F.col(epoch) % interval == 0) if interval > 0 else F.lit(False), "best": best, "final": last}).where("regular OR best OR final")
+
+
 def checkpoint_epoch(path: Column) -> Column:
     """N of .../speech-aligner-epoch-N[.ext], null for other names."""
     n = F.regexp_extract(path, r"(?:^|/)speech-aligner-epoch-(\d+)(?:\.[^./]*)?$", 1)

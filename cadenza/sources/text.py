@@ -14,10 +14,28 @@ SCORES = "metadata map<string,string>, samples array<struct<audio_file:string,se
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """utt_id, transcript, folder from the *.trans.txt files below a folder; lines without a blank are skipped."""
+    """utt_id, transcript, folder, utt_file from the *.trans.txt files below a folder; lines without a blank are skipped."""
     lines = spark.read.option("pathGlobFilter", "*.trans.txt").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("line"))
     cut = F.split("line", " ", 2)
-    return lines.where(F.size(cut) == 2).select(cut[0].alias("utt_id"), F.trim(cut[1]).alias("transcript"), F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder"))
+    return lines.where(F.size(cut) == 2).select(cut[0].alias("utt_id"), F.trim(cut[1]).alias("transcript"), F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("file", r"([^/]*)$", 1).alias("utt_file"))
+
+
+def scan_split(spark: SparkSession, data_dir: str, split: str) -> DataFrame:
+    """read_transcripts of a split's folder (data_dir/split, or data_dir/split/split where there is one), sorted by path, then by line.
+
+    A missing folder and one without utterances are errors.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{data_dir.rstrip('/')}/{split}")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root) or not store.getFileStatus(root).isDirectory():
+        raise ValueError(f"split directory not found: {root.toString()}")
+    nested = hadoop.Path(root, split)
+    root = nested if store.exists(nested) and store.getFileStatus(nested).isDirectory() else root
+    found = read_transcripts(spark, root.toString()).withColumn("__line", F.monotonically_increasing_id())
+    if found.isEmpty():
+        raise ValueError(f"no utterances found under {root.toString()}")
+    return found.orderBy("folder", "utt_file", "__line").drop("__line")
 
 
 def with_audio(transcripts: DataFrame, files: DataFrame) -> DataFrame:
@@ -54,7 +72,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     first_comment = F.array_position(F.transform("p", lambda x: x.startswith("#")), F.lit(True)).cast("int")
     p = lines.select("n", parts.alias("p")).select("n", F.when(first_comment > 0, F.slice("p", 1, first_comment - 1)).otherwise(F.col("p")).alias("p"))
     p = p.where((F.size("p") > 1) & ~F.get("p", F.lit(0)).contains("("))
-    phones = F.transform(F.slice("p", 2, 1000), lambda s: F.coalesce(ph.phoneme_class(s), F.raise_error(F.concat(F.lit("unknown phoneme "), s)).cast("int")))
+    phones = F.transform(F.slice("p", F.lit(2), F.size("p")), lambda s: F.coalesce(ph.phoneme_class(s), F.raise_error(F.concat(F.lit("unknown phoneme "), s)).cast("int")))
     return p.select(F.lower(F.get("p", F.lit(0))).alias("word"), "n", phones.alias("phones")).groupBy("word").agg(F.min_by("phones", "n").alias("phones"))
 
 

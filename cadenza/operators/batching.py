@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SLICES = 64
 
 
 def _histogram(df: DataFrame, length: str) -> DataFrame:
@@ -17,8 +20,20 @@ def _histogram(df: DataFrame, length: str) -> DataFrame:
 
 
 def _placed(df: DataFrame, length: str, order: str, plan: DataFrame) -> DataFrame:
+    """df with the plan of its length and __pos, its place by order among rows of that length.
+
+    Where order is a number, quantiles of it cut the rows into slices, so that a length that very many rows share is not left to one task.
+    """
     joined = df.join(plan.withColumnRenamed(length, "__len"), F.col(length) == F.col("__len"))
-    return joined.withColumn("__pos", F.row_number().over(W.partitionBy(length).orderBy(order)) - 1)
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        return joined.withColumn("__pos", F.row_number().over(W.partitionBy(length).orderBy(order)) - 1)
+    cuts = F.broadcast(df.agg(F.percentile_approx(order, [i / SLICES for i in range(1, SLICES)]).alias("__cuts")))  # one row
+    slice_of = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    sizes = df.crossJoin(cuts).select(F.col(length).alias("__l"), slice_of.alias("__i")).groupBy("__l", "__i").agg(F.count(F.lit(1)).alias("__m"))
+    sizes = sizes.withColumn("__ahead", F.coalesce(F.sum("__m").over(W.partitionBy("__l").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sliced = joined.crossJoin(cuts).withColumn("__slice", slice_of).drop("__cuts")
+    placed = sliced.join(sizes, (F.col(length) == F.col("__l")) & (F.col("__slice") == F.col("__i")))
+    return placed.withColumn("__pos", F.col("__ahead") + F.row_number().over(W.partitionBy(length, "__slice").orderBy(order)) - 1)
 
 
 def fixed_batches(df: DataFrame, length: str, order: str, size: int, out: str = "batch") -> DataFrame:
@@ -63,5 +78,12 @@ def padded(df: DataFrame, batch: str, values: str, pad: float = 0.0) -> DataFram
 
 
 def epoch_order(batches: DataFrame, batch: str, epoch: int, seed: int = 42) -> DataFrame:
-    """Batches with a seeded place for the epoch; members stay together."""
-    return batches.withColumn("place", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + epoch), F.col(batch)), batch)) - 1)
+    """Batches with a seeded place for the epoch; members stay together.
+
+    The order is by md5(seed + epoch : batch). Its first three digits cut it into slices, which are counted first.
+    """
+    hashed = batches.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed + epoch), F.col(batch)))).withColumn("__s", F.substring("__h", 1, 3))
+    sizes = hashed.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))  # 4,096 rows at most
+    sizes = sizes.select(F.col("__s").alias("__slice"), F.coalesce(F.sum("__n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = hashed.join(F.broadcast(sizes), F.col("__s") == F.col("__slice"))
+    return placed.withColumn("place", F.col("__before") + F.row_number().over(W.partitionBy("__s").orderBy("__h", batch)) - 1).select(*batches.columns, "place")

@@ -152,7 +152,7 @@ def mixup(df: DataFrame, batch: str, ident: str, features: str, target: str, raw
     """Rows added for members with raw <= below: blended with another member of the batch by a hashed share in 0.5 +- alpha / 2."""
     w = W.partitionBy(batch)
     t = df.withColumns({"__n": F.count(F.lit(1)).over(w), "__i": F.row_number().over(w.orderBy(ident)) - 1})
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(f"{seed}{salt}"), F.col(ident)), F.lit(1 << 20)) / float(1 << 20)
+    u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(ident))), 1, 7), 16, 10).cast("long") / float(1 << 28)
     a = t.where((F.col(raw) <= below) & (F.col("__n") > 1)).withColumn("__j", (F.col("__i") + 1 + F.floor(u("p") * (F.col("__n") - 1))) % F.col("__n")).withColumn("__l", 0.5 + alpha * (u("l") - 0.5))
     b = t.select(F.col(batch).alias("__b"), F.col("__i").alias("__k"), *[F.col(c).alias(f"__{c}") for c in (features, target, raw, weight)])
     m = a.join(b, (F.col(batch) == F.col("__b")) & (F.col("__j") == F.col("__k")))

@@ -32,6 +32,22 @@ def hopping_frames(signal: Column, length: int, hop: int) -> Column:
     return F.when(F.size(signal) >= length, F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(signal, i * hop + 1, length))).otherwise(F.array().cast("array<array<double>>"))
 
 
+def framed(df: DataFrame, key: list[str], order: list[str], value: str, length: int, hop: int) -> DataFrame:
+    """key, frame, t, value: the rows of each whole frame, t from 0 inside it. A sequence is never one row: a long one is sorted and spills."""
+    w = W.partitionBy(*key)
+    place = df.withColumns({"__p": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)}).where(F.col("__n") >= length)
+    first = F.greatest(F.lit(0), F.ceil((F.col("__p") - (length - 1)) / hop)).cast("int")
+    last = F.least(F.floor(F.col("__p") / hop), F.floor((F.col("__n") - length) / hop)).cast("int")
+    rows = place.withColumn("frame", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return rows.select(*key, "frame", (F.col("__p") - F.col("frame") * hop).alias("t"), value)
+
+
+def ctc_frames_needed(df: DataFrame, key: list[str], order: list[str], label: str) -> DataFrame:
+    """key, targets, min_frames of sequences of labels that are rows: one frame each, and a blank between equal neighbours."""
+    same = df.select(*key, F.col(label).eqNullSafe(F.lag(label).over(W.partitionBy(*key).orderBy(*order))).cast("long").alias("__s"), F.row_number().over(W.partitionBy(*key).orderBy(*order)).alias("__i"))
+    return same.groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), (F.count(F.lit(1)) + F.sum(F.when(F.col("__i") > 1, F.col("__s")).otherwise(0))).alias("min_frames"))
+
+
 def ctc_min_frames(targets: Column) -> Column:
     """Frames that an alignment of the targets needs: one each, and a blank between equal neighbours."""
     repeats = F.filter(F.transform(targets, lambda x, i: (i > 0) & (x == F.get(targets, i - 1))), lambda same: same)
@@ -64,8 +80,8 @@ def greedy_path(frames: DataFrame, key: list[str], order: list[str], log_probs:
 def word_span(position: Column, words: Column, frames: Column) -> Column:
     """Proportional share of the frames as struct(start, stop); null where there is none."""
     pos, n = position.cast("long"), words.cast("long")
-    start = F.floor(F.try_divide(pos * frames, n)).cast("long")
-    stop = F.floor(F.try_divide((pos + 1) * frames, n)).cast("long")
+    whole = lambda x: F.call_function("div", x, F.nullif(n, F.lit(0)))
+    start, stop = whole(pos * frames), whole((pos + 1) * frames)
     return F.when((frames > 0) & (n > 0) & (pos < n) & (stop > start), F.struct(start.alias("start"), stop.alias("stop")))
 
 

@@ -61,7 +61,8 @@ def focal_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logits(n: int) -> Column:
-    return F.transform(F.slice("v", 1, n), lambda x: x * 4)
+    """n logits from all components: the k-th is the sum of components k, k + n, k + 2n, ..."""
+    return F.array(*[F.aggregate(F.filter("v", lambda _, d: d % n == k), F.lit(0.0), lambda s, x: s + x) for k in range(n)])
 
 
 def ordinal_expected_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def softmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vectors(spark, sf_dir).select("vec_id", losses.softmax(F.col("v")).alias("p"))
-    return p.select("vec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(F.get("p", 0), 6).alias("first"))
+    return p.select("vec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s - x * F.log(x)), 6).alias("entropy"))
 
 
 def pairwise_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,9 @@ def rank_regularization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).withColumn("w", F.lit(1.0))
-    return losses.mixup(v, "batch", "vec_id", "v", "y", "raw", "w", 0.4, 4)
+    v = vectors(spark, sf_dir).withColumn("w", 1 + F.col("raw") / 10)
+    m = losses.mixup(v, "batch", "vec_id", "v", "y", "raw", "w", 0.4, 4)
+    return m.select("batch", "vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round("y", 9).alias("y"), "raw", F.round("w", 6).alias("w"))
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +150,12 @@ _VEC = "v as (select vec_id, label, embedding::double[] as v, vec_id // 16 as ba
 _BIN = "case when raw <= 2 then 0 when raw <= 5 then 1 when raw <= 7 then 2 when raw <= 9 then 3 else 4 end"
 _SQ = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))"
 _EDGE = {k: f"ln({t}::double / (1 - {t}::double))" for k, t in enumerate((0.2, 0.5, 0.7, 0.9))}
-_P = {k: f"(1 / (1 + exp(-(4 * v[{k + 1}] - {_EDGE[k]}))))" for k in range(4)}
-_SM = [f"exp(4 * v[{k}])" for k in range(1, 6)]
-_CE = f"(ln({' + '.join(_SM)}) - 4 * v[{_BIN} + 1])"
+_FOLD = lambda n: f"list_transform(range({n}), lambda k: list_sum(list_transform(range(k, len(v), {n}), lambda d: v[d + 1])))"
+_LG = f"{_VEC}, lg as (select *, {_FOLD(4)} as l4, {_FOLD(5)} as l5 from v)"
+_P = {k: f"(1 / (1 + exp(-(l4[{k + 1}] - {_EDGE[k]}))))" for k in range(4)}
+_SM = [f"exp(l5[{k}])" for k in range(1, 6)]
+_CE = f"(ln({' + '.join(_SM)}) - l5[{_BIN} + 1])"
+_U = lambda salt: f"('0x' || substr(md5('42{salt}:' || a.vec_id), 1, 7))::bigint / 268435456.0::double"
 
 QUERIES = {
     f.__name__: f
@@ -165,12 +170,12 @@ select raw, n, round(x / avg(x) over (), 6) as weight from e""",
     "ordinal_bins": f"with {_WORDS} select {_BIN} as bin, count(*) as n from w group by 1",
     "weighted_mse": f"with {_WORDS} select event_type, round(avg((1 + raw / 10.0::double) * (p - y) * (p - y)), 6) as loss from w group by event_type",
     "focal_mse": f"with {_WORDS} select event_type, round(avg((p - y) * (p - y) * power(least(abs(p - y), 1), 2) * (1 + raw / 10.0::double)), 6) as loss from w group by event_type",
-    "ordinal_expected_score": f"""with {_VEC} select vec_id, round(0.1::double * (1 - {_P[0]}) + 0.4::double * ({_P[0]} - {_P[1]}) + 0.65::double * ({_P[1]} - {_P[2]}) + 0.85::double * ({_P[2]} - {_P[3]}) + {_P[3]}, 6) as threshold_score,
-round((0.1::double * {_SM[0]} + 0.4::double * {_SM[1]} + 0.65::double * {_SM[2]} + 0.85::double * {_SM[3]} + {_SM[4]}) / ({' + '.join(_SM)}), 6) as softmax_score from v""",
-    "ordinal_losses": f"""with {_VEC} select label, round(avg((1 + raw / 10.0::double) * ({' + '.join(f'-(case when raw > {e} then ln(greatest({_P[k]}, 1e-6)) else ln(greatest(1 - {_P[k]}, 1e-6)) end)' for k, e in enumerate((2, 5, 7, 9)))}) / 4), 6) as bce,
-round(avg((1 + raw / 10.0::double) * {_CE}), 6) as ce from v group by label""",
+    "ordinal_expected_score": f"""with {_LG} select vec_id, round(0.1::double * (1 - {_P[0]}) + 0.4::double * ({_P[0]} - {_P[1]}) + 0.65::double * ({_P[1]} - {_P[2]}) + 0.85::double * ({_P[2]} - {_P[3]}) + {_P[3]}, 6) as threshold_score,
+round((0.1::double * {_SM[0]} + 0.4::double * {_SM[1]} + 0.65::double * {_SM[2]} + 0.85::double * {_SM[3]} + {_SM[4]}) / ({' + '.join(_SM)}), 6) as softmax_score from lg""",
+    "ordinal_losses": f"""with {_LG} select label, round(avg((1 + raw / 10.0::double) * ({' + '.join(f'-(case when raw > {e} then ln(greatest({_P[k]}, 1e-6)) else ln(greatest(1 - {_P[k]}, 1e-6)) end)' for k, e in enumerate((2, 5, 7, 9)))}) / 4), 6) as bce,
+round(avg((1 + raw / 10.0::double) * {_CE}), 6) as ce from lg group by label""",
     "log_sum_exp": f"with {_VEC} select vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x)))), 6) as lse from v",
-    "softmax_rows": f"with {_VEC} select vec_id, round(exp(list_max(v)) / list_sum(list_transform(v, lambda x: exp(x))), 6) as top, round(exp(v[1]) / list_sum(list_transform(v, lambda x: exp(x))), 6) as first from v",
+    "softmax_rows": f"with {_VEC} select vec_id, round(exp(list_max(v)) / list_sum(list_transform(v, lambda x: exp(x))), 6) as top, round(ln(list_sum(list_transform(v, lambda x: exp(x)))) - list_sum(list_transform(v, lambda x: x * exp(x))) / list_sum(list_transform(v, lambda x: exp(x))), 6) as entropy from v",
     "pairwise_hinge": f"with {_WORDS} select a.batch, round(coalesce(avg(case when a.raw > b.raw then greatest(0, 0.1::double - (a.p - b.p)) end), 0), 9) as loss from w a join w b on a.batch = b.batch and a.event_id <> b.event_id group by a.batch",
     "balanced_mse": f"""with {_WORDS}, m as (select a.batch, a.event_id, sum(case when a.raw = b.raw then exp(-power(a.p - b.y, 2) / 0.5::double) else 0 end) / sum(exp(-power(a.p - b.y, 2) / 0.5::double)) as mass, count(*) as n, any_value((a.p - a.y) * (a.p - a.y)) as sq
 from w a join w b on a.batch = b.batch group by a.batch, a.event_id)
@@ -180,6 +185,10 @@ from v a join v b on a.batch = b.batch and a.vec_id <> b.vec_id group by a.batch
 select batch, round(coalesce(avg(case when near is not null and far is not null then greatest(0, near - far + 0.2::double) end), 0), 6) as loss from d group by batch""",
     "rank_regularization": f"""with {_VEC}, u as (select vec_id, batch, y, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda z: z * z))), 1e-6)) as v from v)
 select a.batch, round(avg(power(exp(-{_SQ}) - exp(-abs(a.y - b.y) / 0.3::double), 2)), 6) as loss from u a join u b on a.batch = b.batch and a.vec_id <> b.vec_id group by a.batch""",
+    "mixup": f"""with {_VEC}, t as (select *, 1 + raw / 10.0::double as w, count(*) over (partition by batch) as n, row_number() over (partition by batch order by vec_id) - 1 as i from v),
+a as (select *, (i + 1 + floor({_U("p")} * (n - 1))::bigint) % n as j, 0.5::double + 0.4::double * ({_U("l")} - 0.5::double) as l from t a where raw <= 4 and n > 1)
+select a.batch, a.vec_id, round(list_sum(list_transform(range(1, len(a.v) + 1), lambda d: a.l * a.v[d] + (1 - a.l) * b.v[d])), 6) as total, round(a.l * a.y + (1 - a.l) * b.y, 9) as y,
+  greatest(0, least(10, round(a.l * a.raw + (1 - a.l) * b.raw)::integer)) as raw, round((a.w + b.w) / 2, 6) as w from a join t b on a.batch = b.batch and a.j = b.i""",
     "lr_schedule": "select e as epoch, round(case when e < 3 then 0.0003::double * (e + 1) / 3 else 0.00015::double * (1 + cos(3.141592653589793::double * (e - 3) / 17)) end, 9) as rate from range(20) t(e)",
     "mean_pool": f"with {_VEC}, x as (select label, unnest(range(len(v)))::integer as dim, unnest(v) as x from v) select label, dim, round(avg(x), 6) as mean from x group by label, dim",
     "attention_pool": f"""with {_VEC}, s as (select label, v, exp(10 * v[1] - max(10 * v[1]) over (partition by label)) as e from v), x as (select label, e, unnest(range(len(v)))::integer as dim, unnest(v) as x from s)

@@ -40,8 +40,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hopping_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed = _signals(spark, sf_dir).select("user_id", F.posexplode(sequence.hopping_frames(F.col("signal"), 20, 8)).alias("frame", "x"))
-    return framed.select("user_id", "frame", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+    rows = sequence.framed(events(spark, sf_dir), KEY, ORDER, "value", 20, 8)
+    return rows.groupBy("user_id", "frame").agg(F.count(F.lit(1)).cast("int").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def greedy_decode_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,8 @@ def greedy_decode_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ctc_min_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that each user's classes need, and whether half as many frames again as classes are enough."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    t = events(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["event_type"]).alias("t"))
-    n = F.floor(F.size("t") * 6 / 5)
-    return t.select("user_id", sequence.ctc_min_frames(F.col("t")).cast("long").alias("min_frames"), sequence.ctc_feasible(F.col("t"), n).alias("feasible"))
+    t = sequence.ctc_frames_needed(events(spark, sf_dir), KEY, ORDER, "event_type")
+    return t.select("user_id", "min_frames", (F.floor(F.col("targets") * 6 / 5) >= F.col("min_frames")).alias("feasible"))
 
 
 def word_frame_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,5 +156,6 @@ select doc_id, batch from g join s using (i)""",
     "pad_to_batch_max": f"""with {EV}, s as (select user_id, count(*) as n, sum(value) as total from ev group by user_id),
 b as (select *, (row_number() over (order by n, user_id) - 1) // 8 as batch from s)
 select user_id, batch, (max(n) over (partition by batch))::integer as width, (max(n) over (partition by batch) - n)::integer as padding, round(total, 6) as total from b""",
+    "epoch_shuffle": "with b as (select distinct (row_number() over (order by n_chars, doc_id) - 1) // 16 as batch from documents) select batch, row_number() over (order by md5('45:' || batch), batch) - 1 as place from b",
     "duration_filter_skips": """select case when n_chars / 100.0 < 0.5 then 'too_short' when n_chars / 100.0 > 60 then 'too_long' else 'kept' end as reason, count(*) as n, min(doc_id) as first_doc from documents group by 1""",
 }

@@ -1,22 +1,9 @@
-"""The acoustic network's forward pass, the CTC loss, and a scoring head trained on Spark.
-
-The forward pass runs in Arrow batches over feature rows, one sample at a time without
-padding, so a sample's scores cannot depend on its batch. The scoring head is fitted by
-full-batch Adam: every task adds up the gradient of its words, the driver receives one
-vector per task and keeps the weights.
-"""
+"""Sizes of the acoustic network: what a checkpoint must hold. The network itself is no Spark work and is not here."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-Weights = dict[str, np.ndarray]
+from dataclasses import dataclass
+from math import prod
 
 
 @dataclass(frozen=True)
@@ -50,176 +37,4 @@ class Shape:
         return out
 
     def size(self) -> int:
-        return sum(int(np.prod(d)) for d in self.layers().values())
-
-    def init(self, seed: int = 42) -> Weights:
-        rng = np.random.default_rng(seed)
-        out: Weights = {}
-        for name, d in self.layers().items():
-            fan = int(np.prod(d[1:])) if name.startswith("conv") else d[0]
-            out[name] = np.ones(d) if name.endswith(".g") else np.zeros(d) if name.endswith(".b") else rng.uniform(-1, 1, d) / np.sqrt(fan)
-        return {k: v.astype(np.float32) for k, v in out.items()}
-
-
-def _norm(x: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * g + b
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    return np.exp(log_softmax(x))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
-def forward(shape: Shape, w: Weights, x: np.ndarray, keep: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Scores of one sample (frames, input_dim). keep: 1 for real frames, 0 for padding."""
-    mask = np.ones(len(x), x.dtype) if keep is None else keep.astype(x.dtype)
-    x = x * mask[:, None]
-    half = shape.kernel // 2
-    for i in range(len(shape.channels)):
-        windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((half, shape.kernel - 1 - half), (0, 0))), shape.kernel, axis=0)
-        x = np.einsum("tck,bck->tb", windows, w[f"conv{i}.w"], optimize=True) + w[f"conv{i}.b"]
-        x = np.maximum(_norm(x, w[f"norm{i}.g"], w[f"norm{i}.b"]), 0) * mask[:, None]
-        mean = x.sum(0) / max(mask.sum(), 1)
-        x = x * _sigmoid(np.maximum(mean @ w[f"down{i}.w"] + w[f"down{i}.b"], 0) @ w[f"up{i}.w"] + w[f"up{i}.b"])
-    y = _norm(x, w["norm.g"], w["norm.b"])
-    q, k, v = ((y @ w[f"{n}.w"] + w[f"{n}.b"]).reshape(len(x), shape.heads, -1).transpose(1, 0, 2) for n in "qkv")
-    scores = q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1])
-    scores = np.where(mask[None, None, :] > 0, scores, -1e9)
-    x = x + (_softmax(scores) @ v).transpose(1, 0, 2).reshape(len(x), -1) @ w["o.w"] + w["o.b"]
-    heads = {f"{n}_logits": x @ w[f"{n}.w"] + w[f"{n}.b"] for n in ("phoneme", "boundary", "ctc")}
-    return {"features": x, **heads, "log_probs": log_softmax(heads["ctc_logits"])}
-
-
-def ctc_loss(logits: np.ndarray, targets: list[int], blank: int = 0) -> tuple[float, np.ndarray]:
-    """Loss of one sample and its gradient by the logits (frames, classes); zeros where no alignment exists."""
-    lp = log_softmax(logits.astype(np.float64))
-    frames, marks = len(lp), np.full(2 * len(targets) + 1, blank)
-    marks[1::2] = targets
-    n = len(marks)
-    skip = np.zeros(n, bool)
-    skip[2:] = (marks[2:] != blank) & (marks[2:] != marks[:-2])
-    low = -np.inf
-    a, b = np.full((frames, n), low), np.full((frames, n), low)
-    a[0, : min(2, n)] = lp[0, marks[: min(2, n)]]
-    b[-1, max(n - 2, 0) :] = 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for t in range(1, frames):
-            p = a[t - 1]
-            one, two = np.append(low, p[:-1]), np.where(skip, np.append([low, low], p[:-2])[:n], low)
-            a[t] = np.logaddexp(np.logaddexp(p, one), two) + lp[t, marks]
-        for t in range(frames - 2, -1, -1):
-            p = b[t + 1] + lp[t + 1, marks]
-            one, two = np.append(p[1:], low), np.append(np.where(skip, p, low)[2:], [low, low])[:n]
-            b[t] = np.logaddexp(np.logaddexp(p, one), two)
-        total = np.logaddexp.reduce(a[-1, max(n - 2, 0) :])
-    if not np.isfinite(total):
-        return 0.0, np.zeros_like(lp)
-    share = np.exp(a + b - total)
-    grad = np.exp(lp)
-    np.subtract.at(grad, (slice(None), marks), share)
-    return float(-total), grad
-
-
-def score_frames(samples: DataFrame, shape: Shape, weights: Weights, key: str, features: str = "features") -> DataFrame:
-    """key, t, log_probs, logits, frame_features for every frame of samples(key, features row-major)."""
-    shared = samples.sparkSession.sparkContext.broadcast(weights)  # the network's own size
-    kind = dict(samples.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if not row.is_valid or not len(row.values):
-                    continue
-                out = forward(shape, shared.value, row.values.to_numpy(zero_copy_only=False).reshape(-1, shape.input_dim).astype(np.float32))
-                cols = [pa.array(list(out[c].astype(np.float32)), pa.list_(pa.float32())) for c in ("log_probs", "ctc_logits", "features")]
-                n = len(out["log_probs"])
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n, batch.schema.field(0).type), pa.array(range(n), pa.int32()), *cols], names=[key, "t", "log_probs", "logits", "frame_features"])
-
-    return samples.select(key, F.col(features).cast("array<float>").alias("f")).mapInArrow(run, f"{key} {kind}, t int, log_probs array<float>, logits array<float>, frame_features array<float>")
-
-
-@dataclass
-class Head:
-    """Linear, ReLU, linear, sigmoid."""
-
-    weights: Weights
-    losses: list[float] = field(default_factory=list)
-
-    @classmethod
-    def init(cls, dim: int, hidden: int, seed: int = 42) -> Head:
-        rng = np.random.default_rng(seed)
-        return cls({"w1": rng.normal(0, dim**-0.5, (dim, hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, hidden**-0.5, (hidden, 1)), "b2": np.zeros(1)})
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        w = self.weights
-        return _sigmoid(np.maximum(x @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"])[:, 0]
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum (not mean) of the weighted squared errors and of its gradient, flat."""
-        w = self.weights
-        h = np.maximum(x @ w["w1"] + w["b1"], 0)
-        p = _sigmoid(h @ w["w2"] + w["b2"])[:, 0]
-        d = (2 * weight * (p - y) * p * (1 - p))[:, None]
-        dh = (d @ w["w2"].T) * (h > 0)
-        grad = {"w1": x.T @ dh, "b1": dh.sum(0), "w2": h.T @ d, "b2": d.sum(0)}
-        return float((weight * (p - y) ** 2).sum()), np.concatenate([grad[k].ravel() for k in w])
-
-    def fit(self, words: DataFrame, features: str, score: str, weight: str, epochs: int, rate: float, warmup: int = 0) -> Head:
-        """Full-batch Adam over all words; words that are null or not finite are left out."""
-        sc = words.sparkSession.sparkContext
-        source = words.select(F.col(features).cast("array<double>"), F.col(score).cast("double"), F.col(weight).cast("double")).dropna()
-        flat = np.concatenate([v.ravel() for v in self.weights.values()])
-        m, v = np.zeros_like(flat), np.zeros_like(flat)
-        for e in range(epochs):
-            shared = sc.broadcast(self.weights)
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-                head, n, loss, grad = Head(shared.value), 0, 0.0, 0.0
-                for batch in batches:
-                    if batch.num_rows:
-                        x = np.stack(batch.column(0).to_numpy(zero_copy_only=False))
-                        one, g = head.gradient(x, batch.column(1).to_numpy(), batch.column(2).to_numpy())
-                        n, loss, grad = n + len(x), loss + one, grad + g
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([loss]), pa.array([grad.tolist()], pa.list_(pa.float64()))], names=["n", "loss", "grad"])
-
-            parts = source.mapInArrow(run, "n long, loss double, grad array<double>").collect()  # one vector of the head's size per task
-            n = sum(p.n for p in parts)
-            if not n:
-                break
-            self.losses.append(sum(p.loss for p in parts) / n)
-            g = np.sum([p.grad for p in parts], axis=0) / n
-            step = rate * (e + 1) / warmup if e < warmup else rate / 2 * (1 + np.cos(np.pi * (e - warmup) / max(epochs - warmup, 1))) if warmup else rate
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat = flat - step * (m / (1 - 0.9 ** (e + 1))) / (np.sqrt(v / (1 - 0.999 ** (e + 1))) + 1e-8)
-            at, new = 0, {}
-            for k, w in self.weights.items():
-                new[k], at = flat[at : at + w.size].reshape(w.shape), at + w.size
-            self.weights = new
-            shared.unpersist()
-        return self
-
-
-def save(path: str, weights: Weights) -> str:
-    """Checkpoint as .npz; the ending is added only if there is none."""
-    name = path if "." in path.rsplit("/", 1)[-1] else f"{path}.npz"
-    with open(name, "wb") as f:
-        np.savez(f, **weights)
-    return name
-
-
-def load(path: str, like: Weights) -> Weights:
-    """Checkpoint that must have the names and dimensions of like."""
-    with np.load(path) as z:
-        found = {k: z[k] for k in z.files}
-    if {k: v.shape for k, v in found.items()} != {k: v.shape for k, v in like.items()}:
-        raise ValueError(f"{path}: the checkpoint's architecture is another one")
-    return found
+        return sum(prod(d) for d in self.layers().values())

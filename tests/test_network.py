@@ -1,11 +1,9 @@
-"""Network, CTC loss and scoring head."""
+"""Sizes of the network, checkpoints."""
 
-import numpy as np
 import pytest
 
-from cadenza.operators import features, network
-
-TINY = network.Shape(input_dim=4, classes=6, heads=2, channels=(8, 8, 16, 16))
+from cadenza.operators import network
+from cadenza.sources import config
 
 
 def test_sizes():
@@ -14,49 +12,10 @@ def test_sizes():
         network.Shape(heads=7)
 
 
-def test_padding_changes_nothing():
-    w, rng = TINY.init(), np.random.default_rng(0)
-    x = rng.normal(size=(20, 4)).astype(np.float32)
-    alone = network.forward(TINY, w, x)
-    padded = network.forward(TINY, w, np.vstack([x, rng.normal(size=(9, 4)).astype(np.float32)]), np.r_[np.ones(20), np.zeros(9)])
-    assert np.allclose(alone["log_probs"], padded["log_probs"][:20], atol=1e-5)
-
-
-def test_ctc_loss_and_gradient():
-    rng = np.random.default_rng(1)
-    for targets in ([1, 2, 3], [1, 1], [2], []):
-        z = rng.normal(size=(6, 4))
-        loss, grad = network.ctc_loss(z, targets)
-        total = 0.0
-        lp = network.log_softmax(z)
-        for path in np.ndindex(*[4] * 6):
-            collapsed = [c for i, c in enumerate(path) if c and (i == 0 or path[i - 1] != c)]
-            if collapsed == targets:
-                total += np.exp(lp[range(6), path].sum())
-        assert abs(loss + np.log(total)) < 1e-9
-        for t, c in ((0, 1), (3, 0), (5, 2)):
-            up, down = z.copy(), z.copy()
-            up[t, c] += 1e-5
-            down[t, c] -= 1e-5
-            assert abs((network.ctc_loss(up, targets)[0] - network.ctc_loss(down, targets)[0]) / 2e-5 - grad[t, c]) < 1e-6
-    assert network.ctc_loss(np.zeros((2, 4)), [1, 2, 3])[0] == 0.0
-
-
-def test_frames_and_head(spark, tmp_path):
-    shape = network.Shape(input_dim=13, channels=(8, 8, 16, 16), heads=2)
-    w = shape.init()
-    f = network.score_frames(features.synthetic_sample(spark, 3), shape, w, "seed")
-    assert f.count() == 30 + 34 + 38 and all(abs(np.exp(r.log_probs).sum() - 1) < 1e-4 for r in f.where("t = 0").collect())
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 5))
-    y = 1 / (1 + np.exp(-x[:, 0]))
-    words = spark.createDataFrame([(a.tolist(), float(b), 1.0) for a, b in zip(x, y)] + [(None, 0.5, 1.0)], "x array<double>, y double, w double").repartition(3)
-    head = network.Head.init(5, 8).fit(words, "x", "y", "w", 40, 0.05)
-    assert head.losses[-1] < 0.3 * head.losses[0] and np.corrcoef(head.predict(x), y)[0, 1] > 0.9
-    loss, g = head.gradient(x, y, np.ones(300))
-    head.weights["b2"] = head.weights["b2"] + 1e-6
-    assert abs((head.gradient(x, y, np.ones(300))[0] - loss) / 1e-6 - g[-1]) < 1e-3
-    name = network.save(str(tmp_path / "head"), head.weights)
-    assert name.endswith(".npz") and np.allclose(network.load(name, head.weights)["w1"], head.weights["w1"])
-    with pytest.raises(ValueError):
-        network.load(name, w)
+def test_checkpoint(spark, tmp_path):
+    tiny, path = network.Shape(input_dim=4, classes=6, heads=2, channels=(8, 8, 16, 16)), f"file://{tmp_path}/model"
+    rows = [(name, list(dims), [0.5] * network.prod(dims)) for name, dims in tiny.layers().items()]
+    config.write_weights(spark.createDataFrame(rows, "name string, dims array<int>, values array<double>"), path)
+    assert config.read_weights(spark, path, tiny.layers()).selectExpr("sum(size(values))").first()[0] == tiny.size()
+    with pytest.raises(ValueError, match="another one"):
+        config.read_weights(spark, path, network.Shape().layers())

@@ -11,11 +11,14 @@
    bands all members of a bucket meet its most connected one, which joins most of a large
    group. Then only buckets whose members are not one component by now go on, and every pair
    of their members from different components is compared, except pairs inside the bucket's
-   leading component. Small buckets are expanded into pairs. Larger ones are cut into blocks
-   of bounded rows and characters; two blocks meet in a cell, which compares all its pairs in
-   matrix form, each pair in its first common band only, and returns links that join
-   something. So a group of many alike, but unlinked texts costs rows per pair of blocks, not
-   per pair of texts.
+   leading component. Small buckets are expanded into pairs. The members of larger ones are
+   not: two texts of the wanted similarity have that share of either's shingles in common, so
+   they share one of the rarest few of each (prefix filtering, exact). Members meet by these
+   rare shingles instead, in groups that go on only if they hold several components. Texts
+   that are alike by one common passage do not meet there, as what else they hold is rare.
+   Small groups are expanded into pairs; larger ones are cut into blocks of bounded rows and
+   characters, and two blocks meet in a cell, which compares all its pairs in matrix form and
+   returns links that join something.
 4. Candidates are verified by the exact probability Jaccard of their texts (0.8 or more), and
    verified links are closed into components by label propagation with pointer jumping.
 
@@ -23,6 +26,9 @@ Defined results: texts of one to four words have one shingle, all their words; n
 blank texts are classes of their own; rows that repeat a doc_id are documents of their own
 that stay or go together if they share the text too; a class is named by its smallest
 doc_id (null if it has none). Words are split at white space and compared as they stand.
+Texts of any length are read whole (in a cell a text beyond BLOCK_CHARS is a block of its
+own); an empty table has no rows; columns other than id and text play no part in
+near_duplicates, and keep_one carries all of them along, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +39,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import dropped, table, written
+from cadenza.llm.common import dropped, hashable, table, tidy, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FIRST_BANDS = 5, 0.8, 32, 6, 3
-#: Buckets of up to so many nodes are expanded into pairs; larger ones are cut into blocks of up to so many nodes and characters.
+#: Buckets and groups of up to so many nodes are expanded into pairs; larger groups are cut into blocks of up to so many nodes and characters.
 PAIRWISE, BLOCK_ROWS, BLOCK_CHARS = 16, 512, 2_000_000
+#: Counters for how often shingles occur.
+COUNTERS = 1 << 20
 #: Columns of the dense pieces in which a cell counts common shingles.
 PIECE = 8192
 #: Rounding allowed for in sums that are compared with the similarity.
@@ -183,6 +192,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = band_keys(signatures([shingles(t) for t in once.values()])).tolist() if once else []
                 bands = [keys[place[n]] if n in place else None for n in nodes]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b is None for b in bands]), pa.array(bands, pa.list_(pa.int64())), pa.array([len(t or "") for t in texts], pa.int64())], names=["doc_id", "node", "blank", "bands", "chars"])
+            tidy()
 
     return docs.select("doc_id", node(F.col("text")).alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, blank boolean, bands array<long>, chars long")
 
@@ -232,17 +242,15 @@ def _common(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def cell_links(place: int, within: bool, label: np.ndarray, bands: np.ndarray, first: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+def cell_links(within: bool, label: np.ndarray, first: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
     """Pairs of a cell's members that are similar and join different labels, without those that close a circle.
 
-    first marks the members of the cell's first block; a pair counts in the first place where its bands agree.
+    first marks the members of the cell's first block; within: it has no other.
     """
     left, right = np.flatnonzero(first), np.flatnonzero(first if within else ~first)
     asked = label[left][:, None] != label[right][None, :]
     if within:
         asked &= left[:, None] < right[None, :]
-    for p in range(place):
-        asked &= bands[left, p][:, None] != bands[right, p][None, :]
     left, asked = left[asked.any(axis=1)], asked[asked.any(axis=1)]
     right, asked = right[asked.any(axis=0)], asked[:, asked.any(axis=0)]
     if not asked.size:
@@ -274,24 +282,76 @@ def cell_links(place: int, within: bool, label: np.ndarray, bands: np.ndarray, f
     return out
 
 
-def _block_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members of the large buckets in placed(band, place, node, label, rest, n, chars)."""
+def _counter(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(20)).astype(np.int64) % COUNTERS
+
+
+def _rare_groups(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Members(node, label, chars) by the rare shingles that pairs of them would share: band, node, label, rest, n, chars (both of the group).
+
+    A member's shingles, the rarest among all members first, up to a share of 1 - similarity of their
+    weight before them: what similar texts have in common cannot lie behind these alone. Any order of
+    the shingles that is the same for all members would do; how often they occur is counted in a table
+    of fixed size, by a part of their hash. Groups of one label are left out.
+    """
+    spark = members.sparkSession
+    each = members.select("node").join(texts, "node").select("node", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                np.add.at(total, _counter(shingles(text)[0]), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["counter", "n"])
+
+    counted = each.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    table = np.zeros(COUNTERS, np.int64)
+    table[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, tokens = batch.column(0).to_pylist(), []
+            for text in batch.column(1).to_pylist():
+                ids, weight = shingles(text)
+                often = shared.value[_counter(ids)]
+                order = np.lexsort((ids, often))
+                ids, weight, often = ids[order], weight[order], often[order]
+                ahead = np.cumsum(weight) - weight
+                tokens.append(ids[(ahead <= (1 - similarity + ROUNDING) * weight.sum()) & (often > 1)].view(np.int64))
+            take = pa.array(np.repeat(np.arange(len(nodes)), [len(t) for t in tokens]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()).take(take), pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)]))], names=["node", "band"])
+
+    rare = each.mapInArrow(run, "node binary, band long")
+    sizes = written(members.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label-sizes")
+    known = members.join(sizes, "label").select("node", "label", "chars", "size")
+    rare = written(rare.join(known, "node"), "rare")
+    top = F.max(F.struct("size", "label"))
+    groups = rare.groupBy("band").agg(top.alias("top"), (F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all")).where("open")
+    groups = written(groups.select(F.col("band").alias("g"), F.col("top.label").alias("main"), "n", "all"), "groups")
+    placed = written(rare.join(groups, F.col("band") == F.col("g")).select("band", "node", "label", (F.col("label") != F.col("main")).alias("rest"), "n", F.col("all").alias("chars")), "rare-groups")
+    for old in (rare, groups, sizes):
+        dropped(spark, old)
+    return placed
+
+
+def _block_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of the large groups in placed(band, node, label, rest, n, chars)."""
     open_ = placed.groupBy("band").agg(F.sum(F.col("rest").cast("long")).alias("r")).withColumnRenamed("band", "ob")
     per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_CHARS) * F.col("n") / F.greatest(F.col("chars"), F.lit(1)))))
     cut = placed.join(open_, F.col("band") == F.col("ob")).withColumn("per", per).withColumn("kr", F.ceil(F.col("r") / F.col("per")).cast("int")).withColumn("km", F.ceil((F.col("n") - F.col("r")) / F.col("per")).cast("int"))
-    spread = F.xxhash64("node", "place")
+    spread = F.xxhash64("node", "band")
     cut = cut.withColumn("block", F.when(F.col("rest"), F.pmod(spread, F.col("kr"))).otherwise(F.col("kr") + F.pmod(spread, F.greatest(F.col("km"), F.lit(1)))).cast("int"))
     last = F.when(F.col("rest"), F.col("kr") + F.col("km") - 1).otherwise(F.col("kr") - 1)
-    cells = cut.select("band", "place", "node", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    cells = cells.join(texts, "node").join(nodes.select("node", "bands"), "node")
-    cells = cells.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "place", "node", "label", "block", "bands", "text")
+    cells = cut.select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = cells.join(texts, "node").select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label", "block", "text")
 
     def run(cell: pa.Table) -> pa.Table:
-        lo, hi, place = (cell.column(c)[0].as_py() for c in ("lo", "hi", "place"))
+        lo, hi = (cell.column(c)[0].as_py() for c in ("lo", "hi"))
         label = np.unique(np.array([v.hex() for v in cell.column("label").to_pylist()]), return_inverse=True)[1]
-        bands = np.array(cell.column("bands").to_pylist(), np.int64)
         nodes = cell.column("node").to_pylist()
-        found = cell_links(place, lo == hi, label, bands, cell.column("block").to_numpy() == lo, cell.column("text").to_pylist(), similarity)
+        found = cell_links(lo == hi, label, cell.column("block").to_numpy() == lo, cell.column("text").to_pylist(), similarity)
         return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
 
     return cells.groupBy("band", "lo", "hi").applyInArrow(run, "a binary, b binary")
@@ -322,19 +382,18 @@ def components(edges: DataFrame, complete: bool = True, start: DataFrame | None
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, node (binary hash of the text), class_id and class_size (documents)."""
+def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, node (binary hash of the text), label (binary, the smallest node of its class; null for blank texts). A table in the shared folder."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(_signed(plain), "signed")
     nodes = signed.where("NOT blank").groupBy("node").agg(F.min(F.struct("doc_id", "bands", "chars")).alias("r")).select("node", "r.doc_id", "r.bands", "r.chars")
     nodes = written(nodes, "nodes")
     entries = nodes.select("node", "chars", F.posexplode("bands").alias("place", "band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n > 1")
-    members = written(entries.drop("chars").join(shared, "band").select("band", "place", "node", "n", "chars"), "members")
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = written(members.join(degree, "node"), "ranked")
-    dropped(spark, members)
+    shared = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = entries.join(shared, "band").select("band", "place", "node", "chars", "n")
+    ranked = written(members.withColumn("degree", F.sum("n").over(W.partitionBy("node"))), "ranked")  # a node has a row for each band at most
+    dropped(spark, shared)
     # one text for each node that has company
     wanted = ranked.select("node").distinct().join(nodes.select("node", "doc_id"), "node").withColumnsRenamed({"node": "wn", "doc_id": "wd"})
     texts = plain.withColumn("node", node(F.col("text"))).join(wanted, (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd"))).select("node", "text").dropDuplicates(["node"])
@@ -352,22 +411,56 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lead = placed.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("top"), (F.min("label") != F.max("label")).alias("open")).where("open").select("band", F.col("top.label").alias("main"))
     placed = written(placed.join(lead, "band").withColumn("rest", F.col("label") != F.col("main")), "placed")
-    small = placed.where(F.col("n") <= PAIRWISE)
-    x = small.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
-    pairs = x.join(small.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y"))).distinct()
-    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    big = written(placed.where(F.col("n") > PAIRWISE).groupBy("node", "label").agg(F.max("chars").alias("chars")), "big")
+    groups = _rare_groups(big, texts, similarity)
+
+    def small_pairs(groups: DataFrame) -> DataFrame:
+        small = groups.where(F.col("n") <= PAIRWISE)
+        x = small.where("rest").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
+        return x.join(small.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx != ly").select(*pair(F.col("x"), F.col("y")))
+
+    pairs = small_pairs(placed).union(small_pairs(groups)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     links = tested.where("linked").select("a", "b").union(_verified(pairs, texts, similarity).where("linked").select("a", "b"))
-    links = written(links.union(_block_links(placed.where(F.col("n") > PAIRWISE), nodes, texts, similarity)), "links")
+    links = written(links.union(_block_links(groups.where(F.col("n") > PAIRWISE), texts, similarity)), "links")
+    dropped(spark, big)
+    dropped(spark, groups)
     dropped(spark, placed)
     labels = components(links, start=labels)
     for old in (ranked, texts, tested, links, nodes):
         dropped(spark, old)
-    found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = found.where("NOT blank").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    found = found.join(classes.withColumnRenamed("label", "cl"), (F.col("label") == F.col("cl")) & ~F.col("blank"), "left")
-    return found.select(
-        "doc_id", "node", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("blank"), F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size")
-    )
+    found = signed.select("doc_id", "node", "blank").join(labels, "node", "left").withColumn("label", F.when(~F.col("blank"), F.coalesce("label", "node")))
+    return written(found.drop("blank"), "found")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, node, label (see labelled), class_id and class_size (documents)."""
+    found = labelled(docs, doc_id, text, similarity)
+    # a table of its own: both sides of the join are plain exchanges then, and a hot class's rows can be dealt to several tasks
+    classes = written(found.where("label IS NOT NULL").groupBy(F.col("label").alias("cl")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    named = found.join(classes, F.col("label") == F.col("cl"), "left")
+    blank = F.col("label").isNull()
+    return named.select("doc_id", "node", "label", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay: of every near-duplicate class one row, and all blank texts.
+
+    It is the row with the smallest doc_id (null last), of those the one with the smallest hash of
+    the text; of rows that share both, the one with the smallest hash of all its columns.
+    """
+    found = labelled(docs, doc_id, text, similarity)
+    # partial aggregation before each shuffle: a class, a text or an id with very many rows is one row of each task
+    times = found.groupBy("label", "doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    first = times.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "n")).alias("f"))
+    stay = first.select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__node"), F.col("f.n").alias("__times"))
+    blank = times.where("label IS NULL").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.lit(1).cast("long").alias("__times"))
+    stay = written(stay.union(blank), "stay")
+    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("__id")) & (node(F.col(text)) == F.col("__node")))
+    if stay.where("__times > 1").isEmpty():
+        return kept.select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns])
+    again = kept.where("__times > 1").groupBy("__id", "__node").agg(F.min_by(row, F.xxhash64(*[docs[c] for c in hashable(docs)])).alias("__row"))
+    return kept.where("__times = 1").select(*[docs[c] for c in docs.columns]).unionByName(again.select("__row.*"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

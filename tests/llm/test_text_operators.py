@@ -258,13 +258,30 @@ def test_near_dedup_keeps_links_in_crowded_buckets(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(texts)
 
 
+def test_texts_with_a_common_passage_meet_only_by_what_is_rare(spark, monkeypatch):
+    """All texts share a bucket and two thirds of their words; the links among the rest must all be found."""
+    monkeypatch.setattr(near_dedup, "_signed", lambda d: d.selectExpr("doc_id", "unhex(md5(text)) node", "false blank", "array(1L, 2L) bands", "length(text) chars"))
+    rnd, texts = random.Random(10), {}
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(40):
+        own = [f"{g}-{i}" for i in range(30)]
+        for k in range(1 + g % 3):
+            w = passage + own + ([f"e{rnd.random()}"] * k)
+            texts[len(texts)] = " ".join(w * (1 + g % 2))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(texts)
+    big = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").selectExpr("unhex(md5(text)) node", "unhex(md5(text)) label", "length(text) chars", "text")
+    groups = near_dedup._rare_groups(big.select("node", "label", "chars"), big.select("node", "text"), 0.8)
+    assert groups.agg({"n": "max"}).first()[0] <= 3  # the passage's shingles bring nobody together
+
+
 def test_cell_links_join_what_brute_force_joins():
     rng = random.Random(5)
     base = [f"w{k}" for k in range(40)]
     texts = [" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base) * (1 + (i % 5 == 0)) for i in range(30)]
     sh = [near_dedup.shingles(t) for t in texts]
     links = {(i, j) for i in range(30) for j in range(i + 1, 30) if near_dedup.probability_jaccard(sh[i], sh[j]) >= 0.8}
-    got = near_dedup.cell_links(0, True, np.arange(30), np.zeros((30, 2), np.int64), np.ones(30, bool), texts, 0.8)
+    got = near_dedup.cell_links(True, np.arange(30), np.ones(30, bool), texts, 0.8)
     assert links and set(got) <= links
 
     def classes(pairs):
@@ -274,5 +291,134 @@ def test_cell_links_join_what_brute_force_joins():
         return [of.index(x) for x in of]
 
     assert classes(got) == classes(links)
-    # pairs whose bands agree in an earlier place belong to that place's cell
-    assert near_dedup.cell_links(1, True, np.arange(30), np.zeros((30, 2), np.int64), np.ones(30, bool), texts, 0.8) == []
+
+
+def test_state_table_stays_bounded_inside_a_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "STATES", 400)
+    counter, lib, rnd = token_counts.TokenCounter(BPE), Tokenizer.from_file(BPE), random.Random(3)
+    for n in (5, 3000, 6000):
+        t = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé中") for _ in range(n))
+        assert counter.count(t) == len(lib.encode(t).ids)
+        assert len(counter.known.counter.states) <= 402
+
+
+def test_buckets_are_the_distinct_ngrams():
+    rnd = random.Random(11)
+    for _ in range(200):
+        text = "".join(rnd.choice("abc äÖ.\n") for _ in range(rnd.randint(0, 60)))
+        grams = set()
+        for w in text.lower().split():
+            w = f" {w} "
+            grams |= {w[i : i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1) if n == 2 or " " not in w[i + 1 : i + n - 1]}
+        padded = f" {' '.join(text.lower().split())} "
+        grams |= {padded[i : i + 2] for i in range(len(padded) - 1)} if text.split() else set()
+        grams = {g for g in grams if len(g) == 2 or " " not in g[1:-1]}
+        own = toxicity.buckets(text)
+        assert len(own) == len(set(own.tolist())) and len(own) <= len(grams) and len(own) >= len(grams) - 2  # hashes may meet
+
+
+def test_fit_by_its_definition(monkeypatch):
+    """Ratios, scaling and the fitted logistic model once more, with plain loops over sets."""
+    import math
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 25)
+    rnd = random.Random(12)
+    docs = [sorted(rnd.sample(range(30), 8)) + ([31] if i % 3 == 0 and rnd.random() < 0.9 else []) for i in range(60)]
+    y = [int(i % 3 == 0) for i in range(60)]
+    size = 1 << toxicity.BITS
+    p, q = [1.0] * 32, [1.0] * 32
+    for d, label in zip(docs, y):
+        for b in d:
+            (p if label else q)[b] += 1
+    rest = size - 32  # buckets that no text has count one on either side
+    ratio = [math.log(p[b] / (sum(p) + rest)) - math.log(q[b] / (sum(q) + rest)) for b in range(32)]
+    ratio = [r if abs(r) >= toxicity.LEAST_RATIO else 0.0 for r in ratio]
+    norm = math.sqrt(sum(ratio[b] ** 2 for d in docs for b in d) / len(docs))
+    x = [[ratio[b] / norm if b in d else 0.0 for b in range(32)] for d in docs]
+    w, c, m, v, mc, vc = [0.0] * 32, 0.0, [0.0] * 32, [0.0] * 32, 0.0, 0.0
+    for t in range(1, 26):
+        g = [(1 / (1 + math.exp(-sum(a * b for a, b in zip(w, row)) - c)) - label) * (toxicity.POSITIVE_WEIGHT if label else 1.0) / 60 for row, label in zip(x, y)]
+        for b in range(32):
+            d = sum(row[b] * e for row, e in zip(x, g)) + toxicity.RIDGE * w[b]
+            m[b], v[b] = 0.9 * m[b] + 0.1 * d, 0.999 * v[b] + 0.001 * d * d
+            w[b] -= toxicity.RATE * (m[b] / (1 - 0.9**t)) / (math.sqrt(v[b] / (1 - 0.999**t)) + 1e-9)
+        mc, vc = 0.9 * mc + 0.1 * sum(g), 0.999 * vc + 0.001 * sum(g) ** 2
+        c -= toxicity.RATE * (mc / (1 - 0.9**t)) / (math.sqrt(vc / (1 - 0.999**t)) + 1e-9)
+    weights, intercept = toxicity.fit([np.array(d, np.int32) for d in docs], np.array(y))
+    assert abs(intercept - c) < 1e-4 and max(abs(weights[b] - w[b] * ratio[b] / norm) for b in range(32)) < 1e-4
+
+
+def test_training_takes_one_row_for_each_id(spark):
+    text = ["good words here", "vile vilegit words", "other good text"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(30)], "doc_id long, toxic int")
+    rows = [(i, text[i % 3]) for i in range(30)]
+    one = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = toxicity.train(spark.createDataFrame(rows + [rows[1]] * 50 + [(2, text[2])] * 9, "doc_id long, text string"), labels)
+    assert one[1] == many[1] and (one[0] == many[0]).all()
+    long = spark.createDataFrame([*rows, (31, "vilegit " * 100_000)], "doc_id long, text string")
+    assert toxicity.train(long, labels)[1] == one[1]
+
+
+def test_media_by_its_definition(spark):
+    """Stored form, payload and hash once more, from the format's definition."""
+    import struct
+
+    def payload(text):
+        raw = (text or "").encode()
+        n = max(192, (len(raw) + 191) // 192 * 192)
+        return raw + b" " * (n - len(raw))
+
+    def pixels(png):
+        assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+        at, data, head = 8, b"", None
+        while at < len(png):
+            n, kind = struct.unpack(">I4s", png[at : at + 8])
+            body = png[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+            head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
+            data += body if kind == b"IDAT" else b""
+            at += 12 + n
+        width, height = head[:2]
+        assert head[2:] == (8, 0, 0, 0, 0)
+        flat, rows = zlib.decompress(data), []
+        for y in range(height):
+            line, above = flat[y * (width + 1) : (y + 1) * (width + 1)], rows[-1] if rows else [0] * width
+            row = []
+            for x in range(width):
+                row.append((line[x + 1] + {0: 0, 1: row[x - 1] if x else 0, 2: above[x]}[line[0]]) % 256)
+            rows.append(row)
+        return rows
+
+    def shrink(rows):
+        n = len(rows)
+        out = []
+        for k in range(32):
+            lo, hi = (k * n // 32, (k + 1) * n // 32) if n >= 32 else (k * n // 32, k * n // 32 + 1)
+            out.append([sum(r[x] for r in rows[lo:hi]) / (hi - lo) for x in range(len(rows[0]))])
+        return out
+
+    def cosine_hash(rows):
+        small = list(zip(*shrink(list(zip(*shrink(rows))))))
+        cos = [[np.cos(np.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(8)]
+        low = [round(float(sum(cos[a][i] * sum(cos[b][j] * small[i][j] for j in range(32)) for i in range(32))), 6) for a in range(8) for b in range(8)]
+        middle = sorted(low[1:])[31]
+        bits = "0" + "".join("1" if x > middle else "0" for x in low[1:])
+        return int(bits, 2).to_bytes(8)
+
+    rnd = random.Random(13)
+    texts = [None, "", "a", "é" * 96, "x" * 193, "".join(rnd.choice("abc \n") for _ in range(9000)), " ".join(str(rnd.random()) for _ in range(900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media_png.decode_media(media_png.encode_media(df).withColumn("copy", __import__("pyspark").sql.functions.col("png"))).collect():
+        want, png = payload(texts[r.doc_id]), bytes(r.copy)
+        rows = pixels(png)
+        assert bytes(x for row in rows for x in row) == want
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        assert bytes(r.cosine_hash) == cosine_hash(rows)
+
+
+def test_blank_windows_of_any_white_space(spark):
+    df = spark.createDataFrame([(1, "a\r\n\r\n\r\n\r\nb\r"), (2, "c\r\n\t\r\n\r\n\r\nd\r"), (3, "e\r\n\r\n\r\n\r\nf\r")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 0}

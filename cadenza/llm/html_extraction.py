@@ -3,28 +3,34 @@
 A page is read as a stream of tags and texts, nested by the tags. A wrapper is a
 union-free regular expression over such streams: items in order, each once (1),
 optional (?), repeated (+) or both (*), with text slots or texts that never change.
-Streams are aligned one after the other with the wrapper so far (longest common
-subsequence of the items' keys): items that only one side has become optional,
-neighbours with the same key and repeating groups of items become repeated, texts that
-differ become slots. Pages of a host with the same tags and texts count once, whatever
-their scripts and comments. The different ones meet by host and a salt from what they
-hold, in order, so that no task gets a hot host whole and the wrapper and its counts do
-not depend on how the pages are dealt out; then the salts of a host meet.
-
-Every page is then aligned with its host's wrapper, place by place, and its text is what
-fills the variable slots and the repeated items and groups of the content part. A text
-that never changes at its place, outside of repeated items, and stands there on at least
-TEMPLATE_PAGES different pages is the host's template and goes. Tags choose the content part: the
-outermost article elements (without them, main; without that, the body), less menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-told by element, role and whole class or id tokens (a number at a token's end is left out:
-ad-2; "share-price" and "has-sidebar" are no marks). Where the only article or main stands
-inside of what a token marks, the longer text counts: its own, or the one found without it.
+Streams are aligned one after the other with the wrapper so far (by their longest matching
+runs of keys): items that only one side has become optional, neighbours with the same key
+and repeating groups of items become repeated, texts that differ become slots. Pages of a
+host with the same tags and texts count once, whatever their scripts and comments. The
+different ones meet by host and a salt from what they hold, in order, so that no task gets
+a hot host whole and the wrapper and its counts do not depend on how the pages are dealt
+out; then the salts of a host meet.
+
+The wrapper says where a host's content part is: its outermost article items, else its main
+items, else the innermost item that holds nearly all text of slots, repeated and optional
+items, there from the first such child to the last. Every page is aligned with its host's
+wrapper, place by place, and its text is what stands in the content part (and article or
+main elements that fit no place). Nothing in the content part is template. Outside of it,
+which counts on hosts without article and main only, a text goes if it never changes at its
+place and stands there on nearly all (TEMPLATE_SHARE) of at least TEMPLATE_PAGES different
+pages. In every part, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments go, told by element, role and whole class or id tokens (a number
+at a token's end is left out: ad-2; "share-price" and "has-sidebar" are no marks). Where the
+only article or main stands inside of what a token marks, the longer text counts: its own,
+or the one found without it.
 
 Defined results: null or empty html has empty text; pages without url share one host;
 cut-off pages, unclosed elements and stray "<" are read as browsers do (a paragraph ends
-where the next block begins); white space inside a block, including no-break spaces,
-becomes one space. Rows that repeat a page_id are pages of their own.
+where the next block begins; from DEEPEST open elements on, further ones are not nested, as
+browsers also have a bound, and no text is lost); white space inside a block, including
+no-break spaces, becomes one space. Pages of any length and width are read whole. Rows that
+repeat a page_id are pages of their own; an empty table gives an empty one; further columns
+are carried along by extract(), but for those with the names of results (text, n_chars).
 """
 
 from __future__ import annotations
@@ -33,19 +39,27 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter as Names
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import carried, table
+from cadenza.llm.common import carried, hashable, table, written
 
-TEMPLATE_PAGES, SALTS, JOIN_SALTS, KEYS_HELD = 3, 32, 64, 100_000
+TEMPLATE_PAGES, TEMPLATE_SHARE, CONTENT_SHARE, DEEPEST, KEYS_HELD = 3, 0.9, 0.8, 150, 100_000
+#: A host with more than SALT_PAGES pages is dealt to several tasks. More than HOT_HOSTS such hosts cannot be: beyond that many, SALT_PAGES grows.
+SALT_PAGES, HOT_HOSTS = 100, 50_000
+#: Wrappers of so many bytes in all are broadcast; beyond, pages meet them by host and salt.
+BROADCAST_BYTES = 16_000_000
+#: Later places of a key at which a repeating group may begin again.
+AGAIN = 8
 
 # HTML's element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,20 +82,87 @@ _DIGITS = re.compile(r"[0-9]+")
 class Node:
     """An element, or a text if children is None."""
 
-    __slots__ = ("name", "key", "chrome", "children", "text", "fixed", "marked")
+    __slots__ = ("name", "key", "chrome", "children", "text", "fixed", "marked", "content")
 
     def __init__(self, name: str, key: str, chrome: bool, children: list | None, text: str = "") -> None:
-        self.name, self.key, self.chrome, self.children, self.text, self.fixed, self.marked = name, key, chrome, children, text, False, False
+        self.name, self.key, self.chrome, self.children, self.text, self.fixed, self.marked, self.content = name, key, chrome, children, text, False, False, ""
+
+
+class Open:
+    """Elements that are open, the innermost last, and how often each name is among them."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [Node("#root", "#root", False, [])], Names()
+
+    def add(self, node: Node) -> None:
+        self.place(node)
+        self.nodes.append(node)
+        self.names[node.name] += 1
+
+    def place(self, node: Node) -> None:
+        """Put a node where it belongs: below the innermost element, or, deeper than DEEPEST, below the last one above that."""
+        top = self.nodes[-1]
+        if len(self.nodes) > DEEPEST:
+            if top.chrome or top.marked:
+                if node.children is None:
+                    return  # a text of what never is content
+                node.chrome, node.marked = node.chrome or top.chrome, node.marked or top.marked
+            top = self.nodes[DEEPEST - 1]
+        last = top.children[-1] if top.children else None
+        if node.children is None and last is not None and last.children is None:
+            last.text += node.text
+        else:
+            top.children.append(node)
+
+    def cut(self, at: int) -> None:
+        """End all elements from place at on."""
+        block = None
+        for node in self.nodes[at:]:
+            self.names[node.name] -= 1
+            if node.name in BLOCK:
+                block = node
+        deep = len(self.nodes) > DEEPEST
+        del self.nodes[at:]
+        if deep and block is not None:  # what follows is another block
+            self.nodes[min(at, DEEPEST) - 1].children.append(Node(block.name, block.key, False, []))
+
+    def end(self, name: str) -> None:
+        if self.names[name] > 0:
+            at = len(self.nodes) - 1
+            while self.nodes[at].name != name:
+                at -= 1
+            self.cut(at)
+
+    def make_way(self, name: str) -> None:
+        """End elements that a new one ends: an open paragraph at a block, a list item at the next."""
+        nodes = self.nodes
+        if self.names["p"] > 0 and name in BLOCK and name not in ("tr", "tbody", "tfoot", "thead", "caption"):
+            for i in range(len(nodes) - 1, 0, -1):
+                if nodes[i].name == "p":
+                    self.cut(i)
+                    break
+                if nodes[i].name in BLOCK or nodes[i].name in ("td", "th", "button"):
+                    break
+        ends, stops = CLOSES.get(name, ()), STOPS.get(name, ())
+        if any(self.names[x] > 0 for x in ends):
+            cut = None
+            for i in range(len(nodes) - 1, 0, -1):
+                if nodes[i].name in stops:
+                    break
+                if nodes[i].name in ends:
+                    cut = i
+            if cut is not None:
+                self.cut(cut)
 
 
 def parse(html: str) -> Node:
-    root = Node("#root", "#root", False, [])
-    stack = [root]
+    open_ = Open()
+    root = open_.nodes[0]
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
         if m is None:
-            stack[-1].children.append(Node("#text", "#", False, None, html[at]))
+            open_.place(Node("#text", "#", False, None, html[at]))
             at += 1
             continue
         at = m.end()
@@ -89,17 +170,11 @@ def parse(html: str) -> Node:
         if name is None:
             whole = m[0]
             if whole[0] != "<" or len(whole) <= 2 and whole[-1:] != ">":  # text, or a "<" that begins nothing
-                last = stack[-1].children
-                if last and last[-1].children is None:
-                    last[-1].text += whole
-                else:
-                    last.append(Node("#text", "#", False, None, whole))
+                open_.place(Node("#text", "#", False, None, whole))
             continue
         name = name.lower()
         if m[1]:
-            if any(x.name == name for x in stack[1:]):
-                while stack.pop().name != name:
-                    pass
+            open_.end(name)
             continue
         tokens, role, hidden, key = (), "", False, name
         if m[3].strip():
@@ -119,44 +194,25 @@ def parse(html: str) -> Node:
         node = Node(name, key, chrome, [])
         node.marked = not CHROME_TOKENS.isdisjoint(tokens) and name not in ("html", "body", "article", "main")
         if name in BLOCK or name in CLOSES:
-            _end_open(stack, name)
-        stack[-1].children.append(node)
+            open_.make_way(name)
         if name in RAW:
+            open_.place(node)
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else n
-        elif name not in VOID and not (name == "svg" and m[3].rstrip().endswith("/")):
-            stack.append(node)
+        elif name in VOID or name == "svg" and m[3].rstrip().endswith("/"):
+            open_.place(node)
+        else:
+            open_.add(node)
     return root
 
 
-def _end_open(stack: list[Node], name: str) -> None:
-    """End elements that the new one ends: an open paragraph at a block, a list item at the next."""
-    ends, stops = CLOSES.get(name, set()), STOPS.get(name, set())
-    if name in BLOCK and name not in ("tr", "tbody", "tfoot", "thead", "caption"):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in BLOCK or stack[i].name in ("td", "th", "button"):
-                break
-    if ends:
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in stops:
-                break
-            if stack[i].name in ends:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
-
-
-# -- wrappers: items are [key, quantifier, items below, [unchanging text, pages it stands on] or None] ----
+# -- wrappers: items are [key, quantifier, items below, [unchanging text or "", pages it stands on, characters] or None] --
 def _text_key(text: str) -> str:
     return hashlib.md5(" ".join(text.split()).encode("utf-8", "surrogatepass")).hexdigest()[:12]
 
 
 def expression(node: Node, seen: list[str] | None = None) -> list:
-    """A page's own expression: every subtree an item, repeats folded. Without scripts and the like.
+    """A page's own expression: every subtree an item, repeats folded. Without what never is content.
 
     seen gets the keys and texts as they stand before folding.
     """
@@ -165,7 +221,7 @@ def expression(node: Node, seen: list[str] | None = None) -> list:
     for c in _placed(node):
         if c.children is None:
             seen.append(text := _text_key(c.text))
-            below.append(["#", "1", [], [text, 1]])
+            below.append(["#", "1", [], [text, 1, len(c.text)]])
         else:
             below.append(expression(c, seen))
     seen.append("/")
@@ -174,7 +230,7 @@ def expression(node: Node, seen: list[str] | None = None) -> list:
 
 def _placed(node: Node) -> list[Node]:
     """Children that have a place in expressions."""
-    return [c for c in node.children if (c.text.strip() if c.children is None else c.name not in RAW and c.name != "head")]
+    return [c for c in node.children if (c.text.strip() if c.children is None else c.name not in RAW and not c.chrome)]
 
 
 _EITHER = {"11": "1", "1?": "?", "1+": "+", "1*": "*", "??": "?", "?+": "*", "?*": "*", "++": "+", "+*": "*", "**": "*"}
@@ -189,10 +245,10 @@ def _optional(item: list) -> list:
 
 
 def _unchanged(a: list | None, b: list | None, apart: bool) -> list | None:
-    """Text and count of two items. apart: they are of different pages; else of the same ones, or nobody knows."""
-    if a is None or b is None or a[0] != b[0]:
+    """Text, pages and characters of two items. apart: they are of different pages; else of the same ones, or nobody knows."""
+    if a is None or b is None:
         return None
-    return [a[0], a[1] + b[1] if apart else max(a[1], b[1])]
+    return [a[0] if a[0] == b[0] else "", a[1] + b[1] if apart else max(a[1], b[1]), a[2] + b[2]]
 
 
 def merge_items(a: list, b: list, apart: bool = True) -> list:
@@ -216,52 +272,111 @@ def merge(a: list[list], b: list[list], apart: bool = True) -> list[list]:
 
 def fold(items: list[list]) -> list[list]:
     """Neighbours with one key become one repeated item; a group of items that comes again, a repeated group."""
-    out: list[list] = []
+    near: list[list] = []
     for x in items:
-        if out and out[-1][0] == x[0]:
-            last = out.pop()
+        if near and near[-1][0] == x[0]:
+            last = near.pop()
             many = "*" if last[1] in "?*" and x[1] in "?*" else "+"
             x = [x[0], many, merge(last[2], x[2], False), _unchanged(last[3], x[3], False)]
-        out.append(x)
-    for size in range(2, min(6, len(out) // 2) + 1):
-        i = 0
-        while i + 2 * size <= len(out):
-            one, two = out[i : i + size], out[i + size : i + 2 * size]
-            if [x[0] for x in one] == [x[0] for x in two]:
-                out[i : i + 2 * size] = [["()", "+", merge(one, two, False), None]]
-            elif one[0][0] == "()" and [x[0] for x in one[0][2]] == [x[0] for x in out[i + 1 : i + 1 + len(one[0][2])]]:
-                k = len(one[0][2])
-                out[i : i + 1 + k] = [["()", "+", merge(one[0][2], out[i + 1 : i + 1 + k], False), None]]
-            else:
-                i += 1
+        near.append(x)
+    if len(near) < 3:
+        return near
+    keys, places = [x[0] for x in near], {}
+    for i, k in enumerate(keys):
+        places.setdefault(k, []).append(i)
+    out, i = [], 0
+    while i < len(near):
+        if keys[i] == "()":
+            group, base, j = near[i][2], [x[0] for x in near[i][2]], i + 1
+        else:
+            k = bisect_right(places[keys[i]], i)
+            again = (j for j in places[keys[i]][k : k + AGAIN] if 2 * j - i <= len(near) and keys[i + 1] == keys[j + 1] and keys[i:j] == keys[j : 2 * j - i])
+            j = next(again, 0)
+            group, base = near[i:j], keys[i:j]
+        if j and keys[j : j + len(base)] == base:
+            group = fold(group)
+            while keys[j : j + len(base)] == base:
+                group = merge(group, fold(near[j : j + len(base)]), False)
+                j += len(base)
+            out.append(["()", "+", group, None])
+            i = j
+        else:
+            out.append(near[i])
+            i += 1
     return out
 
 
+def _weight(item: list, many: bool = False) -> int:
+    """Characters below an item that are no unchanging text."""
+    many = many or item[1] != "1"
+    own = item[3][2] if item[3] and (many or not item[3][0]) else 0
+    return own + sum(_weight(x, many) for x in item[2])
+
+
+def content_part(items: list[list]) -> tuple[str, list]:
+    """Kind (article, main or slots) and the content items of a wrapper; for slots one item, its first and its last child."""
+    for kind in ("article", "main"):
+        found, todo = [], list(items)
+        while todo:
+            x = todo.pop()
+            name, *tokens = x[0].split(".")
+            if name == kind:
+                found.append(x)
+            elif CHROME_TOKENS.isdisjoint(tokens):
+                todo += x[2]
+        if found:
+            return kind, found
+    at = ["", "1", items, None]
+    while True:
+        weights = [_weight(x) for x in at[2]]
+        inner = next((x for x, w in zip(at[2], weights) if w and w >= CONTENT_SHARE * sum(weights)), None)
+        if inner is None or inner[1] != "1" or not inner[2]:
+            some = [x for x, w in zip(at[2], weights) if w]
+            return "slots", [at, some[0], some[-1]] if some else []
+        at = inner
+
+
 class Places:
     """Items below one wrapper item as an automaton over keys, to align a page's children with them."""
 
-    def __init__(self, items: list[list]) -> None:
+    def __init__(self, items: list[list], pages: float, part: tuple[str, list] | None = None) -> None:
+        """pages: on how many a template text stands. part: the content part; in it, nothing is told apart."""
+        kind, content = content_part(items) if part is None else part
+        self.pages, self.part, self.kind = pages, (kind, content), kind
+        self.content = {id(x) for x in content} if kind != "slots" else set()
+        self.bounds = {id(x) for x in content[1:]} if kind == "slots" else set()
+        self.inside = False  # between the first and the last child with slots
         self.empty: list[list[int]] = []  # moves without a child, by state
-        self.takes: dict[int, tuple[str, str | None, Places | None, int]] = {}  # state: key, unchanging text, places below if any text is fixed there, next state
+        self.takes: dict[int, tuple[str, str | None, Places | None, int, str]] = {}  # state: key, template text, places below if they matter, next state, kind of content
         self.known: dict[int, dict[str, list[int]]] = {}
         self.start = self._state()
         self.end = self._add(items, self.start, False)
-        self.fixed = any(t[1] or t[2] for t in self.takes.values())
+        self.matters = any(t[1] or t[2] or t[4] for t in self.takes.values())
 
     def _state(self) -> int:
         self.empty.append([])
         return len(self.empty) - 1
 
     def _add(self, items: list[list], at: int, repeated: bool) -> int:
-        for key, quantifier, below, text in items:
+        for x in items:
+            key, quantifier, below, text = x
+            kind = self.kind if id(x) in self.content else ""
+            edge = id(x) in self.bounds
+            opens = edge and not self.inside
+            kept = self.inside or edge  # in the content part
+            if opens:
+                self.inside = len(self.bounds) > 1
+            elif edge:
+                self.inside = False
             a, end = self._state(), self._state()
             many = repeated or quantifier in "+*"
             if key == "()":
                 b = self._add(below, a, many)
             else:
                 b = self._state()
-                inner = None if many or not below else Places(below)  # what is repeated is content
-                self.takes[a] = (key, text[0] if text and not many and text[1] >= TEMPLATE_PAGES else None, inner if inner and inner.fixed else None, b)
+                inner = None if not below or kind or kept else Places(below, self.pages, self.part)
+                fixed = text and text[0] and not many and not kept and self.kind == "slots" and quantifier == "1" and text[1] >= self.pages
+                self.takes[a] = (key, text[0] if fixed else None, inner if inner and inner.matters else None, b, kind)
             self.empty[at].append(a)
             self.empty[b].append(end)
             if quantifier in "+*":
@@ -290,7 +405,7 @@ class Places:
         return found
 
     def mark(self, node: Node) -> None:
-        """Set fixed at the texts below node that stand unchanged at their place. A child that fits no place stays content."""
+        """Set content and fixed at what stands below node at such places."""
         children, now, trail = _placed(node), {self.start: None}, []
         for c in children:
             step: dict[int, int] = {}
@@ -307,7 +422,8 @@ class Places:
             if not step:
                 continue
             x = next(x for x in step if self.takes[x][3] == done)
-            _, text, below, _ = self.takes[x]
+            _, text, below, _, kind = self.takes[x]
+            c.content = kind
             if text and text == _text_key(c.text):
                 c.fixed = True
             elif below:
@@ -317,11 +433,11 @@ class Places:
 
 # -- extraction ---------------------------------------------------------------------
 def _regions(node: Node, name: str, marked: bool = False) -> list[Node]:
-    """Outermost elements of a name; marked: also below elements that class or id tokens mark."""
+    """Outermost elements of the content part or of a name; marked: also below elements that class or id tokens mark."""
     found = []
     for c in node.children:
         if c.children is not None and not c.chrome and (marked or not c.marked):
-            found += [c] if c.name == name else _regions(c, name, marked)
+            found += [c] if name in (c.content, c.name) else _regions(c, name, marked)
     return found
 
 
@@ -353,7 +469,7 @@ def _text_of(regions: list[Node], whole: bool = False) -> str:
 
 
 def main_text(html: str | None, wrapper: Places | None = None) -> str:
-    """Main text of a page, less the texts that its host's wrapper (from the root on) has as unchanging."""
+    """Main text of a page: what stands in the content part of its host's wrapper (from the root on); without wrapper, in the page's own."""
     root = parse(html or "")
     if wrapper is not None:
         wrapper.mark(Node("", "", False, [root]))
@@ -367,37 +483,47 @@ def main_text(html: str | None, wrapper: Places | None = None) -> str:
 
 
 # -- Spark ---------------------------------------------------------------------------
-def _host(url: DataFrame) -> DataFrame:
+def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON of items) and pages (long: different pages it was aligned with)."""
+def hot_hosts(pages: DataFrame, url: str) -> DataFrame:
+    """host and salts of the hosts with very many pages: HOT_HOSTS rows at most, whatever the pages."""
+    counts = written(pages.groupBy(_host(F.col(url)).alias("__host")).agg(F.count(F.lit(1)).alias("n")), "hosts")
+    per = max(SALT_PAGES, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT_HOSTS))
+    return counts.where(F.col("n") > per).select("__host", F.ceil(F.col("n") / per).cast("int").alias("__salts"))
+
+
+def _packed(items: list) -> bytes:
+    return zlib.compress(json.dumps(items, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpacked(data: bytes) -> list:
+    return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
+
+
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", hot: DataFrame | None = None) -> DataFrame:
+    """host, items (the wrapper, packed) and pages (long: different pages it was aligned with)."""
     names = ["host", "salt", "key", "items", "pages"]
     types = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64())
     schema = "host string, salt int, key string, items binary, pages long"
+    hot = hot_hosts(pages, url) if hot is None else hot
 
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    def packed(items: list) -> bytes:
-        return zlib.compress(json.dumps(items, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1)
-
-    def unpacked(data: bytes) -> list:
-        return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
-
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a page; copies that are near each other go here already."""
         held: set[tuple[str, str]] = set()
         for batch in batches:
             rows = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for host, salts, text in zip(*(c.to_pylist() for c in batch.columns)):
                 seen: list[str] = []
                 items = [expression(parse(text or ""), seen)]
                 key = hashlib.md5("\0".join(seen).encode("utf-8", "surrogatepass")).hexdigest()
                 if (host, key) not in held:
                     held.add((host, key))
-                    rows.append((host, int(key[:8], 16) % SALTS, key, packed(items), 1))
+                    rows.append((host, int(key[:8], 16) % salts, key, _packed(items), 1))
             if len(held) > KEYS_HELD:
                 held.clear()
             yield table_of(rows)
@@ -410,53 +536,54 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             for host, salt, key, data, pages_ in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (host, salt):
                     if at is not None:
-                        rows.append((*at, "", packed(items), n))
-                    at, last, items, n = (host, salt), key, unpacked(data), pages_
+                        rows.append((*at, "", _packed(items), n))
+                    at, last, items, n = (host, salt), key, _unpacked(data), pages_
                 elif key != last:
-                    last, items, n = key, merge(items, unpacked(data)), n + pages_
+                    last, items, n = key, merge(items, _unpacked(data)), n + pages_
             yield table_of(rows)
         if at is not None:
-            yield table_of([(*at, "", packed(items), n)])
+            yield table_of([(*at, "", _packed(items), n)])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wrappers = pa.array([json.dumps(unpacked(x)) for x in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), wrappers, batch.column(2)], names=["host", "wrapper", "pages"])
-
-    each = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(local, schema)
+    salted = pages.select(_host(F.col(url)).alias("__host"), F.col(html).alias("__html")).join(F.broadcast(hot), "__host", "left")
+    each = salted.select("__host", F.coalesce("__salts", F.lit(1)).alias("salts"), "__html").mapInArrow(local, schema)
     once = each.repartition("host", "salt").sortWithinPartitions("host", "salt", "key").mapInArrow(meet, schema)
-    by_host = once.select("host", F.lit(0).alias("salt"), F.col("salt").cast("string").alias("key"), "items", "pages")
-    joined = by_host.repartition("host").sortWithinPartitions("host", "key").mapInArrow(meet, schema)
-    return joined.select("host", "items", "pages").mapInArrow(whole, "host string, wrapper string, pages long")
-
+    by_host = once.select("host", F.lit(0).alias("salt"), F.lpad(F.col("salt").cast("string"), 6, "0").alias("key"), "items", "pages")
+    return by_host.repartition("host").sortWithinPartitions("host", "key").mapInArrow(meet, schema).select("host", "items", "pages")
 
-@lru_cache(maxsize=512)
-def _places(wrapper: str) -> Places | None:
-    places = Places(json.loads(wrapper))
-    return places if places.fixed else None
 
-
-def places_of(wrapper: str | None, pages: int | None) -> Places | None:
-    """A host's wrapper to align its pages with; None if no text of it stands on TEMPLATE_PAGES different pages."""
-    return _places(wrapper) if wrapper and (pages or 0) >= TEMPLATE_PAGES else None
+@lru_cache(maxsize=64)
+def places_of(items: bytes | None, pages: int | None) -> Places | None:
+    """A host's wrapper to align its pages with; None if it tells nothing."""
+    if not items:
+        return None
+    places = Places(_unpacked(items), max(TEMPLATE_PAGES, TEMPLATE_SHARE * (pages or 0)))
+    return places if places.matters else None
 
 
-def extract(pages: DataFrame, wrappers: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages without html, plus text (string) and n_chars (long)."""
-    wrappers = infer_wrappers(pages, url, html) if wrappers is None else wrappers
+    hot = written(hot_hosts(pages, url), "hot-hosts")
+    w = written(infer_wrappers(pages, url, html, hot), "wrappers").withColumnsRenamed({"host": "__host", "items": "__items", "pages": "__pages"})
     keep = carried(pages, ("text", "n_chars"), html)
-    w = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("pages").alias("__pages"))
-    # a hot host's pages meet one of JOIN_SALTS copies of its one wrapper, so that they don't gather in a task
-    w = w.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    salted = pages.withColumns({"__h": _host(F.col(url)), "__p": F.pmod(F.xxhash64(*pages.columns), F.lit(JOIN_SALTS))})
-    joined = salted.join(w, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__s")), "left").select(*keep, F.col(html).alias("__html"), "__wrapper", "__pages")
+    placed = pages.withColumn("__h", _host(F.col(url)))
+    size = w.agg(F.sum(F.length("__items") + F.length("__host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = placed.join(F.broadcast(w), F.col("__h") == F.col("__host"), "left")
+    else:  # a hot host's pages meet as many copies of its wrapper as it has salts
+        copies = w.join(F.broadcast(hot), "__host", "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+        spread = placed.join(F.broadcast(hot.withColumnRenamed("__host", "__hh")), F.col("__h") == F.col("__hh"), "left")
+        spread = spread.withColumn("__p", F.pmod(F.xxhash64(*hashable(pages)), F.coalesce("__salts", F.lit(1))))
+        joined = spread.join(copies, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__s")), "left")
+    joined = joined.select(*[pages[c] for c in keep], pages[html].alias("__html"), "__items", "__pages")
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = len(keep)
-            texts = [main_text(h, places_of(w, n)) for h, w, n in zip(*(batch.column(k + i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [main_text(h, places_of(w, n)) for h, w, n in zip(*(part.column(k + i).to_pylist() for i in range(3)))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 

@@ -7,17 +7,24 @@ what a large inner product sees, weighs ETA times as much as the part across it.
 query scans the codes of its nearest cells with 16-entry tables, and the best few of every
 block are ranked again by the exact cosine of the original vectors in double precision.
 
-The index is fitted on at most SAMPLE distinct vectors (a documented bound, chosen by a
-seeded hash) and holds every row. Equal vectors are one entry that lists its smallest ids,
-as many as a result can need, so groups of copies cost one entry and ties stay exact. Large
-cells are cut into blocks, many queries into batches; nothing is dropped. A query goes on
-to further cells until they hold LEAST_ENTRIES entries, or all.
+The first cells are fitted on at most SAMPLE distinct vectors, the codebooks on LEARN of them
+(documented bounds, chosen by a seeded hash); the index holds every row. There are half as many cells as
+the square root of the rows. Beyond FIRST_CELLS they come in two tiers: executors cut each
+first cell by k-means over its part of a larger sample, in pieces of bounded size, as long as
+all centres fit into CENTRE_BYTES (they are broadcast). How many cells a query visits is
+measured: the least number that holds COVERED of the true neighbours, among all rows, of
+PILOTS sample vectors. Equal vectors are one entry that lists its smallest ids, as many as a
+result can need, so groups of copies cost one entry and ties stay exact. Large cells are cut
+into shards of bounded size, and the queries that visit a shard into batches; a shard is sent
+to its own batches only. Nothing is dropped. A query goes on to further cells until they hold
+LEAST_ENTRIES entries, or all.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part, as rows without id; where lengths differ, the most frequent one counts (of
 equally frequent ones the longest) and the others take no part. Rows that repeat id and
 vector count once; a query never returns its own id. With fewer candidates than asked for,
-all are returned.
+all are returned; empty tables give no rows. Columns other than id and vector play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +39,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table, written
+from cadenza.llm.common import dropped, table, written
 
 NEAREST, EVERY = 5, 50
-SAMPLE, MAX_CELLS, COVERED, LEAST_ENTRIES, RERANK = 20_000, 1024, 0.99, 200, 256
-BLOCK_ENTRIES, QUERY_BATCH, CODES, DIMS, THRESHOLD = 4096, 1024, 16, 2, 0.2
-#: Shares of the cells that a query may visit; the least with COVERED of the sample's own true neighbours is used.
-SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.85, 0.95, 1.0)
+SAMPLE, LEARN, ROUNDS, FIRST_CELLS, CENTRE_BYTES, PILOTS, COVERED, LEAST_ENTRIES, RERANK = 12_000, 6000, 6, 1024, 64_000_000, 128, 0.98, 200, 256
+SHARD_ENTRIES, QUERY_BATCH, CODES, DIMS, THRESHOLD = 4096, 1024, 16, 2, 0.2
+#: Second tier: sample vectors for each cell, most of them in a task, first cells that an assignment and a query look into.
+CELL_SAMPLE, PIECE, ASSIGN, LOOK = 40, 20_000, 4, 64
+#: Numbers of cells that a query may visit; all cells come last.
+VISITS = tuple(sorted({int(1.2**k) for k in range(75)}))
+#: Numbers in an intermediate array of the fit, the encoder or the probes.
+BLOCK = 2_000_000
+
+
+def k_means(x: np.ndarray, cells: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of spherical k-means over unit vectors."""
+    centres = x[rng.choice(len(x), cells, replace=False)]
+    step = max(1, BLOCK // cells)
+    for _ in range(rounds):
+        near = np.concatenate([(x[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(x), step)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centres)
+    return centres
 
 
 @dataclass
@@ -49,7 +73,9 @@ class Index:
     books: np.ndarray  # (subspaces, 16, 2)
     eta: float
     scales: np.ndarray  # (cells,): length of a usual residual, so that tight cells are coded as finely as wide ones
-    share: float = 1.0
+    first: np.ndarray | None = None  # centres of the first tier, if there are two
+    starts: np.ndarray | None = None  # where the cells of each first cell begin, with the end
+    visits: int = 1
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -57,46 +83,69 @@ class Index:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, cells: int, rounds: int = 10) -> Index:
+    def fit(cls, vectors: np.ndarray, cells: int) -> Index:
+        """One tier of cells; codebooks come with learn()."""
         x = cls.unit(vectors)
         dims = x.shape[1]
-        rng = np.random.default_rng(5)
         cells = max(1, min(cells, len(x)))
-        centres = x[rng.choice(len(x), cells, replace=False)]
-        for _ in range(rounds):
-            near = (x @ centres.T).argmax(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, x)
-            norms = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centres)
-        subs = -(-dims // DIMS)
-        index = cls(centres, np.zeros((subs, CODES, DIMS)), max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)), np.ones(cells))
-        near = (x @ centres.T).argmax(axis=1)
-        square = ((x - centres[near]) ** 2).sum(axis=1)
+        centres = k_means(x, cells, ROUNDS, np.random.default_rng(5))
+        return cls(centres, np.zeros((-(-dims // DIMS), CODES, DIMS)), max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)), np.ones(cells))
+
+    def tiers(self, centres: np.ndarray, of: np.ndarray) -> Index:
+        """The index with a second tier; of: the first cell of each centre."""
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(self.centres) + 1))
+        return Index(centres[order], self.books, self.eta, np.ones(len(centres)), self.centres, starts)
+
+    def learn(self, vectors: np.ndarray) -> Index:
+        """Scales and codebooks from a sample."""
+        x, rng, cells = self.unit(vectors), np.random.default_rng(6), len(self.centres)
+        near = self.assign(x)
+        square = ((x - self.centres[near]) ** 2).sum(axis=1)
         held = np.bincount(near, minlength=cells)
-        index.scales = np.sqrt(np.where(held > 1, np.bincount(near, square, cells) / np.maximum(held, 1), square.mean())) + 1e-9
-        r, u = index._split(x, near)
-        for s in range(subs):
-            index.books[s] = r[rng.choice(len(r), CODES, replace=len(r) < CODES), s] + rng.normal(0, 1e-6, (CODES, DIMS))
-        codes = index._codes(r, u, 1)
-        for _ in range(rounds):
-            index._learn(r, u, codes)
-            codes = index._codes(r, u, 1, codes)
-        index.share = index._least_share(x, rng)
-        return index
+        self.scales = np.sqrt(np.where(held > 1, np.bincount(near, square, cells) / np.maximum(held, 1), square.mean())) + 1e-9
+        r, u = self._split(x[:LEARN], near[:LEARN])
+        for s in range(len(self.books)):
+            self.books[s] = r[rng.choice(len(r), CODES, replace=len(r) < CODES), s] + rng.normal(0, 1e-6, (CODES, DIMS))
+        codes = self._codes(r, u, 1)
+        for _ in range(ROUNDS):
+            self._learn(r, u, codes)
+            codes = self._codes(r, u, 1, codes)
+        return self
+
+    def likeness(self, x: np.ndarray, look: int) -> np.ndarray:
+        """Products of unit vectors with the centres; with two tiers, with those of the nearest `look` first cells only."""
+        if self.first is None:
+            return x @ self.centres.T
+        out = np.full((len(x), len(self.centres)), -np.inf)
+        near = x @ self.first.T
+        look = min(look, len(self.first))
+        picked = np.argpartition(-near, look - 1, axis=1)[:, :look]
+        for c in np.unique(picked).tolist():
+            rows = np.flatnonzero((picked == c).any(axis=1))
+            i, j = self.starts[c], self.starts[c + 1]
+            out[rows, i:j] = x[rows] @ self.centres[i:j].T
+        return out
 
-    def _least_share(self, x: np.ndarray, rng: np.random.Generator) -> float:
-        """Share of cells that holds COVERED of the true nearest sample vectors of 256 sample vectors."""
-        asked = rng.choice(len(x), min(256, len(x)), replace=False)
-        scores = x[asked] @ x.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        few = min(NEAREST, len(x) - 1)
-        if few < 1:
-            return 1.0
-        cell = (x @ self.centres.T).argmax(axis=1)[np.argsort(-scores, axis=1)[:, :few]]
-        place = np.argsort(np.argsort(-(x[asked] @ self.centres.T), axis=1), axis=1)
-        place = np.take_along_axis(place, cell, axis=1)
-        return next(p for p in SHARES if (place < np.ceil(p * len(self.centres))).mean() >= COVERED or p == 1.0)
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """Cell of every unit vector."""
+        step = max(1, BLOCK // len(self.centres))
+        parts = [self.likeness(x[i : i + step], ASSIGN).argmax(axis=1) for i in range(0, len(x), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """Cells by likeness to each vector, the nearest first."""
+        return np.argsort(-self.likeness(self.unit(vectors), LOOK), axis=1, kind="stable")
+
+    def least_visits(self, pilots: np.ndarray, cells: list[np.ndarray]) -> int:
+        """Least number of visited cells that holds COVERED of the pilots' true neighbours; cells: theirs."""
+        step, places = max(1, BLOCK // len(self.centres)), []
+        for i in range(0, len(pilots), step):
+            place = np.argsort(self.order(pilots[i : i + step]), axis=1)
+            places += [row[c] for row, c in zip(place, cells[i : i + step])]
+        places = np.concatenate(places) if places else np.zeros(0)
+        fit = [n for n in VISITS if n < len(self.centres) and (places < n).mean() >= COVERED] if len(places) else []
+        return fit[0] if fit else len(self.centres)
 
     def _split(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residuals and unit vectors by subspace: (n, subspaces, 2)."""
@@ -106,6 +155,11 @@ class Index:
 
     def _codes(self, r: np.ndarray, u: np.ndarray, sweeps: int, codes: np.ndarray | None = None) -> np.ndarray:
         """Codes of least anisotropic loss, subspace by subspace, given those of the others."""
+        step = max(1, BLOCK // (r.shape[1] * CODES * DIMS))
+        parts = [self._block_codes(r[i : i + step], u[i : i + step], sweeps, None if codes is None else codes[i : i + step]) for i in range(0, len(r), step)]
+        return np.concatenate(parts) if parts else np.zeros(r.shape[:2], np.int64)
+
+    def _block_codes(self, r: np.ndarray, u: np.ndarray, sweeps: int, codes: np.ndarray | None) -> np.ndarray:
         n, subs, _ = r.shape
         # error and its part along the vector for every code: (n, subspaces, 16)
         err = r[:, :, None, :] - self.books[None]
@@ -141,7 +195,7 @@ class Index:
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Cell and packed 4-bit codes of every vector."""
         x = self.unit(vectors)
-        cell = (x @ self.centres.T).argmax(axis=1)
+        cell = self.assign(x)
         codes = self._codes(*self._split(x, cell), 2).astype(np.uint8)
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
@@ -150,11 +204,10 @@ class Index:
 
     def probes(self, vectors: np.ndarray, entries: np.ndarray) -> list[np.ndarray]:
         """Cells that each query visits, nearest first."""
-        order = np.argsort(-(self.unit(vectors) @ self.centres.T), axis=1, kind="stable")
-        share = max(1, int(np.ceil(self.share * len(self.centres))))
+        order = self.order(vectors)
         held = entries[order].cumsum(axis=1)
         need = (held < min(LEAST_ENTRIES, int(entries.sum()))).sum(axis=1) + 1
-        return [o[: max(share, n)][entries[o[: max(share, n)]] > 0] for o, n in zip(order, need)]
+        return [o[: max(self.visits, n)][entries[o[: max(self.visits, n)]] > 0] for o, n in zip(order, need)]
 
     def scan(self, queries: np.ndarray, cell: int, packed: list[bytes]) -> np.ndarray:
         """Estimated cosines (queries, entries) of entries of one cell, from tables of 16 products for each code."""
@@ -180,9 +233,9 @@ def shards_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, cuts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
     shard, fill = 0, 0
     for c, n in enumerate(sizes.tolist()):
-        if fill and fill + n > BLOCK_ENTRIES:
+        if fill and fill + n > SHARD_ENTRIES:
             shard, fill = shard + 1, 0
-        first[c], cuts[c] = shard, max(1, -(-n // BLOCK_ENTRIES))
+        first[c], cuts[c] = shard, max(1, -(-n // SHARD_ENTRIES))
         fill += n
         if cuts[c] > 1:
             shard, fill = shard + int(cuts[c]), 0
@@ -198,6 +251,64 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return v.where(F.size("embedding") == (lengths["n"] if lengths else 0))
 
 
+def _array(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def second_tier(entries: DataFrame, index: Index, cells: int, total: int) -> Index:
+    """Cut the first cells on the executors: k-means over a sample of their entries, in pieces of about PIECE of them."""
+    dims, kind = index.centres.shape[1], dict(entries.dtypes)["embedding"]
+    share = min(1.0, CELL_SAMPLE * cells / total)
+    part = entries.where(F.pmod(F.xxhash64("entry", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("entry", "embedding")
+    shared = entries.sparkSession.sparkContext.broadcast(index)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = shared.value.assign(Index.unit(_array(batch.column(1), dims)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *batch.columns], names=["cell", "entry", "embedding"])
+
+    placed = written(part.mapInArrow(place, f"cell int, entry long, embedding {kind}"), "second-tier")
+    pieces = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))  # one row for each first cell at most
+
+    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = Index.unit(np.stack(rows.sort_values("entry")["embedding"].to_numpy()))
+        n = max(1, round(len(x) * cells / (share * total)))
+        return pd.DataFrame({"cell": key[0], "centre": list(k_means(x, min(n, len(x)), ROUNDS, np.random.default_rng(7)))})
+
+    dealt = placed.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("entry"), F.col("pieces")))
+    got = dealt.select("cell", "piece", "entry", "embedding").groupBy("cell", "piece").applyInPandas(cut, "cell int, centre array<double>").toArrow()  # within CENTRE_BYTES, as cells is
+    dropped(entries.sparkSession, placed)
+    if not got.num_rows:
+        return index
+    centres, of = _array(got.column("centre").combine_chunks(), dims), got.column("cell").to_numpy()
+    order = np.lexsort((*centres.T[::-1], of))
+    return index.tiers(centres[order], of[order])
+
+
+def measured_visits(coded: DataFrame, index: Index, pilots: np.ndarray, k: int) -> int:
+    """How many cells hold COVERED of the true neighbours of the pilots among all rows."""
+    spark, dims = coded.sparkSession, pilots.shape[1]
+    shared = spark.sparkContext.broadcast(Index.unit(pilots))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                scores = asked @ Index.unit(_array(batch.column(1), dims)).T
+                few = min(k + 1, batch.num_rows)
+                top = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+                cell = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), few), pa.int32()), pa.array(np.take_along_axis(scores, top, 1).ravel()), pa.array(cell[top].ravel(), pa.int32())], names=["pilot", "score", "cell"])
+
+    found = coded.select("cell", "embedding").mapInArrow(nearest, "pilot int, score double, cell int")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("pilot").orderBy(F.desc("score"), "cell"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))  # the first is the pilot itself
+    cells: list[list[int]] = [[] for _ in pilots]
+    for row in best.select("pilot", "cell").collect():  # at most k rows for each of PILOTS
+        cells[row["pilot"]].append(row["cell"])
+    return index.least_visits(pilots, [np.array(c, np.int64) for c in cells])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """The k nearest of vectors for each row of queries(vec_id, embedding): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -206,18 +317,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
     some = F.dense_rank().over(W.partitionBy("embedding").orderBy("vec_id"))
     entries = v.withColumn("place", some).where(F.col("place") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     entries = written(entries.withColumn("entry", F.col("ids")[0]), "entries")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("embedding").toArrow().column("embedding").to_pylist()
-    if not sample:
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    if not len(sample):
         return spark.createDataFrame([], out)
     dims = len(sample[0])
-    index = Index.fit(np.array(sample, np.float64), min(MAX_CELLS, max(1, int(np.sqrt(entries.count()) / 2))))
-    shared = spark.sparkContext.broadcast(index)  # at most 1,024 centres and 16 codewords for every two dimensions
+    sample = _array(sample, dims).astype(np.float64)
+    total = entries.count()
+    cells = max(1, min(int(np.sqrt(total) / 2), CENTRE_BYTES // (8 * dims)))
+    index = Index.fit(sample, min(FIRST_CELLS, cells))
+    if cells > FIRST_CELLS:
+        index = second_tier(entries, index, cells, total)
+    shared = spark.sparkContext.broadcast(index.learn(sample))  # at most CENTRE_BYTES of centres, and 16 codewords for every two dimensions
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                cell, codes = shared.value.encode(x)
+                cell, codes = shared.value.encode(_array(batch.column(1), dims))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array(codes, pa.binary()), batch.column(1), batch.column(2)], names=["entry", "cell", "codes", "embedding", "ids"])
 
     kind = dict(entries.dtypes)["embedding"]
@@ -226,20 +341,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
     for row in coded.groupBy("cell").count().collect():  # at most one row for each cell
         sizes[row["cell"]] = row["count"]
     first, cuts = shards_of(sizes)
+    index.visits = measured_visits(coded, index, sample[np.random.default_rng(8).permutation(len(sample))[:PILOTS]], k)
     asked = usable(queries, vec_id, embedding).where(F.size("embedding") == dims).select("vec_id", F.col("embedding").cast(kind).alias("embedding")).distinct()
-    asked_once = asked.groupBy("embedding").agg(F.min("vec_id").alias("query"))
-    asked_once = written(asked_once, "asked")
-    batches_n = max(1, -(-asked_once.count() // QUERY_BATCH))
-    plan = spark.sparkContext.broadcast((sizes, first, cuts))
+    asked_once = written(asked.groupBy("embedding").agg(F.min("vec_id").alias("query")), "asked")
+    plan = spark.sparkContext.broadcast((index, sizes, first, cuts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, starts, parts = plan.value
+        asked_index, counts, starts, parts = plan.value
+        step = max(1, min(256, BLOCK // len(counts)))
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                x = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            for low in range(0, batch.num_rows, step):
+                some = batch.slice(low, step)
                 at, shard, cells = [], [], []
-                for i, near in enumerate(shared.value.probes(x, counts)):
+                for i, near in enumerate(asked_index.probes(_array(some.column(1), dims), counts)):
                     by: dict[int, list[int]] = {}
                     for c in near.tolist():
                         for b in range(parts[c]):
@@ -250,10 +364,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(cells, pa.list_(pa.int32())), some.column(0).take(take), some.column(1).take(take)], names=["shard", "cells", "query", "embedding"])
 
-    visits = asked_once.select("query", "embedding").mapInArrow(probe, f"shard int, cells array<int>, query long, embedding {kind}").withColumn("batch", F.pmod(F.xxhash64("query"), F.lit(batches_n)).cast("int"))
+    visits = written(asked_once.select("query", "embedding").mapInArrow(probe, f"shard int, cells array<int>, query long, embedding {kind}"), "visits")
+    batches = written(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_BATCH).cast("int").alias("batches")), "batches")
+    visits = visits.join(batches, "shard").withColumn("batch", F.pmod(F.xxhash64("query"), F.col("batches")).cast("int")).drop("batches")
     where = spark.createDataFrame([(c, int(a), int(b)) for c, (a, b) in enumerate(zip(first, cuts))], "cell int, start int, cuts int")  # one row for each cell
     held = coded.join(F.broadcast(where), "cell").withColumn("shard", F.col("start") + F.pmod(F.xxhash64("entry"), F.col("cuts")).cast("int")).drop("start", "cuts")
-    held = held.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1))))
+    held = held.join(batches, "shard").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
 
     def meet(key: tuple, e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):

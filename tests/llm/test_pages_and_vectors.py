@@ -52,10 +52,59 @@ def _texts(spark, htmls, parts=1):
     return {r.page_id: r.text for r in html_extraction.extract(df).collect()}
 
 
-def test_wrappers_decide_inside_article(spark):
-    page = "<body><article class='post-{0}'><h1>Title {0}</h1><div class='by'>Written by <b>author {0}</b></div><p>text {0}</p><p>Same</p><section>All rights reserved</section></article></body>"
+def test_nothing_inside_the_content_part_is_template(spark):
+    page = "<body><p>Written by</p><article class='post-{0}'><h1>Same title</h1><div class='by'>Written by <b>author {0}</b></div><h2>Method</h2><p>text {0}</p><p>Same</p></article></body>"
     got = _texts(spark, [page.format(i) for i in range(4)])
-    assert got == {i: f"Title {i}\nauthor {i}\ntext {i}\nSame" for i in range(4)}  # a repeated item stays, also with a text that repeats
+    assert got == {i: f"Same title\nWritten by author {i}\nMethod\ntext {i}\nSame" for i in range(4)}
+    page = "<body><div class='top'>Top line</div><h1>Title {0}</h1><h2>Method</h2><p>text {0}</p><div class='end'>Bottom line</div></body>"
+    assert _texts(spark, [page.format(i) for i in range(6)]) == {i: f"Title {i}\nMethod\ntext {i}" for i in range(6)}
+
+
+def site(rnd, host, pages, kind):
+    """Pages of a host, made from a template, with their true main text."""
+    word = lambda n: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    head, menu, foot = word(3), [word(1) for _ in range(5)], word(6)
+    out = []
+    for _ in range(pages):
+        blocks, lines = [], []
+        for k in range(rnd.randint(2, 9)):
+            tag, text = rnd.choice(["p", "p", "p", "h2", "blockquote", "ul"]), word(rnd.randint(2, 30))
+            if k == 0 or tag == "h2":
+                tag, text = "h1" if k == 0 else "h2", rnd.choice(["Method", "Results", text]) if k else text
+            blocks.append(f"<ul><li>{text}<li>{text} &amp; more</ul>" if tag == "ul" else f"<{tag}>{text}</{tag}>")
+            lines += [text, f"{text} & more"] if tag == "ul" else [text]
+        body = "".join(blocks)
+        inner = {"article": f"<article>{body}</article>", "main": f"<main>{body}</main>", "div": f"<div class='c'>{body}</div>"}[kind]
+        nav = "".join(f"<li><a href='/'>{m}</a></li>" for m in menu)
+        out.append((f"http://{host}/{rnd.random()}", f"<html><head><title>{word(2)}</title></head><body><div class='brand'>{head}</div><nav><ul>{nav}</ul></nav><div class='ad'>{word(5)}</div>{inner}<div class='sidebar'>{word(4)}</div><div class='colophon'>{foot}</div></body></html>", "\n".join(lines)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [16_000_000, 0])
+def test_sites_with_known_articles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(html_extraction, "SALT_PAGES", 10)
+    rnd = random.Random(3)
+    made = [x for host, pages, kind in (("hot.example", 120, "div"), ("a.example", 12, "article"), ("b.example", 12, "main"), ("c.example", 15, "div"), ("one.example", 1, "article")) for x in site(rnd, host, pages, kind)]
+    df = spark.createDataFrame([(i, u, h, 7, "x") for i, (u, h, _) in enumerate(made)], "page_id long, url string, html string, n_chars int, __host2 string").repartition(5)
+    got = {r.page_id: r for r in html_extraction.extract(df).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t for i, (*_, t) in enumerate(made)}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_deep_and_wide_pages():
+    deep = "<body><article>" + "<div>a" * 50_000 + "x" + "</div>b" * 50_000 + "<nav><p>menu</p></nav><p>end</p></article></body>"
+    want = "\n".join(["a"] * 49_999 + ["ax"] + ["b"] * 50_000 + ["end"])
+    assert html_extraction.main_text(deep) == want
+    whole = [html_extraction.expression(html_extraction.parse(deep))]
+    assert html_extraction.main_text(deep, html_extraction.places_of(html_extraction._packed(html_extraction.merge(whole, whole)), 2)) == want
+    inside = "<article>" + "<div>" * 300 + "<nav><p>menu<b>x</b></p></nav>one<p>two <b>three</b> four</p>five" + "</div>" * 300 + "</article>"
+    assert html_extraction.main_text(inside) == "one\ntwo three four\nfive"
+    wide = "<article>" + "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(20_000)) + "</article>"
+    e = html_extraction.expression(html_extraction.parse(wide))
+    assert [x[:2] for x in e[2][0][2]] == [["()", "+"]]
+    long_group = [[k, "1", [], None] for k in list("abcdefghij") * 3]
+    assert [x[:2] for x in html_extraction.fold(long_group)] == [["()", "+"]]
 
 
 def test_a_text_of_one_page_is_no_template(spark):
@@ -158,3 +207,22 @@ def test_search_recall_ties_and_edges(spark):
     few = df.where("vec_id < 3")
     assert ann_search.search(few, few.where("vec_id = 0")).count() == 2
     assert ann_search.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_search_with_two_tiers_and_many_batches(spark, monkeypatch):
+    """Second-tier cells, shards and query batches of a few rows give the same quality."""
+    for name, value in (("FIRST_CELLS", 4), ("PIECE", 150), ("SHARD_ENTRIES", 40), ("QUERY_BATCH", 16), ("LOOK", 4)):
+        monkeypatch.setattr(ann_search, name, value)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(30, 16))
+    x = (middles[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
+    good = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in good], "vec_id long, embedding array<float>, query string, score double").repartition(3)
+    got = {}
+    for r in ann_search.search(df, df.where("vec_id % 25 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(good, [(i, v) for i, v in good if i % 25 == 0], 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+    index = ann_search.Index.fit(x[:500].astype(float), 4).tiers(*(lambda c: (c, np.arange(40) % 4))(ann_search.k_means(ann_search.Index.unit(x[:500]), 40, 2, rng)))
+    assert index.starts.tolist() == [0, 10, 20, 30, 40] and (index.assign(ann_search.Index.unit(x[:50])) < 40).all()

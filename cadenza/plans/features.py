@@ -139,7 +139,7 @@ def best_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report as Markdown lines."""
-    return evaluate.markdown(evaluate.report(_scored(spark, sf_dir), "label"), evaluate.word_counts(_both(spark, sf_dir), METHODS), facts={"Features": "embeddings"}).select("ord", "line")
+    return evaluate.markdown(evaluation_intervals(spark, sf_dir), evaluate.word_counts(_both(spark, sf_dir), METHODS), facts={"Features": "embeddings"}).select("ord", "line")
 
 
 def _head(v):  # noqa: ANN001, ANN202
@@ -350,3 +350,9 @@ select a.method, a.n, rho, pearson from ({_corr("x", "y", "rk", "rho")}) a join
 select 'named' as kind, 20 as completed, coalesce(max(value) filter (where e is null or e <= 20), 0) as elapsed from l
 union all select 'other', coalesce(max(e), 0), coalesce(max(value), 0) from l""",
 }
+_NAMES = ", ".join(f"('{m}', '{name}', '{said}', {200 + i})" for i, (m, (name, said)) in enumerate(evaluate.METHODS.items()))
+ORACLE["evaluation_markdown"] = f"""with {_FR}, {_GOP}, {_SA}, {_BOTH}, ci as ({ORACLE["evaluation_intervals"]}),
+c as (select count(*) filter (where x) as scored, count(*) filter (where not x) as skipped from (select coalesce(log_prob, max_logit, margin, self_aligned) is not null as x from b))
+select 0 as ord, '# Evaluation' as line union all select 1, '' union all select 2, '- Features: embeddings' union all select 100, printf('- Words: %d scored, %d skipped', scored, skipped) from c
+union all select 101, '' union all select 102, '| Method | Words | Spearman ρ | 95% CI | Pearson | Description |' union all select 103, '|---|---|---|---|---|---|'
+union all select o, printf('| %s | %d | %.4f | [%.4f, %.4f] | %.4f | %s |', name, n, rho, lo, hi, pearson, said) from ci join (values {_NAMES}) m(method, name, said, o) using (method)"""

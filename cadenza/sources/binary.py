@@ -50,6 +50,14 @@ def decode_record(data: bytes, dim: int) -> dict:
     return {"features": np.frombuffer(data, "<f4", frames * dim, 4 * head), "targets": np.frombuffer(data, "<i4", targets, 4 * (head + frames * dim)), "num_frames": frames, "rate": None}
 
 
+def encode_teacher(features: np.ndarray) -> bytes:
+    """Teacher features, 1,024 dimensions a frame, little endian."""
+    values = np.asarray(features, "<f4").ravel()
+    if values.size % TEACHER_DIM:
+        raise ValueError(f"{values.size} features are no rows of {TEACHER_DIM}")
+    return TEACHER_MAGIC + struct.pack("<3I", TEACHER_VERSION, values.size // TEACHER_DIM, TEACHER_DIM) + values.tobytes()
+
+
 def decode_teacher(data: bytes, frames: int | None = None) -> dict:
     """Teacher features: 1,024 dimensions a frame; frames, if given, must match."""
     if data[:4] != TEACHER_MAGIC or len(data) < 16:
@@ -106,6 +114,19 @@ def encode_wave(samples: np.ndarray, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
 
 
+def encoded(rows: DataFrame, encode: Callable[..., bytes], args: list[str], content: str = "content") -> DataFrame:
+    """rows plus their binary form. args: columns passed on to encode."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{content}` binary"])
+    names, at = [*rows.columns, content], [rows.columns.index(a) for a in args]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [encode(*values) for values in zip(*(batch.column(i).to_pylist() for i in at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def decoded(files: DataFrame, decode: Callable[..., dict], content: str = "content", args: list[str] | None = None) -> DataFrame:
     """files without content, plus features, targets, num_frames, rate and error. args: columns passed on to decode."""
     args = args or []

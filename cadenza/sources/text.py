@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
@@ -53,7 +53,12 @@ def read_word_scores(spark: SparkSession, path: str, limit: int | None = None) -
     raw = F.coalesce("s.human_score_raw", F.round(F.col("s.human_score") * 10).cast("int"))
     w = s.select("ord", "s.audio_file", "s.sentence_text", "s.word_position", "s.human_score", raw.alias("raw_score"), F.coalesce("s.phonemes", F.array().cast("array<string>")).alias("phonemes"))
     w = w.withColumn("num_words", ph.word_total(F.col("sentence_text")).cast("long"))
-    return w.withColumn("valid", (F.col("word_position") < F.col("num_words")) & F.col("human_score").between(0, 1))
+    return w.withColumn("valid", word_valid(F.col("word_position"), F.col("num_words"), F.col("human_score")))
+
+
+def word_valid(position: Column, words: Column, score: Column) -> Column:
+    """Whether a scored word is in its sentence and its score within 0 and 1; missing values are not valid."""
+    return F.coalesce((position < words) & score.between(0, 1), F.lit(False))
 
 
 def group_words(words: DataFrame, extra: list[str] | None = None) -> DataFrame:

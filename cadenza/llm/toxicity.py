@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 from cadenza.llm.common import carried, table
 
 SIZES, BITS = (2, 3, 4, 5), 18
-TRAIN_CHARS, TRAIN_TEXT, TRAIN_TASKS = 16_000_000, 200_000, 16
+TRAIN_CHARS, TRAIN_TEXT, TRAIN_TASKS = 40_000_000, 2_000_000, 16
+#: Buckets of rows that the fit works on together.
+BLOCK = 1_000_000
 TRAIN_ROWS, SEED, ROUNDS, RATE, POSITIVE_WEIGHT, RIDGE, LEAST_RATIO = 6000, 11, 120, 0.08, 4.0, 1e-6, 0.7
 
 
@@ -75,29 +77,44 @@ def _scratch() -> np.ndarray:
     return _MARK[0]
 
 
+def _blocks(rows: list[np.ndarray]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    out, i, n = [], 0, 0
+    for j, row in enumerate(rows, 1):
+        n += len(row)
+        if n >= BLOCK or j == len(rows):
+            out.append((i, j, np.concatenate(rows[i:j]), np.repeat(np.arange(j - i, dtype=np.int32), [len(r) for r in rows[i:j]])))
+            i, n = j, 0
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weight of every bucket (log-count ratio times coefficient) and the intercept."""
     size, y = 1 << BITS, labels.astype(np.float64)
-    ends = np.cumsum([len(r) for r in rows])
-    ids = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ends, prepend=0))
-    pos = np.bincount(ids, weights=y[of], minlength=size) + 1
-    neg = np.bincount(ids, minlength=size) + 2 - pos
+    blocks = _blocks(rows)  # (first row, last row, buckets end to end, row of each): no array is as long as all of them
+    pos, neg = np.ones(size), np.ones(size)
+    for i, _, ids, of in blocks:
+        label = y[i + of]
+        pos += np.bincount(ids, weights=label, minlength=size)
+        neg += np.bincount(ids, weights=1 - label, minlength=size)
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    use = (np.abs(ratio) >= LEAST_RATIO)[ids]  # buckets about as frequent in either class say nothing: their features are 0
-    ids, of = ids[use], of[use]
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
-    ratio /= np.sqrt((ratio[ids] ** 2).sum() / len(rows)) or 1.0
-    values = ratio[ids].astype(np.float32)
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0  # buckets about as frequent in either class say nothing: their features are 0
+    used = ratio != 0
+    blocks = [(i, j, ids[used[ids]], of[used[ids]]) for i, j, ids, of in blocks]
+    ratio /= np.sqrt(sum((ratio[ids] ** 2).sum() for _, _, ids, _ in blocks) / len(rows)) or 1.0
+    values = ratio.astype(np.float32)
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     weight = np.where(y > 0, POSITIVE_WEIGHT, 1.0) / len(y)
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(of, weights=values * w[ids], minlength=len(y)) + b
-        g = (1 / (1 + np.exp(-z)) - y) * weight
-        gw = np.bincount(ids, weights=values * g[of], minlength=size) + RIDGE * w
+        gw, gb = RIDGE * w, 0.0
+        for i, j, ids, of in blocks:
+            x = values[ids]
+            z = np.bincount(of, weights=x * w[ids], minlength=j - i) + b
+            g = (1 / (1 + np.exp(-z)) - y[i:j]) * weight[i:j]
+            gw += np.bincount(ids, weights=x * g[of], minlength=size)
+            gb += g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
     return (w * ratio).astype(np.float32), float(b)
@@ -127,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         share = float(y.mean()) if len(y) else 0.0
         return np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     ids = [np.frombuffer(x, np.int32) for x in got.column("ids").to_pylist()]
+    del got
     order = sorted(range(len(ids)), key=lambda i: (ids[i].tobytes(), y[i]))  # sums do not depend on the order of arrival
     return fit([ids[i] for i in order], y[order])
 

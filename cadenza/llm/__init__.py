@@ -1,4 +1,4 @@
-"""Training-data operators: ten stand-alone jobs over documents, pages and embeddings.
+"""Training-data operators: thirteen stand-alone jobs over documents, pages and embeddings.
 
 Nothing outside this subpackage imports it.
 """

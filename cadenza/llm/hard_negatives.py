@@ -194,9 +194,9 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op13_hard_negatives": op13_hard_negatives}
 ORACLE = {
-    "op13_hard_negatives": """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v
-  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, list_sum(list_transform(list_zip(a.v, r.v), p -> p[1] * p[2]))::bigint as score
+    "op13_hard_negatives": """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::bigint as score
   from e a join e r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
 p as (select * from s where label = anchor_label qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
 n as (select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,

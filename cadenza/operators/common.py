@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a table that is broadcast, at most; larger ones are dealt out by a salted key.
+SMALL, SALTS = 10_000, 32
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys where nulls match; the right side's keys are not repeated. No keys: right must be one row, more are an error."""
@@ -18,3 +24,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
         same = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
         on = same if on is None else on & same
     return left.join(renamed, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder that driver and executors share; further reads find the same rows.
+
+    The folder is spark.checkpoint.dir; where that is unset, one machine (master local) takes a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return df.checkpoint()
+
+
+def meet(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """join_on with a settled table of few rows a key: broadcast if it is small, else with each row of df at one of SALTS copies, as a key may be hot."""
+    if table.count() <= SMALL:
+        return join_on(df, F.broadcast(table), keys, how)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(SALTS)))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return join_on(salted, copies, [*keys, "__salt"], how).drop("__salt")

@@ -1,7 +1,7 @@
 """Pronunciation scores from per-frame class scores, and the report over them.
 
 Frames are rows (key, t, log_probs, logits); words are rows (key, position, from, to,
-targets). Words meet their frames in a range join within the key.
+targets). Words meet their frames through bins of places (operators/intervals.py).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators import sequence, stats
+from cadenza.operators import intervals, sequence, stats
 from cadenza.operators.common import join_on
 
 DELETED = -20.0
@@ -44,8 +44,7 @@ def word_targets(words: DataFrame, classes: int) -> DataFrame:
 
 
 def _frames_of(words: DataFrame, frames: DataFrame, key: str) -> DataFrame:
-    f = frames.withColumnRenamed(key, "__key")
-    return words.join(f, (F.col(key) == F.col("__key")) & (F.col("t") >= F.col("from")) & (F.col("t") < F.col("to"))).drop("__key")
+    return intervals.points_in(words, frames, [key], "from", "to", "t")
 
 
 def gop_scores(words: DataFrame, frames: DataFrame, key: str, classes: int) -> DataFrame:
@@ -53,10 +52,15 @@ def gop_scores(words: DataFrame, frames: DataFrame, key: str, classes: int) -> D
 
     The margin is to the best other class, the blank included.
     """
-    t = _frames_of(word_targets(words, classes), frames, key)
+    best_class = F.array_position("logits", F.array_max("logits")).cast("int") - 1
+    ranked = frames.select(key, "t", "log_probs", "logits", best_class.alias("__k"), F.array_max("logits").cast("double").alias("__max"))
+    ranked = ranked.withColumn("__next", F.coalesce(F.array_max(F.filter("logits", lambda x, i: i != F.col("__k"))).cast("double"), F.lit(float("-inf"))))
+    kept = F.filter("targets", lambda c: c.isNotNull() & (c >= 0) & (c < classes))
+    t = _frames_of(words.select(key, "position", "from", "to", kept.alias("__targets")), ranked, key)  # a frame is joined once a word, not once a target
+    t = t.select(key, "position", "log_probs", "logits", "__k", "__max", "__next", F.posexplode("__targets").alias("ord", "class"))
     own = F.get("logits", F.col("class")).cast("double")
-    rival = F.array_max(F.filter("logits", lambda x, i: i != F.col("class"))).cast("double")
-    best = t.groupBy(key, "position", "ord").agg(F.max(F.get("log_probs", F.col("class")).cast("double")).alias("a"), F.max(own).alias("b"), F.max(own - F.coalesce(rival, F.lit(float("-inf")))).alias("c"))
+    rival = F.when(F.col("class") == F.col("__k"), F.col("__next")).otherwise(F.col("__max"))
+    best = t.groupBy(key, "position", "ord").agg(F.max(F.get("log_probs", F.col("class")).cast("double")).alias("a"), F.max(own).alias("b"), F.max(own - rival).alias("c"))
     return best.groupBy(key, "position").agg(F.avg("a").alias("log_prob"), F.avg("b").alias("max_logit"), F.avg("c").alias("margin"))
 
 

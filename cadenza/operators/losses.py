@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.arrays import once, total
+
 EDGES, BIN_CENTRES, RAW_EDGES = (0.2, 0.5, 0.7, 0.9), (0.1, 0.4, 0.65, 0.85, 1.0), (2, 5, 7, 9)
 MAX_WEIGHT = 100.0
 
@@ -19,14 +21,16 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    exponents = once(values, lambda vs: once(F.array_max(vs), lambda top: F.transform(vs, lambda v: F.exp(v - top))))
+    return once(exponents, lambda e: once(total(e), lambda z: F.transform(e, lambda v: v / z)))
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(F.transform(values, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b))
+    return once(values, lambda vs: once(F.array_max(vs), lambda top: top + F.log(F.aggregate(vs, F.lit(0.0), lambda a, v: a + F.exp(v - top)))))
+
+
+def log_softmax(values: Column) -> Column:
+    return once(values, lambda vs: once(log_sum_exp(vs), lambda z: F.transform(vs, lambda v: v - z)))
 
 
 def ordinal_bin(raw: Column) -> Column:
@@ -145,7 +149,7 @@ def rank_regularisation(pairs: DataFrame, unit: str, target: str, tau: float) ->
 
 def unit_vector(v: Column) -> Column:
     norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-6))
-    return F.transform(v, lambda x: x / norm)
+    return once(norm, lambda n: F.transform(v, lambda x: x / n))
 
 
 def mixup(df: DataFrame, batch: str, ident: str, features: str, target: str, raw: str, weight: str, alpha: float, below: int, seed: int = 42) -> DataFrame:

@@ -1,29 +1,29 @@
 """Operators on sequences: lags, deltas, frames, runs, spans, alignment of segments.
 
-A sequence is a key (an utterance, a user) and an order; windows are partitioned by the
-key, so a task holds one sequence at a time and sequences spread over the cluster.
+A sequence is a key (an utterance, a user) and an order. Short sequences are windows of their
+key; long ones are cut into slices (operators/slices.py), so that no task holds a whole one.
+Spans meet frames and segments through bins (operators/intervals.py).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators import intervals, slices
+
 
 def pre_emphasis(df: DataFrame, key: list[str], order: list[str], value: str, out: str, factor: float = 0.97) -> DataFrame:
     """value minus factor times the one before; the first stays."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return df.withColumn(out, F.coalesce(F.col(value) - factor * F.lag(value).over(w), F.col(value)))
+    near = slices.neighbours(df, key, order, value, 1, 0, repeat=False)
+    return near.withColumn(out, F.coalesce(F.col(value) - factor * F.col("__b1"), F.col(value))).drop("__b1")
 
 
 def regression_delta(df: DataFrame, key: list[str], order: list[str], value: str, out: str, reach: int = 2) -> DataFrame:
-    """Regression slope over +-reach steps, edges repeated."""
-    w = W.partitionBy(*key).orderBy(*order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first, last = F.first(value).over(whole), F.last(value).over(whole)
-    total = sum((d * (F.coalesce(F.lead(value, d).over(w), last) - F.coalesce(F.lag(value, d).over(w), first)) for d in range(1, reach + 1)), F.lit(0.0))
-    return df.withColumn(out, total / (2.0 * sum(d * d for d in range(1, reach + 1))))
+    """Regression slope over +-reach steps, edges repeated; null where a row it takes is null."""
+    near = slices.neighbours(df, key, order, value, reach, reach)
+    total = sum((d * (F.col(f"__a{d}") - F.col(f"__b{d}")) for d in range(1, reach + 1)), F.lit(0.0))
+    return near.withColumn(out, total / (2.0 * sum(d * d for d in range(1, reach + 1)))).drop(*[f"__{s}{d}" for s in "ab" for d in range(1, reach + 1)])
 
 
 def hopping_frames(signal: Column, length: int, hop: int) -> Column:
@@ -33,19 +33,18 @@ def hopping_frames(signal: Column, length: int, hop: int) -> Column:
 
 
 def framed(df: DataFrame, key: list[str], order: list[str], value: str, length: int, hop: int) -> DataFrame:
-    """key, frame, t, value: the rows of each whole frame, t from 0 inside it. A sequence is never one row: a long one is sorted and spills."""
-    w = W.partitionBy(*key)
-    place = df.withColumns({"__p": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(w)}).where(F.col("__n") >= length)
-    first = F.greatest(F.lit(0), F.ceil((F.col("__p") - (length - 1)) / hop)).cast("int")
-    last = F.least(F.floor(F.col("__p") / hop), F.floor((F.col("__n") - length) / hop)).cast("int")
+    """key, frame, t, value: the rows of each whole frame, t from 0 inside it. A sequence is never one row."""
+    place = slices.placed(df, key, order).where(F.col("__n") >= length)
+    first = F.greatest(F.lit(0), F.ceil((F.col("__t") - (length - 1)) / hop)).cast("int")
+    last = F.least(F.floor(F.col("__t") / hop), F.floor((F.col("__n") - length) / hop)).cast("int")
     rows = place.withColumn("frame", F.explode(F.when(first <= last, F.sequence(first, last))))
-    return rows.select(*key, "frame", (F.col("__p") - F.col("frame") * hop).alias("t"), value)
+    return rows.select(*key, "frame", (F.col("__t") - F.col("frame") * hop).cast("int").alias("t"), value)
 
 
 def ctc_frames_needed(df: DataFrame, key: list[str], order: list[str], label: str) -> DataFrame:
     """key, targets, min_frames of sequences of labels that are rows: one frame each, and a blank between equal neighbours."""
-    same = df.select(*key, F.col(label).eqNullSafe(F.lag(label).over(W.partitionBy(*key).orderBy(*order))).cast("long").alias("__s"), F.row_number().over(W.partitionBy(*key).orderBy(*order)).alias("__i"))
-    return same.groupBy(*key).agg(F.count(F.lit(1)).alias("targets"), (F.count(F.lit(1)) + F.sum(F.when(F.col("__i") > 1, F.col("__s")).otherwise(0))).alias("min_frames"))
+    long = slices.runs(df, key, order, label).groupBy(*key).agg(F.sum(F.col("stop") - F.col("start")).alias("targets"), F.count(F.lit(1)).alias("__runs"))
+    return long.select(*key, "targets", (2 * F.col("targets") - F.col("__runs")).alias("min_frames"))
 
 
 def ctc_min_frames(targets: Column) -> Column:
@@ -60,10 +59,7 @@ def ctc_feasible(targets: Column, frames: Column) -> Column:
 
 def runs(df: DataFrame, key: list[str], order: list[str], label: str, blank: object | None = None) -> DataFrame:
     """Runs of equal labels: key, label, start and stop (half open, by place), blank runs left out."""
-    w = W.partitionBy(*key).orderBy(*order)
-    t = df.withColumn("__t", F.row_number().over(w) - 1).withColumn("__new", (~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.col("__t") == 0)).cast("int"))
-    t = t.withColumn("__run", F.sum("__new").over(w))
-    out = t.groupBy(*key, "__run").agg(F.first(label).alias(label), F.min("__t").alias("start"), (F.max("__t") + 1).alias("stop")).drop("__run")
+    out = slices.runs(df, key, order, label)
     return out.where(F.col(label) != F.lit(blank)) if blank is not None else out
 
 
@@ -86,15 +82,8 @@ def word_span(position: Column, words: Column, frames: Column) -> Column:
 
 
 def first_overlapping(targets: DataFrame, segments: DataFrame, key: list[str], label: str) -> DataFrame:
-    """targets(key, ord, label, from, to) with seg_start and seg_stop of the first segment of that label that overlaps; null if none."""
-    s = segments.select(*[F.col(k).alias(f"__seg_{k}") for k in key], F.col(label).alias("__seg_class"), F.col("start").alias("__s"), F.col("stop").alias("__e"))
-    on = (F.col(label) == F.col("__seg_class")) & (F.col("__s") < F.col("to")) & (F.col("__e") > F.col("from"))
-    for k in key:
-        on = on & (F.col(k) == F.col(f"__seg_{k}"))
-    best = targets.join(s, on, "left").groupBy(*targets.columns).agg(F.min(F.struct("__s", "__e")).alias("__best"))
+    """targets(key, label, from, to, ...) with seg_start and seg_stop of the first segment of that label that overlaps; null if none."""
+    s = segments.select(*key, label, F.col("start").alias("__s"), F.col("stop").alias("__e"))
+    pairs = intervals.overlapping(targets, s, [*key, label], ("from", "to"), ("__s", "__e"), "left")
+    best = pairs.groupBy(*targets.columns).agg(F.min(F.when(F.col("__s").isNotNull(), F.struct("__s", "__e"))).alias("__best"))
     return best.select(*targets.columns, F.col("__best.__s").alias("seg_start"), F.col("__best.__e").alias("seg_stop"))
-
-
-def decimate(df: DataFrame, place: str, step: int = 2) -> DataFrame:
-    """Every step-th frame, places divided."""
-    return df.where(F.col(place) % step == 0).withColumn(place, F.floor(F.col(place) / step))

@@ -72,8 +72,8 @@ def synthetic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, t, v, logits, log_probs: the components of each embedding as class scores."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("logits"))
-    v = v.withColumn("t", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).withColumn("lse", losses.log_sum_exp(F.col("logits")))
-    return v.select("label", "t", "v", "logits", F.transform("logits", lambda x: x - F.col("lse")).alias("log_probs"))
+    v = v.withColumn("t", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
+    return v.select("label", "t", "v", "logits", losses.log_softmax(F.col("logits")).alias("log_probs"))
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> int:

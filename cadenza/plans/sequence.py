@@ -7,10 +7,9 @@ event type is a frame's class (view: the blank), n_chars of a document is a leng
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.operators import batching, sequence
+from cadenza.operators import batching, intervals, sequence, slices
 from cadenza.plans.stats import EV, events
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -102,10 +101,10 @@ def duration_filter_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value of the events inside each of three word spans of a user: a range join within the user."""
+    """Mean value of the events inside each of three word spans of a user."""
     w = _targets(spark, sf_dir).where("ord = 0").select("user_id", "position", "from", "to")
-    e = events(spark, sf_dir).withColumn("t", F.row_number().over(W.partitionBy(*KEY).orderBy(*ORDER)) - 1)
-    inside = w.join(e.select(F.col("user_id").alias("u"), "t", "value"), (F.col("user_id") == F.col("u")) & (F.col("t") >= F.col("from")) & (F.col("t") < F.col("to")))
+    e = slices.placed(events(spark, sf_dir), KEY, ORDER).select("user_id", F.col("__t").alias("t"), "value")
+    inside = intervals.points_in(w, e, KEY, "from", "to", "t")
     return inside.groupBy("user_id", "position").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 

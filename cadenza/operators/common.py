@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that is broadcast, at most; larger ones are dealt out by a salted key.
 SMALL, SALTS = 10_000, 32
+#: Rows from which a key is dealt out in spread().
+MANY = 200_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -47,3 +49,15 @@ def meet(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(SALTS)))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return join_on(salted, copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """join_on with a table of one row a key and of any size: rows of a key that has over MANY of them meet SALTS copies of its row."""
+    hot = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__many")).where(F.col("__many") > MANY).drop("__many"))
+    if hot.isEmpty():
+        return join_on(df, table, keys, how)
+    marked = hot.withColumn("__hot", F.lit(True))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long")))
+    left, right = meet(df, marked, keys, "left").withColumn("__salt", salt).drop("__hot"), meet(table, marked, keys, "left").withColumn("__salt", copies).drop("__hot")
+    return join_on(left, right, [*keys, "__salt"], how).drop("__salt")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators import resampling, slices
 from cadenza.operators.common import join_on
 
 SLICES = 64
@@ -75,8 +76,8 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "rho")
 
 def _numbered(rows: DataFrame, cluster: str, group: list[str]) -> DataFrame:
     """(group, cluster, g, total): different clusters, numbered from 0 in their order."""
-    w = W.partitionBy(*group)
-    return rows.select(*group, cluster).distinct().withColumns({"g": F.row_number().over(w.orderBy(cluster)) - 1, "total": F.count(F.lit(1)).over(w)})
+    different = rows.select(*group, cluster).distinct().withColumn("__one", F.lit(1))
+    return slices.placed(different, [*group, "__one"], [cluster]).select(*group, cluster, F.col("__t").alias("g"), F.col("__n").alias("total"))
 
 
 def _times(numbers: DataFrame, first: int, replicates: int, seed: int, group: list[str]) -> DataFrame:
@@ -91,17 +92,6 @@ def _clean(df: DataFrame, x: str, y: str, cluster: str, group: list[str]) -> Dat
     return d.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
 
 
-def bootstrap_by_rows(clean: DataFrame, replicates: int, seed: int, group: list[str]) -> DataFrame:
-    """(group, b, rho) by drawing the rows themselves: as many rows as the input times the replicates, whatever its size."""
-    numbers = _numbered(clean, "__c", group)
-    times = join_on(_times(numbers, 0, replicates, seed, group), numbers, [*group, "g"]).select(*[F.col(c).alias(f"__of_{c}") for c in group], "b", F.col("__c").alias("__drawn"), "times")
-    on = F.col("__c").eqNullSafe(F.col("__drawn"))
-    for c in group:
-        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    drawn = clean.join(times, on).select(*group, "b", "x", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
-    return spearman(drawn, [*group, "b"], "x", "y")
-
-
 class WeightedRanks:
     """Spearman's rho of many resamples at once: the rows stay, each replicate weighs them by how often it draws their cluster.
 
@@ -235,24 +225,25 @@ def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: i
     """(group, lo, hi): 2.5 and 97.5 percent points of Spearman's rho over resampled clusters. One row without group.
 
     Zeros for under ten rows, two clusters or one replicate. A point is the element at round(q (n - 1)).
-    Tables too large for WeightedRanks (very many different values on both sides, clusters or groups) are resampled row by row.
+    Tables too large for WeightedRanks (very many different values on both sides, clusters or groups) have both sides sliced (operators/resampling.py).
     """
     group = group or []
     clean = _clean(df, x, y, cluster, group)
     sizes = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col("__c").cast("string"), F.lit(""))).alias("g"))
     ranks = WeightedRanks(clean, group)
+    key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
     if ranks.fits():
         found = ranks.rhos(replicates, seed)
         ranks.counts.unpersist()
         rows = [(k, sorted(r.tolist())) for k, r in found.items()]  # as many numbers as replicates for each of GROUPS groups at most
-        key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
         ends = df.sparkSession.createDataFrame(rows, "__k string, rhos array<double>").withColumn("last", F.size("rhos") - 1)
         ends = sizes.withColumn("__key", key).join(F.broadcast(ends), F.col("__key") == F.col("__k"), "left")
     else:
-        ranks.counts.unpersist()
         last = F.count(F.lit(1)) - 1
-        ends = bootstrap_by_rows(clean, replicates, seed, group).groupBy(*group).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
-        ends = join_on(sizes, ends, group, "left") if group else ends.crossJoin(F.broadcast(sizes))  # one row each
+        found = resampling.rhos(ranks.counts, ranks.numbers, lambda first, many: _times(ranks.numbers, first, many, seed, ["key"]), replicates)
+        ranks.counts.unpersist()
+        ends = found.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
+        ends = sizes.withColumn("__key", key).join(ends, F.col("__key") == F.col("__k"), "left")
     at = lambda q: F.element_at("rhos", F.round(q * F.col("last")).cast("int") + 1)
     enough = (F.col("n") >= 10) & (F.col("g") >= 2) & (F.size("rhos") > 0)
     return ends.select(*group, F.when(enough, at(0.025)).otherwise(0.0).alias("lo"), F.when(enough, at(0.975)).otherwise(0.0).alias("hi"))

@@ -6,11 +6,14 @@ Pair losses compare the members of one batch; a batch's size is a parameter of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.arrays import once, total
+from cadenza.operators.common import join_on
 
 EDGES, BIN_CENTRES, RAW_EDGES = (0.2, 0.5, 0.7, 0.9), (0.1, 0.4, 0.65, 0.85, 1.0), (2, 5, 7, 9)
 MAX_WEIGHT = 100.0
@@ -152,6 +155,21 @@ def unit_vector(v: Column) -> Column:
     return once(norm, lambda n: F.transform(v, lambda x: x / n))
 
 
+def squeeze_excite(df: DataFrame, key: list[str], vector: str, keep: str, reduction: int, squeeze: Callable[[Column, Column], Column], excite: Callable[[Column, Column], Column], out: str = "gated") -> DataFrame:
+    """Frames with their vector scaled by the gate of their key: mean over the kept frames (0 over none), a bottleneck of channels / reduction units with ReLU, sigmoid.
+
+    squeeze(unit, channel) and excite(channel, unit) are the weights of the two layers, columns of the indices.
+    """
+    kept = F.when(F.col(keep), 1.0).otherwise(0.0)
+    sums = df.select(*key, kept.alias("__kept"), F.posexplode(vector).alias("__d", "__x")).groupBy(*key, "__d").agg((F.sum(F.col("__x") * F.col("__kept")) / F.greatest(F.sum("__kept"), F.lit(1.0))).alias("__m"))
+    means = sums.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda x: x["__m"]).alias("__mean"))
+    count = F.greatest(F.floor(F.size("__mean") / max(reduction, 1)).cast("int"), F.lit(1))
+    hidden = F.transform(F.sequence(F.lit(0), count - 1), lambda h: F.greatest(F.lit(0.0), total(F.transform("__mean", lambda m, d: m * squeeze(h, d)))))
+    gate = once(hidden, lambda hs: F.transform("__mean", lambda _, d: sigmoid(total(F.transform(hs, lambda x, h: x * excite(d, h))))))
+    gates = means.select(*key, gate.alias("__gate"))
+    return join_on(df, gates, key).withColumn(out, F.zip_with(vector, "__gate", lambda x, g: x * g)).drop("__gate")
+
+
 def mixup(df: DataFrame, batch: str, ident: str, features: str, target: str, raw: str, weight: str, alpha: float, below: int, seed: int = 42) -> DataFrame:
     """Rows added for members with raw <= below: blended with another member of the batch by a hashed share in 0.5 +- alpha / 2."""
     w = W.partitionBy(batch)

@@ -58,8 +58,9 @@ def words_of_failed(words: DataFrame, failed: DataFrame, key: str, methods: list
 
 
 def evaluated(words: DataFrame, frames: DataFrame, failed: DataFrame, key: str, classes: int, methods: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Words with their scores (gop and self-aligned), and one row (scored, skipped), the words of failed utterances among the skipped ones."""
+    """Words with their scores (gop and self-aligned), and one row (scored, skipped), the words of failed utterances and of those without frames among the skipped ones."""
     keys = [key, "position"]
     both = join_on(join_on(words, evaluate.gop_scores(words, frames, key, classes), keys, "left"), evaluate.gop_self_aligned(words, frames, key, classes), keys, "left")
-    left = words_of_failed(both, failed, key, methods)
+    silent = join_on(words.select(key).distinct(), frames.select(key).distinct(), [key], "left_anti")
+    left = words_of_failed(both, failed.select(key).unionByName(silent), key, methods)
     return left, evaluate.word_counts(left, methods)

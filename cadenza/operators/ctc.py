@@ -58,7 +58,8 @@ def losses(frames: DataFrame, targets: DataFrame, key: str, blank: int = 0, zero
     held = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "e"))).alias("__frames"))
     joined = join_on(targets.select(key, states(F.col("targets"), blank).alias("__labels")), held, [key], "left")
     emissions = F.coalesce(F.transform("__frames", lambda f: f["e"]), F.array().cast("array<array<double>>"))
-    loss = joined.select(key, F.size(emissions).alias("frames"), forward_loss(emissions, F.col("__labels"), blank).alias("loss"))
+    whole = F.forall(emissions, lambda e: F.forall(e, lambda x: x.isNotNull()))
+    loss = joined.select(key, F.size(emissions).alias("frames"), F.when(whole, forward_loss(emissions, F.col("__labels"), blank)).alias("loss"))
     return loss.withColumn("loss", F.when(F.col("loss") == float("inf"), 0.0).otherwise(F.col("loss"))) if zero_infinity else loss
 
 

@@ -6,7 +6,6 @@ batches. A file that cannot be decoded is a row with an error, not a failed job.
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -161,57 +160,6 @@ def read_waves(spark: SparkSession, path: str) -> DataFrame:
     return decoded(binary_files(spark, path, "*.wav"), decode_wave).select("path", "file", F.col("features").alias("samples"), F.col("rate").alias("sample_rate"), "error")
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    """A cache's manifest; the feature mode follows from the dimension where it is missing."""
-    m = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
-    if m.get("feature_mode") is None:
-        m["feature_mode"] = MODE_OF_DIM.get(m["feature_dim"])
-    m["feature_mode"] = {"log_mel80": "logmel80"}.get(m["feature_mode"], m["feature_mode"])
-    if MODE_OF_DIM.get(m["feature_dim"]) != m["feature_mode"]:
-        raise ValueError(f"{path}: dimension {m['feature_dim']} does not fit mode {m['feature_mode']}")
-    return m
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest entries joined to their records: index, audio_path, oov_count, features, targets, num_frames, error."""
-    m = read_manifest(spark, path)
-    entry = "index long, num_frames int, num_targets int, oov_count int, audio_path string"
-    entries = spark.read.option("multiLine", True).schema(f"samples array<struct<{entry.replace(' ', ':').replace(',:', ',')}>>").json(f"{path}/manifest.json").select(F.explode("samples").alias("e")).select("e.*")
-    files = binary_files(spark, path, "sample_*.bin").withColumn("i", F.regexp_extract("file", r"sample_(\d+)\.bin", 1).cast("long"))
-    dim = m["feature_dim"]
-    d = decoded(files.select("i", "content"), lambda data: decode_record(data, dim)).select("i", "features", "targets", F.col("num_frames").alias("__frames"), "error")
-    joined = entries.join(d, F.col("index") == F.col("i"), "left")
-    off = (F.col("__frames") != F.col("num_frames")) | (F.size("targets") != F.col("num_targets"))
-    error = F.when(F.col("i").isNull(), "no file").when(off, "counts differ from the manifest").otherwise(F.col("error"))
-    return joined.select("index", "audio_path", "oov_count", "features", "targets", "num_frames", error.alias("error"))
-
-
-def write_cache(samples: DataFrame, path: str, mode: str, data_dir: str = "", split: str = "") -> None:
-    """Write records and manifest to a folder that all executors mount. samples: index, audio_path, features, targets, oov_count.
-
-    Each task writes its rows' files; the manifest is written last, from counts that the tasks return.
-    """
-    import pathlib
-
-    dim = {v: k for k, v in MODE_OF_DIM.items()}[mode]
-    pathlib.Path(path).mkdir(parents=True, exist_ok=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                target = pathlib.Path(path) / f"sample_{r['index']:06}.bin"
-                part = target.with_suffix(".part")
-                part.write_bytes(encode_record(np.array(r["features"]), dim, r["targets"]))
-                part.replace(target)  # a task that runs twice leaves whole files
-            yield pa.RecordBatch.from_arrays([pa.array([r["index"] for r in rows], pa.int64()), pa.array([len(r["features"]) // dim for r in rows], pa.int32()), pa.array([len(r["targets"]) for r in rows], pa.int32()), pa.array([r["oov_count"] for r in rows], pa.int32()), pa.array([r["audio_path"] for r in rows], pa.string())], names=["index", "num_frames", "num_targets", "oov_count", "audio_path"])
-
-    done = samples.select("index", "audio_path", "features", "targets", "oov_count").mapInArrow(run, "index long, num_frames int, num_targets int, oov_count int, audio_path string").orderBy("index")
-    entries = [r.asDict() for r in done.toLocalIterator()]
-    manifest = {"feature_dim": dim, "feature_mode": mode, "num_samples": len(entries), "total_frames": sum(e["num_frames"] for e in entries), "total_oov": sum(e["oov_count"] for e in entries), "data_dir": data_dir, "split": split, "max_duration_secs": None, "samples": entries}
-    (pathlib.Path(path) / "manifest.json").write_text(json.dumps(manifest))
-
-
 def read_teacher(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = "audio_file") -> DataFrame:
     """audio_file, features, num_frames, error. wanted: keep its rows, with nulls where the cache has none."""
     m = spark.read.option("multiLine", True).schema("files map<string,struct<bin:string,frames:int>>").json(f"{path}/manifest.json")

@@ -40,9 +40,16 @@ def scan_split(spark: SparkSession, data_dir: str, split: str) -> DataFrame:
 
 def with_audio(transcripts: DataFrame, files: DataFrame) -> DataFrame:
     """Transcripts with the audio file of their name in their folder (flac before wav); audio_path is null where none is."""
-    f = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("__folder"), F.regexp_extract("path", r"([^/]+)\.(?:flac|wav)$", 1).alias("__id"))
+    plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+):/+", "$1:/")  # noqa: E731  # readers write one or three slashes after a scheme
+    f = files.select("path", F.regexp_extract(plain("path"), r"^(.*)/[^/]*$", 1).alias("__folder"), F.regexp_extract("path", r"([^/]+)\.(?:flac|wav)$", 1).alias("__id"))
     best = f.where("__id != ''").groupBy("__folder", "__id").agg(F.min_by("path", F.col("path").endswith(".wav")).alias("audio_path"))
-    return transcripts.join(best, (F.col("utt_id") == F.col("__id")) & (F.col("folder") == F.col("__folder")), "left").drop("__id", "__folder")
+    return transcripts.join(best, (F.col("utt_id") == F.col("__id")) & (plain("folder") == F.col("__folder")), "left").drop("__id", "__folder")
+
+
+def missing_audio(transcripts: DataFrame) -> DataFrame:
+    """One row of with_audio's result: listed, missing (ids without an audio file) and first_missing."""
+    none = F.col("audio_path").isNull()
+    return transcripts.agg(F.count(F.lit(1)).alias("listed"), F.count_if(none).alias("missing"), F.min(F.when(none, F.col("utt_id"))).alias("first_missing"))
 
 
 def read_word_scores(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

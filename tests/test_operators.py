@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
 from cadenza.operators import batching, evaluate, features, g2p, lifecycle, losses, sequence, stats
-from cadenza.sources import binary, text
+from cadenza.sources import binary, cache, text
 
 
 def one(df):
@@ -157,8 +157,8 @@ def test_features(spark):
 
 def test_cache(spark, tmp_path):
     samples = spark.createDataFrame([(3, "a.wav", [0.5 * v for v in range(117)], [5, 10, 41], 1)], "index long, audio_path string, features array<float>, targets array<int>, oov_count int")
-    binary.write_cache(samples, str(tmp_path), "mfcc39")
-    r = binary.read_cache(spark, str(tmp_path)).first()
+    cache.write_cache(samples, str(tmp_path), "mfcc39")
+    r = cache.read_cache(spark, str(tmp_path)).first()
     assert (r.error, r.targets, r.num_frames, r.features[2]) == (None, [5, 10, 41], 3, 1.0)
     good = binary.encode_record(np.arange(39), 39, [1])
     for bad in (b"XXXX" + good[4:], good[:-1], good + b"\0", good[:10], good[:4] + b"\x09" + good[5:]):

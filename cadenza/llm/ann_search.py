@@ -79,7 +79,7 @@ class Index:
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
+        x = levelled(x)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     @classmethod
@@ -222,9 +222,15 @@ class Index:
         return out
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """x in double precision, each vector by a power of two that brings its largest component between 1/2 and 1: exact, and squares neither vanish nor overflow."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0.0))[1])
+
+
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines in double precision along the last axis; each depends on its two vectors only."""
-    q, x = query.astype(np.float64), vectors.astype(np.float64)
+    q, x = levelled(query), levelled(vectors)
     return (x * q).sum(axis=-1) / (np.sqrt((x * x).sum(axis=-1)) * np.sqrt((q * q).sum(axis=-1)))
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.common import carried, table
@@ -225,7 +226,9 @@ def op9_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document stored as a PNG, read back and described."""
     media = encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     seen = decode_media(media)
-    return seen.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "lower(hex(cosine_hash)) AS feature")
+    # images just written have no damage: one that fails a check is an error, not a row of nulls
+    bytes_ = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("stored image: "), F.col("error"))).cast("long")).otherwise(F.col("n_bytes"))
+    return seen.withColumn("n_bytes", bytes_).selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "lower(hex(cosine_hash)) AS feature")
 
 
 QUERIES = {"op9_media_png": op9_media_png}

@@ -226,3 +226,18 @@ def test_search_with_two_tiers_and_many_batches(spark, monkeypatch):
     assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
     index = ann_search.Index.fit(x[:500].astype(float), 4).tiers(*(lambda c: (c, np.arange(40) % 4))(ann_search.k_means(ann_search.Index.unit(x[:500]), 40, 2, rng)))
     assert index.starts.tolist() == [0, 10, 20, 30, 40] and (index.assign(ann_search.Index.unit(x[:50])) < 40).all()
+
+
+def test_very_small_and_very_large_components(spark):
+    """Doubles whose squares vanish or overflow take part like others, with the same cosines."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    want = {}
+    for size in (1.0, 1e-200, 1e200, 5e-324 * 2**60, 1e308 / 8):
+        rows = [(i, (v * size).tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame([*rows, (100, [0.0] * 6), (101, [float("inf")] * 6)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann_search.search(df, df.where("vec_id % 10 = 0")).collect()}
+        want = want or got
+        assert len(got) == 20 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(v[1] - want[k][1]) < 1e-12 for k, v in got.items())
+    mixed = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 0.0]), (2, [0.0, 3.0]), (3, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, round(r.score, 9)) for r in ann_search.search(mixed, mixed.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (3, round(0.5**0.5, 9)), (2, 0.0)]

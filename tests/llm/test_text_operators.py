@@ -346,8 +346,30 @@ def test_fit_by_its_definition(monkeypatch):
             w[b] -= toxicity.RATE * (m[b] / (1 - 0.9**t)) / (math.sqrt(v[b] / (1 - 0.999**t)) + 1e-9)
         mc, vc = 0.9 * mc + 0.1 * sum(g), 0.999 * vc + 0.001 * sum(g) ** 2
         c -= toxicity.RATE * (mc / (1 - 0.9**t)) / (math.sqrt(vc / (1 - 0.999**t)) + 1e-9)
-    weights, intercept = toxicity.fit([np.array(d, np.int32) for d in docs], np.array(y))
-    assert abs(intercept - c) < 1e-4 and max(abs(weights[b] - w[b] * ratio[b] / norm) for b in range(32)) < 1e-4
+    pos, neg = (np.bincount([b for d, label in zip(docs, y) if label == which for b in d], minlength=size).astype(float) for which in (1, 0))
+    found = toxicity.log_count_ratios(pos, neg)
+    assert np.allclose(found[:32], ratio) and not found[32:].any()
+    rows = [(np.array([b for b in d if found[b]], np.int32).tobytes(), label) for d, label in zip(docs, y)]
+    for block in (1_000_000, 40):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        weights, intercept = toxicity.fit(lambda: toxicity._blocks(rows), found, 60)
+        assert abs(intercept - c) < 1e-4 and max(abs(weights[b] - w[b] * ratio[b] / norm) for b in range(32)) < 1e-4
+
+
+def test_training_in_blocks_read_again(spark, monkeypatch):
+    """Rows too large to be held are read for each round: the same model, and very long texts count."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 6)
+    rows = [(i, ("vilegit rotter " if i % 3 == 1 else "kind gentle ") * (30_000 if i == 1 else 3) + str(i)) for i in range(30)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(40)], "doc_id long, toxic int")
+    one = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "HELD", 10)
+    monkeypatch.setattr(toxicity, "BLOCK", 30)
+    two = toxicity.train(docs, labels)
+    assert np.allclose(one[0], two[0], atol=1e-6) and abs(one[1] - two[1]) < 1e-9
+    some = toxicity.train(docs.where("doc_id > 20"), labels, rows=5)  # labels without a document take none of the places
+    used = sorted((i for i, _ in rows if i > 20 and __import__("zlib").crc32(str(i).encode()) % 5), key=lambda i: spark.sql(f"SELECT xxhash64({i}L, 11)").first()[0])[:5]
+    same = toxicity.train(docs.where(f"doc_id IN ({', '.join(map(str, used))})"), labels)
+    assert some[1] == same[1] and (some[0] == same[0]).all()
 
 
 def test_training_takes_one_row_for_each_id(spark):
@@ -358,7 +380,7 @@ def test_training_takes_one_row_for_each_id(spark):
     many = toxicity.train(spark.createDataFrame(rows + [rows[1]] * 50 + [(2, text[2])] * 9, "doc_id long, text string"), labels)
     assert one[1] == many[1] and (one[0] == many[0]).all()
     long = spark.createDataFrame([*rows, (31, "vilegit " * 100_000)], "doc_id long, text string")
-    assert toxicity.train(long, labels)[1] == one[1]
+    assert toxicity.train(long, labels)[1] == one[1]  # it has no label
 
 
 def test_media_by_its_definition(spark):
@@ -422,3 +444,12 @@ def test_media_by_its_definition(spark):
 def test_blank_windows_of_any_white_space(spark):
     df = spark.createDataFrame([(1, "a\r\n\r\n\r\n\r\nb\r"), (2, "c\r\n\t\r\n\r\n\r\nd\r"), (3, "e\r\n\r\n\r\n\r\nf\r")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_damaged_image_fails_the_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert media_png.op9_media_png(spark, str(tmp_path)).count() == 2
+    real = media_png.encode_media
+    monkeypatch.setattr(media_png, "encode_media", lambda d: real(d).selectExpr("doc_id", "n_bytes", "if(doc_id = 2, substring(png, 1, 40), png) AS png"))
+    with pytest.raises(Exception, match="stored image: the file ends inside"):
+        media_png.op9_media_png(spark, str(tmp_path)).collect()

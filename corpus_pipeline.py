@@ -20,6 +20,10 @@ from cadenza.llm import line_dedup, mixing, near_dedup, sentencepiece_codec, tox
 from cadenza.llm.common import table, written
 
 
+#: Seed of the hash that rounds a document's share to whole documents.
+ROUNDING = 17
+
+
 def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else docs
 
@@ -46,18 +50,17 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a document as often as its words are taken, the last time its first words only if a block ends inside.
+    """The mix itself: a document as often as its words are taken whole, and once more, whole, if a seeded hash below its size falls below the words that are left over.
 
+    So a document in which a block ends is never cut, and a source's words are as many as taken on average.
     The order inside a shard is by a seeded hash of doc_id, then doc_id, size and hash of the text.
     """
     mixed = mixing.mix(docs, prefix="__")
     size = F.greatest(F.col("__size"), F.lit(1))  # what takes no words is filtered below, but perhaps after this
-    whole, rest = F.floor(F.col("__taken") / size).cast("int"), (F.col("__taken") % size).cast("int")
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), ""))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat("text", whole), part)
-    out = mixed.where("__taken > 0").withColumn("__texts", texts).withColumn("__one", F.explode("__texts"))
-    return _resized(out.select(*[F.col("__one").alias("text") if c == "text" else F.col(c) for c in docs.columns]))
+    lot = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(ROUNDING)), size)
+    times = F.floor(F.col("__taken") / size) + F.when(lot < F.col("__taken") % size, 1).otherwise(0)
+    out = mixed.where("__taken > 0").withColumn("__one", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

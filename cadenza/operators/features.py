@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.arrays import once
+
 # Analysis parameters.
 RATE, FRAME, HOP, FFT, CEPSTRA, EMPHASIS, TOP_HZ, FLOOR = 16_000, 400, 160, 512, 13, 0.97, 8000.0, 1e-10
 MODES = {"mfcc39": 40, "logmel80": 80}
@@ -51,14 +53,56 @@ def dct_matrix(spark: SparkSession, filters: int, rows: int = CEPSTRA) -> DataFr
     return j.select("coef", "filter", F.cos(F.pi() * F.col("coef") * (F.col("filter") + 0.5) / filters).alias("weight"))
 
 
+def power_spectrum(signal: Column, size: int | None = None) -> Column:
+    """Squared magnitudes of the bins 0 to half of an array's discrete Fourier transform: radix-2 butterflies, the array stays one value.
+
+    size: a power of two, up to which the signal is padded with zeros (or cut). None: the signal's length, which must be one.
+    Each stage takes the array of (re, im) of half-transforms, element by element, to those of twice the width.
+    """
+    n = F.lit(size) if size is not None else F.size(signal)
+    if size is not None and (size < 1 or size & (size - 1)):
+        raise ValueError(f"{size} is no power of two")
+
+    def transformed(width: Column) -> Column:
+        bits = F.round(F.log2(width)).cast("int")
+        mirrored = lambda i: F.when(bits > 0, F.conv(F.reverse(F.lpad(F.conv(i.cast("string"), 10, 2), bits, "0")), 2, 10).cast("int")).otherwise(0)
+        pair = lambda re, im: F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+        def stage(z: Column, half: Column) -> Column:
+            def butterfly(v: Column, i: Column) -> Column:
+                at = i % (2 * half)
+                first = at < half
+                other = F.get(z, F.when(first, i + half).otherwise(i - half))
+                angle = -F.pi() * F.when(first, at).otherwise(at - half) / half
+                low, high = F.when(first, v).otherwise(other), F.when(first, other).otherwise(v)
+                turned = once(F.struct(F.cos(angle).alias("c"), F.sin(angle).alias("s"), low.alias("a"), high.alias("b"), F.when(first, 1.0).otherwise(-1.0).alias("sign")), lambda w: pair(
+                    w["a"]["re"] + w["sign"] * (w["b"]["re"] * w["c"] - w["b"]["im"] * w["s"]), w["a"]["im"] + w["sign"] * (w["b"]["re"] * w["s"] + w["b"]["im"] * w["c"])))
+                return turned
+
+            return F.transform(z, butterfly)
+
+        def run(x: Column) -> Column:
+            start = F.transform(F.sequence(F.lit(0), width - 1), lambda i: pair(F.coalesce(F.get(x, mirrored(i)), F.lit(0.0)), F.lit(0.0)))
+            halves = F.when(bits > 0, F.transform(F.sequence(F.lit(0), F.greatest(bits, F.lit(1)) - 1), lambda k: F.pow(F.lit(2), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+            spectrum = F.aggregate(halves, start, stage)
+            return F.transform(F.slice(spectrum, F.lit(1), F.floor(width / 2).cast("int") + 1), lambda v: v["re"] * v["re"] + v["im"] * v["im"])
+
+        return once(signal, run)
+
+    return once(n, transformed)
+
+
 def dft_power(df: DataFrame, key: str, signal: str) -> DataFrame:
-    """key, bin, power: squared magnitude of the discrete Fourier transform of each row's array, bins 0 to half."""
+    """key, bin, power: squared magnitude of the discrete Fourier transform of each row's array, bins 0 to half.
+
+    Arrays whose length is a power of two are transformed in place; the others by a matrix of turns, one pass over the array for each bin.
+    """
     n = F.size(signal)
-    long = df.select(key, n.alias("n"), F.posexplode(signal).alias("t", "x"))
-    turns = long.withColumn("bin", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))))
-    angle = 2 * F.pi() * ((F.col("bin") * F.col("t")) % F.col("n")) / F.col("n")
-    sums = turns.groupBy(key, "bin").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    return sums.select(key, "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    turn = lambda k, f: F.aggregate(F.transform(signal, lambda x, t: x * f(2 * F.pi() * ((k * t) % n) / n)), F.lit(0.0), lambda a, b: a + b)
+    by_turns = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), lambda k: F.pow(turn(k, F.cos), F.lit(2)) + F.pow(turn(k, F.sin), F.lit(2)))
+    exact = F.pow(F.lit(2), F.round(F.log2(n))).cast("int") == n
+    power = F.when(n > 0, F.when(exact, power_spectrum(F.col(signal))).otherwise(by_turns))
+    return df.select(key, F.posexplode(power).alias("bin", "power"))
 
 
 def mel_energies(power: DataFrame, bank: DataFrame, key: str) -> DataFrame:

@@ -31,23 +31,23 @@ ROWS, CUTS, SAMPLE, LEVELS = 1_000_000, 63, 8192, 8
 def split(df: DataFrame, key: list[str], order: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the sequences of up to `rows` rows, and the others with their slice (`__slice`, ascending in the order); None if there are none."""
     rows = ROWS if rows is None else rows
-    count = F.count(F.lit(1)).alias("__n")
-    long = settled(df.groupBy(*key).agg(count).where(F.col("__n") > rows))
+    count = F.count(F.lit(1)).alias("__rows")
+    long = settled(df.groupBy(*key).agg(count).where(F.col("__rows") > rows))
     if long.isEmpty():
         return df, None
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    rest, hot = meet(df, long.drop("__n"), key, "left_anti"), meet(df, long.drop("__n"), key, "left_semi").withColumn("__slice", F.lit(0).cast("long"))
+    rest, hot = meet(df, long.drop("__rows"), key, "left_anti"), meet(df, long.drop("__rows"), key, "left_semi").withColumn("__slice", F.lit(0).cast("long"))
     at, groups = [*key, "__slice"], long.withColumn("__slice", F.lit(0).cast("long"))
     for _ in range(LEVELS):
-        chosen = meet(hot, groups, at).where(F.pmod(F.xxhash64(*key, *order), F.ceil(F.col("__n") / SAMPLE)) == 0)
-        chosen = chosen.groupBy(*at).agg(F.array_sort(F.collect_set(place)).alias("__s"), F.max("__n").alias("__n"))
-        cuts = F.least(F.lit(CUTS), F.ceil(2 * F.col("__n") / rows))  # twice as many as needed, as quantiles of a sample are not exact
+        chosen = meet(hot, groups, at).where(F.pmod(F.xxhash64(*key, *order), F.ceil(F.col("__rows") / SAMPLE)) == 0)
+        chosen = chosen.groupBy(*at).agg(F.array_sort(F.collect_set(place)).alias("__s"), F.max("__rows").alias("__rows"))
+        cuts = F.least(F.lit(CUTS), F.ceil(2 * F.col("__rows") / rows))  # twice as many as needed, as quantiles of a sample are not exact
         picks = F.transform(F.sequence(F.lit(1), cuts), lambda i: F.get("__s", F.floor(i * F.size("__s") / (cuts + 1)).cast("int")))
         table = settled(chosen.select(*at, F.array_distinct(picks).alias("__cuts")))
         deeper = F.col("__slice") * (CUTS + 1) + F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(0))
         hot = meet(hot, table, at, "left").withColumn("__slice", deeper).drop("__cuts")
-        before, groups = groups.agg(F.max("__n")).first()[0], settled(hot.groupBy(*at).agg(count).where(F.col("__n") > rows))
-        if (most := groups.agg(F.max("__n")).first()[0]) is None or most >= before:  # short enough, or all of one place in the order
+        before, groups = groups.agg(F.max("__rows")).first()[0], settled(hot.groupBy(*at).agg(count).where(F.col("__rows") > rows))
+        if (most := groups.agg(F.max("__rows")).first()[0]) is None or most >= before:  # short enough, or all of one place in the order
             break
     return rest, hot
 

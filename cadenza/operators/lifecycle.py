@@ -23,6 +23,17 @@ def step_mean_loss(steps: DataFrame, epoch: str, loss: str) -> DataFrame:
     return steps.groupBy(epoch).agg(F.avg(F.when(finite(F.col(loss)), F.col(loss))).alias("loss"))
 
 
+def scientific(x: Column, digits: int = 2) -> Column:
+    """A number with one digit before the point and its exponent without sign and zeros: 3.00e-4."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}e", x), r"e\+0*", "e"), r"e-0*", "e-").cast("string")
+
+
+def epoch_lines(epochs: DataFrame) -> DataFrame:
+    """(epoch, line) of epochs (epoch, loss, rate, seconds) as a run tells them."""
+    rate = F.regexp_replace(scientific(F.col("rate")), "e$", "e0")
+    return epochs.select("epoch", F.concat(F.format_string("epoch %d: loss %.4f, lr ", "epoch", "loss"), F.regexp_replace(rate, "e-$", "e0"), F.format_string(", %.1fs", "seconds")).alias("line"))
+
+
 def best_epoch(epochs: DataFrame, epoch: str, rho: str) -> DataFrame:
     """Epoch with the highest rho; of equal ones the earliest."""
     return epochs.agg(F.max(F.struct(F.col(rho).alias("rho"), (-F.col(epoch)).alias("e"))).alias("b")).select((-F.col("b.e")).alias("epoch"), "b.rho")

@@ -7,12 +7,13 @@ characters a frame.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.arrays import total
-from cadenza.operators import corpus, ctc, losses
+from cadenza.operators import corpus, ctc, lifecycle, losses
+from cadenza.operators import head_fit as head_fit_
 from cadenza.plans import features
 
 FRAMES, CLASSES = 50, 63
@@ -80,6 +81,25 @@ def failed_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(counts))  # one row
 
 
+def head_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of the scoring head over the embeddings in two batches, from weights by rule."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    words = v.select("vec_id", F.col("embedding").alias("vector"), (F.col("vec_id") % 11 / 10.0).alias("target"), (1 + F.col("vec_id") % 3).alias("weight"))
+    first = words.select(F.size("vector").alias("n")).first()
+    dims = first["n"] if first else 1
+    h, d = np.meshgrid(np.arange(8), np.arange(dims), indexing="ij")
+    start = head_fit_.Head(np.sin(h + d) / 8, np.cos(np.arange(8)) / 8, np.cos(2 * np.arange(8)), 0.0)
+    _, lines = head_fit_.fit(words.withColumn("part", F.floor(F.col("vec_id") / 16) % 2), start, 3, lambda t: 0.01 / (t + 1), "part", 2)
+    return lines.select("step", "words", F.round("loss", 6).alias("loss"), "rate")
+
+
+def epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders as epochs: mean order value as loss, and a rate that falls by month."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    months = o.groupBy(((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")).alias("epoch")).agg(F.round(F.avg("o_totalprice"), 4).alias("loss"), (F.count(F.lit(1)) / 10.0).alias("seconds"))
+    return lifecycle.epoch_lines(months.withColumn("rate", F.pow(F.lit(10.0), (F.col("epoch") % 9 - 6).cast("double")) * 3))
+
+
 _FR = f"""v as (select vec_id, vec_id // {FRAMES} as u, list_transform(embedding, lambda x: 8 * x::double) as z from embeddings),
 f as (select u, row_number() over (partition by u order by vec_id) - 1 as t, list_transform(z, lambda x: x - list_max(z) - ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))) as p from v),
 tg as (select u, case when u % 11 = 10 then 60 when u % 13 = 12 then 0 else 3 + u % 30 end as n from (select distinct u from v)),
@@ -104,7 +124,7 @@ ml as (select label, list(m order by i) as m from m group by label),
 h as (select label, list_transform(range(0, greatest(len(m) // 16, 1)), lambda h: greatest(0, list_sum(list_transform(range(0, len(m)), lambda d: m[d + 1] * sin(h + 3 * d) / 4)))) as h, len(m) as c from ml),
 g as (select label, list_transform(range(0, c), lambda d: 1 / (1 + exp(-list_sum(list_transform(range(0, len(h)), lambda j: h[j + 1] * cos(2 * d + j)))))) as g from h)"""
 
-QUERIES = {f.__name__: f for f in (ctc_loss, finetune_objective, se_gate, skip_report, skip_report_lines, failed_utterances)}
+QUERIES = {f.__name__: f for f in (ctc_loss, finetune_objective, se_gate, skip_report, skip_report_lines, failed_utterances, head_fit, epoch_lines)}
 ORACLE = {
     "ctc_loss": f"{_CTC} select u as utterance, frames::integer as frames, round(loss, 5) as loss from ls",
     "finetune_objective": f"""{_CTC}, c as (select u // 4 as batch, avg(loss) as c from ls group by 1),
@@ -114,6 +134,8 @@ select batch, round(c, 5) as ctc_loss, round(s, 5) as score_loss, round(c * 0.25
     "skip_report": f"with {_U} select * from rp",
     "skip_report_lines": f"""with {_U} select 0 as ord, format('kept {{}} utterances; skipped {{}} too short, {{}} too long, {{}} with fewer frames than CTC targets, {{}} failed', kept, too_short, too_long, too_few_frames, failed) as line from rp
 union all select 1, format('{{}} utterances failed to load, first error: {{}}', failed, first_error) from rp where failed > 0""",
+    "epoch_lines": """with m as (select (year(o_orderdate) - 1990) * 12 + month(o_orderdate) as epoch, round(avg(o_totalprice), 4) as loss, count(*) / 10.0::double as seconds from orders group by 1)
+select epoch::integer as epoch, format('epoch {}: loss {:.4f}, lr 3.00e{}, {:.1f}s', epoch, loss, epoch % 9 - 6, seconds) as line from m""",
     "failed_utterances": """with n as (select label, count(*) as n from embeddings group by label), w as (select label, p, (p + 1) * n // 5 > p * n // 5 and label not in (3, 8) as good from n, range(5) t(p)),
 c as (select count(*) filter (good) as scored, count(*) filter (not good) as skipped from w)
 select label, count(*) filter (good) as log_prob, count(*) filter (good) as max_logit, count(*) filter (good) as margin, count(*) filter (good) as self_aligned, any_value(c.scored) as scored, any_value(c.skipped) as skipped from w, c group by label""",

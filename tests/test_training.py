@@ -185,3 +185,37 @@ def test_evaluate_words(spark):
     failed = spark.createDataFrame([("u1",)], "u string")
     lines = [r.line for r in commands.evaluate_words(w, f, failed, "u", 5, ["log_prob", "max_logit", "margin", "self_aligned"], replicates=20, facts={"Frames": "72"}).orderBy("ord").collect()]
     assert "- Words: 20 scored, 8 skipped" in lines and "- Frames: 72" in lines and sum(x.startswith("| GOP-") for x in lines) == 4
+
+
+def test_head_fit_equals_numpy(spark):
+    from cadenza.operators import head_fit
+
+    rng = np.random.default_rng(2)
+    x, y, w = rng.normal(size=(300, 6)), rng.random(300), rng.integers(1, 4, 300).astype(float)
+    rows = [(v.tolist(), float(a), float(b), i % 2) for i, (v, a, b) in enumerate(zip(x, y, w))] + [(None, 0.5, 1.0, 0), ([1.0], 0.5, 1.0, 0), ([None] * 6, 0.5, 1.0, 1)]
+    df = spark.createDataFrame(rows, "vector array<double>, target double, weight double, part int").repartition(9)
+    start = head_fit.Head(rng.normal(size=(5, 6)), rng.normal(size=5), rng.normal(size=5), 0.1)
+    theta, m, v = start.flat(), np.zeros(41), np.zeros(41)
+    losses_ = []
+    for t in range(3):
+        at = np.arange(300) % 2 == t % 2
+
+        def loss(flat):
+            h = head_fit.Head.of(flat, 6, 5)
+            return (w[at] * (h.predict(x[at]) - y[at]) ** 2).mean()  # noqa: B023
+
+        g = np.array([(loss(theta + e) - loss(theta - e)) / 2e-6 for e in np.eye(41) * 1e-6])  # by differences, not by the chain rule
+        losses_.append(loss(theta))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.05 * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.999 ** (t + 1))) + head_fit.GUARD)
+    head, lines = head_fit.fit(df, start, 3, lambda t: 0.05, "part", 2)
+    assert np.allclose(head.flat(), theta, atol=1e-5) and np.allclose([r.loss for r in lines.orderBy("step").collect()], losses_, atol=1e-12) and [r.words for r in lines.collect()] == [150, 150, 150]
+    same, none = head_fit.fit(df.limit(0), start, 2, lambda t: 0.05)
+    assert (same.flat() == start.flat()).all() and [r.words for r in none.collect()] == [0, 0]
+
+
+def test_epoch_lines(spark):
+    from cadenza.operators import lifecycle
+
+    df = spark.createDataFrame([(1, 2.0, 3e-4, 1.26), (2, 0.12345, 1.0, 10.0), (3, 1.0, 2.5e-11, 0.0), (4, 1.0, 1234.5, 0.0)], "epoch int, loss double, rate double, seconds double")
+    assert [r.line for r in lifecycle.epoch_lines(df).orderBy("epoch").collect()] == ["epoch 1: loss 2.0000, lr 3.00e-4, 1.3s", "epoch 2: loss 0.1235, lr 1.00e0, 10.0s", "epoch 3: loss 1.0000, lr 2.50e-11, 0.0s", "epoch 4: loss 1.0000, lr 1.23e3, 0.0s"]

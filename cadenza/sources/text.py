@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
+from cadenza.sources import json_blocks
 
-SCORES = "metadata map<string,string>, samples array<struct<audio_file:string,sentence_text:string,word_position:long,human_score:double,human_score_raw:int,phonemes:array<string>>>"
+SCORES = "audio_file string, sentence_text string, word_position long, human_score double, human_score_raw int, phonemes array<string>"
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +55,7 @@ def missing_audio(transcripts: DataFrame) -> DataFrame:
 
 def read_word_scores(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One row per word in file order; the limit counts words before any check. raw defaults to ten times the score, phonemes to none."""
-    s = spark.read.option("multiLine", True).schema(SCORES).json(path).select(F.posexplode("samples").alias("ord", "s"))
+    s = json_blocks.array_objects(spark, path, "samples", SCORES).select(F.col("ord").cast("int").alias("ord"), F.col("value").alias("s"))
     if limit is not None:
         s = s.where(F.col("ord") < limit)
     raw = F.coalesce("s.human_score_raw", F.round(F.col("s.human_score") * 10).cast("int"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
+from cadenza.operators.common import settled
 
 METHODS = {1: "dictionary", 2: "possessive", 3: "hyphen_split", 4: "affix_strip", 5: "compound_split", 6: "chained_affix", 7: "possessive_rules", 8: "rules"}
 
@@ -117,7 +118,7 @@ def transcript_targets(docs: DataFrame, dictionary: DataFrame, doc_id: str = "do
     A text where nothing resolves has no targets; the caller decides whether that is an error.
     """
     words = transcript_words(docs, doc_id, text)
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).persist()  # a row for each different word
+    counts = settled(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))  # a row for each different word
     # words that stand very often meet several copies of their reading; HOT_WORDS of them at most, whatever the texts
     often = max(OFTEN, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT_WORDS))
     hot = F.broadcast(counts.where(F.col("n") > often).select(F.col("word").alias("hw"), F.ceil(F.col("n") / often).cast("int").alias("salts")))

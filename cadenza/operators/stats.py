@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators import resampling, slices
-from cadenza.operators.common import join_on
+from cadenza.operators.common import join_on, settled
 
 SLICES = 64
 
@@ -63,7 +63,7 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "rho")
     """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     clean = df.where(xs.isNotNull() & ys.isNotNull() & ~F.isnan(xs) & ~F.isnan(ys)).select(*group, xs.alias("__x"), ys.alias("__y"))
-    pairs = clean.groupBy(*group, "__x", "__y").agg(F.count(F.lit(1)).alias("__t")).persist()
+    pairs = settled(clean.groupBy(*group, "__x", "__y").agg(F.count(F.lit(1)).alias("__t")))
     total = pairs.groupBy(*group).agg(F.sum("__t").alias("n"))
     ranked = join_on(pairs, average_ranks(pairs, group, "__x", "__rx", "__t"), [*group, "__x"])
     ranked = join_on(join_on(ranked, average_ranks(pairs, group, "__y", "__ry", "__t"), [*group, "__y"]), total, group)
@@ -110,7 +110,8 @@ class WeightedRanks:
         keyed = clean.select(key.alias("__k"), "x", "y", "__c")
         joined = keyed.join(self.numbers, (F.col("__k") == F.col("key")) & F.col("__c").eqNullSafe(F.col("__n")))
         zero = lambda c: (F.col(c) + 0.0).alias(c)  # noqa: E731  # -0.0 ties with 0.0
-        self.counts = joined.groupBy("key", "g", zero("x"), zero("y")).agg(F.count(F.lit(1)).alias("n")).persist()
+        self.counts = joined.groupBy("key", "g", zero("x"), zero("y")).agg(F.count(F.lit(1)).alias("n"))
+        self.counts = settled(self.counts)
         size = self.counts.groupBy("key").agg(F.approx_count_distinct("x").alias("dx"), F.approx_count_distinct("y").alias("dy"), F.count(F.lit(1)).alias("rows")).limit(self.GROUPS + 1).toArrow().to_pydict()
         self.groups, self.rows = len(size["key"]), max([1, *size["rows"]])
         dx, dy = 2 * sum(size["dx"]), 2 * sum(size["dy"])  # the estimate may be too small
@@ -234,14 +235,12 @@ def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: i
     key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
     if ranks.fits():
         found = ranks.rhos(replicates, seed)
-        ranks.counts.unpersist()
         rows = [(k, sorted(r.tolist())) for k, r in found.items()]  # as many numbers as replicates for each of GROUPS groups at most
         ends = df.sparkSession.createDataFrame(rows, "__k string, rhos array<double>").withColumn("last", F.size("rhos") - 1)
         ends = sizes.withColumn("__key", key).join(F.broadcast(ends), F.col("__key") == F.col("__k"), "left")
     else:
         last = F.count(F.lit(1)) - 1
         found = resampling.rhos(ranks.counts, ranks.numbers, lambda first, many: _times(ranks.numbers, first, many, seed, ["key"]), replicates)
-        ranks.counts.unpersist()
         ends = found.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
         ends = sizes.withColumn("__key", key).join(ends, F.col("__key") == F.col("__k"), "left")
     at = lambda q: F.element_at("rhos", F.round(q * F.col("last")).cast("int") + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators import evaluate, features, lifecycle, losses, teacher
+from cadenza.operators.common import settled
 from cadenza.sources import text
 
 METHODS = ["log_prob", "max_logit", "margin", "self_aligned"]
@@ -109,7 +110,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.tall(_both(spark, sf_dir), "label", METHODS, "human").persist()  # correlations and intervals read it several times
+    return settled(evaluate.tall(_both(spark, sf_dir), "label", METHODS, "human"))  # correlations and intervals read it several times
 
 
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:

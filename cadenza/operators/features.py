@@ -57,7 +57,7 @@ def power_spectrum(signal: Column, size: int | None = None) -> Column:
     """Squared magnitudes of the bins 0 to half of an array's discrete Fourier transform: radix-2 butterflies, the array stays one value.
 
     size: a power of two, up to which the signal is padded with zeros (or cut). None: the signal's length, which must be one.
-    Each stage takes the array of (re, im) of half-transforms, element by element, to those of twice the width.
+    Each stage takes half-transforms, re and im by turns, to those of twice the width, always from neighbours to the two halves.
     """
     n = F.lit(size) if size is not None else F.size(signal)
     if size is not None and (size < 1 or size & (size - 1)):
@@ -65,27 +65,23 @@ def power_spectrum(signal: Column, size: int | None = None) -> Column:
 
     def transformed(width: Column) -> Column:
         bits = F.round(F.log2(width)).cast("int")
-        mirrored = lambda i: F.when(bits > 0, F.conv(F.reverse(F.lpad(F.conv(i.cast("string"), 10, 2), bits, "0")), 2, 10).cast("int")).otherwise(0)
-        pair = lambda re, im: F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
+        twice = lambda more: (lambda r: 2 * r + more)
+        mirrored = F.aggregate(F.when(bits > 0, F.sequence(F.lit(1), bits)).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), lambda r, _: F.concat(F.transform(r, twice(0)), F.transform(r, twice(1))))  # places with their bits turned round
 
         def stage(z: Column, half: Column) -> Column:
-            def butterfly(v: Column, i: Column) -> Column:
-                at = i % (2 * half)
-                first = at < half
-                other = F.get(z, F.when(first, i + half).otherwise(i - half))
-                angle = -F.pi() * F.when(first, at).otherwise(at - half) / half
-                low, high = F.when(first, v).otherwise(other), F.when(first, other).otherwise(v)
-                turned = once(F.struct(F.cos(angle).alias("c"), F.sin(angle).alias("s"), low.alias("a"), high.alias("b"), F.when(first, 1.0).otherwise(-1.0).alias("sign")), lambda w: pair(
-                    w["a"]["re"] + w["sign"] * (w["b"]["re"] * w["c"] - w["b"]["im"] * w["s"]), w["a"]["im"] + w["sign"] * (w["b"]["re"] * w["s"] + w["b"]["im"] * w["c"])))
-                return turned
-
-            return F.transform(z, butterfly)
+            """z: re and im by turns. Neighbours (a, b) become a + w b in the first half and a - w b in the second, w the root for their place."""
+            angle = lambda k: -F.pi() * F.floor(k * half / (width / 2)) / half
+            turned = F.transform(F.sequence(F.lit(0), F.floor(width / 2).cast("int") - 1), lambda k: F.struct(
+                F.get(z, 4 * k).alias("a"), F.get(z, 4 * k + 1).alias("b"), F.get(z, 4 * k + 2).alias("c"), F.get(z, 4 * k + 3).alias("d"), F.cos(angle(k)).alias("u"), F.sin(angle(k)).alias("v")))
+            re, im = lambda p: p["c"] * p["u"] - p["d"] * p["v"], lambda p: p["c"] * p["v"] + p["d"] * p["u"]
+            halves = lambda t: F.concat(F.flatten(F.transform(t, lambda p: F.array(p["a"] + re(p), p["b"] + im(p)))), F.flatten(F.transform(t, lambda p: F.array(p["a"] - re(p), p["b"] - im(p)))))
+            return once(turned, halves)
 
         def run(x: Column) -> Column:
-            start = F.transform(F.sequence(F.lit(0), width - 1), lambda i: pair(F.coalesce(F.get(x, mirrored(i)), F.lit(0.0)), F.lit(0.0)))
+            start = F.flatten(F.transform(mirrored, lambda i: F.array(F.coalesce(F.get(x, i), F.lit(0.0)).cast("double"), F.lit(0.0))))
             halves = F.when(bits > 0, F.transform(F.sequence(F.lit(0), F.greatest(bits, F.lit(1)) - 1), lambda k: F.pow(F.lit(2), k).cast("int"))).otherwise(F.array().cast("array<int>"))
             spectrum = F.aggregate(halves, start, stage)
-            return F.transform(F.slice(spectrum, F.lit(1), F.floor(width / 2).cast("int") + 1), lambda v: v["re"] * v["re"] + v["im"] * v["im"])
+            return once(spectrum, lambda z: F.transform(F.sequence(F.lit(0), F.floor(width / 2).cast("int")), lambda k: F.pow(F.get(z, 2 * k), F.lit(2)) + F.pow(F.get(z, 2 * k + 1), F.lit(2))))
 
         return once(signal, run)
 

@@ -28,7 +28,7 @@ LETTERS = {
     "Q": "K", "R": "R", "S": "S", "T": "T", "U": "AH", "V": "V", "W": "W", "X": "K S", "Y": "IY", "Z": "Z",
 }
 
-#: Words whose pronunciation the default dictionary holds; a real dictionary is a table of the same shape.
+# Words with the pronunciations that worked examples expect; a real dictionary is a table of the same shape.
 SEED_DICTIONARY = {
     "father": "F AA DH ER", "the": "DH AH", "cat": "K AE T", "hello": "HH AH L OW", "world": "W ER L D", "aalborg": "AO L B AO R G", "kettle": "K EH T AH L", "sea": "S IY",
     "captain": "K AE P T AH N", "glide": "G L AY D", "tidy": "T AY D IY", "ship": "SH IH P", "masters": "M AE S T ER Z", "in": "IH N", "on": "AA N", "and": "AH N D", "for": "F AO R", "with": "W IH DH",

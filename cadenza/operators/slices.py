@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.operators.common import join_on, meet, settled
+from cadenza.operators.common import meet, settled
 
 #: Rows of a slice, about; cuts of one level; sampled rows of a slice that is cut; levels at most.
 ROWS, CUTS, SAMPLE, LEVELS = 1_000_000, 63, 8192, 8

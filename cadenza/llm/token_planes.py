@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import dropped, table, written
 
 END, LEVEL = 2, 3
-#: BLOCK: ids of a block. FILE: ids after which a file is closed at the next document's end. WORDS, WORD_BYTES: words (and pieces of words) that a task remembers, and the longest of them.
-BLOCK, FILE, WORDS, WORD_BYTES = 1 << 16, 1 << 18, 500_000, 40
+#: BLOCK: ids of a block. FILE: ids after which a file is closed at the next document's end. WORDS, WORD_CHARS: words (and pieces of words) that a task remembers, and the longest of them.
+BLOCK, FILE, WORDS, WORD_CHARS = 1 << 16, 1 << 18, 500_000, 40
 #: Ids that a range of doc_ids holds about: the most, and the least as long as there are fewer ranges than shuffle partitions.
 RANGE, LEAST_RANGE = 1 << 27, 1 << 20
 #: Words that need no library but for its merges: ASCII, Latin-1 and Latin Extended-A without the one letter whose lower case is two characters; none of these is composed or cut otherwise by any version of Unicode.
-PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
+PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f\n]+"
 MAGIC, TAIL = b"IDPLANE1", struct.Struct("<BBBxIQIIQI")  # bits of an id, planes, whether they are of bits, block, ids, documents, blocks, ids before, bytes of the table of documents; a checksum of tables and tail and the magic follow
 
 
@@ -176,58 +177,64 @@ class Encoder:
             self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
             shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves as characters; the others follow from 256 on
             self.bytes_as = dict(zip((x for x in range(256) if x not in shown), range(256, 512)))
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Put the ids of these words into the table."""
-        plain, other = [], []
-        for raw in new:
-            word = raw.decode()
-            if self.plain.fullmatch(word):
-                plain.append(word)
-            else:
-                other.append(word)
-        if self.added.search(text := "\n".join(plain)):
-            other += [w for w in plain if self.added.search(w)]
-            plain = [w for w in plain if not self.added.search(w)]
-            text = "\n".join(plain)
-        found = self.parts.findall(text.lower())  # line feeds end the words
-        fresh = set(found).difference(self.pieces)
-        for piece in fresh:
+    def _packed_pieces(self, found: list[str]) -> Iterator[bytes]:
+        for piece in set(found).difference(self.pieces):
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes_as)
-            self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        self.pieces["\n"] = b""
-        packed, at = list(map(self.pieces.__getitem__, found)), 0
+            self.pieces[piece] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes() if piece != "\n" else b""
+        return map(self.pieces.__getitem__, found)
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of these words into the table."""
+        other: list[str] = []
+        if not self.plain.fullmatch(text := "\n".join(new)) or self.added.search(text):
+            other = [w for w in new if not self.plain.fullmatch(w) or self.added.search(w)]
+            new = list(set(new).difference(other))
+        letters = [w for w in new if w.isalpha()]  # one piece each
+        self.words.update(zip(letters, self._packed_pieces("\n".join(letters).lower().split("\n") if letters else [])))
+        mixed = [w for w in new if not w.isalpha()]
+        found = self.parts.findall("\n".join(mixed).lower())  # line feeds end the words
+        packed, at = list(self._packed_pieces(found)), 0
         ends = [i for i, piece in enumerate(found) if piece == "\n"]
-        for word, end in zip(plain, [*ends, len(found)]):
-            self.words[word.encode()] = packed[at] if end == at + 1 else b"".join(packed[at:end])
+        for word, end in zip(mixed, [*ends, len(found)]):
+            self.words[word] = b"".join(packed[at:end])
             at = end + 1
-        self.words.update(zip((w.encode() for w in other), self._by_library(other)))
+        self.words.update(zip(other, self._by_library(other)))
+
+    def _ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of texts: the different words are looked up once, then gathered."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(words).difference(self.words)
+        if len(self.pieces) > WORDS:
+            self.pieces.clear()
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = set(words)
+        self._learn(list(new))
+        packed = list(map(self.words.__getitem__, words))
+        for w in new:
+            if len(w) > WORD_CHARS:
+                del self.words[w]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        of = coded.indices.to_numpy()
+        flat, first, n = np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes, sizes[of]
+        ends = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(first[of] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return (ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of texts in UTF-8."""
         if not self.by_words:
             return self._by_library([t.decode() for t in texts])
-        out: list[bytes] = []
-        for some in pieces(texts):
-            split = [t.split() for t in some]
-            here = set().union(*split)
-            new = here.difference(self.words)
-            if len(self.pieces) > WORDS:
-                self.pieces.clear()
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-                new = here
-            self._learn(list(new))
-            out += [b"".join(map(self.words.__getitem__, words)) for words in split]
-            for w in new:
-                if len(w) > WORD_BYTES:
-                    del self.words[w]
-        return out
+        return [ids.tobytes() for some in pieces(texts) for ids in self._ids(some)]
 
 
 def by_words(spec: dict) -> bool:
@@ -242,7 +249,7 @@ def by_words(spec: dict) -> bool:
     return bool(drops) and all(not t["normalized"] and not t["single_word"] and not t["content"].split()[1:] for t in spec["added_tokens"])
 
 
-def pieces(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def pieces(texts: list[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
     """The texts in order, some together that have about `most` bytes."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -267,8 +274,8 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end: int | None = END
         enc, pack = encoder(tokenizer_json), zstandard.ZstdCompressor(level=1)
         close = b"" if end is None else array(enc.kind, [end]).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2500):
+                part = batch.slice(at, 2500)
                 ids = [x + close for x in enc.encode([t or b"" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "tie", "n_ids", "ids"])
 

@@ -13,7 +13,9 @@ the square root of the rows. Beyond FIRST_CELLS they come in two tiers: executor
 first cell by k-means over its part of a larger sample, in pieces of bounded size, as long as
 all centres fit into CENTRE_BYTES (they are broadcast). How many cells a query visits is
 measured: the least number that holds COVERED of the true neighbours, among all rows, of
-PILOTS sample vectors. Equal vectors are one entry that lists its smallest ids, as many as a
+PILOTS of the queries themselves, as queries may be spread quite unlike the rows. The exact
+ranking goes on beyond the best few of a block until no entry's estimate, raised by the largest
+error seen, could enter the result. Equal vectors are one entry that lists its smallest ids, as many as a
 result can need, so groups of copies cost one entry and ties stay exact. Large cells are cut
 into shards of bounded size, and the queries that visit a shard into batches; a shard is sent
 to its own batches only. Nothing is dropped. A query goes on to further cells until they hold
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import dropped, table, written
 
 NEAREST, EVERY = 5, 50
-SAMPLE, LEARN, ROUNDS, FIRST_CELLS, CENTRE_BYTES, PILOTS, COVERED, LEAST_ENTRIES, RERANK = 12_000, 6000, 6, 1024, 64_000_000, 128, 0.98, 200, 256
+SAMPLE, LEARN, ROUNDS, FIRST_CELLS, CENTRE_BYTES, PILOTS, COVERED, LEAST_ENTRIES, RERANK = 12_000, 6000, 6, 1024, 64_000_000, 256, 0.98, 200, 256
 SHARD_ENTRIES, QUERY_BATCH, CODES, DIMS, THRESHOLD = 4096, 1024, 16, 2, 0.2
 #: Second tier: sample vectors for each cell, most of them in a task, first cells that an assignment and a query look into.
 CELL_SAMPLE, PIECE, ASSIGN, LOOK = 40, 20_000, 4, 64
@@ -234,6 +236,19 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=-1) / (np.sqrt((x * x).sum(axis=-1)) * np.sqrt((q * q).sum(axis=-1)))
 
 
+def reranked(query: np.ndarray, vectors: np.ndarray, guess: np.ndarray, few: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact cosines of all entries whose estimate, raised by the largest error seen, reaches the top-th cosine; at least the few best by estimate."""
+    order = np.flatnonzero(np.isfinite(guess))
+    order = order[np.argsort(-guess[order], kind="stable")]
+    ahead, scores, n = -guess[order].astype(np.float64), np.zeros(0), min(few, len(order))
+    while len(scores) < n:
+        scores = np.append(scores, exact(query, vectors[order[len(scores) : n]]))
+        if n >= top:
+            least, error = np.partition(scores, n - top)[n - top], np.abs(scores + ahead[:n]).max()
+            n = max(n, int(np.searchsorted(ahead, error - least, side="right")))
+    return order[:n], scores
+
+
 def shards_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First shard and number of shards of every cell: small cells share a shard, large ones are cut."""
     first, cuts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
@@ -308,10 +323,12 @@ def measured_visits(coded: DataFrame, index: Index, pilots: np.ndarray, k: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), few), pa.int32()), pa.array(np.take_along_axis(scores, top, 1).ravel()), pa.array(cell[top].ravel(), pa.int32())], names=["pilot", "score", "cell"])
 
     found = coded.select("cell", "embedding").mapInArrow(nearest, "pilot int, score double, cell int")
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("pilot").orderBy(F.desc("score"), "cell"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))  # the first is the pilot itself
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("pilot").orderBy(F.desc("score"), "cell"))).where((F.col("r") <= k + 1))
     cells: list[list[int]] = [[] for _ in pilots]
-    for row in best.select("pilot", "cell").collect():  # at most k rows for each of PILOTS
-        cells[row["pilot"]].append(row["cell"])
+    for row in sorted(best.select("pilot", "r", "score", "cell").collect()):  # at most k + 1 rows for each of PILOTS
+        own = row["r"] == 1 and row["score"] > 1 - 1e-12  # the pilot itself
+        if not own and len(cells[row["pilot"]]) < k:
+            cells[row["pilot"]].append(row["cell"])
     return index.least_visits(pilots, [np.array(c, np.int64) for c in cells])
 
 
@@ -347,9 +364,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
     for row in coded.groupBy("cell").count().collect():  # at most one row for each cell
         sizes[row["cell"]] = row["count"]
     first, cuts = shards_of(sizes)
-    index.visits = measured_visits(coded, index, sample[np.random.default_rng(8).permutation(len(sample))[:PILOTS]], k)
     asked = usable(queries, vec_id, embedding).where(F.size("embedding") == dims).select("vec_id", F.col("embedding").cast(kind).alias("embedding")).distinct()
     asked_once = written(asked.groupBy("embedding").agg(F.min("vec_id").alias("query")), "asked")
+    pilots = asked_once.orderBy(F.xxhash64("query"), "query").limit(PILOTS).select("embedding").toArrow().column("embedding").combine_chunks()
+    if not len(pilots):
+        return spark.createDataFrame([], out)
+    index.visits = measured_visits(coded, index, _array(pilots, dims), k)
     plan = spark.sparkContext.broadcast((index, sizes, first, cuts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +415,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
                     guess[rows, i:j] = shared.value.scan(asked_[some][rows], c, codes[i:j])
             near = np.argpartition(-guess, few - 1, axis=1)[:, :few]
             scores = exact(asked_[some][:, None], x[near])
-            scores[~np.isfinite(np.take_along_axis(guess, near, 1))] = -np.inf
+            near_guess = np.take_along_axis(guess, near, 1)
+            scores[~np.isfinite(near_guess)] = -np.inf
+            error = np.abs(np.where(np.isfinite(scores), scores, 0) - np.where(np.isfinite(near_guess), near_guess, 0)).max(axis=1)
+            least = np.partition(scores, few - top, axis=1)[:, few - top]
+            far = (np.isfinite(guess) & (guess >= (least - error)[:, None])).sum(axis=1) > few
+            for i in np.flatnonzero(far).tolist():
+                places, cosines = reranked(asked_[some][i], x, guess[i], few, top)
+                best = np.lexsort((entry[places], -cosines))[:top]
+                near[i, :top], scores[i, :top], scores[i, top:] = places[best], cosines[best], -np.inf
             best = np.lexsort((entry[near], -scores), axis=1)[:, :top]
             parts.append((np.repeat(q["query"].to_numpy()[some], top), np.take_along_axis(near, best, 1).ravel(), np.take_along_axis(scores, best, 1).ravel()))
         query, hit, score = (np.concatenate(p) for p in zip(*parts))

@@ -228,6 +228,23 @@ def test_search_with_two_tiers_and_many_batches(spark, monkeypatch):
     assert index.starts.tolist() == [0, 10, 20, 30, 40] and (index.assign(ann_search.Index.unit(x[:50])) < 40).all()
 
 
+def test_queries_unlike_the_rows_and_vectors_that_nearly_agree(spark):
+    """Queries far from all clusters find their neighbours; so do vectors whose cosines differ by less than an estimate in single precision tells."""
+    rng = np.random.default_rng(9)
+    apart = rng.normal(size=(50, 32))[rng.integers(0, 50, 4000)] + 0.1 * rng.normal(size=(4000, 32))
+    apart[::50] = rng.normal(size=apart[::50].shape)
+    for x in (apart, 1e4 + rng.normal(size=(4000, 32))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann_search.search(df, df.where("vec_id % 50 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        asked = np.arange(0, 4000, 50)
+        scores = ann_search.exact(x[asked][:, None], x[None])
+        scores[np.arange(len(asked)), asked] = -np.inf
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+        assert sum(len(got[int(q)] & set(w.tolist())) for q, w in zip(asked, want)) >= 0.95 * want.size
+
+
 def test_very_small_and_very_large_components(spark):
     """Doubles whose squares vanish or overflow take part like others, with the same cosines."""
     rng = np.random.default_rng(5)

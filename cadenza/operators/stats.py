@@ -7,6 +7,7 @@ slices before it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,8 +102,8 @@ class WeightedRanks:
     for each replicate. No row is copied.
     """
 
-    #: Numbers in a broadcast table (clusters or values by replicates); replicates at least in a pass, groups and slices at most; columns worked on together.
-    CELLS, LEAST, GROUPS, SLICES, ROWS, COLUMNS = 4_000_000, 20, 1000, 1024, 100_000, 64
+    #: Numbers in a broadcast table of values by replicates, and in one of clusters by replicates (mostly of one byte); replicates at least in a pass, groups and slices at most; columns worked on together.
+    CELLS, DRAWN, LEAST, GROUPS, SLICES, ROWS, COLUMNS = 4_000_000, 40_000_000, 20, 1000, 1024, 100_000, 32
 
     def __init__(self, clean: DataFrame, group: list[str]) -> None:
         key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
@@ -116,29 +117,23 @@ class WeightedRanks:
         self.groups, self.rows = len(size["key"]), max([1, *size["rows"]])
         dx, dy = 2 * sum(size["dx"]), 2 * sum(size["dy"])  # the estimate may be too small
         self.few, self.many = ("y", "x") if dy <= dx else ("x", "y")
-        clusters = self.numbers.groupBy("key").agg(F.max("total").alias("t")).agg(F.sum("t")).first()[0] or 1
-        self.block = self.CELLS // max(1, clusters, min(dx, dy))
+        self.totals = self.numbers.groupBy("key").agg(F.max("total").alias("t"))
+        clusters = self.totals.agg(F.sum("t")).first()[0] or 1
+        self.block = min(self.DRAWN // max(1, clusters), self.CELLS // max(1, min(dx, dy)))
 
     def fits(self) -> bool:
         return self.groups <= self.GROUPS and self.block >= self.LEAST
 
     def rhos(self, replicates: int, seed: int) -> dict[str, np.ndarray]:
         """Rho of every replicate by key of the group."""
+        self._deal()
         parts = [self._pass(first, min(self.block, replicates - first), seed) for first in range(0, replicates, self.block)]
         return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
-    def _pass(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
-        spark = self.counts.sparkSession
-        drawn = _times(self.numbers, first, b, seed, ["key"]).join(F.broadcast(self.numbers.groupBy("key").agg(F.max("total").alias("t")).withColumnRenamed("key", "__k")), F.col("key") == F.col("__k")).select("key", "t", "b", "g", "times").toArrow()
-        times: dict[str, np.ndarray] = {}
-        keys, total, rep, g, n = (drawn.column(i).to_numpy() for i in range(5))
-        for k in np.unique(keys.astype(str)).tolist():
-            here = keys == k
-            times[k] = np.zeros((int(total[here][0]), b), np.float32)
-            times[k][g[here], rep[here] - first] = n[here]
-        drawn_by = spark.sparkContext.broadcast(times)  # within CELLS
-        table = self._few_ranks(drawn_by)
-        ranks = spark.sparkContext.broadcast(table)  # within CELLS
+    def _deal(self) -> None:
+        """What all passes share: rows of the side with many values in slices, rows of the other side by value."""
+        each = self.counts.groupBy("key", F.col(self.few).alias("v"), "g").agg(F.sum("n").alias("n"))
+        self.by_value = settled(each.select("key", "v", "g", "n").repartition("key", "v").sortWithinPartitions("key", "v"))
         many = self.counts.select("key", F.col(self.many).alias("u"), F.col(self.few).alias("v"), "g", "n")
         slices = int(min(self.SLICES, max(1, -(-self.rows // self.ROWS))))
         if slices > 1:
@@ -146,13 +141,51 @@ class WeightedRanks:
             many = many.join(F.broadcast(cuts), F.col("key") == F.col("__k")).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("u")))).drop("__k", "cuts")
         else:
             many = many.withColumn("slice", F.lit(0))
+        self.slices, self.by_slice = slices, settled(many)
+
+    def _draws(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
+        """By key, clusters by replicates: how often replicates first, first + 1, ... draw each cluster, as _times."""
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, (t, rep) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    start = hashlib.md5(f"{seed}:{rep}:".encode())
+                    heads = bytearray()
+                    for j in range(t):
+                        h = start.copy()
+                        h.update(b"%d" % j)
+                        heads += h.digest()[:4]
+                    n = np.bincount(np.frombuffer(bytes(heads), ">u4").astype(np.int64) % t, minlength=t)
+                    n = n.astype(np.uint8 if n.max() < 256 else np.uint32)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([n.tobytes()], pa.binary())], names=["key", "t", "b", "n"])
+
+        asked = self.totals.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + b - 1)))).repartition(min(b, 200), "key", "b")
+        times: dict[str, np.ndarray] = {}
+        for part in asked.select("key", F.col("t").cast("long"), F.col("b").cast("long")).mapInArrow(draw, "key string, t long, b long, n binary").toArrow().to_batches():  # within DRAWN
+            for k, t, rep, n in zip(*(c.to_pylist() for c in part.columns)):
+                n = np.frombuffer(n, np.uint8 if len(n) == t else np.uint32)
+                if k not in times:
+                    times[k] = np.zeros((t, b), n.dtype)
+                elif n.dtype.itemsize > times[k].dtype.itemsize:
+                    times[k] = times[k].astype(n.dtype)
+                times[k][:, rep - first] = n
+        return times
+
+    def _pass(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
+        spark, many, slices = self.counts.sparkSession, self.by_slice, self.slices
+        drawn_by = spark.sparkContext.broadcast(self._draws(first, b, seed))
+        table = self._few_ranks(drawn_by)
+        ranks = spark.sparkContext.broadcast(table)  # within CELLS
 
         def weights(part: pa.Table) -> pa.Table:
             k = part.column("key")[0].as_py()
             n, g = part.column("n").to_numpy().astype(np.float64), part.column("g").to_numpy()
-            per = np.bincount(g, n, len(drawn_by.value[k]))
-            return pa.table({"key": [k], "slice": part.column("slice").slice(0, 1), "w": pa.array([(per @ drawn_by.value[k]).astype(np.float64).tobytes()], pa.binary())})
+            drawn = drawn_by.value[k]
+            per = np.bincount(g, n, len(drawn))
+            own = np.concatenate([per @ drawn[:, c : c + columns].astype(np.float64) for c in range(0, b, columns)])
+            return pa.table({"key": [k], "slice": part.column("slice").slice(0, 1), "w": pa.array([own.tobytes()], pa.binary())})
 
+        columns = self.COLUMNS
         ahead: dict[tuple[str, int], np.ndarray] = {}
         if slices > 1:
             got = sorted(many.groupBy("key", "slice").applyInArrow(weights, "key string, slice int, w binary").collect())  # a row for each slice of a group
@@ -160,7 +193,6 @@ class WeightedRanks:
                 last = got[i - 1] if i and got[i - 1]["key"] == row["key"] else None
                 ahead[row["key"], row["slice"]] = ahead[last["key"], last["slice"]] + np.frombuffer(last["w"]) if last else np.zeros(b)
         before = spark.sparkContext.broadcast(ahead)
-        columns = self.COLUMNS
 
         def sums(part: pa.Table) -> pa.Table:
             k, piece = part.column("key")[0].as_py(), part.column("slice")[0].as_py()
@@ -175,7 +207,7 @@ class WeightedRanks:
             xx, xy = np.zeros(b), np.zeros(b)
             for c in range(0, b, columns):
                 some = slice(c, c + columns)
-                w = n[:, None] * drawn_by.value[k][g][:, some]
+                w = n[:, None] * drawn_by.value[k][:, some][g]
                 own = np.add.reduceat(w, starts, axis=0)
                 off = start[some] + np.cumsum(own, axis=0) - own + (own + 1) / 2 - values["mean"][some]
                 xx[some] = (own * off * off).sum(axis=0)
@@ -193,21 +225,21 @@ class WeightedRanks:
 
     def _few_ranks(self, drawn_by) -> dict[str, dict[str, np.ndarray]]:  # noqa: ANN001
         """Of the side with fewer values: values, their ranks less the mean for every replicate, the mean, the sum of squares."""
+        columns = self.COLUMNS
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, v, g, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
                 for k in np.unique(keys.astype(str)).tolist():
                     here = keys == k
-                    values, at = np.unique(v[here], return_inverse=True)
-                    w = np.zeros((len(values), drawn_by.value[k].shape[1]))
-                    for lo in range(0, len(at), 2000):
-                        np.add.at(w, at[lo : lo + 2000], n[here][lo : lo + 2000, None] * drawn_by.value[k][g[here][lo : lo + 2000]])
+                    order = np.argsort(v[here], kind="stable")
+                    own, values = v[here][order], np.unique(v[here])
+                    starts, at, times = np.searchsorted(own, values), g[here][order], n[here][order].astype(np.float64)[:, None]
+                    drawn = drawn_by.value[k]
+                    w = np.concatenate([np.add.reduceat(times * drawn[:, c : c + columns][at], starts, axis=0) for c in range(0, drawn.shape[1], columns)], axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(values)), pa.array(values), pa.array([x.tobytes() for x in w], pa.binary())], names=["key", "v", "w"])
 
-        each = self.counts.groupBy("key", F.col(self.few).alias("v"), "g").agg(F.sum("n").alias("n"))
-        dealt = each.select("key", "v", "g", "n").repartition("key", "v").sortWithinPartitions("key", "v")
-        got = dealt.mapInArrow(weigh, "key string, v double, w binary").toArrow()  # a row for each value, within CELLS, and a few more
+        got = self.by_value.mapInArrow(weigh, "key string, v double, w binary").toArrow()  # a row for each value, within CELLS, and a few more
         keys, v = got.column("key").to_numpy().astype(str), got.column("v").to_numpy()
         w = np.frombuffer(b"".join(got.column("w").to_pylist())).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
         out = {}

@@ -64,3 +64,14 @@ def test_no_replicates_and_no_rows(spark):
     assert resampling.rhos(ranks.counts, ranks.numbers, None, 0).count() == 0
     ranks = stats.WeightedRanks(stats._clean(df.limit(0), "x", "y", "c", ["m"]), ["m"])
     assert resampling.rhos(ranks.counts, ranks.numbers, lambda first, many: stats._times(ranks.numbers, first, many, 1, ["key"]), 3).count() == 0
+
+
+def test_draws_are_those_of_the_join(spark):
+    """Clusters by replicates counted in tasks agree with the draws of the SQL form; passes are few, as most counts take a byte."""
+    rows = [(u, float(u % 7), float(u % 5)) for u in range(400)]
+    ranks = stats.WeightedRanks(stats._clean(spark.createDataFrame(rows, "u long, x double, y double"), "x", "y", "u", []), [])
+    got = ranks._draws(3, 4, 42)[""]
+    want = np.zeros((400, 4))
+    for r in stats._times(ranks.numbers, 3, 4, 42, ["key"]).collect():
+        want[r["g"], r["b"] - 3] = r["times"]
+    assert (got == want).all() and got.dtype == np.uint8

@@ -57,10 +57,19 @@ def clean_token(token: Column) -> Column:
     return F.upper(F.regexp_replace(token, "[^A-Za-z'-]", ""))
 
 
+def parts(text: Column) -> Column:
+    """What stands between white space (Unicode)."""
+    return F.split(text, r"[\p{IsWhite_Space}]+")
+
+
+def spoken(token: Column) -> Column:
+    """Whether a token holds a letter or digit."""
+    return token.rlike(r"[\p{IsAlphabetic}\p{N}]")
+
+
 def tokens(text: Column) -> Column:
     """White-space separated tokens (Unicode) that hold a letter or digit."""
-    parts = F.split(text, r"[\p{IsWhite_Space}]+")
-    return F.filter(parts, lambda w: w.rlike(r"[\p{IsAlphabetic}\p{N}]"))
+    return F.filter(parts(text), spoken)
 
 
 def word_total(text: Column) -> Column:

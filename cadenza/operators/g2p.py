@@ -20,8 +20,10 @@ from cadenza.operators.common import settled
 METHODS = {1: "dictionary", 2: "possessive", 3: "hyphen_split", 4: "affix_strip", 5: "compound_split", 6: "chained_affix", 7: "possessive_rules", 8: "rules"}
 
 
-#: Occurrences from which a word is dealt to several tasks, and how many such words there can be.
-OFTEN, HOT_WORDS = 200_000, 10_000
+#: Occurrences from which a word's reading is broadcast, how many such words there can be, and their letters at most.
+OFTEN, HOT_WORDS, HOT_LETTERS = 200, 10_000, 64
+#: Different words of a task.
+TASK_WORDS = 20_000
 
 
 def seed_dictionary(spark: SparkSession) -> DataFrame:
@@ -61,8 +63,11 @@ def _stems(base: str) -> Column:
     return F.inline(F.filter(all_, lambda s: s["stem"].isNotNull()))
 
 
-def candidates(words: DataFrame) -> DataFrame:
-    """word, prio, s1, s2, left, right, pre, post: all candidate readings of upper-case words but hyphen splits and rules."""
+def candidates(words: DataFrame, longest: int | None = None) -> DataFrame:
+    """word, prio, s1, s2, left, right, pre, post: all candidate readings of upper-case words but hyphen splits and rules.
+
+    longest: letters of the longest entry; a word is cut in two only where both parts can be entries.
+    """
     none, zero = _ints([]), F.lit(0)
 
     def rows(df: DataFrame, prio: int, s1: Column, s2: Column, left: str, right: Column | None = None, pre: Column = none, post: Column = none) -> DataFrame:
@@ -76,7 +81,12 @@ def candidates(words: DataFrame) -> DataFrame:
     prefix = rows(begun, 4, 100 + F.col("po"), zero, "rest", pre=F.col("pp"))
     inner = _ended(begun.where(F.length("rest") >= 4), "rest", ph.SUFFIXES, 2, "o", "p", "base").select("word", "po", "pp", "o", "p", _stems("base"))
     chained = rows(inner, 6, F.col("po"), F.col("o") * 3 + F.col("v"), "stem", pre=F.col("pp"), post=F.col("p"))
-    cut = words.where(F.length("word") >= 6).withColumn("k", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
+    least, most = F.lit(3), F.length("word") - 3
+    cut = words.where(F.length("word") >= 6)
+    if longest is not None:
+        cut = cut.where(F.length("word") <= 2 * longest)
+        least, most = F.greatest(least, F.length("word") - longest), F.least(most, F.lit(longest))
+    cut = cut.where(least <= most).withColumn("k", F.explode(F.sequence(least, most)))
     cut = cut.select("word", "k", F.left("word", F.col("k")).alias("l"), F.substring("word", F.col("k") + 1, F.length("word")).alias("r"))
     split = rows(cut, 5, F.col("k"), zero, "l", F.col("r"))
     return plain.union(possessive).union(suffix).union(prefix).union(split).union(chained)
@@ -84,9 +94,11 @@ def candidates(words: DataFrame) -> DataFrame:
 
 def resolve(words: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """word, method, phones for every different word (upper case); phones is empty and method null if nothing applies."""
-    w = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct()
+    w = settled(words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct())
+    w = settled(w.repartition(-(-w.count() // TASK_WORDS) or 1, "word"))  # read by each way of reading; words are short, their readings are work, so bytes do not say how many tasks they need
+    longest = dictionary.agg(F.max(F.length(F.upper("word")))).first()[0] or 0
     entries = dictionary.select(F.upper("word").alias("entry"), F.col("phones").alias("entry_phones"))
-    c = candidates(w).join(entries.withColumnsRenamed({"entry": "left", "entry_phones": "lp"}), "left").join(entries.withColumnsRenamed({"entry": "right", "entry_phones": "rp"}), "right", "left").where("right IS NULL OR rp IS NOT NULL")
+    c = candidates(w, longest).join(entries.withColumnsRenamed({"entry": "left", "entry_phones": "lp"}), "left").join(entries.withColumnsRenamed({"entry": "right", "entry_phones": "rp"}), "right", "left").where("right IS NULL OR rp IS NOT NULL")
     middle = F.when(F.col("rp").isNotNull(), F.concat(_ints([ph.SILENCE]), F.col("rp"))).otherwise(_ints([]))
     direct = c.select("word", F.struct("prio", "s1", "s2").alias("rank"), F.concat("pre", "lp", middle, "post").alias("phones"))
     parts = w.where(F.instr("word", "-") > 0).select("word", F.filter(F.split("word", "-"), lambda x: x != "").alias("p")).where(F.size("p") >= 2)
@@ -108,24 +120,31 @@ def resolve(words: DataFrame, dictionary: DataFrame, word: str = "word") -> Data
 
 def transcript_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, pos, word: tokens with a letter or digit, cleaned to upper-case letters, apostrophes and hyphens (possibly nothing)."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(ph.tokens(F.col(text))).alias("pos", "token"))
+    # outer: for an inner one Spark adds a filter that cuts the text into tokens again
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(ph.tokens(F.col(text))).alias("pos", "token")).where(F.col("pos").isNotNull())
     return t.select("doc_id", "pos", ph.clean_token(F.col("token")).alias("word"))
 
 
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """word, n: how often each word of transcript_words stands; equal tokens are counted before they are cleaned."""
+    t = docs.select(F.explode_outer(ph.parts(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return t.where(ph.spoken(F.col("token"))).groupBy(ph.clean_token(F.col("token")).alias("word")).agg(F.sum("n").alias("n"))
+
+
 def transcript_targets(docs: DataFrame, dictionary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, targets (classes, silence between words), words, dictionary hits, rule-made words and unresolved ones.
 
     A text where nothing resolves has no targets; the caller decides whether that is an error.
     """
     words = transcript_words(docs, doc_id, text)
-    counts = settled(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))  # a row for each different word
-    # words that stand very often meet several copies of their reading; HOT_WORDS of them at most, whatever the texts
+    counts = settled(word_counts(docs, text))  # a row for each different word
+    # words that stand often have their reading broadcast, HOT_WORDS of them at most, whatever the texts; only the others are shuffled, none with more than that share of all words
     often = max(OFTEN, -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT_WORDS))
-    hot = F.broadcast(counts.where(F.col("n") > often).select(F.col("word").alias("hw"), F.ceil(F.col("n") / often).cast("int").alias("salts")))
-    known = resolve(counts, dictionary).withColumnRenamed("word", "w").join(hot, F.col("w") == F.col("hw"), "left")
-    known = known.withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hw", "salts")
-    salted = words.join(hot, F.col("word") == F.col("hw"), "left").withColumn("__t", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1)))).drop("hw", "salts")
-    joined = salted.join(known, (F.col("word") == F.col("w")) & (F.col("__t") == F.col("__s")), "left")
+    hot = F.broadcast(counts.where((F.col("n") > often) & (F.length("word") <= HOT_LETTERS)).select(F.col("word").alias("hw")))
+    known = settled(resolve(counts, dictionary).withColumnRenamed("word", "w"))
+    near = words.join(F.broadcast(known.join(hot, F.col("w") == F.col("hw"), "left_semi")), F.col("word") == F.col("w"))
+    rest = words.join(hot, F.col("word") == F.col("hw"), "left_anti")
+    joined = near.unionByName(rest.join(known, F.col("word") == F.col("w"), "left"))
     per = joined.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.size("phones") > 0, F.struct("pos", "phones")))).alias("got"),
         F.count(F.lit(1)).alias("words"), F.count_if(F.col("method") == "dictionary").alias("dict_hits"), F.count_if(F.col("method").isin("possessive_rules", "rules")).alias("oov_words"), F.count_if(F.col("method").isNull()).alias("unresolved"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
 from cadenza.operators import g2p, sequence
+from cadenza.operators.common import settled
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def arpabet_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' words, and each with endings and beginnings, so that every way of reading is taken."""
-    w = g2p.transcript_words(docs(spark, sf_dir), "doc_id", "text").select("word").distinct()
+    w = g2p.word_counts(docs(spark, sf_dir), "text").select("word")
     more = [F.col("word"), F.concat(F.col("word"), F.lit("'S")), F.concat(F.col("word"), F.lit("NESS")), F.concat(F.lit("UN"), F.col("word")), F.concat(F.lit("UN"), F.col("word"), F.lit("ING")), F.concat(F.col("word"), F.lit("-CAT")), F.concat(F.col("word"), F.lit("MASTERS"))]
     return w.select(F.explode(F.array(*more)).alias("word"))
 
@@ -43,7 +44,7 @@ def g2p_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g2p_method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word occurrences by way of reading."""
-    words = g2p.transcript_words(docs(spark, sf_dir), "doc_id", "text").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = settled(g2p.word_counts(docs(spark, sf_dir), "text"))
     known = g2p.resolve(words, g2p.seed_dictionary(spark)).withColumnRenamed("word", "w")
     return words.join(known, F.col("word") == F.col("w")).groupBy(F.coalesce("method", F.lit("unresolved")).alias("method")).agg(F.sum("n").alias("n"))
 

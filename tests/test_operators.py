@@ -204,3 +204,23 @@ def test_resume(spark, tmp_path):
     assert tuple(lifecycle.resume_state(lines, 2).first()) == (2, 20.0) and tuple(lifecycle.resume_state(lines, None).first()) == (3, 30.0)
     names = ["x/speech-aligner-epoch-7.npz", "speech-aligner-epoch-12", "speech-aligner-final"]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "p string").select(lifecycle.checkpoint_epoch(F.col("p"))).collect()] == [7, 12, None]
+
+
+def test_long_words_are_cut_only_where_both_parts_can_be_entries(spark):
+    """A word of thousands of letters is not copied for each place in it; compounds are found as before."""
+    words = spark.createDataFrame([("SHIPSHIP",), ("CATKETTLE",), ("SEACAT",), ("X" * 5000,)], "word string")
+    cut = g2p.candidates(words, 7).where("prio = 5")
+    assert cut.where("word LIKE 'XX%'").count() == 0 and cut.where("word = 'CATKETTLE'").count() == 4
+    got = {r.word: r.method for r in g2p.resolve(words, g2p.seed_dictionary(spark)).collect()}
+    assert got["SHIPSHIP"] == got["CATKETTLE"] == got["SEACAT"] == "compound_split" and got["X" * 5000] == "rules"
+
+
+def test_frequent_words_are_broadcast_and_others_joined(spark, monkeypatch):
+    """Targets are the same whichever way a word takes; counts of words are those of the tokens."""
+    monkeypatch.setattr(g2p, "OFTEN", 2)
+    d = spark.createDataFrame([(1, "The cat, the zyx!"), (2, "the cat the sea -- the"), (3, None), (4, "...")], "doc_id long, text string")
+    got = {r.doc_id: r for r in g2p.transcript_targets(d, g2p.seed_dictionary(spark)).collect()}
+    monkeypatch.setattr(g2p, "OFTEN", 1000)
+    want = {r.doc_id: r for r in g2p.transcript_targets(d, g2p.seed_dictionary(spark)).collect()}
+    assert got == want and set(got) == {1, 2} and (got[1].words, got[1].dict_hits, got[1].oov_words) == (4, 3, 1)
+    assert {r.word: r.n for r in g2p.word_counts(d, "text").collect()} == {"THE": 5, "CAT": 2, "ZYX": 1, "SEA": 1}

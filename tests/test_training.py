@@ -219,3 +219,16 @@ def test_epoch_lines(spark):
 
     df = spark.createDataFrame([(1, 2.0, 3e-4, 1.26), (2, 0.12345, 1.0, 10.0), (3, 1.0, 2.5e-11, 0.0), (4, 1.0, 1234.5, 0.0)], "epoch int, loss double, rate double, seconds double")
     assert [r.line for r in lifecycle.epoch_lines(df).orderBy("epoch").collect()] == ["epoch 1: loss 2.0000, lr 3.00e-4, 1.3s", "epoch 2: loss 0.1235, lr 1.00e0, 10.0s", "epoch 3: loss 1.0000, lr 2.50e-11, 0.0s", "epoch 4: loss 1.0000, lr 1.23e3, 0.0s"]
+
+
+def test_records_are_encoded_a_few_rows_at_a_time():
+    """A large batch of wide rows is not all Python objects at once."""
+    import pyarrow as pa
+
+    from cadenza.sources import binary
+
+    made = []
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0]] * 300, pa.list_(pa.float32()))], names=["x"])
+    parts = binary.encoded_batches(iter([batch]), lambda x: made.append(x) or b"r", [0], ["x", "content"])
+    first = next(parts)
+    assert len(made) == first.num_rows == binary.PART and first.num_rows + sum(p.num_rows for p in parts) == 300

@@ -48,6 +48,17 @@ def test_report_counts_and_lines(spark):
     assert lines[0] == "# Evaluation" and "- Words: 12 scored, 1 skipped" in lines and lines[-2].startswith("| GOP-LogProb | 12 | ") and lines[-1].startswith("| GOP-Margin | 10 | ") and lines[-1].endswith(" | target logit minus the best other logit (blank included) |")
 
 
+def test_decimals_are_those_of_the_binary_value(spark):
+    """Five decimals ending in 5 are above or below the middle in binary; exact middles go to even."""
+    numbers = [-0.45685, 0.45685, 0.00015, 0.12345, 0.03125, 0.09375, -0.03125, 1.0, -0.00001, 0.99995, 2.5e-5, 123456.78905]
+    rows = [(f"m{i}", 12, x, -x, x / 2, x * 2) for i, x in enumerate(numbers)] + [("odd", 12, None, float("nan"), float("inf"), 0.5)]
+    results = spark.createDataFrame(rows, "method string, n long, rho double, lo double, hi double, pearson double")
+    got = {r.method: r.line for r in evaluate.report_lines(results).collect()}
+    for m, n, rho, lo, hi, pearson in rows[:-1]:
+        assert got[m] == "| %s | %d | %.4f | [%.4f, %.4f] | %.4f |" % (m, n, rho, lo, hi, pearson)
+    assert got["m0"].startswith("| m0 | 12 | -0.4568 | [0.4568, ") and got["odd"] == "| odd | 12 | null | [NaN, Infinity] | 0.5000 |"
+
+
 def frames(spark, rows):
     return spark.createDataFrame(rows, "key string, t long, v array<double>")
 

@@ -3,7 +3,7 @@
 Vectors become whole numbers, floor(scale * x), so that scores (inner products) are exact integers:
 products whose sums stay below 2^53 go through float64 matrix products, larger ones through
 int64 or Python's integers. Rows are dealt evenly to shards, anchors to blocks, and every block
-meets every shard once in each of two passes, by an equi-join on the shard's number:
+meets every shard once in each of two passes, in the task that the shard's number is dealt to:
 
 1. Each anchor's positives: the first of its label by score and id, of each shard, then of all.
 2. Each anchor's scores against a shard's rows of other labels are sorted whole (by score, largest
@@ -121,16 +121,30 @@ def within(scores: np.ndarray, positive: int, k: int, share: int) -> slice:
     return slice(first, first + int((scores[first : first + k] >= least).sum()))
 
 
-def _cells(blocks: DataFrame, shards: DataFrame, parts: int, extra: list[str]) -> DataFrame:
-    b = blocks.select(F.col("block"), F.col("dims").alias("b_dims"), *[F.col(c).alias(f"b_{c}") for c in ("n", "ids", "labels", "vectors")], *extra)
-    b = b.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # blocks are copied, shards stay; shards hold ROWS / ANCHORS times as much
-    return b.join(shards, (F.col("meets") == F.col("part")) & (F.col("b_dims") == F.col("dims"))).drop("meets", "b_dims", "part")
+def _meeting(blocks: DataFrame, shards: DataFrame, parts: int) -> DataFrame:
+    """Shards and a copy of every block for each part, a part's rows in one task: its shards first, then blocks one by one.
 
+    No join, so no plan can broadcast the copies, whose number it does not know, and no shard is repeated for each block.
+    """
+    copies = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # blocks are copied, shards stay; shards hold ROWS / ANCHORS times as much
+    alone = shards.withColumns({c: F.lit(None).cast(copies.schema[c].dataType) for c in blocks.columns if c not in shards.columns})
+    return copies.unionByName(alone).repartition("part").sortWithinPartitions("part", F.col("block").isNotNull())
 
-def _opened(batch: pa.RecordBatch) -> Iterator[tuple[dict, Cell]]:
-    for i in range(batch.num_rows):
-        row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-        yield row, Cell({"n": row["b_n"], "dims": row["dims"], "ids": row["b_ids"], "labels": row["b_labels"], "vectors": row["b_vectors"]}, row)
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Cell]]:
+    """(block, cell) of every block and the shards of its part with vectors as long, from rows of _meeting()."""
+    part, shards = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            if row["part"] != part:
+                part, shards = row["part"], []
+            if row["block"] is None:
+                shards.append(row)
+                continue
+            for shard in shards:
+                if shard["dims"] == row["dims"]:
+                    yield row, Cell(row, shard)
 
 
 def _table(parts: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -145,44 +159,41 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
     parts, deals = (max(1, min(PARTS, -(-n // most))) for n, most in ((total, ROWS), (asking, ANCHORS)))
     shards = written(packed(known.select("id", "vector", "label").repartition(parts), ROWS, scale), "shards")
     blocks = packed(known.where("asks").select("id", "vector", "label").repartition(deals), ANCHORS, scale)
-    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = written(blocks.drop("part").withColumn("block", F.monotonically_increasing_id()), "blocks")
     first = ["block", "at", "anchor_id", "id", "score"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for row, cell in _opened(batches):
             found = []
-            for row, cell in _opened(batch):
-                for i, anchor in enumerate(cell.anchor_ids.tolist()):
-                    score, ids = (x[:positives] for x in cell.sorted(i, same=True))
-                    found.append((*(np.full(len(ids), v, np.int64) for v in (row["block"], i, anchor)), ids, score))
+            for i, anchor in enumerate(cell.anchor_ids.tolist()):
+                score, ids = (x[:positives] for x in cell.sorted(i, same=True))
+                found.append((*(np.full(len(ids), v, np.int64) for v in (row["block"], i, anchor)), ids, score))
             yield _table(found, first, [pa.int64()] * 5)
 
     of_anchor = W.partitionBy("block", "at").orderBy(F.desc("score"), "id")
-    top = _cells(blocks, shards, parts, []).mapInArrow(best, "block long, at long, anchor_id long, id long, score long")
+    top = _meeting(blocks, shards, parts).mapInArrow(best, "block long, at long, anchor_id long, id long, score long")
     top = written(top.withColumn("place", F.row_number().over(of_anchor)).where(F.col("place") <= positives), "positives")
     # of a block ANCHORS anchors and their positives at most
     limits = top.groupBy("block").agg(F.collect_set(F.struct("at", "score")).alias("limits"))
     second = ["block", "at", "score", "negative_id", "negative_score"]
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row, cell in _opened(batch):
-                wanted: dict[int, list[int]] = {}
-                for x in row["limits"]:
-                    wanted.setdefault(x["at"], []).append(x["score"])
-                for i, scores in wanted.items():
-                    score, ids = cell.sorted(i, same=False)
-                    for positive in scores:
-                        some = within(score, positive, negatives, share)
-                        n = some.stop - some.start
-                        found.append((*(np.full(n, v, np.int64) for v in (row["block"], i, positive)), ids[some], score[some]))
+        for row, cell in _opened(batches):
+            found, wanted = [], {}
+            for x in row["limits"]:
+                wanted.setdefault(x["at"], []).append(x["score"])
+            for i, scores in wanted.items():
+                score, ids = cell.sorted(i, same=False)
+                for positive in scores:
+                    some = within(score, positive, negatives, share)
+                    n = some.stop - some.start
+                    found.append((*(np.full(n, v, np.int64) for v in (row["block"], i, positive)), ids[some], score[some]))
             yield _table(found, second, [pa.int64()] * 5)
 
     of_positive = W.partitionBy("block", "at", "score").orderBy(F.desc("negative_score"), "negative_id")
-    low = _cells(blocks.join(limits, "block"), shards, parts, ["limits"]).mapInArrow(below, "block long, at long, score long, negative_id long, negative_score long")
+    low = _meeting(blocks.hint("merge").join(limits, "block"), shards, parts).mapInArrow(below, "block long, at long, score long, negative_id long, negative_score long")
     low = low.withColumn("rank", F.row_number().over(of_positive)).where(F.col("rank") <= negatives)
-    out = top.join(low, ["block", "at", "score"])
+    out = top.hint("merge").join(low, ["block", "at", "score"])  # merge hints: both sides grow with the anchors, and the driver would build what is broadcast
     return out.select("anchor_id", F.col("id").alias("positive_id"), F.col("rank").cast("int").alias("rank"), "negative_id", F.col("score").alias("positive_score"), "negative_score")
 
 

@@ -45,6 +45,18 @@ def test_equals_definition(spark, monkeypatch, most, asking):
     assert mined(spark, rows, positives=2, negatives=9, share=30, scale=8) == by_definition(rows, 2, 9, 30, 8)
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Copies of blocks are as many as blocks times shards: however small their files look, the driver does not collect them for a join."""
+    monkeypatch.setattr(hn, "ROWS", 50)
+    monkeypatch.setattr(hn, "ANCHORS", 2)
+    plans, real = [], hn.written
+    monkeypatch.setattr(hn, "written", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, label))[1])
+    df = spark.createDataFrame(table(600, 4, 3), "vec_id long, embedding array<double>, label int")
+    out = hn.mine(df, df["vec_id"] % 100 == 0)
+    assert len(out.collect()) > 0
+    assert not [p for p in (*plans, out._jdf.queryExecution().executedPlan().toString()) if "Broadcast" in p]
+
+
 def test_edges(spark):
     rows = [
         (0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 1.9], 2), (3, None, 1), (4, [None, 1.0], 2), (5, [NAN, 1.0], 2), (6, [1.0, INF], 2), (7, [1.0, 2.0], None), (None, [1.0, 2.0], 2),

@@ -7,7 +7,6 @@ slices before it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions import digests
 from cadenza.operators import resampling, slices
 from cadenza.operators.common import join_on, settled
 
@@ -96,52 +96,82 @@ def _clean(df: DataFrame, x: str, y: str, cluster: str, group: list[str]) -> Dat
 class WeightedRanks:
     """Spearman's rho of many resamples at once: the rows stay, each replicate weighs them by how often it draws their cluster.
 
-    Equal rows of a cluster are counted first. Of x and y the one with fewer different values is ranked
-    for all replicates in a table of bounded size, which is broadcast; the other is cut into slices by
-    quantiles. A slice knows the weights before it, ranks its own rows and returns two sums of products
-    for each replicate. No row is copied.
+    Equal rows of a cluster are counted first. Of x and y the one with more different values is cut into parts by
+    quantiles, once. A part is pieces of sorted rows as numpy arrays; a pass of replicates reads them where they lie,
+    so passes move no rows. Ranks inside a part start from 0: what stands before a part only adds multiples of the
+    part's sums, so a part returns its sums (`pieces_sums`) and the driver puts parts together. The side with few values
+    is ranked there too, from weights by value; with so many values that parts could not return them, it is ranked first, in a
+    table of bounded size that is broadcast.
     """
 
-    #: Numbers in a broadcast table of values by replicates, and in one of clusters by replicates (mostly of one byte); replicates at least in a pass, groups and slices at most; columns worked on together.
-    CELLS, DRAWN, LEAST, GROUPS, SLICES, ROWS, COLUMNS = 4_000_000, 40_000_000, 20, 1000, 1024, 100_000, 32
+    #: Numbers in a broadcast table of values by replicates, and in one of clusters by replicates (mostly of one byte); numbers that parts return at most;
+    #: replicates at least in a pass, groups and parts at most; rows of a part and of a piece; columns worked on together.
+    CELLS, DRAWN, RETURNED, LEAST, GROUPS, SLICES, ROWS, PIECE, COLUMNS = 4_000_000, 40_000_000, 4_000_000, 20, 1000, 1024, 500_000, 65_536, 64
+    #: Digests of a task that draws.
+    DIGESTS = 4_000_000
 
     def __init__(self, clean: DataFrame, group: list[str]) -> None:
         key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
-        self.numbers = _numbered(clean, "__c", group).withColumn("key", key).select("key", F.col("__c").alias("__n"), "g", "total")
+        named = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]
+        self.numbers = settled(_numbered(clean, "__c", group).select(key.alias("key"), F.col("__c").alias("__n"), "g", "total", *named))
+        self.totals = settled(self.numbers.groupBy("key").agg(F.max("total").alias("t")))  # every pass reads it
+        self.clusters = self.totals.agg(F.sum("t")).first()[0] or 1
+        numbers = self.numbers.select("key", "__n", "g")
+        if self.clusters * self.LEAST <= self.DRAWN:  # rows need not be sorted to find a number
+            numbers = numbers.hint("shuffle_hash")
         keyed = clean.select(key.alias("__k"), "x", "y", "__c")
-        joined = keyed.join(self.numbers, (F.col("__k") == F.col("key")) & F.col("__c").eqNullSafe(F.col("__n")))
+        joined = keyed.join(numbers, (F.col("__k") == F.col("key")) & F.col("__c").eqNullSafe(F.col("__n")))
         zero = lambda c: (F.col(c) + 0.0).alias(c)  # noqa: E731  # -0.0 ties with 0.0
         self.counts = joined.groupBy("key", "g", zero("x"), zero("y")).agg(F.count(F.lit(1)).alias("n"))
         self.counts = settled(self.counts)
         size = self.counts.groupBy("key").agg(F.approx_count_distinct("x").alias("dx"), F.approx_count_distinct("y").alias("dy"), F.count(F.lit(1)).alias("rows")).limit(self.GROUPS + 1).toArrow().to_pydict()
-        self.groups, self.rows = len(size["key"]), max([1, *size["rows"]])
+        self.groups = len(size["key"])
+        self.parts = {k: int(min(self.SLICES, max(1, -(-n // self.ROWS)))) for k, n in zip(size["key"], size["rows"])}
         dx, dy = 2 * sum(size["dx"]), 2 * sum(size["dy"])  # the estimate may be too small
         self.few, self.many = ("y", "x") if dy <= dx else ("x", "y")
-        self.totals = self.numbers.groupBy("key").agg(F.max("total").alias("t"))
-        clusters = self.totals.agg(F.sum("t")).first()[0] or 1
-        self.block = min(self.DRAWN // max(1, clusters), self.CELLS // max(1, min(dx, dy)))
+        self.values = dict(zip(size["key"], size[f"d{self.few}"]))
+        self.block = min(self.DRAWN // max(1, self.clusters), self.CELLS // max(1, min(dx, dy)))
+
+    def sizes(self, group: list[str]) -> DataFrame:
+        """(group, __key, n, g): rows and clusters, null and empty names being one. One row without group."""
+        rows = self.counts.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("n"))
+        clusters = F.count_distinct(F.coalesce(F.col("__n").cast("string"), F.lit(""))).alias("g")
+        if not group:
+            return self.numbers.agg(clusters).withColumn("__key", F.lit("")).join(F.broadcast(rows.withColumnRenamed("__key", "__k")), F.col("__key") == F.col("__k"), "left").select("__key", F.coalesce("n", F.lit(0)).alias("n"), "g")
+        named = [f"__g{i}" for i in range(len(group))]
+        found = self.numbers.groupBy(*named, "key").agg(clusters).join(rows, F.col("key") == F.col("__key"))
+        return found.select(*[F.col(c).alias(name) for c, name in zip(named, group)], "__key", "n", "g")
 
     def fits(self) -> bool:
         return self.groups <= self.GROUPS and self.block >= self.LEAST
 
     def rhos(self, replicates: int, seed: int) -> dict[str, np.ndarray]:
         """Rho of every replicate by key of the group."""
+        passes = max(1, -(-replicates // self.block))
+        b = max(1, -(-replicates // passes))  # equally wide
+        self.ranked_first = 2 * b * sum(2 * n * self.parts[k] for k, n in self.values.items()) > self.RETURNED
         self._deal()
-        parts = [self._pass(first, min(self.block, replicates - first), seed) for first in range(0, replicates, self.block)]
+        parts = [self._pass(first, min(b, replicates - first), seed) for first in range(0, replicates, b)]
         return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
     def _deal(self) -> None:
-        """What all passes share: rows of the side with many values in slices, rows of the other side by value."""
-        each = self.counts.groupBy("key", F.col(self.few).alias("v"), "g").agg(F.sum("n").alias("n"))
-        self.by_value = settled(each.select("key", "v", "g", "n").repartition("key", "v").sortWithinPartitions("key", "v"))
+        """What all passes share: rows in parts of the side with many values; where the other side is ranked first, its rows by value."""
         many = self.counts.select("key", F.col(self.many).alias("u"), F.col(self.few).alias("v"), "g", "n")
-        slices = int(min(self.SLICES, max(1, -(-self.rows // self.ROWS))))
-        if slices > 1:
-            cuts = many.groupBy("key").agg(F.percentile_approx("u", [i / slices for i in range(1, slices)]).alias("cuts")).withColumnRenamed("key", "__k")
-            many = many.join(F.broadcast(cuts), F.col("key") == F.col("__k")).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("u")))).drop("__k", "cuts")
+        cut = {k: n for k, n in self.parts.items() if n > 1}
+        if cut:
+            table = self.counts.sparkSession.createDataFrame(list(cut.items()), "__k string, __parts int")  # a row a group
+            cuts = many.groupBy("key").agg(F.percentile_approx("u", [i / self.SLICES for i in range(1, self.SLICES)]).alias("all"))
+            cuts = cuts.join(F.broadcast(table), F.col("key") == F.col("__k"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+            chosen = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__parts") - 1)), lambda i: F.get("all", F.floor(i * self.SLICES / F.col("__parts")).cast("int") - 1))
+            cuts = cuts.select(F.col("key").alias("__k"), F.when(F.col("__parts") > 1, F.array_distinct(chosen)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+            many = many.join(F.broadcast(settled(cuts)), F.col("key") == F.col("__k")).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("u")))).drop("__k", "cuts")
         else:
             many = many.withColumn("slice", F.lit(0))
-        self.slices, self.by_slice = slices, settled(many)
+        piece = self.PIECE
+        self.packed = settled(many.groupBy("key", "slice").applyInArrow(lambda part: _pieces(part, piece), PIECES))
+        if self.ranked_first:
+            each = self.counts.groupBy("key", F.col(self.few).alias("v"), "g").agg(F.sum("n").alias("n"))
+            self.by_value = settled(each.select("key", "v", "g", "n").repartition("key", "v").sortWithinPartitions("key", "v"))
 
     def _draws(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
         """By key, clusters by replicates: how often replicates first, first + 1, ... draw each cluster, as _times."""
@@ -149,83 +179,50 @@ class WeightedRanks:
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, (t, rep) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                    start = hashlib.md5(f"{seed}:{rep}:".encode())
-                    heads = bytearray()
-                    for j in range(t):
-                        h = start.copy()
-                        h.update(b"%d" % j)
-                        heads += h.digest()[:4]
-                    n = np.bincount(np.frombuffer(bytes(heads), ">u4").astype(np.int64) % t, minlength=t)
+                    n = np.bincount(digests.leading(f"{seed}:{rep}:".encode(), t) % np.uint32(t), minlength=t)
                     n = n.astype(np.uint8 if n.max() < 256 else np.uint32)
                     yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([n.tobytes()], pa.binary())], names=["key", "t", "b", "n"])
 
-        asked = self.totals.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + b - 1)))).repartition(min(b, 200), "key", "b")
-        times: dict[str, np.ndarray] = {}
+        tasks = max(1, min(b * max(1, self.groups), -(-self.clusters * b // self.DIGESTS)))
+        asked = self.totals.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + b - 1)))).repartition(int(tasks))
+        rows: dict[str, list] = {}
         for part in asked.select("key", F.col("t").cast("long"), F.col("b").cast("long")).mapInArrow(draw, "key string, t long, b long, n binary").toArrow().to_batches():  # within DRAWN
-            for k, t, rep, n in zip(*(c.to_pylist() for c in part.columns)):
-                n = np.frombuffer(n, np.uint8 if len(n) == t else np.uint32)
-                if k not in times:
-                    times[k] = np.zeros((t, b), n.dtype)
-                elif n.dtype.itemsize > times[k].dtype.itemsize:
-                    times[k] = times[k].astype(n.dtype)
-                times[k][:, rep - first] = n
-        return times
+            for k, t, rep, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                n = np.frombuffer(n.as_buffer(), np.uint8 if len(n.as_buffer()) == t else np.uint32)
+                rows.setdefault(k, [None] * b)[rep - first] = n
+        return {k: np.stack(n, axis=1) for k, n in rows.items()}
 
     def _pass(self, first: int, b: int, seed: int) -> dict[str, np.ndarray]:
-        spark, many, slices = self.counts.sparkSession, self.by_slice, self.slices
-        drawn_by = spark.sparkContext.broadcast(self._draws(first, b, seed))
-        table = self._few_ranks(drawn_by)
-        ranks = spark.sparkContext.broadcast(table)  # within CELLS
-
-        def weights(part: pa.Table) -> pa.Table:
-            k = part.column("key")[0].as_py()
-            n, g = part.column("n").to_numpy().astype(np.float64), part.column("g").to_numpy()
-            drawn = drawn_by.value[k]
-            per = np.bincount(g, n, len(drawn))
-            own = np.concatenate([per @ drawn[:, c : c + columns].astype(np.float64) for c in range(0, b, columns)])
-            return pa.table({"key": [k], "slice": part.column("slice").slice(0, 1), "w": pa.array([own.tobytes()], pa.binary())})
-
-        columns = self.COLUMNS
-        ahead: dict[tuple[str, int], np.ndarray] = {}
-        if slices > 1:
-            got = sorted(many.groupBy("key", "slice").applyInArrow(weights, "key string, slice int, w binary").collect())  # a row for each slice of a group
-            for i, row in enumerate(got):
-                last = got[i - 1] if i and got[i - 1]["key"] == row["key"] else None
-                ahead[row["key"], row["slice"]] = ahead[last["key"], last["slice"]] + np.frombuffer(last["w"]) if last else np.zeros(b)
-        before = spark.sparkContext.broadcast(ahead)
-
-        def sums(part: pa.Table) -> pa.Table:
-            k, piece = part.column("key")[0].as_py(), part.column("slice")[0].as_py()
-            u = part.column("u").to_numpy()
-            order = np.argsort(u, kind="stable")
-            u, g = u[order], part.column("g").to_numpy()[order]
-            n, values = part.column("n").to_numpy()[order].astype(np.float64), ranks.value[k]
-            place = np.searchsorted(values["v"], part.column("v").to_numpy()[order])
-            starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-            run = np.cumsum(np.append(True, u[1:] != u[:-1])) - 1
-            start = before.value.get((k, piece), np.zeros(b))
-            xx, xy = np.zeros(b), np.zeros(b)
-            for c in range(0, b, columns):
-                some = slice(c, c + columns)
-                w = n[:, None] * drawn_by.value[k][:, some][g]
-                own = np.add.reduceat(w, starts, axis=0)
-                off = start[some] + np.cumsum(own, axis=0) - own + (own + 1) / 2 - values["mean"][some]
-                xx[some] = (own * off * off).sum(axis=0)
-                xy[some] = (w * off[run] * values["off"][:, some][place]).sum(axis=0)
-            return pa.table({"key": [k], "xx": pa.array([xx.tobytes()], pa.binary()), "xy": pa.array([xy.tobytes()], pa.binary())})
-
-        out = {k: np.zeros((2, b)) for k in table}
-        for row in sorted(many.groupBy("key", "slice").applyInArrow(sums, "key string, xx binary, xy binary").collect()):  # a row for each slice of a group
-            out[row["key"]] += np.frombuffer(row["xx"] + row["xy"]).reshape(2, b)
-        rhos = {}
-        for k, (xx, xy) in out.items():
-            spread = np.sqrt(xx * table[k]["yy"])
-            rhos[k] = np.where((spread < 1e-15) | (table[k]["mean"] < 1.5), 0.0, xy / np.where(spread < 1e-15, 1.0, spread))
-        return rhos
+        sc, width = self.counts.sparkSession.sparkContext, self.COLUMNS
+        drawn_by = sc.broadcast({k: [np.ascontiguousarray(d[:, c : c + width]) for c in range(0, b, width)] for k, d in self._draws(first, b, seed).items()})
+        table = self._few_ranks(drawn_by) if self.ranked_first else None
+        ranks = sc.broadcast({k: (t["v"], [np.ascontiguousarray(t["off"][:, c : c + width]) for c in range(0, b, width)]) for k, t in (table or {}).items()})  # within CELLS
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One row for each part: pieces of a part stand together, in their order."""
+            at, open_ = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                    found = pieces_sums(row, drawn_by.value[row["key"]], ranks.value.get(row["key"]))
+                    if at == (row["key"], row["slice"]):
+                        open_ = together(open_, found)
+                        continue
+                    if at is not None:
+                        yield _sums_row(at, open_)
+                    at, open_ = (row["key"], row["slice"]), found
+            if at is not None:
+                yield _sums_row(at, open_)
+
+        parts: dict[str, list] = {}
+        for row in self.packed.mapInArrow(sums, "key string, slice int, v binary, sums binary").toArrow().to_pylist():  # a row a part, within RETURNED
+            parts.setdefault(row["key"], []).append((row["slice"], np.frombuffer(row["v"]), np.frombuffer(row["sums"]).reshape(-1, b)))
+        drawn_by.destroy()
+        ranks.destroy()
+        return {k: _rho(sorted(p, key=lambda x: x[0]), table and table[k]) for k, p in parts.items()}
 
     def _few_ranks(self, drawn_by) -> dict[str, dict[str, np.ndarray]]:  # noqa: ANN001
         """Of the side with fewer values: values, their ranks less the mean for every replicate, the mean, the sum of squares."""
-        columns = self.COLUMNS
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,8 +232,7 @@ class WeightedRanks:
                     order = np.argsort(v[here], kind="stable")
                     own, values = v[here][order], np.unique(v[here])
                     starts, at, times = np.searchsorted(own, values), g[here][order], n[here][order].astype(np.float64)[:, None]
-                    drawn = drawn_by.value[k]
-                    w = np.concatenate([np.add.reduceat(times * drawn[:, c : c + columns][at], starts, axis=0) for c in range(0, drawn.shape[1], columns)], axis=1)
+                    w = np.concatenate([np.add.reduceat(times * drawn[at], starts, axis=0) for drawn in drawn_by.value[k]], axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(values)), pa.array(values), pa.array([x.tobytes() for x in w], pa.binary())], names=["key", "v", "w"])
 
         got = self.by_value.mapInArrow(weigh, "key string, v double, w binary").toArrow()  # a row for each value, within CELLS, and a few more
@@ -248,12 +244,155 @@ class WeightedRanks:
             values, at = np.unique(v[here], return_inverse=True)
             own = np.zeros((len(values), w.shape[1]))
             np.add.at(own, at, w[here])
-            mean = (own.sum(axis=0) + 1) / 2
-            off = np.cumsum(own, axis=0) - own + (own + 1) / 2 - mean
-            out[k] = {"v": values, "off": off, "mean": mean, "yy": (own * off * off).sum(axis=0)}
+            out[k] = {"v": values} | _ranked(own)
         return out
 
 
+#: A piece: rows of a part by u and v as arrays. Rows of a pair (u, v) are cut into runs. g and n (null: all 1): first rows of all runs, longest run first, then
+#: second rows and so on; steps: how many runs have such a row; order: place of each run among them; runs: first run of each pair; pairs: first pair of each u;
+#: place: each pair's v among the values v.
+PIECES = "key string, slice int, g binary, n binary, steps binary, order binary, runs binary, pairs binary, place binary, v binary"
+#: Rows of a run: so many counts of up to 15 draws fit a byte.
+RUN = 16
+
+
+def _pieces(part: pa.Table, most: int) -> pa.Table:
+    """Rows (key, slice, u, v, g, n) of a part as pieces of about `most` rows; equal u stay together."""
+    key, piece = part.column("key")[0].as_py(), part.column("slice")[0].as_py()
+    u, v, g, n = (part.column(c).to_numpy() for c in ("u", "v", "g", "n"))
+    order = np.lexsort((v, u))
+    u, v, g, n = u[order], v[order], g[order], n[order]
+    new_u = np.append(True, u[1:] != u[:-1])
+    starts = np.flatnonzero(new_u)
+    cuts = [0]
+    while (stop := cuts[-1] + most) < len(u) and (after := int(np.searchsorted(starts, stop))) < len(starts):
+        cuts.append(int(starts[after]))
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(u)]):
+        rows = np.arange(b - a)
+        is_u = new_u[a:b]
+        is_pair = is_u | np.append(True, v[a + 1 : b] != v[a : b - 1])
+        since = rows - np.maximum.accumulate(np.where(is_pair, rows, 0))
+        is_run = since % RUN == 0
+        run_of = np.cumsum(is_run) - 1
+        first = np.flatnonzero(is_run)
+        size = np.diff(np.append(first, b - a))
+        long = np.argsort(-size, kind="stable")  # runs, longest first
+        steps = np.array([(size > k).sum() for k in range(int(size.max()))])
+        place_of = np.concatenate([first[long[:m]] + k for k, m in enumerate(steps.tolist())])
+        back = np.empty(len(long), np.int64)
+        back[long] = np.arange(len(long))
+        pair_at = np.flatnonzero(is_pair)
+        values, place = np.unique(v[a:b][pair_at], return_inverse=True)
+        times = n[a:b][place_of]
+        plain = bool((times == 1).all())
+        arrays = [g[a:b][place_of].astype(np.int32), None if plain else times.astype(np.int64), steps.astype(np.int32), back.astype(np.int32), run_of[pair_at].astype(np.int32)]
+        arrays += [np.flatnonzero(is_u[pair_at]).astype(np.int32), place.astype(np.int32), values.astype(np.float64)]
+        out.append((key, piece, *[None if x is None else x.tobytes() for x in arrays]))
+    names = ["key", "slice", "g", "n", "steps", "order", "runs", "pairs", "place", "v"]
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
+    return pa.table({name: pa.array(c, kind) for name, c, kind in zip(names, zip(*out), kinds)})
+
+
+def _run_sums(drawn: np.ndarray, g: np.ndarray, n: np.ndarray | None, steps: list[int], small: bool) -> np.ndarray:
+    """Weights of every run, longest first: step k adds the k-th row of the runs that have one."""
+    if n is not None:
+        kind = np.float64
+    else:
+        kind = np.uint8 if small else np.int64
+    out, at = np.zeros((steps[0], drawn.shape[1]), kind), 0
+    for m in steps:
+        w = drawn.take(g[at : at + m], axis=0)
+        out[:m] += w if n is None else w * n[at : at + m, None].astype(np.float64)
+        at += m
+    return out
+
+
+def pieces_sums(row: dict, drawn_by: list[np.ndarray], ranks: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sums) of a piece for every replicate, ranks inside the piece from 0.
+
+    Rows of sums: the weight; sums of weight times rank and rank squared over values of u; then, for each value of v, its weight and the sum of
+    weight times rank of u. With `ranks` of v known: instead of the latter two of all values, both times the rank of v, summed; values are empty then.
+    """
+    read = lambda c, kind: np.frombuffer(row[c], kind).astype(np.int64)
+    g, n, steps, order, runs, pairs, place = (None if row[c] is None else read(c, kind) for c, kind in zip(("g", "n", "steps", "order", "runs", "pairs", "place"), (np.int32, np.int64, *[np.int32] * 5)))
+    v = np.frombuffer(row["v"])
+    size = np.diff(np.append(pairs, len(place)))
+    by_v = np.argsort(place, kind="stable")
+    v_at = np.searchsorted(place[by_v], np.arange(len(v)))
+    out = []
+    for i, drawn in enumerate(drawn_by):
+        small = drawn.dtype == np.uint8 and int(drawn.max(initial=0)) * RUN < 256
+        w = np.add.reduceat(_run_sums(drawn, g, n, steps.tolist(), small)[order], runs, axis=0, dtype=np.float64)
+        own = np.add.reduceat(w, pairs, axis=0)
+        rank = np.cumsum(own, axis=0) - own + (own + 1) / 2
+        lead = np.stack([own.sum(axis=0), (own * rank).sum(axis=0), (own * rank * rank).sum(axis=0)])
+        wr = w * np.repeat(rank, size, axis=0)
+        if ranks is None:
+            body = np.concatenate([np.add.reduceat(x[by_v], v_at, axis=0) for x in (w, wr)])
+        else:
+            off = ranks[1][i][np.searchsorted(ranks[0], v)[place]]
+            body = np.stack([(w * off).sum(axis=0), (wr * off).sum(axis=0)])
+        out.append(np.concatenate([lead, body]))
+    return (v if ranks is None else v[:0]), np.concatenate(out, axis=1)
+
+
+def _moved(sums: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """sums of rows that stand `by` later."""
+    w, wr, wrr, half = sums[0], sums[1], sums[2], (len(sums) - 3) // 2
+    weights, ranked = sums[3 : 3 + half], sums[3 + half :]
+    return np.concatenate([[w, wr + by * w, wrr + 2 * by * wr + by * by * w], weights, ranked + by * weights])
+
+
+def _added(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not len(one[0]) and not len(other[0]):
+        return one[0], one[1] + other[1]
+    v = np.union1d(one[0], other[0])
+    out = np.zeros((3 + 2 * len(v), one[1].shape[1]))
+    for values, sums in (one, other):
+        at = np.searchsorted(v, values)
+        out[:3] += sums[:3]
+        out[3 + at] += sums[3 : 3 + len(at)]
+        out[3 + len(v) + at] += sums[3 + len(at) :]
+    return v, out
+
+
+def together(one: tuple[np.ndarray, np.ndarray], next_: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two neighbours, ranks inside both from 0."""
+    return _added(one, (next_[0], _moved(next_[1], one[1][0])))
+
+
+def _sums_row(at: tuple[str, int], found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), *[pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for x in found]]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "slice", "v", "sums"])
+
+
+def _ranked(own: np.ndarray) -> dict[str, np.ndarray]:
+    """Of values by replicates: ranks less their mean, the mean, the sum of squares."""
+    mean = (own.sum(axis=0) + 1) / 2
+    off = np.cumsum(own, axis=0) - own + (own + 1) / 2 - mean
+    return {"off": off, "mean": mean, "yy": (own * off * off).sum(axis=0)}
+
+
+def _rho(parts: list[tuple[int, np.ndarray, np.ndarray]], few: dict[str, np.ndarray] | None) -> np.ndarray:
+    """Rho of every replicate from the sums of all parts; few: the ranks of v, where sums were taken with them."""
+    mean = (sum(s[0] for _, _, s in parts) + 1) / 2
+    before, whole = np.zeros_like(mean), None
+    for _, v, sums in parts:
+        found = v, _moved(sums, before - mean)  # ranks less their mean
+        whole = _added(whole, found) if whole else found
+        before = before + sums[0]
+    half = (len(whole[1]) - 3) // 2
+    if few is None:
+        few = _ranked(whole[1][3 : 3 + half])
+        xy = (few["off"] * whole[1][3 + half :]).sum(axis=0)
+    else:
+        xy = whole[1][4]
+    spread = np.sqrt(whole[1][2] * few["yy"])
+    flat = (spread < 1e-15) | (few["mean"] < 1.5)
+    return np.where(flat, 0.0, xy / np.where(flat, 1.0, spread))
+
+
 def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
     """(group, lo, hi): 2.5 and 97.5 percent points of Spearman's rho over resampled clusters. One row without group.
 
@@ -262,19 +401,18 @@ def cluster_bootstrap(df: DataFrame, x: str, y: str, cluster: str, replicates: i
     """
     group = group or []
     clean = _clean(df, x, y, cluster, group)
-    sizes = clean.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col("__c").cast("string"), F.lit(""))).alias("g"))
     ranks = WeightedRanks(clean, group)
-    key = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(group)]), {"ignoreNullFields": "false"}) if group else F.lit("")
+    sizes = ranks.sizes(group)
     if ranks.fits():
         found = ranks.rhos(replicates, seed)
         rows = [(k, sorted(r.tolist())) for k, r in found.items()]  # as many numbers as replicates for each of GROUPS groups at most
         ends = df.sparkSession.createDataFrame(rows, "__k string, rhos array<double>").withColumn("last", F.size("rhos") - 1)
-        ends = sizes.withColumn("__key", key).join(F.broadcast(ends), F.col("__key") == F.col("__k"), "left")
+        ends = sizes.join(F.broadcast(ends), F.col("__key") == F.col("__k"), "left")
     else:
         last = F.count(F.lit(1)) - 1
         found = resampling.rhos(ranks.counts, ranks.numbers, lambda first, many: _times(ranks.numbers, first, many, seed, ["key"]), replicates)
         ends = found.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list("rho")).alias("rhos"), last.alias("last"))  # as many values as replicates
-        ends = sizes.withColumn("__key", key).join(ends, F.col("__key") == F.col("__k"), "left")
+        ends = sizes.join(ends, F.col("__key") == F.col("__k"), "left")
     at = lambda q: F.element_at("rhos", F.round(q * F.col("last")).cast("int") + 1)
     enough = (F.col("n") >= 10) & (F.col("g") >= 2) & (F.size("rhos") > 0)
     return ends.select(*group, F.when(enough, at(0.025)).otherwise(0.0).alias("lo"), F.when(enough, at(0.975)).otherwise(0.0).alias("hi"))

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from cadenza.functions import digests
 from cadenza.operators import common, resampling, stats
 from tests.test_evaluation import brute_rho
 
@@ -75,3 +76,47 @@ def test_draws_are_those_of_the_join(spark):
     for r in stats._times(ranks.numbers, 3, 4, 42, ["key"]).collect():
         want[r["g"], r["b"] - 3] = r["times"]
     assert (got == want).all() and got.dtype == np.uint8
+
+
+def test_leading_digits_of_digests(monkeypatch):
+    monkeypatch.setattr(digests, "BATCH", 700)
+    for prefix in (b"42:0:", b"42:1999:", b"-12345:7:", b"", b"x" * 45):
+        got = digests.leading(prefix, 10_050)
+        assert all(int(got[j]) == int(hashlib.md5(prefix + b"%d" % j).hexdigest()[:8], 16) for j in [*range(0, 10_050, 7), 9, 10, 99, 100, 999, 1000, 9999, 10_000])
+    assert len(digests.leading(b"1:", 0)) == 0
+    with pytest.raises(ValueError):
+        digests.leading(b"x" * 46, 3)
+
+
+@pytest.mark.parametrize("returned", [4_000_000, 0])
+@pytest.mark.parametrize("rows, piece", [(500_000, 65_536), (130, 40), (130, 500)])
+def test_parts_and_pieces_equal_resampled_rows(spark, monkeypatch, table, returned, rows, piece):
+    """Weights by value from the parts, and the side with few values ranked first; one piece, parts of pieces; rows that stand twice; long runs."""
+    monkeypatch.setattr(stats.WeightedRanks, "RETURNED", returned)
+    monkeypatch.setattr(stats.WeightedRanks, "ROWS", rows)
+    monkeypatch.setattr(stats.WeightedRanks, "PIECE", piece)
+    monkeypatch.setattr(stats.WeightedRanks, "COLUMNS", 5)
+    monkeypatch.setattr(stats.WeightedRanks, "CELLS", 2 * 24 * 21)  # two values a third too many for all replicates at once
+    twice = [(m, c, round(x, 1), y) for m, c, x, y in table] + [r for r in table if r[1] == 7][:40] * 2 + [("a", 8, -0.0, 1.0), ("a", 8, 0.0, 1.0)]
+    df = spark.createDataFrame(twice, "m string, c int, x double, y double").repartition(4)
+    ranks = stats.WeightedRanks(stats._clean(df, "x", "y", "c", ["m"]), ["m"])
+    assert ranks.fits()
+    got = ranks.rhos(45, 42)
+    assert ranks.ranked_first == (returned == 0) and set(ranks.parts.values()) == ({1} if rows == 500_000 else set(ranks.parts.values()) - {1})
+    for m in "ab":
+        want = by_rows([r[1:] for r in twice if r[0] == m], 45, 42)
+        assert np.allclose(got[f'{{"c0":"{m}"}}'], want, atol=1e-12)
+
+
+def test_passes_move_no_rows(spark, monkeypatch, table):
+    """Rows are dealt into parts once: no pass of replicates shuffles them again."""
+    monkeypatch.setattr(stats.WeightedRanks, "ROWS", 130)
+    df = spark.createDataFrame(table, "m string, c int, x double, y double")
+    ranks = stats.WeightedRanks(stats._clean(df, "x", "y", "c", ["m"]), ["m"])
+    plans, inside, kind, real = [], [], type(df), stats.WeightedRanks._pass
+    monkeypatch.setattr(stats.WeightedRanks, "_pass", lambda self, *a: (inside.append(1), real(self, *a), inside.pop())[1])
+    for name in ("collect", "toArrow"):
+        f = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, f=f: (inside and plans.append(self._jdf.queryExecution().executedPlan().toString()), f(self))[1])
+    ranks.rhos(4, 42)
+    assert plans and not [p for p in plans if "hashpartitioning" in p]
